@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from syncsift.llm import line_dedup, simhash
+from syncsift.llm import line_dedup, packing, quality, simhash, toxicity
 
 
 def _on(table: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: digest(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _labelled(classify: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_quality_classifier": _labelled(quality.classify),
+        "op6_packing": _on("documents", packing.pack),
         "op8_line_dedup": _on("documents", line_dedup.digest),
+        "op9_toxicity": _labelled(toxicity.classify),
         "op10_simhash_near_dedup": _on("documents", simhash.digest),
     }
 

@@ -173,7 +173,7 @@ def _compare(fps: np.ndarray, mine: np.ndarray, all_: np.ndarray, radius: int, f
             forest.join(mine[a + i], all_[j])
 
 
-def near_links(distinct: DataFrame, radius: int = 4, sample: int = 1 << 16) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4, sample: int = 1 << 13) -> DataFrame:
     """(a, b): rep ids of fingerprints in ``distinct`` (fp, rep), a chain of links for each shard's components."""
     spark = distinct.sparkSession
     n = distinct.count()
