@@ -50,7 +50,7 @@ def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     # Rows that repeat a doc_id count once: documents are the distinct (hash, doc_id).
     once = lines.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("one"))
     frequent = written(once.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("kept_in")).where(F.col("n") >= min_docs).select("a", "b", "kept_in"))
-    hits = lines.join(frequent, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("kept_in")))
+    hits = lines.join(frequent.hint("merge"), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("kept_in")))
     return hits.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
 
 
@@ -60,7 +60,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     every = only(docs, "doc_id", "text")
     all_lines = lines_of(F.col("text"))
     kept = F.filter(F.col("l"), lambda x: ~(long_enough(x, min_chars) & F.array_contains(F.col("drop"), hash_of(key_of(x)))))
-    joined = every.join(drops, F.col("doc_id").eqNullSafe(F.col("loser")), "left").withColumn("l", all_lines)
+    joined = every.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("loser")), "left").withColumn("l", all_lines)
     return joined.withColumn("k", F.when(F.col("drop").isNull(), F.col("l")).otherwise(kept)).select(
         "doc_id",
         F.array_join("k", "\n").alias("kept"),
