@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from syncsift.llm import line_dedup, packing, quality, simhash, toxicity
+from syncsift.llm import line_dedup, packing, quality, simhash, suffix_dedup, toxicity
 
 
 def _on(table: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ def _labelled(classify: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_suffix_dedup": _on("documents", suffix_dedup.digest),
         "op5_quality_classifier": _labelled(quality.classify),
         "op6_packing": _on("documents", packing.pack),
         "op8_line_dedup": _on("documents", line_dedup.digest),
