@@ -159,10 +159,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large)
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(below.select(F.col("u").alias("x"), F.col("m").alias("y")))
+        small = large.join(below.hint("merge"), "u").select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(below.select(F.col("u").alias("x"), F.col("m").alias("y")))
         small = written(small.where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
         tally = small.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % F.lit(1 << 40))).first()
         dropped(now)

@@ -54,10 +54,10 @@ def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     return hits.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc_id, kept string, n_lines long, n_dropped long) for every row of ``docs``."""
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept string, n_lines long, n_dropped long, and the columns ``carry``) for every row of ``docs``."""
     drops = written(frequent_lines(docs, min_chars, min_docs)).withColumnRenamed("doc_id", "loser")
-    every = only(docs, "doc_id", "text")
+    every = only(docs, "doc_id", "text", *carry)
     all_lines = lines_of(F.col("text"))
     kept = F.filter(F.col("l"), lambda x: ~(long_enough(x, min_chars) & F.array_contains(F.col("drop"), hash_of(key_of(x)))))
     joined = every.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("loser")), "left").withColumn("l", all_lines)
@@ -66,6 +66,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
         F.array_join("k", "\n").alias("kept"),
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size("k")).cast("long").alias("n_dropped"),
+        *carry,
     )
 
 

@@ -182,5 +182,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, where they are."""
+
+    def run(batches):
+        for batch in slices(batches, "text", 16 << 20):
+            for _, stats in stats_of(iter([batch]), []):
+                yield batch.filter(pa.array(model.score(stats) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return score(docs, fit(docs, labels, **options))

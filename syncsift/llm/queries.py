@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from syncsift.llm import line_dedup, packing, quality, simhash, suffix_dedup, toxicity
+from syncsift.llm import exact_topk, hilbert_ann, licenses, line_dedup, packing, quality, simhash, suffix_dedup, toxicity
 
 
 def _on(table: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,7 +19,10 @@ def _labelled(classify: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": _on("documents", licenses.digest),
+        "op2_hilbert_ann": _on("embeddings", hilbert_ann.digest),
         "op3_suffix_dedup": _on("documents", suffix_dedup.digest),
+        "op4_exact_topk": _on("embeddings", exact_topk.digest),
         "op5_quality_classifier": _labelled(quality.classify),
         "op6_packing": _on("documents", packing.pack),
         "op8_line_dedup": _on("documents", line_dedup.digest),
@@ -29,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE}
+    return {"op4_exact_topk": exact_topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

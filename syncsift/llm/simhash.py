@@ -27,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from syncsift.llm.common import binary_of, by_key, components, dealt, only, slices, written
@@ -221,17 +221,23 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> Data
     fps = written(fingerprints(docs, words))
     known = fps.where(F.col("doc_id").isNotNull())
     distinct = written(known.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    same = known.join(distinct, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = known.join(distinct.hint("merge"), "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
-    same = same.join(repeated, "a", "left_semi")  # only rows that repeat a doc_id link fingerprints by it
+    same = same.join(repeated.hint("merge"), "a", "left_semi")  # only rows that repeat a doc_id link fingerprints by it
     labels = components(near_links(distinct, radius).unionByName(same))
-    class_of = written(distinct.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("key"), F.coalesce("label", "rep").alias("component_id")))
-    return fps.join(class_of, F.col("fp") == F.col("key"), "left").select("doc_id", "fp", "component_id")
+    class_of = written(distinct.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("key"), F.coalesce("label", "rep").alias("component_id")))
+    return fps.join(class_of.hint("merge"), F.col("fp") == F.col("key"), "left").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id): the document of each component with the smallest doc_id."""
-    return simhash_components(docs, words, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """The row of each component with the smallest doc_id, with its columns; rows with a null doc_id stay.
+
+    Of rows that repeat that doc_id the one with the smallest hash of its text stays.
+    """
+    keep = simhash_components(docs, words, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(written(keep).hint("merge"), "doc_id", "left_semi").withColumn("place_", F.row_number().over(first)).where("place_ = 1")
+    return named.drop("place_").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -324,9 +324,9 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> bytes:
     return b[~gone].tobytes()
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row; kept is text, cut at whole characters."""
-    keyed = only(docs, "doc_id", "text").select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"))
+def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], and the columns ``carry``) for every row; kept is text, cut at whole characters."""
+    keyed = only(docs, "doc_id", "text", *carry).select("doc_id", "text", *carry, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"))
     texts = keyed.select("k1", "k2", "text")
     marks = written(repeats(texts, cover_positions, length))
     sharing = written(texts.join(_merged(marks).hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).drop("m1", "m2"))
@@ -359,11 +359,11 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False) ->
     changed = ready.select("k1", "k2", "text", "at", "full", "more", "more_full").mapInArrow(cut, "c1 long, c2 long, n_removed long, n_spans long, sha string, kept string")
     changed = written(changed.where("n_removed > 0").dropDuplicates(["c1", "c2"]))
     text = F.coalesce("text", F.lit(""))
-    base = keyed.select("doc_id", "k1", "k2", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"), *(["text"] if keep_text else []))
+    base = keyed.select("doc_id", *carry, "k1", "k2", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"), *(["text"] if keep_text else []))
     joined = base.join(changed.hint("merge"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     return joined.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"),
-        *([F.when(F.col("c1").isNull(), F.col("text")).otherwise(F.col("kept")).alias("kept")] if keep_text else []),
+        *([F.when(F.col("c1").isNull(), F.col("text")).otherwise(F.col("kept")).alias("kept")] if keep_text else []), *carry,
     )
 
 
