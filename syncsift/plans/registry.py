@@ -1,15 +1,453 @@
-"""The registered queries over the driver's tables, and the SQL that says the same."""
+"""The registered queries over the driver's tables, and the SQL that says the same.
+
+Each query applies an operator to the inventory derived from ``documents`` (sources/derived.py); the SQL begins with that
+module's common table expressions and restates the operator on its own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from syncsift.functions import hashing, names, placeholders
+from syncsift.operators import cache, compare, fingerprint, inventory, quarantine, report, resolution, verdicts
+from syncsift.sources import derived
+from syncsift.streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+ROOT, WINDOW = derived.ROOT, derived.WINDOW
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = derived.SQL + sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- what the queries start from
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.judged(derived.inventory(spark, sf_dir), ROOT)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("fate = 'kept'").drop("fate")
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = verdicts.hashed_content(verdicts.grouped_rows(_files(spark, sf_dir)).drop("members"), WINDOW)
+    return rows.withColumn("error", F.when(F.col("doc_id") % 17 == 4, "simulated").otherwise(F.col("error")))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.judged_members(_hashed(spark, sf_dir))
+
+
+def _decidable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(spark, sf_dir).where("verdict in ('identical_duplicate', 'real_conflict')")
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.order(derived.inventory(spark, sf_dir), ROOT).counts
+
+
+def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.telemetry(_counts(spark, sf_dir), _files(spark, sf_dir), _members(spark, sf_dir), WINDOW)
+
+
+# ---- inventory and names
+
+
+@query("SELECT doc_id, path, fate, kind AS placeholder_kind FROM judged")
+def l0_inventory(spark, sf_dir):
+    return _judged(spark, sf_dir).select("doc_id", "path", "fate", "placeholder_kind")
+
+
+@query("SELECT fate, count(*)::BIGINT AS n FROM judged GROUP BY fate")
+def inventory_fates(spark, sf_dir):
+    return _judged(spark, sf_dir).groupBy("fate").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) FILTER (fate = 'kept') AS files_enumerated, count(*) FILTER (fate = 'kept' AND kind IS NOT NULL) AS files_placeholder, count(*) FILTER (fate = 'excluded') AS files_excluded, count(*) FILTER (fate IN ('repeated', 'too_deep')) AS files_rejected FROM judged")
+def reserved_exclusion(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query("SELECT path, 'identity already seen: a loop or a second link' AS message FROM judged WHERE fate = 'repeated'")
+def inode_dedup(spark, sf_dir):
+    return inventory.order(derived.inventory(spark, sf_dir), ROOT).errors.where(F.col("message").startswith("identity"))
+
+
+@query("SELECT path, depth::INT AS depth FROM marked")
+def path_depth(spark, sf_dir):
+    return derived.inventory(spark, sf_dir).select("path", names.depth(F.col("path"), ROOT).alias("depth"))
+
+
+@query("SELECT path, 'deeper than 16 levels' AS message FROM judged WHERE fate = 'too_deep'")
+def depth_reject(spark, sf_dir):
+    return inventory.order(derived.inventory(spark, sf_dir), ROOT).errors.where(F.col("message").startswith("deeper"))
+
+
+@query("SELECT doc_id, kind, kind IS NOT NULL AS is_placeholder FROM marked")
+def placeholder_classify(spark, sf_dir):
+    a, k = F.col("attributes"), F.col("placeholder_kind")
+    return derived.inventory(spark, sf_dir).select("doc_id", placeholders.classify(a, k).alias("kind"), placeholders.is_placeholder(a, k).alias("is_placeholder"))
+
+
+@query("SELECT path, array_to_string([x FOR x IN [CASE WHEN attributes & 1024 <> 0 OR kind = 'reparse_point' THEN 'reparse_point' END, CASE WHEN attributes & 4194304 <> 0 OR kind = 'recall_on_data_access' THEN 'recall_on_data_access' END, CASE WHEN attributes & 262144 <> 0 OR kind = 'recall_on_open' THEN 'recall_on_open' END, CASE WHEN attributes & 4096 <> 0 OR kind = 'offline' THEN 'offline' END] IF x IS NOT NULL], ',') AS kinds, size AS size_bytes FROM files WHERE is_placeholder")
+def placeholder_kinds(spark, sf_dir):
+    return placeholders.records(_files(spark, sf_dir)).select("path", F.array_join("kinds", ",").alias("kinds"), "size_bytes")
+
+
+@query("SELECT is_placeholder, count(*) AS n, sum(size)::BIGINT AS total FROM files GROUP BY 1")
+def placeholder_gate(spark, sf_dir):
+    safe, held = placeholders.split(_files(spark, sf_dir))
+    both = safe.select("is_placeholder", "size").unionByName(held.select("is_placeholder", "size"))
+    return both.groupBy("is_placeholder").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+
+
+@query("""SELECT m.path, CASE WHEN m.doc_id % 5 = 0 THEN CASE WHEN m.doc_id % 4 = 0 THEN 'offline' ELSE 'reparse_point' END ELSE m.placeholder_kind END AS placeholder_kind FROM marked m""")
+def sidecar_join(spark, sf_dir):
+    files = derived.inventory(spark, sf_dir)
+    content = F.when(F.col("doc_id") % 4 == 0, '{"kind": "offline"}').when(F.col("doc_id") % 4 == 1, '{"kind": "other"}').otherwise("{broken")
+    side = files.where("doc_id % 5 = 0").select(F.concat("path", F.lit(inventory.SIDECAR)).alias("path"), content.alias("content"))
+    rows = files.select("path", "placeholder_kind").unionByName(side.select("path", F.lit(None).cast("string").alias("placeholder_kind")))
+    return inventory.with_sidecars(rows, side).select("path", "placeholder_kind")
+
+
+@query("SELECT doc_id, name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, ' \\(conflicted copy\\)(\\.[^.]*)$', '\\1'), '-DESKTOP-[0-9A-Za-z]{6,12}(\\.[^.]*)$', '\\1'), ' \\(1\\)(\\.[^.]*)$', '\\1'), ' \\(2\\)(\\.[^.]*)$', '\\1'), '\\.sb-[0-9a-f]{1,32}(\\.[^.]*)$', '\\1') AS base FROM marked")
+def normalize_names(spark, sf_dir):
+    rows = derived.inventory(spark, sf_dir).withColumn("name", names.basename(F.col("path")))
+    return rows.select("doc_id", "name", names.normalize_base_name(F.col("name")).alias("base"))
+
+
+_ODD = {0: "/x", 1: "‮", 2: " ", 3: ".", 4: "/con.txt", 5: "/../y", 6: ""}
+_ODD_SQL = "substr(path, 2) || ['/x', chr(8238), ' ', '.', '/con.txt', '/../y', ''][doc_id % 7 + 1]"
+
+
+def _odd_names(spark, sf_dir):
+    tail = F.element_at(F.array(*(F.lit(_ODD[k]) for k in range(7))), (F.col("doc_id") % 7).cast("int") + 1)
+    return derived.inventory(spark, sf_dir).select("doc_id", F.concat(F.expr("substring(path, 2)"), tail).alias("name"))
+
+
+@query(f"SELECT doc_id, doc_id % 7 = 1 AS bidi FROM (SELECT doc_id, {_ODD_SQL} AS name FROM inv)")
+def bidi_flag(spark, sf_dir):
+    return _odd_names(spark, sf_dir).select("doc_id", names.has_bidi(F.col("name")).alias("bidi"))
+
+
+@query("SELECT doc_id, doc_id % 7 IN (0, 1, 6) AS valid FROM inv")
+def valid_name(spark, sf_dir):
+    return _odd_names(spark, sf_dir).select("doc_id", names.is_valid_name(F.col("name")).alias("valid"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 1, 6) THEN {_ODD_SQL} END AS canonical FROM inv")
+def canonical_names(spark, sf_dir):
+    rows = _odd_names(spark, sf_dir).withColumn("name", F.translate("name", "/", "\\"))
+    return rows.select("doc_id", names.canonical_name(F.col("name")).alias("canonical"))
+
+
+@query(f"SELECT doc_id, starts_with(path, '{ROOT}/src1/') AS inside, CASE WHEN starts_with(path, '{ROOT}/') THEN substr(path, {len(ROOT) + 2}) ELSE path END AS relative FROM inv")
+def path_containment(spark, sf_dir):
+    return derived.inventory(spark, sf_dir).select("doc_id", names.contained(F.col("path"), f"{ROOT}/src1").alias("inside"), names.relative(F.col("path"), ROOT).alias("relative"))
+
+
+@query("SELECT doc_id, 'path:' || sha256(lower(path)) AS identity, substr(sha256(path), 1, 16) AS path_hash FROM inv")
+def path_identities(spark, sf_dir):
+    return derived.inventory(spark, sf_dir).select("doc_id", names.path_identity(F.col("path")).alias("identity"), names.hash_path(F.col("path")).alias("path_hash"))
+
+
+@query("SELECT doc_id, strftime(make_timestamp((mtime_ticks - 621355968000000000) // 10), '%Y-%m-%dT%H:%M:%S.%gZ') AS mtime FROM inv")
+def format_timestamps(spark, sf_dir):
+    return derived.inventory(spark, sf_dir).select("doc_id", names.format_ticks(F.col("mtime_ticks")).alias("mtime"))
+
+
+_BYTES = "n >= 1073741824 THEN rtrim(rtrim(printf('%.2f', round(n::DECIMAL(38,10) / 1073741824, 2)), '0'), '.') || ' GB' WHEN n >= 1048576 THEN rtrim(rtrim(printf('%.2f', round(n::DECIMAL(38,10) / 1048576, 2)), '0'), '.') || ' MB' WHEN n >= 1024 THEN rtrim(rtrim(printf('%.2f', round(n::DECIMAL(38,10) / 1024, 2)), '0'), '.') || ' KB' ELSE n || ' B'"
+
+
+@query(f"SELECT doc_id, n, CASE WHEN {_BYTES} END AS shown FROM (SELECT doc_id, (size * (1 + doc_id % 5 * 1000003))::BIGINT AS n FROM inv)")
+def format_bytes(spark, sf_dir):
+    rows = derived.inventory(spark, sf_dir).withColumn("n", F.col("size") * (1 + F.col("doc_id") % 5 * 1_000_003))
+    return rows.select("doc_id", "n", names.format_bytes(F.col("n")).alias("shown"))
+
+
+# ---- groups, hashes, verdicts
+
+
+@query("SELECT base, size, count(*)::INT AS members, string_agg(path, '|' ORDER BY path) AS paths FROM readable GROUP BY base, size HAVING count(*) >= 2")
+def candidate_groups(spark, sf_dir):
+    return verdicts.candidate_groups(_files(spark, sf_dir)).select("base", "size", F.size("members").alias("members"), F.array_join("members", "|").alias("paths"))
+
+
+@query("SELECT path, partial FROM members")
+def partial_hash(spark, sf_dir):
+    return _hashed(spark, sf_dir).select("path", "partial")
+
+
+@query("SELECT path, full_hash FROM decided WHERE verdict IN ('identical_duplicate', 'real_conflict')")
+def full_hash_survivors(spark, sf_dir):
+    return _decidable(spark, sf_dir).select("path", F.col("full").alias("full_hash"))
+
+
+@query("SELECT base, size, members, verdict FROM verdicts", name="verdicts")
+def _verdicts(spark, sf_dir):
+    return verdicts.verdicts(_hashed(spark, sf_dir)).select("base", "size", "members", "verdict")
+
+
+@query("SELECT full_hash AS hash, base, size, string_agg(path, '|' ORDER BY path) AS files, min(path) AS kept_path FROM decided WHERE verdict = 'identical_duplicate' GROUP BY ALL")
+def identical_duplicates(spark, sf_dir):
+    return verdicts.identical_duplicates(_members(spark, sf_dir)).withColumn("files", F.array_join("files", "|"))
+
+
+@query("SELECT base, size, string_agg(path || ':' || full_hash, '|' ORDER BY path) AS files FROM decided WHERE verdict = 'real_conflict' GROUP BY base, size")
+def real_conflicts(spark, sf_dir):
+    return verdicts.real_conflicts(_members(spark, sf_dir)).withColumn("files", F.array_join(F.transform("files", lambda f: F.concat(f["path"], F.lit(":"), f["hash"])), "|"))
+
+
+@query("SELECT base, size FROM verdicts WHERE verdict = 'eliminated_l2'")
+def eliminated_l2(spark, sf_dir):
+    groups = verdicts.candidate_groups(_files(spark, sf_dir)).select("base", "size")
+    told = verdicts.verdicts(_hashed(spark, sf_dir)).where("verdict <> 'eliminated_l2'")
+    return groups.join(told, ["base", "size"], "left_anti")
+
+
+@query("SELECT base, size, string_agg(path || ':' || error, '|' ORDER BY path) AS files FROM decided WHERE verdict = 'unresolved' AND error IS NOT NULL GROUP BY base, size")
+def unresolved_groups(spark, sf_dir):
+    return verdicts.unresolved_groups(_members(spark, sf_dir)).withColumn("files", F.array_join(F.transform("files", lambda f: F.concat(f["path"], F.lit(":"), f["reason"])), "|"))
+
+
+# ---- telemetry and figures
+
+_TELEMETRY = f"""t AS (SELECT (SELECT count(*) FROM files) AS files_enumerated, (SELECT count(*) FROM files WHERE is_placeholder) AS files_placeholder, (SELECT count(*) FROM judged WHERE fate = 'excluded') AS files_excluded,
+ (SELECT count(*) FROM readable) - (SELECT count(*) FROM members) AS files_skipped, (SELECT count(*) FROM members) AS files_partial_hashed, (SELECT count(*) FROM decided WHERE verdict IN ('identical_duplicate', 'real_conflict')) AS files_full_hashed,
+ (SELECT coalesce(sum(least(size, {2 * WINDOW})), 0)::BIGINT FROM members) AS bytes_read_partial, (SELECT coalesce(sum(size), 0)::BIGINT FROM decided WHERE verdict IN ('identical_duplicate', 'real_conflict')) AS bytes_read_full)"""
+
+
+@query(f", {_TELEMETRY} SELECT *, bytes_read_partial + bytes_read_full AS bytes_read, 0::BIGINT AS placeholder_bytes_read FROM t")
+def scan_telemetry(spark, sf_dir):
+    return _telemetry(spark, sf_dir)
+
+
+@query(f", {_TELEMETRY} SELECT 'files_full_hashed exceeds files_partial_hashed' AS violation FROM t WHERE files_full_hashed > files_partial_hashed")
+def telemetry_invariants(spark, sf_dir):
+    return verdicts.telemetry_violations(_telemetry(spark, sf_dir))
+
+
+@query(f", {_TELEMETRY} SELECT 2 * files_enumerated::BIGINT AS files_enumerated, (2 * bytes_read_full)::BIGINT AS bytes_read_full FROM t")
+def telemetry_merge(spark, sf_dir):
+    t = _telemetry(spark, sf_dir)
+    return verdicts.merge_telemetry(t.unionByName(t)).select("files_enumerated", "bytes_read_full")
+
+
+_SUMMARY = """s AS (SELECT coalesce(sum(CASE WHEN verdict = 'identical_duplicate' THEN members - 1 END), 0)::BIGINT AS identical_duplicates, count(*) FILTER (verdict = 'real_conflict') AS real_conflicts,
+ coalesce(sum(CASE WHEN verdict IN ('identical_duplicate', 'real_conflict') THEN (members - 1) * size END), 0)::BIGINT AS recoverable_bytes, coalesce(sum(CASE WHEN verdict = 'identical_duplicate' THEN (members - 1) * size END), 0)::BIGINT AS recoverable_duplicate_bytes FROM verdicts)"""
+
+
+@query(f", {_SUMMARY} SELECT (SELECT count(*) FROM files) AS files_found, (SELECT count(*) FROM files WHERE is_placeholder) AS placeholders_ignored, s.* FROM s")
+def summary_metrics(spark, sf_dir):
+    return verdicts.summary(_telemetry(spark, sf_dir), _members(spark, sf_dir))
+
+
+@query(f", {_SUMMARY} SELECT recoverable_bytes, CASE WHEN {_BYTES.replace('n >=', 'recoverable_bytes >=').replace('(n::', '(recoverable_bytes::').replace('ELSE n ||', 'ELSE recoverable_bytes ||')} END AS shown FROM s")
+def recoverable_bytes(spark, sf_dir):
+    s = verdicts.summary(_telemetry(spark, sf_dir), _members(spark, sf_dir))
+    return s.select("recoverable_bytes", names.format_bytes(F.col("recoverable_bytes")).alias("shown"))
+
+
+@query(f", {_TELEMETRY} SELECT (SELECT sum(size)::BIGINT FROM files) AS bytes_listed, bytes_read_partial + bytes_read_full AS bytes_read FROM t")
+def bytes_avoided(spark, sf_dir):
+    listed = _files(spark, sf_dir).agg(F.sum("size").alias("bytes_listed"))
+    return verdicts.merge_telemetry(listed.unionByName(_telemetry(spark, sf_dir).select("bytes_read"), allowMissingColumns=True))
+
+
+@query("SELECT path, row_number() OVER (PARTITION BY base, size ORDER BY mtime_ticks DESC, size DESC, path) = 1 AS suggested FROM decided WHERE verdict = 'real_conflict'")
+def suggested_versions(spark, sf_dir):
+    return verdicts.conflict_versions(_members(spark, sf_dir)).select("path", "suggested")
+
+
+# ---- resolution
+
+
+def _chosen(order: str, reason: str) -> str:
+    return f"SELECT path, rn = 1 AS kept, CASE WHEN rn > 1 THEN '{reason}' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY base, size ORDER BY {order}) AS rn FROM decided WHERE verdict IN ('identical_duplicate', 'real_conflict'))"
+
+
+def _plan(df: DataFrame) -> DataFrame:
+    return df.select("path", "kept", "reason")
+
+
+@query(_chosen("mtime_ticks DESC, size DESC, path", "keep-newest"))
+def keep_newest(spark, sf_dir):
+    return _plan(resolution.keep_newest(_decidable(spark, sf_dir)))
+
+
+@query(_chosen("size DESC, mtime_ticks DESC, path", "keep-largest"))
+def keep_largest(spark, sf_dir):
+    return _plan(resolution.keep_largest(_decidable(spark, sf_dir)))
+
+
+@query("""SELECT path, rn = 1 AS kept, CASE WHEN rn > 1 THEN 'keep-machine:ABC123' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY base, size ORDER BY contains(name, '-DESKTOP-ABC123') DESC, mtime_ticks DESC, size DESC, path) AS rn, bool_or(contains(name, '-DESKTOP-ABC123')) OVER (PARTITION BY base, size) AS has FROM decided WHERE verdict IN ('identical_duplicate', 'real_conflict')) WHERE has""")
+def keep_machine(spark, sf_dir):
+    return _plan(resolution.keep_machine(_decidable(spark, sf_dir), "ABC123", strict=False))
+
+
+@query(_chosen("path DESC", "keep-manual"))
+def keep_manual(spark, sf_dir):
+    rows = _decidable(spark, sf_dir)
+    return _plan(resolution.keep_manual(rows, rows.groupBy("base", "size").agg(F.max("path").alias("chosen"))))
+
+
+@query(f"SELECT path, reason FROM ({_chosen('mtime_ticks DESC, size DESC, path', 'keep-newest')}) WHERE NOT kept")
+def sacrifices(spark, sf_dir):
+    return resolution.sacrifices(resolution.keep_newest(_decidable(spark, sf_dir))).select("path", "reason")
+
+
+@query("SELECT base, size, min(path) AS kept_path FROM decided WHERE verdict = 'identical_duplicate' GROUP BY base, size")
+def kept_path(spark, sf_dir):
+    return verdicts.identical_duplicates(_members(spark, sf_dir)).select("base", "size", "kept_path")
+
+
+# ---- cache, snapshots, identity
+
+_KEY = "sha256('cache-key-v1|' || strlen(path) || ':' || path || strlen(size::VARCHAR) || ':' || size || strlen(mtime_ticks::VARCHAR) || ':' || mtime_ticks)"
+
+
+def _cached(spark, sf_dir):
+    return cache.lookup(_hashed(spark, sf_dir), cache.entries(_hashed(spark, sf_dir).where("doc_id % 2 = 0"), 1))
+
+
+@query(f"SELECT path, {_KEY} AS key_hex, full_hash AS cached_full FROM members WHERE doc_id % 2 = 0")
+def cache_hits(spark, sf_dir):
+    return _cached(spark, sf_dir).where("cached_full is not null").select("path", "key_hex", "cached_full")
+
+
+@query("SELECT path FROM members WHERE doc_id % 2 <> 0")
+def cache_misses(spark, sf_dir):
+    return _cached(spark, sf_dir).where("cached_full is null").select("path")
+
+
+@query(f"SELECT {_KEY} AS key_hex, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS last_seen FROM members")
+def cache_upsert(spark, sf_dir):
+    rows = _hashed(spark, sf_dir)
+    return cache.upsert(cache.entries(rows, 1), cache.entries(rows.where("doc_id % 2 = 0"), 2)).select("key_hex", "last_seen")
+
+
+@query("""SELECT path, CASE WHEN doc_id % 10 IN (0, 1, 2) THEN 'Unstable' ELSE 'Stable' END AS status, CASE doc_id % 10 WHEN 0 THEN 'size diverged: pre=' || size || ', post=' || (size + 1) WHEN 1 THEN 'mtime diverged: pre=' || mtime_ticks || ', post=' || (mtime_ticks + 5) WHEN 2 THEN 'file_id diverged: pre=' || file_id || ', post=' || file_id || 'x' END AS reason FROM files""")
+def stability_check(spark, sf_dir):
+    before = _files(spark, sf_dir).select("doc_id", "path", "size", "mtime_ticks", "file_id")
+    m = F.col("doc_id") % 10
+    after = before.select("path", F.when(m == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(m <= 1, F.col("mtime_ticks") + 5).otherwise(F.col("mtime_ticks")).alias("mtime_ticks"), F.when(m <= 2, F.concat("file_id", F.lit("x"))).otherwise(F.col("file_id")).alias("file_id"))
+    return inventory.stability(before, after)
+
+
+_LEN = "strlen({0}::VARCHAR) || ':' || {0}"
+
+
+@query("SELECT path, sha256('volume-file-key-v1|' || " + " || ".join(_LEN.format(x) for x in ("volume_id", "file_id", "size", "mtime_ticks")) + " || '6:sha256' || '1:1') AS key FROM files")
+def volume_file_key(spark, sf_dir):
+    return _files(spark, sf_dir).select("path", cache.volume_file_key(*(F.col(c) for c in ("volume_id", "file_id", "size", "mtime_ticks"))).alias("key"))
+
+
+@query()
+def scan_fingerprint(spark, sf_dir):
+    return fingerprint.scan_fingerprint(_members(spark, sf_dir))
+
+
+# ---- comparisons
+
+
+@query("SELECT doc_id, ['markdown', 'csv', 'text', 'text', 'binary'][doc_id % 5 + 1] AS kind FROM inv")
+def comparator_route(spark, sf_dir):
+    ext = F.element_at(F.array(*map(F.lit, (".MD", ".csv", ".txt", ".log", ""))), (F.col("doc_id") % 5).cast("int") + 1)
+    rows = derived.inventory(spark, sf_dir)
+    return rows.select("doc_id", compare.comparator(F.concat(F.regexp_replace("path", r"\.txt$", ""), ext)).alias("kind"))
+
+
+def _pairs(spark, sf_dir):
+    """Each member of a conflict beside the version kept; a row with every later member."""
+    rows = verdicts.conflict_versions(_members(spark, sf_dir)).select("base", "size", "path", "doc_id", "suggested")
+    texts = derived.inventory(spark, sf_dir).select("doc_id", "text", "content")
+    kept = rows.where("suggested").select("base", "size", F.col("path").alias("left_path"), F.col("doc_id").alias("left_id"))
+    both = rows.where("not suggested").join(kept, ["base", "size"])
+    left = texts.select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text"), F.col("content").alias("left_content"))
+    return both.join(texts, "doc_id").join(left, "left_id")
+
+
+_PAIRS = """kept AS (SELECT *, row_number() OVER (PARTITION BY base, size ORDER BY mtime_ticks DESC, size DESC, path) AS rn FROM decided WHERE verdict = 'real_conflict'),
+pairs AS (SELECT l.path AS left_path, r.path AS path, l.content AS a, r.content AS b FROM kept l JOIN kept r USING (base, size) WHERE l.rn = 1 AND r.rn > 1)"""
+
+
+@query(f""", {_PAIRS}, bits AS (SELECT left_path, path, list_filter(range(1, octet_length(a) + 1), lambda i: a[i:i] <> b[i:i])[1] - 1 AS first_at FROM pairs)
+SELECT left_path, path, 'Changed' AS kind, first_at::BIGINT AS left_start, 1::BIGINT AS left_count FROM bits WHERE first_at IS NOT NULL""")
+def binary_first_diff(spark, sf_dir):
+    r = compare.binary_region(F.col("left_content"), F.col("content"))
+    rows = _pairs(spark, sf_dir).select("left_path", "path", r.alias("r")).where("r is not null")
+    return rows.select("left_path", "path", "r.kind", "r.left_start", "r.left_count")
+
+
+def _turns(spark, sf_dir):
+    """Neighbouring turns of conversations, as texts to align."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("right_text"))
+    words = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), "[ ]", "\n")
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", words(F.col("text")).alias("a"), words(F.col("right_text")).alias("b"))
+
+
+def _diff(kind: str) -> Query:
+    def run(spark, sf_dir):
+        rows = _turns(spark, sf_dir).withColumn("r", F.explode(compare.line_regions(F.lit(kind), F.col("a"), F.col("b"))))
+        return rows.select("conv_id", "turn", "r.*")
+
+    return run
+
+
+for _kind in ("text", "csv", "markdown"):
+    query(name=f"{_kind}_diff_regions")(_diff(_kind))
+
+
+# ---- report, manifest, increments
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY path)::INT AS position, path, printf('payload/%04d.dat', row_number() OVER (ORDER BY path)) AS payload, size, full_hash AS hash, 'keep-newest' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY base, size ORDER BY mtime_ticks DESC, size DESC, path) AS rn FROM decided WHERE verdict IN ('identical_duplicate', 'real_conflict')) WHERE rn > 1""")
+def quarantine_manifest(spark, sf_dir):
+    plan = resolution.sacrifices(resolution.keep_newest(_decidable(spark, sf_dir)))
+    return quarantine.plan(plan, ROOT, "demo").select("position", "path", "payload", "size", "hash", "reason")
+
+
+@query()
+def scan_report_json(spark, sf_dir):
+    members = _members(spark, sf_dir)
+    files, when = _files(spark, sf_dir), datetime(2026, 1, 1, 12, tzinfo=timezone.utc)
+    text = report.report(_telemetry(spark, sf_dir), verdicts.candidate_groups(files), verdicts.identical_duplicates(members), verdicts.real_conflicts(members), placeholders.records(files), ROOT, when, when)
+    return spark.createDataFrame([(text,)], "report string")
+
+
+@query("SELECT path, 'added' AS change FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT path, 'changed' FROM files WHERE doc_id % 3 = 1 UNION ALL SELECT path, 'removed' FROM files WHERE doc_id % 3 = 2 AND doc_id % 2 = 0")
+def rescan_changes(spark, sf_dir):
+    files = _files(spark, sf_dir).select("doc_id", "path", "size", "mtime_ticks")
+    before = files.where("doc_id % 3 <> 0").drop("doc_id")
+    after = files.where("not (doc_id % 3 = 2 and doc_id % 2 = 0)").withColumn("size", F.col("size") + (F.col("doc_id") % 3 == 1).cast("long")).drop("doc_id")
+    return incremental.changes(before, after)
+
+
+@query(f"SELECT path, least(size, {2 * WINDOW})::BIGINT AS partial_bytes FROM readable")
+def partial_read_bytes(spark, sf_dir):
+    return placeholders.split(_files(spark, sf_dir))[0].select("path", hashing.partial_bytes(F.col("size"), WINDOW).alias("partial_bytes"))
