@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from syncsift.llm import exact_topk, hilbert_ann, licenses, line_dedup, packing, quality, simhash, suffix_dedup, toxicity
+from syncsift.llm import byte_bpe, exact_topk, hilbert_ann, licenses, line_dedup, packing, quality, simhash, suffix_dedup, toxicity
 
 
 def _on(table: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_topk": _on("embeddings", exact_topk.digest),
         "op5_quality_classifier": _labelled(quality.classify),
         "op6_packing": _on("documents", packing.pack),
+        "op7_byte_bpe": _on("documents", byte_bpe.digest),
         "op8_line_dedup": _on("documents", line_dedup.digest),
         "op9_toxicity": _labelled(toxicity.classify),
         "op10_simhash_near_dedup": _on("documents", simhash.digest),
