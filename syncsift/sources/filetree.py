@@ -5,16 +5,19 @@ that are links, mount points of other devices or placeholders are leaves with an
 marked, never followed. An unreadable directory is an error row, not a silent gap.
 """
 
-from __future__ import annotations
-
 import os
 import socket
 import stat
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from syncsift.operators.inventory import SIDECAR
 from syncsift.schema import INVENTORY, TICKS_AT_EPOCH
 
 
@@ -77,18 +80,12 @@ class FileTreeSource(DataSource):
         return FileTreeReader(self.options["path"], self.options.get("volume"))
 
 
-def register(spark) -> None:
+def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileTreeSource)
 
 
-def sidecar_contents(spark, inventory):
+def sidecar_contents(spark: SparkSession, inventory: DataFrame) -> DataFrame:
     """(path, content) of the sidecars in an inventory, read on the executors."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
-    from syncsift.operators.inventory import SIDECAR
-
     @F.pandas_udf(T.StringType())
     def read(paths: pd.Series) -> pd.Series:
         def one(p):
