@@ -29,7 +29,7 @@ from syncsift.llm.common import only, written
 
 BASE, NONE = 65_536, 1 << 30
 K1, K2 = 0x9E3779B97F | 1, 0xC2B2AE3D27 | 1
-BUCKETS, SLOTS = 1 << 16, 1 << 19
+BUCKETS, SLOTS = 1 << 16, 1 << 18
 SEPARATOR = "\x1f"
 
 
@@ -99,18 +99,30 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def literals(path: str, words: list[str] | None = None, ids: list[str] | None = None) -> Column:
+    """A struct of all that lookups read, so that a plan holds it once: with_literals() binds it to a name."""
+    displace, slots = pair_table(path)
+    pieces = pieces_of(path)
+    single = {p: i for i, p in enumerate(pieces) if len(p) == 1}
+    return F.struct(
+        _ints(displace, "int").alias("displace"),
+        _ints(slots, "bigint").alias("slots"),
+        _ints([single[bytes([b])] for b in range(256)], "int").alias("bytes"),
+        _texts([chr(BASE + i) for i in range(len(pieces))]).alias("chars"),
+        _texts(words or [""]).alias("words"),
+        _texts(ids or [""]).alias("ids"),
+    )
+
+
+def with_literals(table: Column, body) -> Column:
+    return _let(table, lambda t: body(Folds(t)))
+
+
 class Folds:
-    """Expressions over the literals of one rank file."""
-
-    def __init__(self, path: str):
-        pieces = pieces_of(path)
-        displace, slots = pair_table(path)
-        single = {p: i for i, p in enumerate(pieces) if len(p) == 1}
-        self.displace, self.slots = _ints(displace, "int"), _ints(slots, "bigint")
-        self.bytes = _ints([single[bytes([b])] for b in range(256)], "int")
-        self.chars = _texts([chr(BASE + i) for i in range(len(pieces))])
-        self.le_hex = _texts([i.to_bytes(4, "little").hex() for i in range(len(pieces))])
-        self.piece_hex = _texts([p.hex() for p in pieces])
+    """Expressions over the bound literals of one rank file."""
+
+    def __init__(self, table: Column):
+        self.displace, self.slots, self.bytes, self.chars, self.words, self.told = (table[x] for x in ("displace", "slots", "bytes", "chars", "words", "ids"))
 
     def rank(self, a: Column, b: Column) -> Column:
         """The id that a pair of ids merges to, or NONE."""
@@ -176,14 +188,14 @@ def encode_word(folds: Folds, word: Column, long_word: int, steps: int) -> Colum
     return F.when(n <= long_word, folds.folded(word)).otherwise(folds.folded_long(word, steps))
 
 
-def frequent(docs: DataFrame, folds: Folds, pattern: str, table_words: int, long_word: int) -> tuple[list[str], list[str]]:
+def frequent(docs: DataFrame, path: str, pattern: str, table_words: int, long_word: int) -> tuple[list[str], list[str]]:
     """Slots of a hashed table of the most frequent words and of their ids as characters.
 
     A word may be at either of two slots of its hash; one that finds both taken isn't in the table.
     """
     counted = only(docs, "text").select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").count()
     top = written(counted.where((F.octet_length("w") <= long_word) & ~F.col("w").contains(SEPARATOR)).orderBy(F.desc("count"), "w").limit(table_words))
-    rows = top.repartition(16, "w").select("w", "count", F.xxhash64("w").alias("h"), folds.folded(F.col("w")).alias("ids")).collect()
+    rows = top.repartition(16, "w").select("w", "count", F.xxhash64("w").alias("h"), with_literals(literals(path), lambda f: f.folded(F.col("w"))).alias("ids")).collect()
     n = max(16, 1 << (2 * len(rows)).bit_length())
     words, ids = [""] * n, [""] * n
     for r in sorted(rows, key=lambda r: (-r["count"], r.w)):
@@ -195,22 +207,26 @@ def frequent(docs: DataFrame, folds: Folds, pattern: str, table_words: int, long
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, table_words: int = 65_536, long_word: int = 256, steps: int = 2_048) -> DataFrame:
-    """(doc_id, ids array<int>, and the literals' bytes of ids and pieces as hex) for every row of ``docs``."""
-    folds, pattern = Folds(ranks_path or default_ranks()), pattern or default_pattern()
-    words, ids = frequent(docs, folds, pattern, table_words, long_word)
-    n, known, told = len(words), _texts(words), _texts(ids)
-
-    def look(w: Column) -> Column:
-        def at(h: Column) -> Column:
-            one, two = h.bitwiseAND(F.lit(n - 1)).cast("int"), F.shiftright(h, 24).bitwiseAND(F.lit(n - 1)).cast("int")
-            return F.when(F.get(known, one) == w, F.get(told, one)).when(F.get(known, two) == w, F.get(told, two)).otherwise(encode_word(folds, w, long_word, steps))
-
-        return _let(F.xxhash64(w), at)
-
-    chars = only(docs, "doc_id", "text").select("doc_id", F.array_join(F.transform(words_of(F.col("text"), pattern), look), "").alias("chars"))
-    ids_of = chars.select("doc_id", folds.ids(F.col("chars")).alias("ids"))
-    joined = lambda table: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(table, i)), ""))
-    return ids_of.select("doc_id", "ids", joined(folds.le_hex).alias("ids_bytes"), joined(folds.piece_hex).alias("decoded"))
+    """(doc_id, ids array<int>, ids_bytes of four little-endian bytes each, decoded) for every row of ``docs``."""
+    path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
+    words, ids = frequent(docs, path, pattern, table_words, long_word)
+    n, pieces = len(words), pieces_of(path)
+
+    def all_words(folds: Folds) -> Column:
+        def look(w: Column) -> Column:
+            def at(h: Column) -> Column:
+                one, two = h.bitwiseAND(F.lit(n - 1)).cast("int"), F.shiftright(h, 24).bitwiseAND(F.lit(n - 1)).cast("int")
+                found = F.when(F.get(folds.words, one) == w, F.get(folds.told, one)).when(F.get(folds.words, two) == w, F.get(folds.told, two))
+                return found.otherwise(encode_word(folds, w, long_word, steps))
+
+            return _let(F.xxhash64(w), at)
+
+        return F.array_join(F.transform(words_of(F.col("text"), pattern), look), "")
+
+    chars = only(docs, "doc_id", "text").select("doc_id", with_literals(literals(path, words, ids), all_words).alias("chars"))
+    ids_of = chars.select("doc_id", F.transform(F.filter(F.split("chars", ""), lambda c: c != ""), lambda c: F.ascii(c) - BASE).alias("ids"))
+    joined = lambda texts: F.unhex(F.array_join(_let(_texts(texts), lambda t: F.transform("ids", lambda i: F.get(t, i))), ""))
+    return ids_of.select("doc_id", "ids", joined([i.to_bytes(4, "little").hex() for i in range(len(pieces))]).alias("ids_bytes"), joined([p.hex() for p in pieces]).alias("decoded"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
