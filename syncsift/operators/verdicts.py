@@ -1,7 +1,7 @@
 """The cascade: candidate groups by (base name, size), partial hashes, full hashes, one verdict for each group.
 
-Content is carried by no shuffle: hashes are computed where the rows are, behind the group filter, and only hashes are
-aggregated. A group of very many members is a partial aggregate on each task.
+No shuffle carries content. Where it is a column, hashes replace it as it is read; where files are read by path, only
+members of candidate groups are, behind the group filter. A group of very many members is a partial aggregate on each task.
 """
 
 from __future__ import annotations
@@ -36,11 +36,16 @@ def candidate_groups(files: DataFrame) -> DataFrame:
 
 
 def hashed_content(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """partial and full hash columns of rows with a content column; an absent content is an error."""
-    c = F.col("content")
-    gone = F.when(c.isNull(), F.lit("no content"))
-    short = F.when(F.octet_length(c) < F.col("size"), F.lit("shorter than listed"))
-    return rows.withColumn("partial", hashing.partial_hash(c, F.col("size"), window)).withColumn("full", hashing.full_hash(c)).withColumn("error", F.coalesce(gone, short)).drop("content")
+    """partial, full and read_error columns in place of a content column, before anything shuffles the rows.
+
+    A table's content is next to its metadata, so hashing it where it is read costs less than sending it to its group.
+    A placeholder's content isn't touched; an absent or short content is an error.
+    """
+    readable = ~placeholders.is_placeholder(F.col("attributes"), F.col("placeholder_kind"))
+    c = F.when(readable, F.col("content"))
+    error = F.when(F.col("content").isNull(), "no content").when(readable & (F.octet_length("content") < F.col("size")), "shorter than listed")
+    hashed = rows.withColumns({"partial": hashing.partial_hash(c, F.col("size"), window), "full": hashing.full_hash(c), "read_error": error})
+    return hashed.drop("content")
 
 
 def hashed_paths(rows: DataFrame, window: int = WINDOW, algorithm: str = "sha256") -> DataFrame:
@@ -49,8 +54,8 @@ def hashed_paths(rows: DataFrame, window: int = WINDOW, algorithm: str = "sha256
     The stages are separated by a group filter, so a member of a group without a collision is never read whole.
     """
     read = hashing.path_hasher(window, algorithm)
-    first = rows.withColumn("p", read("path", "size", "is_placeholder")).withColumn("partial", F.col("p.hash")).withColumn("error", F.col("p.error")).drop("p")
-    per = first.groupBy(*KEY).agg((F.count_distinct("partial") < F.count("*")).alias("meets"), F.bool_or(F.col("error").isNotNull()).alias("broken"))
+    first = rows.withColumn("p", read("path", "size", "is_placeholder")).withColumn("partial", F.col("p.hash")).withColumn("read_error", F.col("p.error")).drop("p")
+    per = first.groupBy(*KEY).agg((F.count_distinct("partial") < F.count("*")).alias("meets"), F.bool_or(F.col("read_error").isNotNull()).alias("broken"))
     staged = first.join(per, list(KEY))
     whole = hashing.path_hasher(None, algorithm)
     go_on = F.col("meets") & ~F.col("broken")
@@ -73,13 +78,13 @@ def verdict(members: Column, partials: Column, partial_errors: Column, fulls: Co
 def verdicts(hashed: DataFrame) -> DataFrame:
     """(base, size, members, verdict, hash): one row per candidate group; hash is that of an identical group.
 
-    ``hashed`` has a row for each member of a group, with partial, full and error (of the partial read), and perhaps full_error.
+    ``hashed`` has a row for each member of a group, with partial, full and read_error (of the partial read), and perhaps full_error.
     """
     full_error = F.col("full_error") if "full_error" in hashed.columns else F.lit(None)
     per = hashed.groupBy(*KEY).agg(
         F.count("*").alias("members"),
         F.count_distinct("partial").alias("dp"),
-        F.count_if(F.col("error").isNotNull()).alias("pe"),
+        F.count_if(F.col("read_error").isNotNull()).alias("pe"),
         F.count_distinct("full").alias("df"),
         F.count_if(full_error.isNotNull()).alias("fe"),
         F.min("full").alias("least_full"),
@@ -106,7 +111,7 @@ def real_conflicts(members: DataFrame) -> DataFrame:
 
 def unresolved_groups(members: DataFrame) -> DataFrame:
     """(base, size, files array<struct<path, reason>>): the members that could not be verified."""
-    reason = F.coalesce("error", "full_error") if "full_error" in members.columns else F.col("error")
+    reason = F.coalesce("read_error", "full_error") if "full_error" in members.columns else F.col("read_error")
     bad = members.where("verdict = 'unresolved'").where(reason.isNotNull())
     return bad.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("path", reason.alias("reason")))).alias("files"))
 

@@ -54,8 +54,9 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = verdicts.hashed_content(verdicts.grouped_rows(_files(spark, sf_dir)).drop("members"), WINDOW)
-    return rows.withColumn("error", F.when(F.col("doc_id") % 17 == 4, "simulated").otherwise(F.col("error")))
+    rows = inventory.judged(verdicts.hashed_content(derived.inventory(spark, sf_dir), WINDOW), ROOT).where("fate = 'kept'")
+    broken = F.when(F.col("doc_id") % 17 == 4, "simulated").otherwise(F.col("read_error"))
+    return verdicts.grouped_rows(rows.drop("fate", "text").withColumn("read_error", broken)).drop("members")
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:

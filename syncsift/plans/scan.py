@@ -53,11 +53,11 @@ class Scan:
 def scan(rows: DataFrame, root: str, window: int = WINDOW, algorithm: str = "sha256", max_depth: int = MAX_DEPTH, reserved: str = RESERVED) -> Scan:
     """Scan an inventory; content comes from its content column, or is read by path where there is none."""
     started = datetime.now(timezone.utc)
-    inv = inventory.order(rows, root, max_depth, reserved)
+    by_path = "content" not in rows.columns
+    inv = inventory.order(rows if by_path else verdicts.hashed_content(rows, window), root, max_depth, reserved)
     inv.files = inv.files.persist(StorageLevel.MEMORY_AND_DISK)  # several tables read it; files may change on disk meanwhile
     candidates = verdicts.grouped_rows(inv.files).drop("members")
-    hashed = verdicts.hashed_content(candidates, window) if "content" in rows.columns else verdicts.hashed_paths(candidates, window, algorithm)
-    hashed = hashed.persist(StorageLevel.MEMORY_AND_DISK)  # each file is read once
+    hashed = (verdicts.hashed_paths(candidates, window, algorithm) if by_path else candidates).persist(StorageLevel.MEMORY_AND_DISK)  # each file is read once
     members = verdicts.judged_members(hashed)
     return Scan(root, inv, members, verdicts.telemetry(inv.counts, inv.files, members, window), started)
 
