@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from syncsift.functions import placeholders
 from syncsift.operators import inventory, report, verdicts
 from syncsift.schema import MAX_DEPTH, RESERVED, WINDOW
+from syncsift.shipping import ship
 from syncsift.sources import filetree
 
 
@@ -64,6 +65,6 @@ def scan(rows: DataFrame, root: str, window: int = WINDOW, algorithm: str = "sha
 
 def scan_tree(spark: SparkSession, root: str, **options) -> Scan:
     """Scan a file tree that the executors can read."""
-    filetree.register(spark)
+    filetree.register(ship(spark))
     rows = spark.read.format("filetree").load(root)
     return scan(inventory.with_sidecars(rows, filetree.sidecar_contents(spark, rows)), root, **options)
