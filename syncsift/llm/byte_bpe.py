@@ -163,19 +163,24 @@ class Folds:
     def ids(self, chars: Column) -> Column:
         return F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.ascii(c) - BASE)
 
-    def folded_long(self, word: Column, steps: int) -> Column:
-        """The same for long words: a step replaces each place of the least pair, from the left."""
+    def folded_long(self, word: Column, most_steps: int) -> Column:
+        """The same for long words: a step replaces each place of the least pair, from the left, until none is left.
+
+        A step uses up one rank, so there are no more steps than ids, nor than bytes.
+        """
         start = F.array_join(F.transform(self.byte_ids(word), lambda i: F.get(self.chars, i)), "")
+        state = lambda text, more: F.struct(text.alias("text"), more.alias("more"))
 
-        def step(text: Column, _: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
             def best(ids: Column) -> Column:
-                found = F.array_min(F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: F.struct(self.rank(x, F.get(ids, i + 1)).alias("m"), x.alias("a"), F.get(ids, i + 1).alias("b"))))
+                pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: F.struct(self.rank(x, F.get(ids, i + 1)).alias("m"), x.alias("a"), F.get(ids, i + 1).alias("b")))
                 one = lambda i: F.get(self.chars, i)
-                return _let(found, lambda p: F.when(p["m"] < NONE, F.replace(text, F.concat(one(p["a"]), one(p["b"])), one(p["m"]))).otherwise(text))
+                merged = lambda p: state(F.replace(s["text"], F.concat(one(p["a"]), one(p["b"])), one(p["m"])), F.lit(True))
+                return _let(F.array_min(pairs), lambda p: F.when(p["m"] < NONE, merged(p)).otherwise(state(s["text"], F.lit(False))))
 
-            return F.when(F.char_length(text) < 2, text).otherwise(_let(self.ids(text), best))
+            return F.when(~s["more"] | (F.char_length(s["text"]) < 2), s).otherwise(_let(self.ids(s["text"]), best))
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+        return F.aggregate(F.sequence(F.lit(1), F.least(F.octet_length(word), F.lit(most_steps))), state(start, F.lit(True)), step)["text"]
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -183,9 +188,9 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def encode_word(folds: Folds, word: Column, long_word: int, steps: int) -> Column:
+def encode_word(folds: Folds, word: Column, long_word: int, most_steps: int) -> Column:
     n = F.octet_length(word)
-    return F.when(n <= long_word, folds.folded(word)).otherwise(folds.folded_long(word, steps))
+    return F.when(n <= long_word, folds.folded(word)).otherwise(folds.folded_long(word, most_steps))
 
 
 def frequent(docs: DataFrame, path: str, pattern: str, table_words: int, long_word: int) -> tuple[list[str], list[str]]:
@@ -206,7 +211,7 @@ def frequent(docs: DataFrame, path: str, pattern: str, table_words: int, long_wo
     return words, ids
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, table_words: int = 65_536, long_word: int = 256, steps: int = 2_048) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, table_words: int = 65_536, long_word: int = 256) -> DataFrame:
     """(doc_id, ids array<int>, ids_bytes of four little-endian bytes each, decoded) for every row of ``docs``."""
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
     words, ids = frequent(docs, path, pattern, table_words, long_word)
@@ -217,7 +222,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
             def at(h: Column) -> Column:
                 one, two = h.bitwiseAND(F.lit(n - 1)).cast("int"), F.shiftright(h, 24).bitwiseAND(F.lit(n - 1)).cast("int")
                 found = F.when(F.get(folds.words, one) == w, F.get(folds.told, one)).when(F.get(folds.words, two) == w, F.get(folds.told, two))
-                return found.otherwise(encode_word(folds, w, long_word, steps))
+                return found.otherwise(encode_word(folds, w, long_word, len(pieces)))
 
             return _let(F.xxhash64(w), at)
 
