@@ -1,16 +1,17 @@
-"""Byte-level BPE encoding and decoding in column expressions, with a public rank file.
+"""Byte-level BPE encoding and decoding: words fold in column expressions, with a public rank file.
 
-A text is cut by the public pattern; each word is a fold of ranked merges over its bytes. The rank of a merge is the id
-of what it makes, so the literal rank map goes from a pair of ids to an id: a hashed array (displacements and slots,
-built from the rank file) that a lookup reads at two places. One fold step finds the least rank of a word's
-neighbouring pairs, merges its leftmost place and looks up the two new pairs. Words of more than ``long_word`` bytes
-merge all places of the least rank in a step, as a string replacement: a word then needs as many steps as it has
-different merges, not as many as merges.
+A text is cut by the public pattern; each distinct word is a fold of ranked merges over its bytes, by higher-order
+functions. The rank of a merge is the id of what it makes, so the literal rank map goes from a pair of ids to an id: row
+a of the map lies displaced in one array, whose places hold their row's a beside the id. The pairs of single bytes have
+an array of their own. One fold step finds the least rank of a word's neighbouring pairs, merges its leftmost place and
+looks up the two new pairs. Words of more than ``long_word`` bytes merge all places of the least rank in a step, as a
+string replacement: a word then needs as many steps as it has different merges, not as many as merges.
 
-Distinct words are counted over the whole table; the ``table_words`` most frequent (a fixed bound) are folded once and
-become a hashed literal too. Words outside it are folded where they stand: no text is shuffled, and no case is dropped.
-A text's ids are kept as a string of one character per id (id + 65536), which indexes literals of each id's four
-bytes and of its piece; decoding concatenates the pieces.
+Distinct words are counted over the whole table. The most frequent, at most ``table_words`` (a fixed bound; a count is in
+with all of its words or not at all), are folded once and broadcast as a table from words to ids. Other words are folded
+once for each task that meets them, and a task that has met ``held_words`` of them begins anew; no case is dropped and no
+text is shuffled. Two passes of Arrow batches surround the fold: one cuts the texts and numbers their words, the
+other puts the folded ids in the numbers' places and concatenates the pieces of the ids.
 
 Defined results: a null or empty text has no tokens; a null doc_id is kept; rows that repeat a doc_id are encoded one by
 one; an empty table gives no rows; other columns are ignored.
@@ -19,17 +20,21 @@ one; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructType
 
-from syncsift.llm.common import only, written
+from syncsift.llm.common import dropped, only, partitions, slices, written
 
-BASE, NONE = 65_536, 1 << 30
-K1, K2 = 0x9E3779B97F | 1, 0xC2B2AE3D27 | 1
-BUCKETS, SLOTS = 1 << 16, 1 << 18
+BASE = 65_536
+SLOTS = 1 << 19
+BITS = 17  # of an id
+NONE = 1 << BITS  # the rank of no merge
 SEPARATOR = "\x1f"
 
 
@@ -56,61 +61,55 @@ def pieces_of(path: str) -> list[bytes]:
 
 
 @lru_cache(maxsize=2)
-def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(displacements, slots): the slot of a pair (a, b) is (h ^ displacement[h >> 20 & BUCKETS - 1]) & SLOTS - 1 for
-    h = a * K1 + b * K2, and holds a << 34 | b << 17 | id; an empty slot is -1."""
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, owners, made, of_bytes): the pair (a, b) merges to made[starts[a] + b] if owners[starts[a] + b] is a.
+
+    of_bytes[256 * x + y] is what the bytes x and y merge to, or NONE.
+    """
     pieces = pieces_of(path)
     ids = {p: i for i, p in enumerate(pieces) if p}
     rows = [(ids[p[:k]], ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
     a, b, i = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-    h = a * K1 + b * K2
-    low, bucket = h & (SLOTS - 1), (h >> 20) & (BUCKETS - 1)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    taken, displace, slots = np.zeros(SLOTS, bool), np.zeros(BUCKETS, np.int64), np.full(SLOTS, -1, np.int64)
+    order = np.argsort(a, kind="stable")
+    edges = np.searchsorted(a[order], np.arange(len(pieces) + 1))
+    starts, owners, made = np.zeros(len(pieces), np.int32), np.full(SLOTS, -1, np.int32), np.zeros(SLOTS, np.int32)
     rng = np.random.default_rng(1)
     for x in np.argsort(-(edges[1:] - edges[:-1]), kind="stable"):
         own = order[edges[x] : edges[x + 1]]
         if not len(own):
             break
-        if len(np.unique(low[own])) < len(own):
-            raise ValueError("two pairs of a bucket have one hash")
         while True:
-            d = int(rng.integers(SLOTS))
-            at = low[own] ^ d
-            if not taken[at].any():
+            start = int(rng.integers(SLOTS - len(pieces)))
+            if (owners[start + b[own]] < 0).all():
                 break
-        displace[x], taken[at] = d, True
-        slots[at] = a[own] << 34 | b[own] << 17 | i[own]
-    return displace, slots
+        starts[x], owners[start + b[own]], made[start + b[own]] = start, x, i[own]
+    of_bytes = np.array([ids.get(bytes([x, y]), NONE) for x in range(256) for y in range(256)])
+    return starts, owners, made, of_bytes
 
 
-def _ints(values, kind: str) -> Column:
+def _ints(values, kind: str = "int") -> Column:
     """A literal array; constant folding parses it once."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _texts(values) -> Column:
-    return F.split(F.lit(SEPARATOR.join(values)), SEPARATOR)
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def literals(path: str, words: list[str] | None = None, ids: list[str] | None = None) -> Column:
+def literals(path: str) -> Column:
     """A struct of all that lookups read, so that a plan holds it once: with_literals() binds it to a name."""
-    displace, slots = pair_table(path)
+    starts, owners, made, of_bytes = pair_table(path)
     pieces = pieces_of(path)
     single = {p: i for i, p in enumerate(pieces) if len(p) == 1}
+    own = np.array([single[bytes([b])] for b in range(256)])
     return F.struct(
-        _ints(displace, "int").alias("displace"),
-        _ints(slots, "bigint").alias("slots"),
-        _ints([single[bytes([b])] for b in range(256)], "int").alias("bytes"),
-        _texts([chr(BASE + i) for i in range(len(pieces))]).alias("chars"),
-        _texts(words or [""]).alias("words"),
-        _texts(ids or [""]).alias("ids"),
+        _ints(starts).alias("starts"),
+        _ints(owners).alias("owners"),
+        _ints(made).alias("made"),
+        _ints(of_bytes << BITS | np.repeat(own, 256), "bigint").alias("of_bytes"),
+        _ints(own).alias("bytes"),
+        F.split(F.lit(SEPARATOR.join(chr(BASE + i) for i in range(len(pieces)))), SEPARATOR).alias("chars"),
     )
 
 
@@ -122,43 +121,41 @@ class Folds:
     """Expressions over the bound literals of one rank file."""
 
     def __init__(self, table: Column):
-        self.displace, self.slots, self.bytes, self.chars, self.words, self.told = (table[x] for x in ("displace", "slots", "bytes", "chars", "words", "ids"))
+        self.starts, self.owners, self.made, self.of_bytes, self.bytes, self.chars = (table[x] for x in ("starts", "owners", "made", "of_bytes", "bytes", "chars"))
 
     def rank(self, a: Column, b: Column) -> Column:
-        """The id that a pair of ids merges to, or NONE."""
-        h = a.cast("long") * F.lit(K1) + b.cast("long") * F.lit(K2)
-        d = F.get(self.displace, F.shiftright(h, 20).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        e = F.get(self.slots, h.bitwiseXOR(d.cast("long")).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
-        key = F.shiftleft(a.cast("long"), 17).bitwiseOR(b.cast("long"))
-        return _let(e, lambda x: F.when(F.shiftright(x, 17) == key, x.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")).otherwise(F.lit(NONE)))
-
-    def byte_ids(self, word: Column) -> Column:
-        one_each = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        return F.transform(F.filter(one_each, lambda c: c != ""), lambda c: F.get(self.bytes, F.ascii(c)))
+        """The id that a pair of ids merges to, or null."""
+        at = F.get(self.starts, a) + b
+        return F.when(F.get(self.owners, at) == a, F.get(self.made, at))
 
-    def ranks(self, ids: Column) -> Column:
-        return F.when(F.size(ids) < 2, F.array().cast("array<int>")).otherwise(F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: self.rank(x, F.get(ids, i + 1))))
+    def byte_values(self, word: Column) -> Column:
+        one_each = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        return F.transform(F.filter(one_each, lambda c: c != ""), lambda c: F.ascii(c))
 
     def folded(self, word: Column) -> Column:
-        """The ids of a word, as characters."""
-        start = _let(self.byte_ids(word), lambda ids: F.struct(ids.alias("ids"), self.ranks(ids).alias("ranks")))
+        """The ids of a word. The state has one number for each id: below it the id, above it the rank of the pair it begins.
 
-        def step(s: Column, _: Column) -> Column:
-            ids, ranks = s["ids"], s["ranks"]
-
-            def merge(m: Column) -> Column:
-                at = F.array_position(ranks, m).cast("int")  # from 1: the pair of ids at and at + 1
-                before = F.when(at > 1, F.array(self.rank(F.get(ids, at - 2), m))).otherwise(F.array().cast("array<int>"))
-                after = F.when(at + 1 < F.size(ids), F.array(self.rank(m, F.get(ids, at + 1)))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), at - 1), F.array(m), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, F.size(ids))).alias("ranks"),
-                )
+        Equal least numbers are the same pair, so the first of them is the leftmost place of the least rank.
+        """
+        lone = lambda i: F.lit(NONE << BITS).bitwiseOR(i)
+        id_of = lambda x: x.bitwiseAND(F.lit(NONE - 1)).cast("int")
+        begun = lambda a, b: F.shiftleft(F.coalesce(self.rank(a, b), F.lit(NONE)).cast("long"), BITS).bitwiseOR(a.cast("long"))
+        byte = lambda x, y: F.coalesce(F.get(self.of_bytes, x * 256 + y), lone(F.get(self.bytes, x).cast("long")))
+        start = _let(self.byte_values(word), lambda v: F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), byte))
+
+        def merge(s: Column, m: Column, at: Column) -> Column:  # at, from 1: the place of m, whose pair is made into an id
+            made = F.shiftright(m, BITS).cast("int")
+            after = F.get(s, at + 1)
+            new = F.when(after.isNull(), lone(made.cast("long"))).otherwise(begun(made, id_of(after)))
+            rest = F.slice(s, at + 2, F.size(s))
+            left = _let(id_of(F.get(s, at - 2)), lambda p: F.concat(F.slice(s, F.lit(1), at - 2), F.array(begun(p, made), new), rest))
+            return F.when(at > 1, left).otherwise(F.concat(F.array(new), rest))
 
-            return _let(F.array_min(ranks), lambda m: F.when(F.coalesce(m, F.lit(NONE)) < NONE, merge(m)).otherwise(s))
+        def step(s: Column, _: Column) -> Column:
+            found = lambda m: _let(F.array_position(s, m).cast("int"), lambda at: merge(s, m, at))
+            return _let(F.array_min(s), lambda m: F.when(m < NONE << BITS, found(m)).otherwise(s))
 
-        last = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step)
-        return F.array_join(F.transform(last["ids"], lambda i: F.get(self.chars, i)), "")
+        return F.transform(F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step), id_of)
 
     def ids(self, chars: Column) -> Column:
         return F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.ascii(c) - BASE)
@@ -166,21 +163,22 @@ class Folds:
     def folded_long(self, word: Column, most_steps: int) -> Column:
         """The same for long words: a step replaces each place of the least pair, from the left, until none is left.
 
-        A step uses up one rank, so there are no more steps than ids, nor than bytes.
+        Ids are characters here. A step uses up one rank, so there are no more steps than ids, nor than bytes.
         """
-        start = F.array_join(F.transform(self.byte_ids(word), lambda i: F.get(self.chars, i)), "")
+        one = lambda i: F.get(self.chars, i)
+        start = F.array_join(F.transform(self.byte_values(word), lambda x: one(F.get(self.bytes, x))), "")
         state = lambda text, more: F.struct(text.alias("text"), more.alias("more"))
 
         def step(s: Column, _: Column) -> Column:
             def best(ids: Column) -> Column:
-                pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: F.struct(self.rank(x, F.get(ids, i + 1)).alias("m"), x.alias("a"), F.get(ids, i + 1).alias("b")))
-                one = lambda i: F.get(self.chars, i)
+                pair = lambda x, y: F.struct(self.rank(x, y).alias("m"), x.alias("a"), y.alias("b"))
+                pairs = F.filter(F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: pair(x, F.get(ids, i + 1))), lambda p: p["m"].isNotNull())
                 merged = lambda p: state(F.replace(s["text"], F.concat(one(p["a"]), one(p["b"])), one(p["m"])), F.lit(True))
-                return _let(F.array_min(pairs), lambda p: F.when(p["m"] < NONE, merged(p)).otherwise(state(s["text"], F.lit(False))))
+                return _let(F.array_min(pairs), lambda p: F.when(p.isNotNull(), merged(p)).otherwise(state(s["text"], F.lit(False))))
 
             return F.when(~s["more"] | (F.char_length(s["text"]) < 2), s).otherwise(_let(self.ids(s["text"]), best))
 
-        return F.aggregate(F.sequence(F.lit(1), F.least(F.octet_length(word), F.lit(most_steps))), state(start, F.lit(True)), step)["text"]
+        return self.ids(F.aggregate(F.sequence(F.lit(1), F.least(F.octet_length(word), F.lit(most_steps))), state(start, F.lit(True)), step)["text"])
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -193,46 +191,125 @@ def encode_word(folds: Folds, word: Column, long_word: int, most_steps: int) ->
     return F.when(n <= long_word, folds.folded(word)).otherwise(folds.folded_long(word, most_steps))
 
 
-def frequent(docs: DataFrame, path: str, pattern: str, table_words: int, long_word: int) -> tuple[list[str], list[str]]:
-    """Slots of a hashed table of the most frequent words and of their ids as characters.
+def frequent(docs: DataFrame, path: str, pattern: str, table_words: int, long_word: int) -> pa.Table:
+    """(w, ids) of all words that occur at least so often that no more than ``table_words`` do.
 
-    A word may be at either of two slots of its hash; one that finds both taken isn't in the table.
+    The count is found from a histogram of counts, whose classes are one count wide up to 16 and then a sixteenth
+    of a power of two: at most about a thousand rows come to the driver, and words are not sorted.
     """
-    counted = only(docs, "text").select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").count()
-    top = written(counted.where((F.octet_length("w") <= long_word) & ~F.col("w").contains(SEPARATOR)).orderBy(F.desc("count"), "w").limit(table_words))
-    rows = top.repartition(16, "w").select("w", "count", F.xxhash64("w").alias("h"), with_literals(literals(path), lambda f: f.folded(F.col("w"))).alias("ids")).collect()
-    n = max(16, 1 << (2 * len(rows)).bit_length())
-    words, ids = [""] * n, [""] * n
-    for r in sorted(rows, key=lambda r: (-r["count"], r.w)):
-        for at in (r.h & (n - 1), (r.h >> 24) & (n - 1)):
-            if not words[at]:
-                words[at], ids[at] = r.w, r.ids
-                break
-    return words, ids
-
+    counted = only(docs, "text").select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    counted = written(counted.where(F.octet_length("w") <= long_word).select("w", F.floor(16 * F.log2("n")).alias("class")))
+    room, least = table_words, 1 << 30
+    for r in counted.groupBy("class").count().orderBy(F.desc("class")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["class"]
+    top = counted.where(F.col("class") >= least).select("w").repartition(partitions(docs.sparkSession), "w")  # a number keeps tasks
+    out = top.select("w", with_literals(literals(path), lambda f: f.folded(F.col("w"))).alias("ids")).toArrow()
+    dropped(counted)
+    return out
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, table_words: int = 65_536, long_word: int = 256) -> DataFrame:
-    """(doc_id, ids array<int>, ids_bytes of four little-endian bytes each, decoded) for every row of ``docs``."""
-    path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
-    words, ids = frequent(docs, path, pattern, table_words, long_word)
-    n, pieces = len(words), pieces_of(path)
 
-    def all_words(folds: Folds) -> Column:
-        def look(w: Column) -> Column:
-            def at(h: Column) -> Column:
-                one, two = h.bitwiseAND(F.lit(n - 1)).cast("int"), F.shiftright(h, 24).bitwiseAND(F.lit(n - 1)).cast("int")
-                found = F.when(F.get(folds.words, one) == w, F.get(folds.told, one)).when(F.get(folds.words, two) == w, F.get(folds.told, two))
-                return found.otherwise(encode_word(folds, w, long_word, len(pieces)))
+def _cut(table_words, pattern: str, held_words: int, held_bytes: int):
+    """Texts to numbers of words: those of the table first, then those that the task has met, in order.
 
-            return _let(F.xxhash64(w), at)
+    The first row of a slice brings the words that are new in it, and whether the task begins anew with them.
+    """
 
-        return F.array_join(F.transform(words_of(F.col("text"), pattern), look), "")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        words = table_words.value
+        find, new = regex.compile(pattern).findall, []
+
+        class Numbers(dict):
+            def __missing__(self, w: str) -> int:
+                new.append(w)
+                self[w] = n = len(self)
+                return n
+
+        fresh = lambda: Numbers(zip(words, range(len(words)), strict=True))
+        numbers, held = fresh(), 0
+        for batch in batches:
+            for piece in slices(iter([batch]), "text"):
+                anew = len(numbers) - len(words) > held_words or held > held_bytes
+                if anew:
+                    numbers, held = fresh(), 0
+                new.clear()
+                codes = []
+                for text in piece.column("text"):
+                    found = find(text.as_py() or "")
+                    codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)).tobytes())
+                held += sum(map(len, new))
+                rest = [None] * (len(piece) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), pa.array(codes, pa.binary()), pa.array([anew, *rest], pa.bool_()), pa.array([list(new), *rest], pa.list_(pa.string()))],
+                    ["doc_id", "codes", "anew", "words"],
+                )
 
-    chars = only(docs, "doc_id", "text").select("doc_id", with_literals(literals(path, words, ids), all_words).alias("chars"))
-    ids_of = chars.select("doc_id", F.transform(F.filter(F.split("chars", ""), lambda c: c != ""), lambda c: F.ascii(c) - BASE).alias("ids"))
-    joined = lambda texts: F.unhex(F.array_join(_let(_texts(texts), lambda t: F.transform("ids", lambda i: F.get(t, i))), ""))
-    return ids_of.select("doc_id", "ids", joined([i.to_bytes(4, "little").hex() for i in range(len(pieces))]).alias("ids_bytes"), joined([p.hex() for p in pieces]).alias("decoded"))
+    return run
+
+
+def _joined(table_ids, path: str, with_ids: bool):
+    """Numbers of words to ids, their bytes, and the pieces of the ids, concatenated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (at, known), piece = table_ids.value, pieces_of(path).__getitem__
+        table, parts = len(at) - 1, [known]
+        lengths, flat = np.diff(at), known
+        for batch in batches:
+            words, anew = batch.column("words"), batch.column("anew").to_pylist()
+            starts = [i for i in range(len(batch)) if i == 0 or anew[i] is not None]
+            for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+                if anew[a] is not None:
+                    if anew[a]:
+                        parts, lengths = [known], lengths[:table]
+                    ids = words.slice(a, 1).flatten()
+                    parts.append(ids.flatten().to_numpy().astype(np.int32, copy=False))
+                    lengths = np.concatenate([lengths, ids.value_lengths().to_numpy().astype(np.int64)])
+                    flat = np.concatenate(parts)
+                    parts = [flat]
+                    first = np.cumsum(lengths) - lengths
+                rows = batch.slice(a, b - a)
+                raw = [np.frombuffer(c, np.int32) for c in rows.column("codes").to_pylist()]
+                out, n = [], []
+                for codes in raw:
+                    size = lengths[codes]
+                    ends = np.cumsum(size)
+                    total = int(ends[-1]) if len(ends) else 0
+                    out.append(flat[np.repeat(first[codes] - ends + size, size) + np.arange(total)])
+                    n.append(total)
+                columns = [rows.column("doc_id")]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.concatenate(out)))
+                columns += [pa.array([x.astype("<u4").tobytes() for x in out], pa.binary()), pa.array([b"".join(map(piece, x.tolist())) for x in out], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(["ids"] if with_ids else []), "ids_bytes", "decoded"])
+
+    return run
+
+
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, table_words: int = 1 << 19, long_word: int = 256, held_words: int = 1 << 19, held_bytes: int = 16 << 20, with_ids: bool = True) -> DataFrame:
+    """(doc_id, ids array<int> if asked for, ids_bytes of four little-endian bytes each, decoded) for every row of ``docs``."""
+    path, pattern, spark = ranks_path or default_ranks(), pattern or default_pattern(), docs.sparkSession
+    table = frequent(docs, path, pattern, table_words, long_word)
+    ids = table.column("ids").combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
+    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy().astype(np.int64))])
+    send = spark.sparkContext.broadcast  # at most table_words words of at most long_word bytes, and their ids
+    words, known = send(table.column("w").to_pylist()), send((at, ids.flatten().to_numpy().astype(np.int32)))
+
+    kind = docs.schema["doc_id"].dataType
+    cut = StructType().add("doc_id", kind).add("codes", BinaryType()).add("anew", BooleanType()).add("words", ArrayType(StringType()))
+    done = StructType().add("doc_id", kind)
+    if with_ids:
+        done = done.add("ids", ArrayType(IntegerType()))
+    done = done.add("ids_bytes", BinaryType()).add("decoded", BinaryType())
+    most = len(pieces_of(path))
+    folded = with_literals(literals(path), lambda f: F.transform("words", lambda w: encode_word(f, w, long_word, most))).alias("words")
+    numbered = only(docs, "doc_id", "text").mapInArrow(_cut(words, pattern, held_words, held_bytes), cut)
+    return numbered.select("doc_id", "codes", "anew", folded).mapInArrow(_joined(known, path, with_ids), done)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    n = F.floor(F.octet_length("ids_bytes") / 4).cast("long")
+    return encode(docs, with_ids=False).select("doc_id", n.alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from syncsift.llm import byte_bpe, licenses, line_dedup, packing, quality, simhash, suffix_dedup, toxicity
@@ -194,7 +196,8 @@ def test_chunks_have_the_tokenizers_ids():
         assert np.frombuffer(got, "<u4").tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
-def test_byte_bpe(spark, none):
+@pytest.fixture(scope="module")
+def bpe_reference():
     import base64
 
     import public_tokenizers
@@ -202,14 +205,30 @@ def test_byte_bpe(spark, none):
 
     with open(byte_bpe.default_ranks(), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(spark, bpe_reference, none):
     rng = random.Random(4)
     texts = [(0, None), (1, ""), (2, "It's 12,5 €  \n\n x"), (3, "日本語のテキスト ßẞ"), (4, "a" * 900 + "=" * 700), (5, "".join(rng.choices("abcdeth", k=600))), (None, "x y"), (2, "again  z")]
     want = Counter()
     for i, t in texts:
-        ids = reference.encode_ordinary(t or "")
+        ids = bpe_reference.encode_ordinary(t or "")
         want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert Counter(map(tuple, byte_bpe.digest(frame(spark, texts).coalesce(1)).collect())) == want
+    assert byte_bpe.digest(none).count() == 0
+    few = byte_bpe.encode(frame(spark, texts).coalesce(1), table_words=3, held_words=0)  # each slice of a task begins anew
+    got = Counter((r.doc_id, len(r.ids), hashlib.sha256(r.ids_bytes).hexdigest(), hashlib.sha256(r.decoded).hexdigest()) for r in few.collect())
+    assert got == want
+
+
+@given(st.lists(st.text(max_size=60), min_size=1, max_size=6))
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_byte_bpe_of_any_text(spark, bpe_reference, texts):
+    rows = {r.doc_id: r for r in byte_bpe.encode(frame(spark, list(enumerate(texts))), table_words=1).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].ids == bpe_reference.encode_ordinary(t)
+        assert rows[i].decoded == t.encode()
 
 
 def test_license_scan(spark, docs, none):
