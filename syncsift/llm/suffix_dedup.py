@@ -324,26 +324,116 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> bytes:
     return b[~gone].tobytes()
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], and the columns ``carry``) for every row; kept is text, cut at whole characters."""
-    keyed = only(docs, "doc_id", "text", *carry).select("doc_id", "text", *carry, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"))
-    texts = keyed.select("k1", "k2", "text")
+def marked(texts: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, text, at, full, more, more_full): the texts that share a sample, with the starts that repeat (where full)."""
     marks = written(repeats(texts, cover_positions, length))
     sharing = written(texts.join(_merged(marks).hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).drop("m1", "m2"))
     dropped(marks)
     late = written(repeats(sharing, open_positions, length).where(F.octet_length("at") > 0))
     extra = _merged(late).select("m1", "m2", F.col("at").alias("more"), F.col("full").alias("more_full"))
-    ready = sharing.join(extra.hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
+    return sharing.join(extra.hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("k1", "k2", "text", "at", "full", "more", "more_full")
+
+
+def word_ends(raw: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the windows of ``words`` words."""
+    inside = np.concatenate([[False], ~((raw == 32) | (raw - np.uint8(9) < 5)), [False]])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    return starts[: max(0, len(starts) - words + 1)], ends[words - 1 :]
+
+
+def word_positions(words: int):
+    """Positions for ``repeats``: windows of ``words`` words under ``length`` bytes that lie whole in a span of the column ``spans``."""
+
+    def positions(seg, length: int):
+        raw, starts, bases, sizes, heads, batch = seg
+        at, width = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, spans in enumerate(batch.column("spans").to_pylist()):
+            s, e = word_ends(raw[starts[i] : starts[i] + sizes[i]], words)
+            span = np.frombuffer(spans, np.int64).reshape(-1, 2) - bases[i]
+            k = np.searchsorted(span[:, 0], s, side="right") - 1
+            good = (k >= 0) & (e <= span[k, 1]) & (e - s < length) & (s < heads[i])
+            at.append(s[good] + starts[i])
+            width.append((e - s)[good])
+        at, width = np.concatenate(at), np.concatenate(width)
+        none = np.zeros(0, np.uint64)
+        if not len(at):
+            return at, none, none, none, none
+        return at, Prefix(raw, 0).of(at, width), Prefix(raw, 1).of(at, width) | np.uint64(1), none, none
+
+    return positions
+
+
+def passages(texts: DataFrame, words: int, whole: int, length: int) -> DataFrame:
+    """(k1, k2, text, spans): the texts with runs that repeated windows of ``words`` words or of ``whole`` bytes cover.
+
+    Strings of ``length`` bytes, of which a window of words has at least as many, show where repeats may be; among the texts
+    found there, windows of words and strings of ``whole`` bytes are compared with each other as they are. A window of
+    ``whole`` bytes or more is such a string.
+    """
+
+    def spans(length: int):
+        def run(batches):
+            for batch in slices(batches, "text", 8 << 20):
+                _, at = binary_of(batch.column("text"))
+                cols = [batch.column(c).to_pylist() for c in ("at", "full", "more", "more_full")]
+                found = [removed(int(n), _full(*marks), length).astype(np.int64) for n, marks in zip(np.diff(at), zip(*cols, strict=True), strict=True)]
+                keep = pa.array([i for i, x in enumerate(found) if len(x)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("k1", "k2", "text")), pa.array([x.tobytes() for x in found if len(x)], pa.binary())], ["k1", "k2", "text", "spans"])
+
+        return run
+
+    schema = "k1 long, k2 long, text string, spans binary"
+    near = written(marked(texts, length).mapInArrow(spans(length), schema))
+    long = written(marked(near.select("k1", "k2", "text"), whole).mapInArrow(spans(whole), schema).select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("spans").alias("long")).dropDuplicates(["l1", "l2"]))
+    short = written(repeats(near, word_positions(words), whole).where(F.octet_length("at") > 0))
+    both = near.select("k1", "k2", "text").join(long.hint("merge"), (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")), "left")
+    both = both.join(_merged(short).hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("k1", "k2", "text", "long", "at")
+
+    def join(batches):
+        for batch in slices(batches, "text", 8 << 20):
+            raw, at = binary_of(batch.column("text"))
+            out = []
+            for i, (found, own) in enumerate(zip(batch.column("long").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+                size = int(at[i + 1] - at[i])
+                edge = np.zeros(size + 1, np.int64)
+                for x, y in np.frombuffer(found or b"", np.int64).reshape(-1, 2).tolist():
+                    edge[x] += 1
+                    edge[y] -= 1
+                if own:
+                    s, e = word_ends(raw[at[i] : at[i + 1]], words)
+                    hit = np.isin(s, np.frombuffer(own, np.uint32).astype(np.int64))
+                    np.add.at(edge, s[hit], 1)
+                    np.add.at(edge, e[hit], -1)
+                gone = np.concatenate([[False], np.cumsum(edge) > 0])
+                out.append(np.flatnonzero(gone[1:] != gone[:-1]).astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "text")), pa.array(out, pa.binary())], ["k1", "k2", "text", "spans"])
+
+    return written(both.mapInArrow(join, schema))  # so that a task never has workers of two functions
+
+
+def _full(at: bytes, full: bytes, more: bytes | None, more_full: bytes | None) -> np.ndarray:
+    """The starts that repeat."""
+    return np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64)[np.frombuffer(y, np.uint8) > 0] for x, y in ((at, full), (more, more_full)) if x is not None])
+
+
+def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, carry: tuple[str, ...] = (), words: int = 0, near: int = 240) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], and the columns ``carry``) for every row; kept is text, cut at whole characters.
+
+    With ``words``, windows of as many words (of ``near`` bytes or more) that start anywhere else are removed, too.
+    """
+    keyed = only(docs, "doc_id", "text", *carry).select("doc_id", "text", *carry, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"))
+    texts = keyed.select("k1", "k2", "text")
+    ready = passages(texts, words, length, near) if words else marked(texts, length)
 
     def cut(batches):
         for batch in slices(batches, "text", 8 << 20):
             raw, at = binary_of(batch.column("text"))
             rows = []
-            cols = [batch.column(c).to_pylist() for c in ("at", "full", "more", "more_full")]
-            for i, (p, f, q, g) in enumerate(zip(*cols, strict=True)):
+            cols = [batch.column(c).to_pylist() for c in (("spans",) if words else ("at", "full", "more", "more_full"))]
+            for i, marks in enumerate(zip(*cols, strict=True)):
                 own = raw[at[i] : at[i + 1]].tobytes()
-                starts = [np.frombuffer(x, np.uint32).astype(np.int64)[np.frombuffer(y, np.uint8) > 0] for x, y in ((p, f), (q, g)) if x is not None]
-                spans = removed(len(own), np.concatenate(starts), length)
+                spans = np.frombuffer(marks[0], np.int64).reshape(-1, 2) if words else removed(len(own), _full(*marks), length)
                 kept = hashlib.sha256()
                 last = 0
                 for a, b in [*spans.tolist(), [len(own), len(own)]]:
@@ -356,7 +446,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, ca
                 [batch.column("k1"), batch.column("k2"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["c1", "c2", "n_removed", "n_spans", "sha", "kept"]
             )
 
-    changed = ready.select("k1", "k2", "text", "at", "full", "more", "more_full").mapInArrow(cut, "c1 long, c2 long, n_removed long, n_spans long, sha string, kept string")
+    changed = ready.mapInArrow(cut, "c1 long, c2 long, n_removed long, n_spans long, sha string, kept string")
     changed = written(changed.where("n_removed > 0").dropDuplicates(["c1", "c2"]))
     text = F.coalesce("text", F.lit(""))
     base = keyed.select("doc_id", *carry, "k1", "k2", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"), *(["text"] if keep_text else []))
