@@ -122,7 +122,27 @@ def dealt(df: DataFrame, keys: list[str], then: list[str] | None = None, n: int
 
 
 def arrow(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], df: DataFrame, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+    """mapInArrow that gives a worker's free memory back to the system at a task's end: workers are kept for later tasks."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            del batches
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
@@ -185,12 +186,36 @@ def test_packing(docs, texts, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_fills_several_tiers():
+    rng = random.Random(3)
+    sizes = [rng.choice([rng.randint(1, 300), rng.randint(200, 3000)]) for _ in range(3000)] + [1] * 100
+    packer = packing.Packer(2048, 256, 7 << 40, 1 << 16, 8 * 2048)
+    batches = []
+    for i, n in enumerate(sizes):
+        packer.add(i, np.full(n, i % 500, "<u4").tobytes())
+        batches.append(packer.taken())
+    packer.finish()
+    rows = pa.Table.from_batches([b for b in [*batches, packer.taken()] if b is not None]).to_pandas()
+    assert rows.groupby("doc_id").length.sum().tolist() == sizes
+    totals = rows.groupby("sequence_id").agg(total=("length", "sum"), tier=("tier", "first"), group=("step_group", "first"))
+    assert (totals.total == totals.tier).all() and totals.tier.map(lambda x: x & (x - 1) == 0).all()
+    assert all((totals.tier == t).sum() > 5 for t in (256, 512, 1024, 2048)) and (totals.tier < 256).sum() <= 8
+    groups = totals.groupby("group")
+    assert (groups.tier.nunique() == 1).all() and (groups.total.sum() <= 8 * 2048).all()
+    few = packing.Packer(2048, 256, 0, 1 << 16, 8 * 2048)
+    for i in range(100):  # less than a sequence of any tier: powers of two
+        few.add(i, packing.END)
+    few.finish()
+    assert sorted(few.taken().to_pandas().groupby("sequence_id").length.sum()) == [4, 32, 64]
+
+
 def test_chunks_have_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     rng, path = random.Random(2), packing.default_tokenizer()
     alphabet = "aAbZé ß.,!'̱́  \t\nHh<|endoftext|>Σς»’日1²_-İſK\x00\x1f%$"
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)] + ["a<|endoftext|>b <|ENDOFTEXT|>, x's it's. 's,"]
+    texts += ["".join(rng.choices("abcdefXÉß'st.,-–“”12 ", k=30)) for _ in range(2000)]
     ids, tokenizer = packing.ChunkIds(path, most=500), Tokenizer.from_file(path)
     for t, got in zip(texts, ids.of([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
