@@ -19,10 +19,14 @@ PERMUTATION = (2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8)
 START, END, PARENT, ROOT = 1, 2, 4, 8
 
 
-def partial_hash(content: Column, size: Column, window: int = WINDOW) -> Column:
-    """Of the whole if it has at most two windows, else of its first and last window."""
+def windows(content: Column, size: Column, window: int = WINDOW) -> Column:
+    """What a partial hash is of: the whole if it has at most two windows, else its first and last window."""
     ends = F.concat(F.substring(content, 1, window), F.substr(content, (size - window + 1).cast("int"), F.lit(window)))
-    return F.sha2(F.when(size <= 2 * window, content).otherwise(ends), 256)
+    return F.when(size <= 2 * window, content).otherwise(ends)
+
+
+def partial_hash(content: Column, size: Column, window: int = WINDOW) -> Column:
+    return F.sha2(windows(content, size, window), 256)
 
 
 def full_hash(content: Column) -> Column:

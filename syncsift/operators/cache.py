@@ -1,7 +1,9 @@
-"""The hash cache: a Parquet table keyed by file state, joined before the hash stage so that only misses are read."""
+"""The hash cache: a Parquet table keyed by file state, which a scan joins before it hashes, so that only misses are read."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +50,30 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def lookup(files: DataFrame, cache: DataFrame, algorithm: str = "sha256") -> DataFrame:
-    """``files`` with cached_full, null for a miss. A row whose MAC, algorithm or version isn't right raises: it is never served."""
+    """``files`` with key_hex, known_partial and known_full, null for a miss.
+
+    A row whose MAC, algorithm or version isn't right raises if a file asks for it: it is never served. A key that the cache
+    has twice is served by its last seen row.
+    """
     right = (F.col("entry_mac") == entry_mac()) & (F.col("algorithm") == algorithm) & (F.col("hash_version") == HASH_VERSION)
-    told = cache.select("key_hex", F.when(right, F.col("hash_full")).otherwise(F.raise_error(F.concat(F.lit("cache entry was altered: "), F.col("key_hex")))).alias("cached_full"))
-    keyed = files.withColumn("key_hex", compute_key(F.col("path"), F.col("size"), F.col("mtime_ticks")))
-    return keyed.join(told, "key_hex", "left")
+    fields = ["key_hex", "hash_partial", "hash_full", right.alias("right")]
+    told = cache.select("last_seen", F.struct(*fields).alias("e")).groupBy(F.col("e.key_hex").alias("key_hex")).agg(F.max_by("e", F.struct("last_seen", F.xxhash64("e"))).alias("e"))
+    keyed = files.withColumn("key_hex", compute_key(F.col("path"), F.col("size"), F.col("mtime_ticks"))).join(told, "key_hex", "left")
+    safe = lambda c: F.when(F.col("e").isNull() | F.col("e.right"), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("cache entry was altered: "), F.col("key_hex"))))
+    return keyed.withColumns({"known_partial": safe("e.hash_partial"), "known_full": safe("e.hash_full")}).drop("e")
+
+
+def default_path() -> str:
+    """Where a user's cache lies: under $XDG_CACHE_HOME or the home folder's .cache."""
+    base = os.environ.get("XDG_CACHE_HOME") or os.path.join(os.path.expanduser("~"), ".cache")
+    return os.path.join(base, "syncsift", f"hashes-v{HASH_VERSION}")
 
 
 def validate(cache: DataFrame) -> None:
-    """Raise unless the table has the columns and types of SCHEMA."""
+    """Raise unless the table has the columns and types of SCHEMA, and no entry of another hash version."""
     want = [tuple(x.split()) for x in SCHEMA.replace("long", "bigint").split(", ")]
     if [(n, t) for n, t in cache.dtypes] != want:
         raise ValueError(f"not a hash cache: {cache.dtypes}")
+    other = cache.where(F.coalesce(F.col("hash_version"), F.lit(-1)) != HASH_VERSION).select("hash_version").first()
+    if other is not None:
+        raise ValueError(f"a hash cache of version {other[0]}, not {HASH_VERSION}")

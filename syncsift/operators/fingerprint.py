@@ -26,6 +26,6 @@ def scan_fingerprint(members: DataFrame) -> DataFrame:
     level = group.select(F.sha2(_joined(tag, F.col("base"), F.col("size"), F.array_join(F.col("m.d"), "")).cast("binary"), 256).alias("d"))
     for digits in (4, 2, 0):
         level = level.groupBy(F.substring("d", 1, digits).alias("p") if digits else F.lit(1).alias("p")).agg(
-            F.concat(F.first(F.substring("d", 1, max(digits, 1))), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n").cast("binary"), 256)).alias("d")
+            F.concat(F.min(F.substring("d", 1, max(digits, 1))), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n").cast("binary"), 256)).alias("d")
         )
     return level.select(F.substring(F.sha2(F.col("d").cast("binary"), 256), 1, 16).alias("operation_id"))

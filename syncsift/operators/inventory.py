@@ -17,9 +17,10 @@ def in_reserved(path: Column, root: str, reserved: str = RESERVED) -> Column:
     return path.startswith(f"{root.rstrip('/')}/{reserved}/")
 
 
-def first_of_identity(rows: DataFrame) -> Column:
-    """True for the row with the smallest path of its (volume, file) identity: a later one is a loop or a second link."""
-    return F.row_number().over(Window.partitionBy("volume_id", "file_id").orderBy("path")) == 1
+def identity() -> tuple[Column, Column]:
+    """(volume, file) of a row; a row without a file id has the identity of its path."""
+    known = F.col("file_id").isNotNull() & (F.col("file_id") != "")
+    return F.when(known, F.col("volume_id")), F.when(known, F.col("file_id")).otherwise(names.path_identity(F.col("path")))
 
 
 @dataclass
@@ -39,8 +40,8 @@ def judged(rows: DataFrame, root: str, max_depth: int = MAX_DEPTH, reserved: str
     seen = rows.withColumn("placeholder_kind", placeholders.classify(F.col("attributes"), F.col("placeholder_kind")))
     seen = seen.withColumn("is_placeholder", placeholders.is_placeholder(F.col("attributes"), F.col("placeholder_kind")))
     seen = seen.withColumn("excluded_", in_reserved(F.col("path"), root, reserved))
-    # The rank is over the rows that aren't excluded: those sort first within their identity.
-    rank = F.row_number().over(Window.partitionBy("volume_id", "file_id").orderBy("excluded_", "path"))
+    # The first path of an identity stays, a later one is a loop or a second link. Rows that aren't excluded sort first.
+    rank = F.row_number().over(Window.partitionBy(*identity()).orderBy("excluded_", "path"))
     fate = F.when(F.col("excluded_"), "excluded").when(rank > 1, "repeated").when(names.depth(F.col("path"), root) > max_depth, "too_deep").otherwise("kept")
     return seen.withColumn("fate", fate).drop("excluded_")
 
@@ -54,13 +55,16 @@ def order(rows: DataFrame, root: str, max_depth: int = MAX_DEPTH, reserved: str
     all_rows = judged(rows, root, max_depth, reserved)
     message = F.when(F.col("fate") == "repeated", "identity already seen: a loop or a second link").otherwise(F.lit(f"deeper than {max_depth} levels"))
     errors = broken.unionByName(all_rows.where(F.col("fate").isin("repeated", "too_deep")).select("path", message.alias("message")))
-    counts = all_rows.agg(
+    return Inventory(all_rows.where("fate = 'kept'").drop("fate"), errors, counted(all_rows))
+
+
+def counted(judged_rows: DataFrame) -> DataFrame:
+    return judged_rows.agg(
         F.count_if(F.col("fate") == "kept").alias("files_enumerated"),
         F.count_if((F.col("fate") == "kept") & F.col("is_placeholder")).alias("files_placeholder"),
         F.count_if(F.col("fate") == "excluded").alias("files_excluded"),
         F.count_if(F.col("fate").isin("repeated", "too_deep")).alias("files_rejected"),
     )
-    return Inventory(all_rows.where("fate = 'kept'").drop("fate"), errors, counts)
 
 
 def with_sidecars(rows: DataFrame, contents: DataFrame) -> DataFrame:

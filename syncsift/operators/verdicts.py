@@ -1,18 +1,26 @@
 """The cascade: candidate groups by (base name, size), partial hashes, full hashes, one verdict for each group.
 
-No shuffle carries content. Where it is a column, hashes replace it as it is read; where files are read by path, only
-members of candidate groups are, behind the group filter. A group of very many members is a partial aggregate on each task.
+No shuffle carries content, and no content is hashed before its group asks for it. Where content is a column, the keys of the
+members wanted become a bit array of bounded size, and the scan hashes the rows that it marks; where files are read by
+path, only members of candidate groups are, behind the group filter. A group of very many members is a partial aggregate
+on each task.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syncsift.functions import hashing, names, placeholders
 from syncsift.schema import WINDOW
+from syncsift.tables import written
 
 KEY = ("base", "size")
+MOST_BITS = 24  # of the bit array that marks members: two megabytes
 
 
 def with_base(files: DataFrame) -> DataFrame:
@@ -35,33 +43,77 @@ def candidate_groups(files: DataFrame) -> DataFrame:
     return keyed.groupBy(*KEY).agg(F.sort_array(F.collect_list("path")).alias("members")).where(F.size("members") >= 2)
 
 
-def hashed_content(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """partial, full and read_error columns in place of a content column, before anything shuffles the rows.
+def marker(keys: DataFrame, most_bits: int = MOST_BITS) -> Callable[[Column], Column]:
+    """A condition on a key: true for every key in the one column of ``keys``, and for some others.
 
-    A table's content is next to its metadata, so hashing it where it is read costs less than sending it to its group.
-    A placeholder's content isn't touched; an absent or short content is an error.
+    The bit array has 16 bits for each key, 2^most_bits at most; its words come to the driver and become a literal. With
+    more keys than that it lets more others pass, up to all of them: that costs hashes, never a result.
     """
-    readable = ~placeholders.is_placeholder(F.col("attributes"), F.col("placeholder_kind"))
-    c = F.when(readable, F.col("content"))
-    error = F.when(F.col("content").isNull(), "no content").when(readable & (F.octet_length("content") < F.col("size")), "shorter than listed")
-    hashed = rows.withColumns({"partial": hashing.partial_hash(c, F.col("size"), window), "full": hashing.full_hash(c), "read_error": error})
-    return hashed.drop("content")
-
-
-def hashed_paths(rows: DataFrame, window: int = WINDOW, algorithm: str = "sha256") -> DataFrame:
-    """As hashed_content, reading files by path on the executors: full hashes only where a group's partial hashes meet.
-
-    The stages are separated by a group filter, so a member of a group without a collision is never read whole.
+    key = F.col(keys.columns[0])
+    n = keys.count()
+    bits = min(most_bits, max(10, math.ceil(math.log2(16 * n + 1))))
+    at = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
+    word, bit = (lambda k: F.shiftright(at(k), 6).cast("int")), (lambda k: at(k).bitwiseAND(F.lit(63)).cast("int"))
+    one = F.expr("shiftleft(1L, bit)")
+    found = keys.select(word(key).alias("word"), bit(key).alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits")).collect() if n else []
+    words = np.zeros(1 << max(0, bits - 6), np.int64)
+    for r in found:
+        words[r["word"]] = r["bits"]
+    table = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")
+    return lambda k: F.call_function("getbit", F.get(table, word(k)), bit(k)) == 1
+
+
+def hashed_content(candidates: DataFrame, rows: DataFrame, window: int = WINDOW, blake3: bool = False) -> DataFrame:
+    """``candidates`` with partial, full and read_error, staged, from ``rows`` (path, size, content).
+
+    Partial hashes are of the members of candidate groups, full ones of members of groups whose partial hashes meet and
+    that no error leaves open; both are made where the content is read. An absent or short content is an error, and so is
+    what ``candidates`` name in a read_error column of theirs.
     """
-    read = hashing.path_hasher(window, algorithm)
-    first = rows.withColumn("p", read("path", "size", "is_placeholder")).withColumn("partial", F.col("p.hash")).withColumn("read_error", F.col("p.error")).drop("p")
-    per = first.groupBy(*KEY).agg((F.count_distinct("partial") < F.count("*")).alias("meets"), F.bool_or(F.col("read_error").isNotNull()).alias("broken"))
-    staged = first.join(per, list(KEY))
-    whole = hashing.path_hasher(None, algorithm)
-    go_on = F.col("meets") & ~F.col("broken")
-    done = staged.where(go_on).withColumn("f", whole("path", "size", "is_placeholder")).withColumn("full", F.col("f.hash")).withColumn("full_error", F.col("f.error")).drop("f")
-    rest = staged.where(~go_on).withColumn("full", F.lit(None).cast("string")).withColumn("full_error", F.lit(None).cast("string"))
-    return done.unionByName(rest).drop("meets", "broken")
+    c = F.col("content")
+    error = F.when(c.isNull(), "no content").when(F.octet_length(c) < F.col("size"), "shorter than listed")
+    windows = hashing.blake3_of(hashing.windows(c, F.col("size"), window)) if blake3 else hashing.partial_hash(c, F.col("size"), window)
+    whole = hashing.blake3_of(c) if blake3 else hashing.full_hash(c)
+    known = with_known(candidates)
+    first = rows.where(marker(known.where("known_partial IS NULL").select("path"))(F.col("path"))).select("path", windows.alias("found"), error.alias("found_error"), F.lit(True).alias("seen"))
+    told = F.col("read_error") if "read_error" in candidates.columns else F.lit(None).cast("string")
+    missing = F.when(F.col("seen").isNull() & F.col("known_partial").isNull(), "no content")
+    staged = known.join(first, "path", "left").withColumn("read_error", F.coalesce(told, F.when(F.col("known_partial").isNull(), F.col("found_error")), missing))
+    staged = written(staged.withColumn("partial", F.coalesce("known_partial", "found")).drop("found", "found_error", "seen"))
+    go_on = staged.join(going_on(staged), list(KEY), "left_semi").where("known_full IS NULL").select("path")
+    second = rows.where(marker(go_on)(F.col("path"))).select("path", whole.alias("found")).join(go_on, "path", "left_semi")
+    return after_full(staged, second)
+
+
+def with_known(candidates: DataFrame) -> DataFrame:
+    """With known_partial and known_full, hashes of a cache, null where there is none."""
+    return candidates.withColumns({c: F.lit(None).cast("string") for c in ("known_partial", "known_full") if c not in candidates.columns})
+
+
+def going_on(staged: DataFrame) -> DataFrame:
+    """(base, size) of the groups whose whole files are compared: some partial hashes meet, and none is missing."""
+    per = staged.groupBy(*KEY).agg((F.count_distinct("partial") < F.count("*")).alias("meets"), F.bool_or(F.col("read_error").isNotNull()).alias("broken"))
+    return per.where("meets and not broken").select(*KEY)
+
+
+def after_full(staged: DataFrame, second: DataFrame) -> DataFrame:
+    """Full hashes for the groups that go on, from a cache or from ``second`` (path, found); bytes that were read for either hash."""
+    on = staged.join(going_on(staged).withColumn("goes_on", F.lit(True)), list(KEY), "left").join(second, "path", "left")
+    read = F.col("known_partial").isNull(), F.col("goes_on").isNotNull() & F.col("known_full").isNull()
+    on = on.withColumns({"full": F.when(F.col("goes_on"), F.coalesce("known_full", "found")), "read_partial": read[0], "read_full": read[1]})
+    return on.drop("goes_on", "found", "known_partial", "known_full")
+
+
+def hashed_paths(candidates: DataFrame, window: int = WINDOW, algorithm: str = "sha256") -> DataFrame:
+    """As hashed_content, reading files by path on the executors; both stages are written, so that each file is read once."""
+    read, whole = hashing.path_hasher(window, algorithm), hashing.path_hasher(None, algorithm)
+    known = with_known(candidates)
+    todo = known.where("known_partial IS NULL").withColumn("p", read("path", "size", "is_placeholder"))
+    done = known.where("known_partial IS NOT NULL").withColumn("p", F.struct(F.col("known_partial").alias("hash"), F.lit(None).cast("string").alias("error")))
+    staged = written(todo.unionByName(done).withColumns({"partial": F.col("p.hash"), "read_error": F.col("p.error")}).drop("p"))
+    go_on = staged.join(going_on(staged), list(KEY), "left_semi").where("known_full IS NULL")
+    second = written(go_on.withColumn("f", whole("path", "size", "is_placeholder")).select("path", F.col("f.hash").alias("found"), F.col("f.error").alias("full_error")))
+    return after_full(staged, second)
 
 
 def verdict(members: Column, partials: Column, partial_errors: Column, fulls: Column, full_errors: Column) -> Column:
@@ -116,17 +168,18 @@ def unresolved_groups(members: DataFrame) -> DataFrame:
     return bad.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("path", reason.alias("reason")))).alias("files"))
 
 
-def telemetry(counts: DataFrame, files: DataFrame, members: DataFrame, window: int = WINDOW) -> DataFrame:
+def telemetry(counts: DataFrame, members: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row of counters, from decision tables alone: a task that runs again reads a file twice but counts once.
 
-    files_skipped is the readable files in no candidate group, so the counters' invariants hold.
+    files_skipped is the readable files in no candidate group, so the counters' invariants hold. A member counts as hashed
+    where its hash decided, from a cache or not; bytes are those that were read and hashed.
     """
     full = F.col("verdict").isin("identical_duplicate", "real_conflict")
     sums = members.agg(
         F.count("*").alias("files_partial_hashed"),
         F.count_if(full).alias("files_full_hashed"),
-        F.coalesce(F.sum(hashing.partial_bytes(F.col("size"), window)), F.lit(0)).alias("bytes_read_partial"),
-        F.coalesce(F.sum(F.when(full, F.col("size"))), F.lit(0)).alias("bytes_read_full"),
+        F.coalesce(F.sum(F.when(F.col("read_partial"), hashing.partial_bytes(F.col("size"), window))), F.lit(0)).alias("bytes_read_partial"),
+        F.coalesce(F.sum(F.when(F.col("read_full") & full, F.col("size"))), F.lit(0)).alias("bytes_read_full"),
     )
     both = merge_telemetry(counts.drop("files_rejected").unionByName(sums, allowMissingColumns=True))  # one row of two
     return both.select(
@@ -148,15 +201,21 @@ def merge_telemetry(parts: DataFrame) -> DataFrame:
     return parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in parts.columns))
 
 
-def telemetry_violations(t: DataFrame) -> DataFrame:
-    """(violation): a message for each invariant that a telemetry row breaks."""
+def telemetry_violations(t: DataFrame, *keys: str) -> DataFrame:
+    """(keys, violation): a message for each invariant that a telemetry row breaks."""
     rules = [
         ("files_enumerated <> files_placeholder + files_skipped + files_partial_hashed", "files_enumerated is not the sum of placeholders, skipped and partially hashed"),
         ("files_full_hashed > files_partial_hashed", "files_full_hashed exceeds files_partial_hashed"),
         ("bytes_read <> bytes_read_partial + bytes_read_full", "bytes_read is not the sum of its parts"),
         ("placeholder_bytes_read <> 0", "placeholder content was read"),
     ]
-    return t.select(F.explode(F.filter(F.array(*(F.when(F.expr(r), F.lit(m)) for r, m in rules)), lambda x: x.isNotNull())).alias("violation"))
+    return t.select(*keys, F.explode(F.filter(F.array(*(F.when(F.expr(r), F.lit(m)) for r, m in rules)), lambda x: x.isNotNull())).alias("violation"))
+
+
+def conflict_bytes(members: DataFrame) -> DataFrame:
+    """(base, size, files, total_bytes, spare_bytes) of each real conflict: what its versions hold, and what all but one hold."""
+    n = F.count("*")
+    return members.where("verdict = 'real_conflict'").groupBy(*KEY).agg(n.alias("files"), (n * F.col("size")).alias("total_bytes"), ((n - 1) * F.col("size")).alias("spare_bytes"))
 
 
 def conflict_versions(members: DataFrame) -> DataFrame:

@@ -7,15 +7,18 @@ module's common table expressions and restates the operator on its own.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syncsift.functions import hashing, names, placeholders
+from syncsift.plans import scan as scans
 from syncsift.operators import cache, compare, fingerprint, inventory, quarantine, report, resolution, verdicts
 from syncsift.sources import derived
 from syncsift.streaming import incremental
+from syncsift.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT, WINDOW = derived.ROOT, derived.WINDOW
@@ -45,34 +48,64 @@ def oracle_sql() -> dict[str, str]:
 # ---- what the queries start from
 
 
+@dataclass
+class _Scan:
+    """What a scan of the derived inventory decides, each table made once: judged rows (metadata) and members with verdicts."""
+
+    judged: DataFrame
+    hashed: DataFrame
+
+    @property
+    def files(self) -> DataFrame:
+        return self.judged.where("fate = 'kept'").drop("fate")
+
+    @property
+    def members(self) -> DataFrame:
+        return verdicts.judged_members(self.hashed)
+
+    @property
+    def decidable(self) -> DataFrame:
+        return self.members.where("verdict in ('identical_duplicate', 'real_conflict')")
+
+    @property
+    def telemetry(self) -> DataFrame:
+        return verdicts.telemetry(inventory.counted(self.judged), self.members, WINDOW)
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.judged(derived.inventory(spark, sf_dir), ROOT)
+    return inventory.judged(derived.inventory(spark, sf_dir).drop("content", "text"), ROOT)
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).where("fate = 'kept'").drop("fate")
 
 
+def _scan(spark: SparkSession, sf_dir: str) -> _Scan:
+    judged = written(_judged(spark, sf_dir))
+    broken = F.when(F.col("doc_id") % 17 == 4, "simulated")
+    candidates = verdicts.grouped_rows(judged.where("fate = 'kept'").drop("fate").withColumn("read_error", broken)).drop("members")
+    rows = derived.inventory(spark, sf_dir).select("path", "size", "content")
+    return _Scan(judged, written(verdicts.hashed_content(written(candidates), rows, WINDOW)))
+
+
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inventory.judged(verdicts.hashed_content(derived.inventory(spark, sf_dir), WINDOW), ROOT).where("fate = 'kept'")
-    broken = F.when(F.col("doc_id") % 17 == 4, "simulated").otherwise(F.col("read_error"))
-    return verdicts.grouped_rows(rows.drop("fate", "text").withColumn("read_error", broken)).drop("members")
+    return _scan(spark, sf_dir).hashed
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.judged_members(_hashed(spark, sf_dir))
+    return _scan(spark, sf_dir).members
 
 
 def _decidable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _members(spark, sf_dir).where("verdict in ('identical_duplicate', 'real_conflict')")
+    return _scan(spark, sf_dir).decidable
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.order(derived.inventory(spark, sf_dir), ROOT).counts
+    return inventory.counted(_judged(spark, sf_dir))
 
 
 def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.telemetry(_counts(spark, sf_dir), _files(spark, sf_dir), _members(spark, sf_dir), WINDOW)
+    return _scan(spark, sf_dir).telemetry
 
 
 # ---- inventory and names
@@ -150,22 +183,53 @@ def _odd_names(spark, sf_dir):
     return derived.inventory(spark, sf_dir).select("doc_id", F.concat(F.expr("substring(path, 2)"), tail).alias("name"))
 
 
-@query(f"SELECT doc_id, doc_id % 7 = 1 AS bidi FROM (SELECT doc_id, {_ODD_SQL} AS name FROM inv)")
+_STEMS = ", ".join(f"'{x}'" for x in names.RESERVED_STEMS)
+#: Whether ``n`` is a safe relative path: each component for itself, then the extension.
+_VALID = f"""(n <> '' AND NOT regexp_matches(n, '[\\x00-\\x1f\\x7f]') AND len(list_filter(string_split(n, '/'), lambda x: x IN ('', '.', '..') OR right(x, 1) IN ('.', ' ') OR upper(split_part(x, '.', 1)) IN ({_STEMS}))) = 0
+ AND (NOT contains(string_split(n, '/')[-1], '.') OR length(string_split(string_split(n, '/')[-1], '.')[-1]) <= 255))"""
+
+
+@query(f"SELECT doc_id, len(list_filter(string_split(name, ''), lambda c: unicode(c) IN (8206, 8207, 1564) OR unicode(c) BETWEEN 8234 AND 8238 OR unicode(c) BETWEEN 8294 AND 8297)) > 0 AS bidi FROM (SELECT doc_id, {_ODD_SQL} AS name FROM inv)")
 def bidi_flag(spark, sf_dir):
     return _odd_names(spark, sf_dir).select("doc_id", names.has_bidi(F.col("name")).alias("bidi"))
 
 
-@query("SELECT doc_id, doc_id % 7 IN (0, 1, 6) AS valid FROM inv")
+@query(f"SELECT doc_id, {_VALID} AS valid FROM (SELECT doc_id, replace({_ODD_SQL}, chr(92), '/') AS n FROM inv)")
 def valid_name(spark, sf_dir):
     return _odd_names(spark, sf_dir).select("doc_id", names.is_valid_name(F.col("name")).alias("valid"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 1, 6) THEN {_ODD_SQL} END AS canonical FROM inv")
+@query(f"SELECT doc_id, CASE WHEN {_VALID} THEN n END AS canonical FROM (SELECT doc_id, {_ODD_SQL} AS n FROM inv)")
 def canonical_names(spark, sf_dir):
     rows = _odd_names(spark, sf_dir).withColumn("name", F.translate("name", "/", "\\"))
     return rows.select("doc_id", names.canonical_name(F.col("name")).alias("canonical"))
 
 
+_COPY_SUFFIXES = (" (conflicted copy)", "-DESKTOP-HOST77", " (1)", " (2)", "~", ".sb-0f3c")
+
+
+def _pass_sql(n: str) -> str:
+    """One pass of the rules over names with one extension."""
+    for pattern, to in (
+        (r" \(conflicted copy\)(\.[^.]*)$", r"\1"), (r"-DESKTOP-[0-9A-Za-z]{6,12}(\.[^.]*)$", r"\1"), (r" \(1\)(\.[^.]*)$", r"\1"), (r" \(2\)(\.[^.]*)$", r"\1"),
+        (r"^(.+)~$", r"\1"), (r"^~\$(.+)$", r"\1"), (r"^(.+)\.sb-[0-9a-f]{1,32}(\.[^.]*)$", r"\1\2"),
+    ):
+        n = f"regexp_replace({n}, '{pattern}', '{to}')"
+    return n
+
+
+_VARIANT_SQL = "(CASE WHEN doc_id % 5 = 1 THEN '~$' ELSE '' END || 'file' || doc_id || {0}[doc_id % 6 + 1] || {0}[doc_id // 6 % 6 + 1] || '.txt' || CASE WHEN doc_id % 4 = 1 THEN '~' ELSE '' END)".format("[" + ", ".join(f"'{x}'" for x in _COPY_SUFFIXES) + "]")
+
+
+@query(f"SELECT doc_id, n AS name, {_pass_sql(_pass_sql(_pass_sql('n')))} AS base FROM (SELECT doc_id, {_VARIANT_SQL} AS n FROM inv)")
+def normalize_variants(spark, sf_dir):
+    """Two suffixes at a time, backup tildes and lock prefixes; three passes undo them all."""
+    i, suffixes = F.col("doc_id"), F.array(*map(F.lit, _COPY_SUFFIXES))
+    one = lambda k: F.element_at(suffixes, (k % 6).cast("int") + 1)
+    name = F.concat(F.when(i % 5 == 1, "~$").otherwise(""), F.lit("file"), i.cast("string"), one(i), one(F.floor(i / 6)), F.lit(".txt"), F.when(i % 4 == 1, "~").otherwise(""))
+    return derived.inventory(spark, sf_dir).select("doc_id", name.alias("name")).withColumn("base", names.normalize_base_name(F.col("name")))
+
+
 @query(f"SELECT doc_id, starts_with(path, '{ROOT}/src1/') AS inside, CASE WHEN starts_with(path, '{ROOT}/') THEN substr(path, {len(ROOT) + 2}) ELSE path END AS relative FROM inv")
 def path_containment(spark, sf_dir):
     return derived.inventory(spark, sf_dir).select("doc_id", names.contained(F.col("path"), f"{ROOT}/src1").alias("inside"), names.relative(F.col("path"), ROOT).alias("relative"))
@@ -225,9 +289,7 @@ def real_conflicts(spark, sf_dir):
 
 @query("SELECT base, size FROM verdicts WHERE verdict = 'eliminated_l2'")
 def eliminated_l2(spark, sf_dir):
-    groups = verdicts.candidate_groups(_files(spark, sf_dir)).select("base", "size")
-    told = verdicts.verdicts(_hashed(spark, sf_dir)).where("verdict <> 'eliminated_l2'")
-    return groups.join(told, ["base", "size"], "left_anti")
+    return verdicts.verdicts(_hashed(spark, sf_dir)).where("verdict = 'eliminated_l2'").select("base", "size")
 
 
 @query("SELECT base, size, string_agg(path || ':' || error, '|' ORDER BY path) AS files FROM decided WHERE verdict = 'unresolved' AND error IS NOT NULL GROUP BY base, size")
@@ -235,6 +297,20 @@ def unresolved_groups(spark, sf_dir):
     return verdicts.unresolved_groups(_members(spark, sf_dir)).withColumn("files", F.array_join(F.transform("files", lambda f: F.concat(f["path"], F.lit(":"), f["reason"])), "|"))
 
 
+@query(f"""SELECT doc_id, CASE k WHEN 0 THEN 'no content' WHEN 1 THEN 'shorter than listed' WHEN 3 THEN 'no content' END AS read_error,
+ CASE WHEN k IN (2, 4) THEN sha256(CASE WHEN size <= {2 * WINDOW} THEN content ELSE content[1:{WINDOW}] || content[size - {WINDOW - 1}:] END) END AS partial,
+ CASE WHEN k = 2 THEN sha256(content) END AS full_hash
+ FROM (SELECT doc_id, doc_id % 5 AS k, CASE WHEN doc_id % 5 = 2 THEN encode('') ELSE content END AS content, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE size END AS size FROM inv WHERE size > 0)""")
+def hash_edges(spark, sf_dir):
+    """Absent, short and empty content, and rows that are missing; only the group of the empty files goes on to whole files."""
+    k = F.col("doc_id") % 5
+    rows = derived.inventory(spark, sf_dir).where("size > 0").select("doc_id", "path", F.when(k == 2, 0).otherwise(F.col("size")).alias("size"), "content")
+    content = F.when(k == 1, F.expr("substring(content, 1, size - 1)")).when(k == 2, F.lit("").cast("binary")).when(k != 0, F.col("content"))
+    candidates = rows.select("doc_id", "path", "size", F.when(k == 2, "empty").when(k == 4, F.col("path")).otherwise("broken").alias("base"))
+    found = verdicts.hashed_content(written(candidates), rows.where(k != 3).select("path", "size", content.alias("content")), WINDOW)
+    return found.select("doc_id", "read_error", F.when(k.isin(2, 4), F.col("partial")).alias("partial"), F.col("full").alias("full_hash"))
+
+
 # ---- telemetry and figures
 
 _TELEMETRY = f"""t AS (SELECT (SELECT count(*) FROM files) AS files_enumerated, (SELECT count(*) FROM files WHERE is_placeholder) AS files_placeholder, (SELECT count(*) FROM judged WHERE fate = 'excluded') AS files_excluded,
@@ -252,6 +328,19 @@ def telemetry_invariants(spark, sf_dir):
     return verdicts.telemetry_violations(_telemetry(spark, sf_dir))
 
 
+@query("""SELECT doc_id, unnest(list_filter([CASE WHEN n <> p + s + h THEN 'files_enumerated is not the sum of placeholders, skipped and partially hashed' END, CASE WHEN f > h THEN 'files_full_hashed exceeds files_partial_hashed' END,
+ CASE WHEN br <> bp + bf THEN 'bytes_read is not the sum of its parts' END, CASE WHEN pb <> 0 THEN 'placeholder content was read' END], lambda x: x IS NOT NULL)) AS violation
+ FROM (SELECT doc_id, 10 + doc_id % 3 AS n, 2 AS p, 3 AS s, 5 AS h, 4 + doc_id % 4 AS f, 100 + doc_id % 2 AS br, 60 AS bp, 40 AS bf, (doc_id % 5 = 4)::INT AS pb FROM inv)""")
+def telemetry_rules(spark, sf_dir):
+    """Counters that break the rules singly and together."""
+    i = F.col("doc_id")
+    told = {
+        "files_enumerated": 10 + i % 3, "files_placeholder": F.lit(2), "files_skipped": F.lit(3), "files_partial_hashed": F.lit(5), "files_full_hashed": 4 + i % 4,
+        "bytes_read": 100 + i % 2, "bytes_read_partial": F.lit(60), "bytes_read_full": F.lit(40), "placeholder_bytes_read": (i % 5 == 4).cast("int"),
+    }
+    return verdicts.telemetry_violations(derived.inventory(spark, sf_dir).select("doc_id").withColumns(told), "doc_id")
+
+
 @query(f", {_TELEMETRY} SELECT 2 * files_enumerated::BIGINT AS files_enumerated, (2 * bytes_read_full)::BIGINT AS bytes_read_full FROM t")
 def telemetry_merge(spark, sf_dir):
     t = _telemetry(spark, sf_dir)
@@ -264,19 +353,35 @@ _SUMMARY = """s AS (SELECT coalesce(sum(CASE WHEN verdict = 'identical_duplicate
 
 @query(f", {_SUMMARY} SELECT (SELECT count(*) FROM files) AS files_found, (SELECT count(*) FROM files WHERE is_placeholder) AS placeholders_ignored, s.* FROM s")
 def summary_metrics(spark, sf_dir):
-    return verdicts.summary(_telemetry(spark, sf_dir), _members(spark, sf_dir))
+    scan = _scan(spark, sf_dir)
+    return verdicts.summary(scan.telemetry, scan.members)
 
 
 @query(f", {_SUMMARY} SELECT recoverable_bytes, CASE WHEN {_BYTES.replace('n >=', 'recoverable_bytes >=').replace('(n::', '(recoverable_bytes::').replace('ELSE n ||', 'ELSE recoverable_bytes ||')} END AS shown FROM s")
 def recoverable_bytes(spark, sf_dir):
-    s = verdicts.summary(_telemetry(spark, sf_dir), _members(spark, sf_dir))
+    scan = _scan(spark, sf_dir)
+    s = verdicts.summary(scan.telemetry, scan.members)
     return s.select("recoverable_bytes", names.format_bytes(F.col("recoverable_bytes")).alias("shown"))
 
 
 @query(f", {_TELEMETRY} SELECT (SELECT sum(size)::BIGINT FROM files) AS bytes_listed, bytes_read_partial + bytes_read_full AS bytes_read FROM t")
 def bytes_avoided(spark, sf_dir):
-    listed = _files(spark, sf_dir).agg(F.sum("size").alias("bytes_listed"))
-    return verdicts.merge_telemetry(listed.unionByName(_telemetry(spark, sf_dir).select("bytes_read"), allowMissingColumns=True))
+    scan = _scan(spark, sf_dir)
+    listed = scan.files.agg(F.sum("size").alias("bytes_listed"))
+    return verdicts.merge_telemetry(listed.unionByName(scan.telemetry.select("bytes_read"), allowMissingColumns=True))
+
+
+@query("SELECT base, size, count(*) AS files, sum(size)::BIGINT AS total_bytes, (sum(size) - size)::BIGINT AS spare_bytes FROM decided WHERE verdict = 'real_conflict' GROUP BY base, size")
+def conflict_bytes(spark, sf_dir):
+    return verdicts.conflict_bytes(_members(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN bool_or(verdict = 'unresolved') THEN 3 WHEN bool_or(verdict IN ('identical_duplicate', 'real_conflict')) THEN CASE WHEN (SELECT count(*) FROM judged WHERE fate IN ('repeated', 'too_deep')) > 0 THEN 3 ELSE 2 END ELSE 0 END::INT AS code FROM decided")
+def scan_exit_code(spark, sf_dir):
+    scan = _scan(spark, sf_dir)
+    found = scan.members.agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in ("identical_duplicate", "real_conflict", "unresolved"))).first()
+    errors = not scan.judged.where("fate in ('repeated', 'too_deep')").isEmpty()
+    return spark.createDataFrame([(report.exit_code(bool(found[0] + found[1]), errors, bool(found[2])),)], "code int")
 
 
 @query("SELECT path, row_number() OVER (PARTITION BY base, size ORDER BY mtime_ticks DESC, size DESC, path) = 1 AS suggested FROM decided WHERE verdict = 'real_conflict'")
@@ -332,17 +437,33 @@ _KEY = "sha256('cache-key-v1|' || strlen(path) || ':' || path || strlen(size::VA
 
 
 def _cached(spark, sf_dir):
-    return cache.lookup(_hashed(spark, sf_dir), cache.entries(_hashed(spark, sf_dir).where("doc_id % 2 = 0"), 1))
+    hashed = _hashed(spark, sf_dir)
+    return cache.lookup(hashed, cache.entries(hashed.where("doc_id % 2 = 0"), 1))
+
 
+_KNOWN = "CASE WHEN verdict IN ('identical_duplicate', 'real_conflict') THEN full_hash END"
 
-@query(f"SELECT path, {_KEY} AS key_hex, full_hash AS cached_full FROM members WHERE doc_id % 2 = 0")
+
+@query(f"SELECT path, {_KEY} AS key_hex, partial AS known_partial, {_KNOWN} AS known_full FROM decided WHERE doc_id % 2 = 0")
 def cache_hits(spark, sf_dir):
-    return _cached(spark, sf_dir).where("cached_full is not null").select("path", "key_hex", "cached_full")
+    return _cached(spark, sf_dir).where("known_partial is not null").select("path", "key_hex", "known_partial", "known_full")
 
 
 @query("SELECT path FROM members WHERE doc_id % 2 <> 0")
 def cache_misses(spark, sf_dir):
-    return _cached(spark, sf_dir).where("cached_full is null").select("path")
+    return _cached(spark, sf_dir).where("known_partial is null").select("path")
+
+
+@query(f"""SELECT count(*) AS members, count(*) FILTER (doc_id % 2 <> 0) AS read_partial, coalesce(sum(least(size, {2 * WINDOW})) FILTER (doc_id % 2 <> 0), 0)::BIGINT AS bytes_read_partial,
+ coalesce(sum(size) FILTER (doc_id % 2 <> 0 AND verdict IN ('identical_duplicate', 'real_conflict')), 0)::BIGINT AS bytes_read_full, count(*) FILTER (verdict = 'identical_duplicate') AS identical FROM (
+ SELECT d.*, v.verdict FROM grouped d JOIN (SELECT base, size, CASE WHEN count(DISTINCT partial) = count(*) THEN 'eliminated_l2' WHEN count(DISTINCT full_hash) = 1 THEN 'identical_duplicate' ELSE 'real_conflict' END AS verdict FROM members GROUP BY base, size) v USING (base, size))""")
+def rescan_cached(spark, sf_dir):
+    """A second scan that finds half of the files in the cache, and reads the others."""
+    rows = derived.inventory(spark, sf_dir).drop("text")
+    first = scans.scan(rows, ROOT, WINDOW)
+    again = scans.scan(rows, ROOT, WINDOW, cache=written(first.cache(now=1).join(first.members.where("doc_id % 2 = 0").select(cache.compute_key(F.col("path"), F.col("size"), F.col("mtime_ticks")).alias("key_hex")), "key_hex", "left_semi")))
+    told = again.members.agg(F.count("*").alias("members"), F.count_if("read_partial").alias("read_partial"), F.count_if(F.col("verdict") == "identical_duplicate").alias("identical"))
+    return verdicts.merge_telemetry(told.unionByName(again.telemetry.select("bytes_read_partial", "bytes_read_full"), allowMissingColumns=True))
 
 
 @query(f"SELECT {_KEY} AS key_hex, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS last_seen FROM members")
@@ -367,7 +488,17 @@ def volume_file_key(spark, sf_dir):
     return _files(spark, sf_dir).select("path", cache.volume_file_key(*(F.col(c) for c in ("volume_id", "file_id", "size", "mtime_ticks"))).alias("key"))
 
 
-@query()
+def _joined_sql(*fields: str) -> str:
+    return " || ".join(f"strlen({x}) || ':' || {x}" for x in (f"coalesce(({f})::VARCHAR, '')" for f in fields))
+
+
+@query(f""", lines AS (SELECT base, size, verdict, path, sha256({_joined_sql("path", "size", "mtime_ticks", "volume_id", "file_id", _KNOWN)}) AS d FROM decided),
+tagged AS (SELECT base, size, CASE verdict WHEN 'identical_duplicate' THEN 'i' WHEN 'real_conflict' THEN 'r' ELSE 'g' END AS tag, string_agg(d, '' ORDER BY path) AS ds FROM lines GROUP BY base, size, verdict),
+l0 AS (SELECT sha256({_joined_sql("tag", "base", "size", "ds")}) AS d FROM tagged),
+l1 AS (SELECT substr(d, 1, 4) || sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l0 GROUP BY substr(d, 1, 4)),
+l2 AS (SELECT substr(d, 1, 2) || sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l1 GROUP BY substr(d, 1, 2)),
+l3 AS (SELECT min(substr(d, 1, 1)) || sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l2)
+SELECT substr(sha256(d), 1, 16) AS operation_id FROM l3""")
 def scan_fingerprint(spark, sf_dir):
     return fingerprint.scan_fingerprint(_members(spark, sf_dir))
 
@@ -424,6 +555,50 @@ for _kind in ("text", "csv", "markdown"):
     query(name=f"{_kind}_diff_regions")(_diff(_kind))
 
 
+_LINES = 24  # of a generated text; edits stand alone, so that each is a region of its own
+
+
+def _edited(spark, sf_dir, line: str, instead: str, gone: str, more: str) -> DataFrame:
+    """(doc_id, a, b): a text of ``line`` (SQL over d and i), and the same edited by the rules that the SQL restates."""
+    d = derived.inventory(spark, sf_dir).select("doc_id", F.col("doc_id").alias("d"))
+    numbers = f"sequence(1, {_LINES})"
+    left = F.expr(f"concat_ws('\n', transform({numbers}, i -> CASE WHEN i % 6 = 3 THEN {gone} ELSE {line} END))")
+    kept = f"CASE WHEN i % 6 = 1 AND (d + i) % 2 = 0 THEN array({instead}) WHEN i % 6 = 3 THEN CASE WHEN d % 3 = 0 THEN array() ELSE array({gone}) END WHEN i % 6 = 5 AND d % 2 = 1 THEN array({line}, {more}) ELSE array({line}) END"
+    return d.withColumns({"a": left, "b": F.expr(f"concat_ws('\n', flatten(transform({numbers}, i -> {kept})))")})
+
+
+_EDITS_SQL = f"""edits AS (SELECT doc_id, i, CASE WHEN i % 6 = 1 AND (doc_id + i) % 2 = 0 THEN 'Changed' WHEN i % 6 = 3 AND doc_id % 3 = 0 THEN 'Removed' ELSE 'Equal' END AS kind FROM inv, range(1, {_LINES + 1}) t(i)
+ UNION ALL SELECT doc_id, i, 'Added' FROM inv, range(1, {_LINES + 1}) t(i) WHERE i % 6 = 5 AND doc_id % 2 = 1)"""
+
+
+def _totals_sql(kind: str) -> str:
+    return f", {_EDITS_SQL} SELECT doc_id, shown AS kind, count(*) FILTER (kind <> 'Added') AS left_lines, count(*) FILTER (kind <> 'Removed') AS right_lines FROM (SELECT *, {kind} AS shown FROM edits) GROUP BY doc_id, shown"
+
+
+def _totals(kind: str, rows: DataFrame) -> DataFrame:
+    found = rows.select("doc_id", F.explode(compare.line_regions(F.lit(kind), F.col("a"), F.col("b"))).alias("r"))
+    return found.groupBy("doc_id", "r.kind").agg(F.sum("r.left_count").alias("left_lines"), F.sum("r.right_count").alias("right_lines"))
+
+
+@query(_totals_sql("kind"))
+def text_diff_totals(spark, sf_dir):
+    return _totals("text", _edited(spark, sf_dir, "concat('row ', d, ' ', i)", "concat('new ', i)", "concat('old ', i)", "concat('more ', i)"))
+
+
+@query(_totals_sql("CASE WHEN kind = 'Changed' AND i % 12 = 1 THEN 'Equal' ELSE kind END"))
+def csv_diff_totals(spark, sf_dir):
+    """Every other changed line differs in its quotes alone."""
+    line = "concat('a', i, ',\"b \"\"q\"\", c\",', d)"
+    instead = "CASE WHEN i % 12 = 1 THEN concat('\"a', i, '\",\"b \"\"q\"\", c\",\"', d, '\"') ELSE concat('a', i, ',\"b \"\"q\"\"\",', d) END"
+    return _totals("csv", _edited(spark, sf_dir, line, instead, line, "concat('z', i, ',,')"))
+
+
+@query(_totals_sql("CASE WHEN kind = 'Removed' THEN 'Changed' ELSE kind END"))
+def markdown_diff_totals(spark, sf_dir):
+    """The lines removed are headings, so their regions change the document's structure."""
+    return _totals("markdown", _edited(spark, sf_dir, "concat('text ', d, ' ', i)", "concat('new ', i)", "concat('## part ', i)", "concat('#tag ', i)"))
+
+
 # ---- report, manifest, increments
 
 
@@ -435,12 +610,36 @@ def quarantine_manifest(spark, sf_dir):
 
 @query()
 def scan_report_json(spark, sf_dir):
-    members = _members(spark, sf_dir)
-    files, when = _files(spark, sf_dir), datetime(2026, 1, 1, 12, tzinfo=timezone.utc)
-    text = report.report(_telemetry(spark, sf_dir), verdicts.candidate_groups(files), verdicts.identical_duplicates(members), verdicts.real_conflicts(members), placeholders.records(files), ROOT, when, when)
+    scan = _scan(spark, sf_dir)
+    files, members, when = scan.files, scan.members, datetime(2026, 1, 1, 12, tzinfo=timezone.utc)
+    text = report.report(scan.telemetry, verdicts.candidate_groups(files), verdicts.identical_duplicates(members), verdicts.real_conflicts(members), placeholders.records(files), ROOT, when, when)
     return spark.createDataFrame([(text,)], "report string")
 
 
+def _listed(name: str, order: str, source: str, having: str = "true") -> str:
+    groups = f"SELECT base, size, count(*) AS n, min(path) AS first FROM {source} GROUP BY base, size HAVING {having}"
+    return f"SELECT '{name}' AS list, (row_number() OVER (ORDER BY {order}) - 1)::INT AS position, size, n::INT AS files, substr(first, {len(ROOT) + 2}) AS first_path FROM ({groups})"
+
+
+@query(f"""{_listed("groups", "base, size", "readable", "count(*) >= 2")}
+UNION ALL {_listed("identical_duplicates", "first", "(SELECT * FROM decided WHERE verdict = 'identical_duplicate')")}
+UNION ALL {_listed("real_conflicts", "first", "(SELECT * FROM decided WHERE verdict = 'real_conflict')")}
+UNION ALL SELECT 'placeholders', (row_number() OVER (ORDER BY path) - 1)::INT, size, 1, substr(path, {len(ROOT) + 2}) FROM files WHERE is_placeholder""")
+def scan_report_lists(spark, sf_dir):
+    """The four lists of the JSON report, read back from its text: their order, sizes and first paths."""
+    shapes = {
+        "groups": "array<struct<size_bytes: long, members: array<struct<path: string>>>>", "identical_duplicates": "array<struct<size_bytes: long, files: array<string>>>",
+        "real_conflicts": "array<struct<size_bytes: long, files: array<struct<path: string>>>>", "placeholders": "array<struct<size_bytes: long, path: string>>",
+    }
+    parsed = scan_report_json(spark, sf_dir).select(F.from_json("report", ", ".join(f"{k} {v}" for k, v in shapes.items())).alias("r"))
+    paths = {"groups": F.col("x.members.path"), "identical_duplicates": F.col("x.files"), "real_conflicts": F.col("x.files.path"), "placeholders": F.array("x.path")}
+    parts = []
+    for name, found in paths.items():
+        rows = parsed.select(F.posexplode(f"r.{name}").alias("position", "x"))
+        parts.append(rows.select(F.lit(name).alias("list"), "position", F.col("x.size_bytes").alias("size"), F.size(found).alias("files"), found[0].alias("first_path")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("SELECT path, 'added' AS change FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT path, 'changed' FROM files WHERE doc_id % 3 = 1 UNION ALL SELECT path, 'removed' FROM files WHERE doc_id % 3 = 2 AND doc_id % 2 = 0")
 def rescan_changes(spark, sf_dir):
     files = _files(spark, sf_dir).select("doc_id", "path", "size", "mtime_ticks")

@@ -5,15 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syncsift.functions import placeholders
+from syncsift.operators import cache as hash_cache
 from syncsift.operators import inventory, report, verdicts
 from syncsift.schema import MAX_DEPTH, RESERVED, WINDOW
 from syncsift.shipping import ship
 from syncsift.sources import filetree
+from syncsift.tables import written
+
+ALGORITHMS = {"sha256": "SHA-256", "blake3": "BLAKE3"}
 
 
 @dataclass
@@ -23,6 +26,7 @@ class Scan:
     members: DataFrame
     telemetry: DataFrame
     started: datetime
+    algorithm: str = "sha256"
 
     @property
     def groups(self) -> DataFrame:
@@ -45,22 +49,39 @@ class Scan:
         return report.exit_code(bool(found[0] + found[1]), not self.inventory.errors.isEmpty(), bool(found[2]))
 
     def json(self, finished: datetime | None = None) -> str:
-        return report.report(self.telemetry, self.groups, self.duplicates, self.conflicts, placeholders.records(self.inventory.files), self.root, self.started, finished or datetime.now(timezone.utc))
+        return report.report(self.telemetry, self.groups, self.duplicates, self.conflicts, placeholders.records(self.inventory.files), self.root, self.started, finished or datetime.now(timezone.utc), ALGORITHMS.get(self.algorithm, self.algorithm))
+
+    def cache(self, before: DataFrame | None = None, now: int | None = None) -> DataFrame:
+        """The hash cache after this scan: its hashes, and the entries of ``before`` that it has not seen."""
+        fresh = hash_cache.entries(self.members.where("partial IS NOT NULL"), now if now is not None else int(self.started.timestamp()), self.algorithm)
+        return hash_cache.upsert(before, fresh) if before is not None else fresh
 
     def text(self) -> str:
         return report.text_summary(self.telemetry, self.duplicates, self.conflicts, self.unresolved, self.root)
 
 
-def scan(rows: DataFrame, root: str, window: int = WINDOW, algorithm: str = "sha256", max_depth: int = MAX_DEPTH, reserved: str = RESERVED) -> Scan:
-    """Scan an inventory; content comes from its content column, or is read by path where there is none."""
+def scan(rows: DataFrame, root: str, window: int = WINDOW, algorithm: str = "sha256", max_depth: int = MAX_DEPTH, reserved: str = RESERVED, cache: DataFrame | None = None) -> Scan:
+    """Scan an inventory; content comes from its content column, or is read by path where there is none.
+
+    The inventory, the hashes of each stage and the result are written tables: a lost executor doesn't make a file be read
+    again, when it may have changed. With a ``cache`` only files that it doesn't know in their present state are read.
+    """
     started = datetime.now(timezone.utc)
-    by_path = "content" not in rows.columns
-    inv = inventory.order(rows if by_path else verdicts.hashed_content(rows, window), root, max_depth, reserved)
-    inv.files = inv.files.persist(StorageLevel.MEMORY_AND_DISK)  # several tables read it; files may change on disk meanwhile
+    inv = inventory.order(rows.drop("content"), root, max_depth, reserved)
+    inv.files = written(inv.files)
     candidates = verdicts.grouped_rows(inv.files).drop("members")
-    hashed = (verdicts.hashed_paths(candidates, window, algorithm) if by_path else candidates).persist(StorageLevel.MEMORY_AND_DISK)  # each file is read once
-    members = verdicts.judged_members(hashed)
-    return Scan(root, inv, members, verdicts.telemetry(inv.counts, inv.files, members, window), started)
+    if cache is not None:
+        hash_cache.validate(cache)
+        candidates = hash_cache.lookup(candidates, cache, algorithm).drop("key_hex")
+    candidates = written(candidates)
+    if "content" in rows.columns:
+        if algorithm not in ALGORITHMS:
+            raise ValueError(f"a content column is hashed by {' or '.join(ALGORITHMS)}, not {algorithm}")
+        hashed = verdicts.hashed_content(candidates, rows.select("path", "size", "content"), window, algorithm == "blake3")
+    else:
+        hashed = verdicts.hashed_paths(candidates, window, algorithm)
+    members = written(verdicts.judged_members(written(hashed)))
+    return Scan(root, inv, members, verdicts.telemetry(inv.counts, members, window), started, algorithm)
 
 
 def scan_tree(spark: SparkSession, root: str, **options) -> Scan:

