@@ -121,17 +121,23 @@ def dealt(df: DataFrame, keys: list[str], then: list[str] | None = None, n: int
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *(then or []))
 
 
-def arrow(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], df: DataFrame, schema: str) -> DataFrame:
-    """mapInArrow that gives a worker's free memory back to the system at a task's end: workers are kept for later tasks."""
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def arrow(function: Pass, df: DataFrame, schema: str) -> DataFrame:
+    return df.mapInArrow(released(function), schema)
+
+
+def released(function: Pass) -> Pass:
+    """The function for mapInArrow, which gives free memory back to the system at a task's end: workers are kept for later tasks."""
 
     def run(batches):
         try:
             yield from function(batches)
         finally:
-            del batches
             release()
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
 def release() -> None:
@@ -154,13 +160,24 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> D
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.coalesce(good, F.lit(False)))
 
 
-def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
-    """An array<number> column without nulls, all of one length, as a matrix."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+def vector_rows(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
+    """(rid, id, v), written: a row for each usable vector. rid numbers rows, so that rows that repeat an id stay apart."""
+    return written(usable_vectors(only(df, id_col, vec_col), id_col, vec_col, nonzero).withColumn("rid", F.monotonically_increasing_id()))
+
+
+def by_length(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """[(length, places, matrix)] of an array<double> column without nulls."""
     if not len(column):
-        return np.zeros((0, 0), kind)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), -1)
+        return []
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy().astype(np.int64))
+    size = np.diff(ends, prepend=0)
+    if (size == size[0]).all():
+        return [(int(size[0]), np.arange(len(column)), flat.reshape(len(column), -1))]
+    out = []
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        out.append((n, rows, flat[(ends[rows] - n)[:, None] + np.arange(n)]))
+    return out
 
 
 def crc_fold(column: str = "doc_id"):
@@ -168,21 +185,28 @@ def crc_fold(column: str = "doc_id"):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5))
 
 
+SALTS = 8  # parts that the neighbours of one node are dealt to
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): for each node with an edge, the smallest node that it reaches. edges: (a, b) of long.
 
-    Alternates large-star and small-star steps, each a grouped minimum that is combined before it is shuffled
-    and a join that Spark can split where a node has very many neighbours; each round is a written table.
+    Alternates large-star and small-star steps, each a grouped minimum that is combined before it is shuffled and a
+    join on the node and a salt of the neighbour, so that a node with very many neighbours is no single task's; each
+    round is a written table.
     """
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), each)
+        large = both.where("v > u").select("u", "v", salt).join(least.hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large)
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below.hint("merge"), "u").select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(below.select(F.col("u").alias("x"), F.col("m").alias("y")))
+        small = large.select("u", "v", salt).join(below.select("u", "m", each).hint("merge"), ["u", "salt"]).select(F.col("v").alias("x"), F.col("m").alias("y"))
+        small = small.unionByName(below.select(F.col("u").alias("x"), F.col("m").alias("y")))
         small = written(small.where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
         tally = small.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % F.lit(1 << 40))).first()
         dropped(now)
@@ -194,4 +218,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not converge")
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return written(labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    out = written(labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    dropped(now)
+    return out

@@ -1,16 +1,18 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Vectors are dealt to blocks of about ``block_rows`` rows, and each query is sent to every block (a stated query set
-against all rows, in blocks; rows aren't paired). A block quantises each dimension into 16 cells over its own range. For
-a batch of queries the scan of the cells gives an upper and a lower bound of every score (a cell's centre and half
-width); the kth largest lower bound decides which rows stay open. Of these, exact vectors are read in the order of
-their upper bounds until the next bound is below the kth exact score, so the block's top k is certain. The tops of the
-blocks meet per query, k rows for each block.
-
-Defined results: vectors that are null, empty or hold a null or non-finite component take no part; the usual length is
-the longest, other lengths take no part; of rows that repeat an id the smallest vector counts; ties go to the smaller
-id; a query's own id is no candidate; fewer candidates give fewer rows; an empty table gives none; other columns are
-ignored. Components are exact integers as long as |floor(scale * x)| < 2^26.
+Vectors are dealt to blocks of about ``block_bytes``, and each query is sent to every block (a stated query set against
+all rows, in blocks; rows aren't paired). A block quantises each dimension into 16 cells over its own range: the
+approximation file, a byte for each component. For a batch of queries the scan of the cells, some thousand rows at a time,
+gives an upper and a lower bound of every score (a cell's centre and half width, and the rounding of the scan); the
+kth largest lower bound decides which rows stay open. Of these, exact vectors are read in the order of their upper bounds until the
+next bound is below the kth exact score, so the block's top k is certain. The tops of the blocks meet per query, k rows
+for each block.
+
+Defined results: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows with a null
+id; a vector is compared with those of its own length; rows that repeat an id are rows of their own (each is a candidate of
+the other and, if its id is asked for, a query); ties go to the smaller id; fewer candidates give fewer rows; an empty
+table gives none; other columns are ignored, whatever their names. Scores are sums of exact integers of any size; one
+that a long can't hold is ranked exactly and returned as the nearest long.
 """
 
 from __future__ import annotations
@@ -20,90 +22,119 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syncsift.llm.common import by_key, dealt, matrix, only, usable_vectors, written
+from syncsift.llm.common import by_key, by_length, dealt, partitions, released, vector_rows
 
 CELLS = 16
-
-
-def unique_vectors(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
-    """(id, v): one usable vector for each id, all of the longest length there is."""
-    rows = written(usable_vectors(only(df, id_col, vec_col), id_col, vec_col, nonzero).groupBy("id").agg(F.min("v").alias("v")))
-    longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    return rows.where(F.size("v") == longest)
+PLAIN = 2.0**40  # larger components have no cells: all their rows are open
+EXACT = 2.0**53  # sums of integers below are exact in double precision
+CHUNK = 4096  # rows that a scan widens at once
 
 
 class Cells:
-    """A block's vectors, the centres of their cells, and the half width of the cells in each dimension."""
-
-    def __init__(self, ids: np.ndarray, exact: np.ndarray):
-        self.ids, self.exact = ids, exact
-        low, high = exact.min(axis=0), exact.max(axis=0)
-        width = np.maximum((high - low) / CELLS, 1e-9)
-        cell = np.minimum(((exact - low) / width).astype(np.uint8), CELLS - 1)  # the approximation file
-        self.centre = low + (cell + 0.5) * width
-        self.width = width / 2 * (1 + 1e-6) + 1e-9
-
-    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """A block's vectors of one length: the cells of their components, and the exact components as whole numbers."""
+
+    def __init__(self, rids: np.ndarray, ids: np.ndarray, exact: np.ndarray):
+        self.rids, self.ids, self.exact = rids, ids, exact
+        self.most = np.abs(exact).max(axis=0)
+        self.plain = bool(self.most.max() < PLAIN)
+        if self.plain:
+            self.low = exact.min(axis=0)
+            self.width = np.maximum((exact.max(axis=0) - self.low) / CELLS, 1e-9)
+            self.cell = np.minimum((exact - self.low) / self.width, CELLS - 1).astype(np.uint8)
+            self.half = self.width / 2 * (1 + 1e-6) + 1e-9 * (1 + self.most)
+
+    def scan(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(upper bounds of all scores, by how much the lower bounds are less) for queries of plain components."""
+        narrow, middle = queries.astype(np.float32), np.empty((len(queries), len(self.ids)), np.float32)
+        for a in range(0, len(self.ids), CHUNK):
+            centre = (self.low + (self.cell[a : a + CHUNK] + 0.5) * self.width).astype(np.float32)
+            middle[:, a : a + CHUNK] = narrow @ centre.T
+        size = np.abs(queries)
+        rounding = (queries.shape[1] + 8) * 1.2e-7 * (size @ (self.most + self.half))
+        reach = size @ self.half + rounding + 1e-6
+        return middle + (reach * (1 + 1e-6))[:, None], 2 * reach * (1 + 1e-6)
+
+    def scores(self, query: np.ndarray, rows: np.ndarray) -> list[int]:
+        if float(np.abs(query) @ self.most) < EXACT:
+            return (self.exact[rows] @ query).astype(np.int64).tolist()
+        q = list(map(int, query))
+        return [sum(int(x) * y for x, y in zip(r, q, strict=True)) for r in self.exact[rows].tolist()]
+
+    def top(self, query_rids: np.ndarray, queries: np.ndarray, k: int):
         """(query index, row, score) of each query's k best."""
-        middle = queries @ self.centre.T
-        reach = (np.abs(queries) @ self.width)[:, None] + 1e-6  # the widths are those of the dimension: one for all rows
-        upper = middle + reach
-        upper[query_ids[:, None] == self.ids[None, :]] = -np.inf
+        plain = self.plain and bool((np.abs(queries) < PLAIN).all())
+        if plain:
+            upper, twice = self.scan(queries)
+        else:
+            upper, twice = np.full((len(queries), len(self.ids)), np.inf, np.float32), np.full(len(queries), np.inf)
+        upper[query_rids[:, None] == self.rids[None, :]] = -np.inf
         m = min(k, upper.shape[1])
-        kth = np.partition(upper, upper.shape[1] - m, axis=1)[:, upper.shape[1] - m] - 2 * reach[:, 0]  # the kth largest lower bound
         out = []
         for q in range(len(queries)):
-            open_rows = np.flatnonzero((upper[q] >= kth[q]) & np.isfinite(upper[q]))
+            least = np.partition(upper[q], upper.shape[1] - m)[upper.shape[1] - m] - twice[q] if plain else -np.inf  # the kth largest lower bound
+            open_rows = np.flatnonzero((upper[q] >= least) & (upper[q] > -np.inf))
             order = open_rows[np.argsort(-upper[q, open_rows], kind="stable")]
-            rows, scores, at = np.zeros(0, np.int64), np.zeros(0), 0
-            while at < len(order) and (len(rows) < k or upper[q, order[at]] >= scores[-1]):
-                take = order[at : at + max(32, k)]
-                rows = np.concatenate([rows, take])
-                scores = np.concatenate([scores, self.exact[take] @ queries[q]])
-                best = np.lexsort((self.ids[rows], -scores))[:k]
-                rows, scores, at = rows[best], scores[best], at + len(take)
-            out.append((np.full(len(rows), q), rows, scores))
-        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score long) from (id, v) of integers as doubles; ``is_query`` is a condition on id."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    data = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
-    asked = vectors.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
+            best, at, step = [], 0, 4 * k
+            while at < len(order) and (not plain or len(best) < k or upper[q, order[at]] >= -best[-1][0]):
+                take = order[at : at + step]
+                found = zip((-s for s in self.scores(queries[q], take)), self.ids[take].tolist(), take.tolist(), strict=True)
+                best = sorted([*best, *found])[:k]
+                at, step = at + len(take), 2 * step
+            out += [(q, row, -s) for s, _, row in best]
+        return out
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, block_bytes: int = 24 << 20) -> DataFrame:
+    """(query_id, rank, vec_id, score long) from (rid, id, v); ``is_query`` is a condition on id; components count as floor(scale * x)."""
+    total = vectors.agg(F.count("*").alias("n"), F.sum(F.size("v").cast("long")).alias("size")).first()
+    tasks = min(2 * partitions(vectors.sparkSession), -(-(total["n"] or 0) // 2048))  # for small tables, to keep all cores busy
+    blocks = max(1, tasks, -(-8 * (total["size"] or 0) // block_bytes))
+    data = vectors.select(F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "rid", "id", "v")
+    asked = vectors.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "rid", "id", "v")
 
     def search(batches):
-        held, cells = [], None
-        for _, first, piece in by_key(batches, ("block", "kind")):
-            kind = piece.column("kind")[0].as_py()
-            ids, v = piece.column("id").to_numpy(), matrix(piece.column("v"))
+        held: dict[int, list] = {}
+        cells: dict[int, Cells] = {}
+        for (_, kind), first, piece in by_key(batches, ("block", "kind")):
+            rids, ids = piece.column("rid").to_numpy(), piece.column("id").to_numpy()
             if kind == 0:
-                held = [(ids, v)] if first else [*held, (ids, v)]
-                cells = None
-                continue
-            if first and not held:
-                cells = None
-            if cells is None and held:
-                cells, held = Cells(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])), []
-            if cells is None:
+                if first:
+                    held, cells = {}, {}
+                for n, rows, v in by_length(piece.column("v")):
+                    held.setdefault(n, []).append((rids[rows], ids[rows], np.floor(scale * v)))
                 continue
-            for a in range(0, len(ids), 512):
-                q, rows, scores = cells.top(ids[a : a + 512], v[a : a + 512], k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + q]), pa.array(cells.ids[rows]), pa.array(scores.astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    found = dealt(data.unionByName(asked), ["block"], ["kind"]).mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for n, rows, v in by_length(piece.column("v")):
+                if n in held:  # a block that has queries only has nothing here: kind 0 came first
+                    cells[n] = Cells(*(np.concatenate([h[i] for h in held[n]]) for i in range(3)))
+                    del held[n]
+                if n not in cells:
+                    continue
+                own, asks = cells[n], np.floor(scale * v)
+                step = max(1, min(256, (4 << 20) // len(own.ids)))
+                for a in range(0, len(rows), step):
+                    found = own.top(rids[rows[a : a + step]], asks[a : a + step], k)
+                    if found:
+                        q, row, score = zip(*found, strict=True)
+                        at = rows[a + np.array(q)]
+                        clipped = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in score]
+                        ranks = [f"{s + (1 << 2200):0700x}" if s != c else None for s, c in zip(score, clipped, strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(rids[at]), pa.array(ids[at]), pa.array(own.ids[list(row)]), pa.array(clipped, pa.int64()), pa.array(ranks, pa.string())], ["q", "query_id", "vec_id", "score", "beyond"]
+                        )
+
+    found = dealt(data.unionByName(asked), ["block"], ["kind"]).mapInArrow(released(search), "q long, query_id long, vec_id long, score long, beyond string")
+    # beyond orders scores that a long can't hold: above all others or below them, by its sign and then its digits.
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.desc(F.when(F.col("score") > 0, F.coalesce("beyond", F.lit(""))).otherwise(F.coalesce("beyond", F.lit("~")))), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def digest(embeddings: DataFrame, scale: int = 256, every: int = 50) -> DataFrame:
-    rows = unique_vectors(embeddings, "vec_id", "embedding", nonzero=False)
-    return top_k(rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")), F.col("id") % every == 0)
+def digest(embeddings: DataFrame, every: int = 50) -> DataFrame:
+    return top_k(vector_rows(embeddings, "vec_id", "embedding", nonzero=False), F.col("id") % every == 0)
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.rid <> c.rid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

@@ -1,30 +1,36 @@
 """Approximate nearest neighbours by cosine with shifted space-filling curves.
 
-Equal vectors are grouped first: a group is one point of the index with its k + 1 smallest ids, since further copies
+Equal vectors are grouped first: a group is one point of the index with its k + 1 smallest rows, since further copies
 can't be in any result. Each of ``curves`` Hilbert curves orders all points by the key of their unit vectors, projected to
 ``dims`` random orthonormal directions, shifted at random and quantised to ``bits`` bits (the spread of each direction
-comes from a bounded sample). The keys of a curve are range-partitioned into tiles of equal counts. A query looks at its
-own tile and the ``window`` share of tiles at either side; exact cosines in double precision rerank what it meets, and the
-tops of all curves and tiles merge.
-
-``window`` is a share of all points, not a count, so recall holds as the table grows: vectors without structure (as
-in the test data, where the fifth neighbour's cosine is the tail of random ones) leave no index a smaller candidate set
-at a recall of 0.9. Structured vectors do with a far smaller share. tests/llm measure recall against brute force.
-
-Defined results: vectors that are null, zero or hold a null or non-finite component take no part; the usual length is
-the longest, other lengths take no part; of rows that repeat an id the smallest vector counts; ties go to the smaller
-id; a query's own id is no candidate; fewer candidates give fewer rows; an empty table gives none; other columns are ignored.
+comes from a bounded sample). The keys of a curve are cut into ``tiles`` ranges of equal counts, and a tile into blocks of
+``block_rows`` points. A query looks at its own tile and the neighbouring tiles at either side; exact cosines rerank what
+it meets, and the tops of all curves and blocks merge.
+
+How many neighbouring tiles is measured, not set: for ``probes`` points of the sample the true neighbours among all points are
+found (one pass over the points), and the smallest window that holds a share of ``want`` of them on some curve is taken. So
+vectors with structure, whose neighbours lie close on a curve, cost a small share of the points; vectors without any (as in the
+test data, where the fifth neighbour's cosine is the tail of random ones) leave no index a small candidate set, and their
+window is a large share. Lengths of at most ``whole_rows`` points are one tile, compared in full. tests/llm measure the
+recall against brute force.
+
+Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with a
+null id; a vector is compared with those of its own length; rows that repeat an id are rows of their own (each is a candidate
+of the other and, if its id is asked for, a query); cosines are computed in extended precision and rounded to double, so that
+parallel vectors tie; ties go to the smaller id; fewer candidates give fewer rows; an empty table gives none; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syncsift.llm.common import by_key, matrix, partitions, written
-from syncsift.llm.exact_topk import unique_vectors
+from syncsift.llm.common import by_key, by_length, released, vector_rows, written
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -58,39 +64,29 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def grouped(vectors: DataFrame, keep: int) -> DataFrame:
-    """(rid, v, ids): equal vectors with their ``keep`` smallest ids; copies shrink inside each batch before any shuffle."""
-
-    def shrink(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids, v = batch.column("id").to_numpy(), np.ascontiguousarray(matrix(batch.column("v"))) + 0.0
-            order = np.argsort(ids, kind="stable")
-            row = v[order].view([("", np.void, v.shape[1] * 8)]).ravel()
-            _, group = np.unique(row, return_inverse=True)
-            by = np.argsort(group, kind="stable")
-            sizes = np.bincount(group)
-            place = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            taken = order[by[place < keep]]
-            yield batch.take(pa.array(taken))
-
-    few = vectors.mapInArrow(shrink, "id long, v array<double>").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    least = lambda c: F.slice(F.sort_array(c), 1, keep)
-    some = few.groupBy("v", "salt").agg(least(F.collect_list("id")).alias("ids"))
-    return some.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).select(F.col("ids")[0].alias("rid"), "v", "ids")
+def grouped(rows: DataFrame, keep: int) -> DataFrame:
+    """(pid, v, ids): equal vectors with their ``keep`` first (id, rid); a common vector leaves its task as ``keep`` rows."""
+    even = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
+    keyed = even.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(7), "v"), "salt": F.pmod(F.xxhash64(F.shiftright("rid", 33)), F.lit(32))})
+    for by in (("h", "g", "salt"), ("h", "g")):
+        first = Window.partitionBy(*by).orderBy("id", "rid")
+        keyed = keyed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= keep).drop("place")
+    points = keyed.groupBy("h", "g").agg(F.first("v").alias("v"), F.sort_array(F.collect_list(F.struct("id", "rid"))).alias("ids"))
+    return points.select(F.col("ids")[0]["rid"].alias("pid"), "v", "ids")
 
 
 class Curves:
-    def __init__(self, sample: np.ndarray, curves: int, dims: int, bits: int, seed: int):
-        rng = np.random.default_rng(seed)
-        width = sample.shape[1]
+    """The curves of one length of vectors."""
+
+    def __init__(self, width: int, sample: np.ndarray | None, curves: int, dims: int, bits: int, seed: int):
+        rng = np.random.default_rng([seed, width])
         self.dims, self.bits, self.axes, self.shift = min(dims, width), bits, [], []
         for _ in range(curves):
             q, _ = np.linalg.qr(rng.normal(size=(width, self.dims)))
             y = sample @ q
-            self.axes.append(q / np.maximum(y.std(axis=0), 1e-9))
-            self.shift.append(rng.uniform(0, 1, self.dims) - (y.mean(axis=0) / np.maximum(y.std(axis=0), 1e-9)))
+            spread = np.maximum(y.std(axis=0), 1e-9)
+            self.axes.append(q / spread)
+            self.shift.append(rng.uniform(0, 1, self.dims) - y.mean(axis=0) / spread)
 
     def keys(self, unit: np.ndarray) -> list[np.ndarray]:
         top = (1 << self.bits) - 1
@@ -102,84 +98,157 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 8, dims: int = 4, bits: int = 9, window: float = 0.1, tiles: int = 24, tile_rows: int = 4096, sample: int = 4096, seed: int = 3) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (id, v); ``is_query`` is a condition on id."""
-    spark = vectors.sparkSession
-    points = written(grouped(vectors, k + 1))
-    n = points.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = points.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("v").toPandas()
-    index = Curves(_unit(np.stack(picked.v.to_list())), curves, dims, bits, seed)
-    tiles = max(tiles, -(-n // tile_rows))
-    reach = max(1, round(window * tiles))
+def cosines(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The cosines of one vector with others, rounded to double."""
+    x, rows = x.astype(np.longdouble), rows.astype(np.longdouble)
+    return ((rows * x).sum(axis=1) / np.sqrt((x * x).sum() * (rows * rows).sum(axis=1))).astype(np.float64)
+
+
+class Tiles:
+    """Where points lie: lengths without curves are one tile each."""
+
+    def __init__(self, index: dict[int, Curves], cuts: dict[tuple[int, int], np.ndarray], curves: int, tiles: int):
+        self.index, self.cuts, self.curves, self.tiles = index, cuts, curves, tiles
+
+    def of(self, n: int, unit: np.ndarray) -> np.ndarray:
+        """The tile of each row on each curve."""
+        if n not in self.index:
+            return np.zeros((1, len(unit)), np.int64)
+        return np.stack([np.searchsorted(self.cuts[n, c], key, side="right") for c, key in enumerate(self.index[n].keys(unit))])
+
+
+def fitted(points: DataFrame, curves: int, dims: int, bits: int, tiles: int, whole_rows: int, sample: int, seed: int) -> tuple[Tiles, dict[int, int], dict[int, np.ndarray]]:
+    """The tiles, the points of each length that has curves, and a bounded sample of unit vectors of these lengths."""
+    counts = points.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("points"))
+    large = {r["n"]: r["points"] for r in counts.where(F.col("points") > whole_rows).collect()}  # so no more than points / whole_rows
+    mine = points.where(F.size("v").isin(list(large))) if large else points.where("false")
+    picked = mine.select("pid", "v").orderBy(F.xxhash64("pid"), "pid").limit(sample).collect() if large else []
+    some: dict[int, list] = {n: [] for n in large}
+    for r in picked:
+        some[len(r["v"])].append(r["v"])
+    units = {n: _unit(np.array(v)) if v else np.zeros((0, n)) for n, v in some.items()}
+    plain = lambda n: np.concatenate([np.eye(n), -np.eye(n)])  # noqa: E731  a length that the sample misses
+    index = {n: Curves(n, units[n] if len(units[n]) > 1 else plain(n), curves, dims, bits, seed) for n in large}
 
     def keys(batches):
         for b in batches:
-            if len(b):
-                found = index.keys(_unit(matrix(b.column("v"))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(curves, dtype=np.int32), len(b))), pa.array(np.concatenate(found))], ["curve", "key"])
+            for n, _, v in by_length(b.column("v")):
+                found = index[n].keys(_unit(v))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(curves * len(v), n, np.int32)), pa.array(np.repeat(np.arange(curves, dtype=np.int32), len(v))), pa.array(np.concatenate(found))], ["n", "curve", "key"])
 
-    cut = F.percentile_approx("key", [i / tiles for i in range(1, tiles)], F.lit(max(10_000, 20 * tiles)))
-    cuts = {r["curve"]: np.array(r["cut"]) for r in points.select("v").mapInArrow(keys, "curve int, key long").groupBy("curve").agg(cut.alias("cut")).collect()}
+    cut = F.percentile_approx("key", [i / tiles for i in range(1, tiles)], F.lit(50 * tiles))
+    got = mine.select("v").mapInArrow(released(keys), "n int, curve int, key long").groupBy("n", "curve").agg(cut.alias("cut")).collect() if large else []
+    return Tiles(index, {(r["n"], r["curve"]): np.array(r["cut"]) for r in got}, curves, tiles), large, units
 
-    queries = vectors.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.xxhash64("v").alias("h"))
-    owner = written(queries.join(points.select("rid", "v", F.xxhash64("v").alias("h")).hint("merge"), "h").where("v = qv").select("query_id", "rid"))
-    asked = points.join(owner.select("rid").distinct().hint("merge"), "rid", "left_semi")
+
+def measured_window(points: DataFrame, placed: Tiles, units: dict[int, np.ndarray], k: int, probes: int, want: float) -> int:
+    """The least number of neighbouring tiles at either side that holds a share of ``want`` of the true neighbours of some sampled points."""
+    units = {n: u[:probes] for n, u in units.items() if len(u)}
+    at = {n: placed.of(n, u) for n, u in units.items()}
+
+    def nearest(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for n, _, v in by_length(b.column("v")):
+                if n not in units:
+                    continue
+                for a in range(0, len(v), 4096):
+                    unit = _unit(v[a : a + 4096])
+                    near = units[n] @ unit.T
+                    m = min(k + 1, near.shape[1])
+                    rows = np.argpartition(-near, m - 1, axis=1)[:, :m]
+                    tiles = placed.of(n, unit)
+                    away = np.abs(tiles[:, rows] - at[n][:, :, None]).min(axis=0)
+                    score = np.take_along_axis(near, rows, axis=1)
+                    if n in best:
+                        score, away = np.hstack([best[n][0], score]), np.hstack([best[n][1], away])
+                    keep = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                    best[n] = np.take_along_axis(score, keep, axis=1), np.take_along_axis(away, keep, axis=1)
+        for n, (score, away) in best.items():
+            probe = np.repeat(np.arange(len(score)), score.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(probe), n, np.int32)), pa.array(probe), pa.array(score.ravel()), pa.array(away.ravel())], ["n", "probe", "score", "away"])
+
+    found = points.select("v").mapInArrow(released(nearest), "n int, probe long, score double, away long")
+    place = F.row_number().over(Window.partitionBy("n", "probe").orderBy(F.desc("score"), "away"))
+    needs = [r["away"] for r in found.withColumn("place", place).where((F.col("place") > 1) & (F.col("place") <= k + 1)).select("away").collect()]  # the first is the probe itself
+    return max(1, int(np.quantile(needs, want, method="higher"))) if needs else 1
+
+
+def neighbours(
+    rows: DataFrame, is_query: Column, k: int = 5, curves: int = 8, dims: int = 4, bits: int = 9, window: int | None = None, want: float = 0.95, tiles: int = 48, block_rows: int = 16_384, whole_rows: int = 4096, sample: int = 4096, probes: int = 192, seed: int = 3
+) -> DataFrame:
+    """(query_id, rank, vec_id, score) from (rid, id, v); ``is_query`` is a condition on id; ``window``: tiles at either side, measured if none is given."""
+    points = written(grouped(rows, k + 1))
+    placed, large, units = fitted(points, curves, dims, bits, tiles, whole_rows, sample, seed)
+    reach = measured_window(points, placed, units, k, probes, want) if window is None and large else window or 1
+    parts = {n: max(1, math.ceil(p / tiles / block_rows)) for n, p in large.items()}
+
+    queries = rows.where(is_query).select(F.col("rid").alias("own"), F.col("id").alias("query_id"), F.transform("v", lambda x: x + F.lit(0.0)).alias("qv")).withColumns({"h": F.xxhash64("qv"), "g": F.xxhash64(F.lit(7), "qv")})
+    hashed = points.select("pid", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(7), "v").alias("g"))
+    owner = written(queries.drop("qv").join(hashed.hint("merge"), ["h", "g"]).select("own", "query_id", "pid"))
+    asked = points.join(owner.select("pid").distinct().hint("merge"), "pid", "left_semi")
 
     def place(kind: int):
+        def out(b, n, curve, tile, rows, pids):
+            own = parts.get(n, 1)
+            part = [pids % own] if not kind else [np.full(len(rows), p) for p in range(own)]
+            for p in part:
+                some = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (np.full(len(rows), n), curve * tiles + tile, p, np.full(len(rows), kind))] + list(some.columns), ["n", "tile", "part", "kind", *some.schema.names])
+
         def run(batches):
             for b in batches:
-                if not len(b):
-                    continue
-                for c, key in enumerate(index.keys(_unit(matrix(b.column("v"))))):
-                    tile = np.searchsorted(cuts[c], key, side="right")
-                    for step in range(-reach, reach + 1) if kind else (0,):
-                        at = tile + step
-                        ok = np.flatnonzero((at >= 0) & (at < tiles))
-                        some = b.take(pa.array(ok))
-                        yield pa.RecordBatch.from_arrays([pa.array((c * tiles + at[ok]).astype(np.int32)), pa.array(np.full(len(ok), kind, np.int32)), *some.columns], ["tile", "kind", "rid", "v", "ids"])
+                pids = b.column("pid").to_numpy()
+                for n, at, v in by_length(b.column("v")):
+                    for c, tile in enumerate(placed.of(n, _unit(v))):
+                        for step in range(-reach, reach + 1) if kind and n in placed.index else (0,):
+                            ok = np.flatnonzero((tile + step >= 0) & (tile + step < tiles))
+                            yield from out(b, n, c, tile[ok] + step, at[ok], pids[at[ok]])
 
-        return run
+        return released(run)
 
-    kinds = "tile int, kind int, rid long, v array<double>, ids array<long>"
-    every = points.mapInArrow(place(0), kinds).unionByName(asked.select("rid", "v", "ids").mapInArrow(place(1), kinds))
-    ranged = every.repartitionByRange(partitions(spark), "tile").sortWithinPartitions("tile", "kind")
+    kinds = "n int, tile int, part int, kind int, pid long, v array<double>, ids array<struct<id: long, rid: long>>"
+    every = points.mapInArrow(place(0), kinds).unionByName(asked.select("pid", "v", F.lit(None).cast("array<struct<id: long, rid: long>>").alias("ids")).mapInArrow(place(1), kinds))
+    keys = ["n", "tile", "part"]
+    ranged = every.repartitionByRange(*keys).sortWithinPartitions(*keys, "kind")
 
     def search(batches):
         held, data, at = [], None, None
-        for (tile, kind), _, piece in by_key(batches, ("tile", "kind")):
-            if tile != at:
-                held, data, at = [], None, tile
+        for (n, tile, part, kind), _, piece in by_key(batches, (*keys, "kind")):
+            if (n, tile, part) != at:
+                held, data, at = [], None, (n, tile, part)
             if kind == 0:
                 held.append(piece)
                 continue
-            if data is None and held:
+            if held:
                 table = pa.Table.from_batches(held).combine_chunks()
-                raw = matrix(table.column("v"))
-                data = (table.column("rid").to_numpy(), raw, _unit(raw), table.column("ids").combine_chunks())
-                held = []
+                raw = np.concatenate([by_length(p.column("v"))[0][2] for p in held])
+                ids = table.column("ids").combine_chunks()
+                first = ids.flatten().field("id").to_numpy()[np.cumsum(ids.value_lengths().to_numpy()) - ids.value_lengths().to_numpy()]
+                data, held = (table.column("pid").to_numpy(), first, raw, _unit(raw), ids), []
             if data is None:
                 continue
-            rids, raw, unit, ids = data
-            q_ids, q_raw = piece.column("rid").to_numpy(), matrix(piece.column("v"))
-            for a in range(0, len(q_ids), 256):
-                near = _unit(q_raw[a : a + 256]) @ unit.T
-                m = min(k + 1 + 4, near.shape[1])
-                best = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                for i, rows in enumerate(best):
-                    x = q_raw[a + i]
-                    s = (raw[rows] * x).sum(axis=1) / np.sqrt((x * x).sum() * (raw[rows] * raw[rows]).sum(axis=1))
-                    rows, s = (z[np.lexsort((rids[rows], -s))[: k + 1]] for z in (rows, s))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), q_ids[a + i])), pa.array(rids[rows]), pa.array(s), ids.take(pa.array(rows))], ["q", "rid", "score", "ids"])
-
-    found = ranged.mapInArrow(search, "q long, rid long, score double, ids array<long>")
-    once = found.groupBy("q", "rid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    top = once.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rid"))).where(F.col("r") <= k + 1)
-    pairs = owner.withColumnRenamed("rid", "own").join(top.hint("merge"), F.col("own") == F.col("q")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            pids, first, raw, unit, ids = data
+            asks = by_length(piece.column("v"))[0][2]
+            who = piece.column("pid").to_numpy()
+            for a in range(0, len(who), 256):
+                near = _unit(asks[a : a + 256]) @ unit.T
+                m = min(k + 1, near.shape[1])
+                least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m] - 1e-9
+                for i in range(len(near)):
+                    rows = np.flatnonzero(near[i] >= least[i])  # ties are all here
+                    s = cosines(asks[a + i], raw[rows])
+                    best = np.lexsort((first[rows], -s))[: k + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), who[a + i])), pa.array(pids[rows[best]]), pa.array(s[best]), ids.take(pa.array(rows[best]))], ["q", "pid", "score", "ids"])
+
+    found = ranged.mapInArrow(released(search), "q long, pid long, score double, ids array<struct<id: long, rid: long>>")
+    once = found.groupBy("q", "pid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0]["id"], "pid")
+    top = once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("q", "score", "ids")
+    pairs = owner.join(top.hint("merge"), F.col("pid") == F.col("q")).select("own", "query_id", "score", F.explode("ids").alias("x")).where("x.rid <> own")
+    order = Window.partitionBy("own").orderBy(F.desc("score"), "x.id", "x.rid")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("x.id").alias("vec_id"), "score")
 
 
 def digest(embeddings: DataFrame, every: int = 50) -> DataFrame:
-    return neighbours(unique_vectors(embeddings, "vec_id", "embedding", nonzero=True), F.col("id") % every == 0)
+    return neighbours(vector_rows(embeddings, "vec_id", "embedding", nonzero=True), F.col("id") % every == 0)

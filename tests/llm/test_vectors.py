@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from syncsift.llm import exact_topk, hilbert_ann
 
@@ -16,46 +17,82 @@ def vectors():
 
 
 @pytest.fixture(scope="module")
-def table(spark, vectors):
-    rows = [(i, [float(y) for y in v], 1, "q", 0.0) for i, v in enumerate(vectors)]
-    rows += [(5000, None, 1, "q", 0.0), (5050, [0.0] * 24, 1, "q", 0.0), (5100, [float("nan")] + [1.0] * 23, 1, "q", 0.0), (5150, [None] + [1.0] * 23, 1, "q", 0.0), (5200, [1.0, 2.0], 1, "q", 0.0), (5250, [float("inf")] * 24, 1, "q", 0.0), (50, [9.0] * 24, 1, "q", 0.0)]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id string, score double").repartition(3)
-
-
-def brute(x, ids, queries, k):
-    out = {}
-    for q in queries:
-        s = x @ x[q]
-        order = [i for i in np.lexsort((ids, -s)) if i != q][:k]
-        out[int(ids[q])] = [(int(ids[i]), s[i]) for i in order]
+def rows(vectors):
+    """Usable vectors of two lengths, rows that repeat an id, parallel vectors."""
+    out = [(i, [float(y) for y in v]) for i, v in enumerate(vectors)]
+    out += [(5050, [0.0] * 24), (50, [0.25] * 24), (50, [0.25] * 24), (5200, [1.0, 2.0]), (5201, [1.0, 2.5]), (5202, [-1.0, 0.0])]
+    out += [(6000 + i, [0.5 * (i + 1)] * 3) for i in range(60)] + [(7000, [3.0] * 5)]
     return out
 
 
-def test_exact_topk(table, vectors, spark):
-    ints = np.floor(256 * vectors.astype(np.float64))
-    ints = np.vstack([ints, np.zeros(24)])
-    ids = np.append(np.arange(1200), 5050)
-    want = brute(ints, ids, [i for i in range(len(ids)) if ids[i] % 50 == 0], 5)
-    got = {}
-    for r in exact_topk.digest(table).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert got == {q: [(i, int(s)) for i, s in rows] for q, rows in want.items()}
+@pytest.fixture(scope="module")
+def table(spark, rows):
+    bad = [(5000, None), (5100, [float("nan")] + [1.0] * 23), (5150, [None] + [1.0] * 23), (5250, [float("inf")] * 24), (5300, []), (None, [1.0] * 24)]
+    return spark.createDataFrame([(*r, 1, "q", 0.0) for r in rows + bad], "vec_id long, embedding array<float>, label int, id string, score double").repartition(3)
+
+
+def brute(rows, score, k=5):
+    """Each query row's best (score, id), by its id."""
+    out = []
+    for a, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            found = sorted((-score(x, y), i) for b, (i, y) in enumerate(rows) if b != a and len(y) == len(x))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
+def test_exact_topk(table, rows):
+    ints = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows]
+    got = exact_topk.digest(table).collect()
+    assert sorted(map(tuple, got)) == brute(ints, lambda x, y: int(x @ y))
     assert exact_topk.digest(table.where("vec_id < 0")).count() == 0
     assert exact_topk.digest(table.where("vec_id in (0, 1, 2)")).count() == 2
 
 
-def test_hilbert_recall(table, vectors):
-    x = vectors.astype(np.float64)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    want = brute(x, np.arange(1200), range(0, 1200, 50), 5)
-    got = {}
-    for r in hilbert_ann.digest(table).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert set(got) == set(want) and all(len(v) == 5 and v == sorted(v, key=lambda p: (-p[1], p[0])) for v in got.values())
-    recall = np.mean([sum(s >= want[q][-1][1] - 1e-9 for _, s in got[q]) / 5 for q in want])
-    assert recall >= 0.9
-    assert [i for i, _ in got[350]] == [7, 300, 301, 302, 303]  # ties by id in the common vector
-    assert hilbert_ann.digest(table.where("vec_id < 0")).count() == 0
+def test_exact_topk_of_large_components(spark):
+    rng = np.random.default_rng(1)
+    x = [(i, [float(y) for y in v]) for i, v in enumerate(rng.integers(-(1 << 45), 1 << 45, (120, 6)))]
+    x += [(200 + i, [float(y) for y in v]) for i, v in enumerate(rng.integers(-(1 << 21), 1 << 21, (90, 7)))]
+    x += [(300 + 50 * i, [s * 1e300, 1.0]) for i, s in enumerate((1, -1, 2, 0.5, 0))]
+    got = exact_topk.top_k(exact_topk.vector_rows(spark.createDataFrame(x, "vec_id long, embedding array<double>").repartition(2), "vec_id", "embedding", False), F.col("id") % 50 == 0)
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    dot = lambda a, b: sum(int(256 * p) * int(256 * q) for p, q in zip(a, b, strict=True))
+    want = [(q, r, i, clip(s)) for q, r, i, s in brute(x, dot)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_exact_topk_in_blocks_of_a_few_rows(table):
+    asked = exact_topk.top_k(exact_topk.vector_rows(table, "vec_id", "embedding", False), F.col("id") % 50 == 0, block_bytes=8000)
+    assert asked.exceptAll(exact_topk.digest(table)).count() == 0 and asked.count() == exact_topk.digest(table).count()
+
+
+def cosine(x, y):
+    x, y = np.array(x, np.longdouble), np.array(y, np.longdouble)
+    return float((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum()))
+
+
+@pytest.mark.parametrize("whole_rows", [100, 4096])
+def test_hilbert_recall(table, rows, whole_rows):
+    usable = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if any(v)]
+    want = brute(usable, cosine)
+    found = hilbert_ann.neighbours(exact_topk.vector_rows(table, "vec_id", "embedding", True), F.col("id") % 50 == 0, whole_rows=whole_rows)
+    got = sorted(tuple(r)[:4] for r in found.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    if whole_rows > 2000:
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+    near = lambda rows: {q: [s for p, _, _, s in rows if p == q] for q, *_ in rows}
+    g, w = near(got), near(want)
+    assert np.mean([sum(s >= min(w[q]) - 1e-9 for s in g[q]) / len(w[q]) for q in w]) >= 0.9
+    assert [i for q, _, i, _ in got if q == 350] == [7, 300, 301, 302, 303]  # ties by id in the common vector
+    assert [i for q, _, i, _ in got if q == 6000] == [6001, 6002, 6003, 6004, 6005]  # and of parallel vectors
+    assert all(round(s, 12) == round(cosine(dict(usable)[q], dict(usable)[i]), 12) for q, _, i, s in got if q % 100 == 0 and 50 not in (q, i))
+
+
+def test_hilbert_small_tables(spark, vectors):
+    for n in (0, 1, 2, 3, 6, 9):
+        rows = [(50 * i, [float(y) for y in v]) for i, v in enumerate(vectors[:n])]
+        got = hilbert_ann.digest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+        assert got.count() == n * min(5, max(0, n - 1))
 
 
 def test_hilbert_curve_visits_neighbours():
