@@ -7,14 +7,17 @@ an array of their own. One fold step finds the least rank of a word's neighbouri
 looks up the two new pairs. Words of more than ``long_word`` bytes merge all places of the least rank in a step, as a
 string replacement: a word then needs as many steps as it has different merges, not as many as merges.
 
-Distinct words are counted over the whole table. The most frequent, at most ``table_words`` (a fixed bound; a count is in
-with all of its words or not at all), are folded once and broadcast as a table from words to ids. Other words are folded
-once for each task that meets them, and a task that has met ``held_words`` of them begins anew; no case is dropped and no
-text is shuffled. Two passes of Arrow batches surround the fold: one cuts the texts and numbers their words, the
-other puts the folded ids in the numbers' places and concatenates the pieces of the ids.
+Everything is done where the texts are read, and nothing is shuffled, broadcast or collected: Spark cuts the texts, an Arrow
+pass numbers the words, expressions fold the words that are new in a slice of documents, and a second Arrow pass puts the
+ids in the numbers' places. A word that is a piece of the rank file has its id for a number, as in the public library; of the
+other words each is folded once for a task, or once for each ``held_words`` distinct words of a very large task, which then
+begins anew. So a task's memory is bounded, and a lost task is simply run again. To fold a word once for the whole table
+instead, the numbered texts have to meet the folded words by a shuffle, which took 2.1 times the input's size of disk.
+
+Decoding is a column expression over the ids: it looks up each id's bytes in a literal array and concatenates them.
 
 Defined results: a null or empty text has no tokens; a null doc_id is kept; rows that repeat a doc_id are encoded one by
-one; an empty table gives no rows; other columns are ignored.
+one; an empty table gives no rows; other columns are ignored, whatever their names; a very long text is one row of a slice.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructType
 
-from syncsift.llm.common import dropped, only, partitions, slices, written
+from syncsift.llm.common import binary_of, only, released
 
 BASE = 65_536
 SLOTS = 1 << 19
@@ -128,9 +131,12 @@ class Folds:
         at = F.get(self.starts, a) + b
         return F.when(F.get(self.owners, at) == a, F.get(self.made, at))
 
-    def byte_values(self, word: Column) -> Column:
-        one_each = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        return F.transform(F.filter(one_each, lambda c: c != ""), lambda c: F.ascii(c))
+    def of_each_byte(self, word: Column, body) -> Column:
+        """``body`` of each byte's value and the next one's, which is null at the end."""
+        value = lambda chars, i: F.ascii(F.substring(chars, i, F.lit(1)))
+        n = F.octet_length(word)
+        one_each = lambda chars: F.transform(F.sequence(F.lit(1), n), lambda i: body(value(chars, i), F.when(i < n, value(chars, i + 1))))
+        return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), one_each)
 
     def folded(self, word: Column) -> Column:
         """The ids of a word. The state has one number for each id: below it the id, above it the rank of the pair it begins.
@@ -141,7 +147,7 @@ class Folds:
         id_of = lambda x: x.bitwiseAND(F.lit(NONE - 1)).cast("int")
         begun = lambda a, b: F.shiftleft(F.coalesce(self.rank(a, b), F.lit(NONE)).cast("long"), BITS).bitwiseOR(a.cast("long"))
         byte = lambda x, y: F.coalesce(F.get(self.of_bytes, x * 256 + y), lone(F.get(self.bytes, x).cast("long")))
-        start = _let(self.byte_values(word), lambda v: F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), byte))
+        start = self.of_each_byte(word, byte)
 
         def merge(s: Column, m: Column, at: Column) -> Column:  # at, from 1: the place of m, whose pair is made into an id
             made = F.shiftright(m, BITS).cast("int")
@@ -166,7 +172,7 @@ class Folds:
         Ids are characters here. A step uses up one rank, so there are no more steps than ids, nor than bytes.
         """
         one = lambda i: F.get(self.chars, i)
-        start = F.array_join(F.transform(self.byte_values(word), lambda x: one(F.get(self.bytes, x))), "")
+        start = F.array_join(self.of_each_byte(word, lambda x, _: one(F.get(self.bytes, x))), "")
         state = lambda text, more: F.struct(text.alias("text"), more.alias("more"))
 
         def step(s: Column, _: Column) -> Column:
@@ -191,125 +197,117 @@ def encode_word(folds: Folds, word: Column, long_word: int, most_steps: int) ->
     return F.when(n <= long_word, folds.folded(word)).otherwise(folds.folded_long(word, most_steps))
 
 
-def frequent(docs: DataFrame, path: str, pattern: str, table_words: int, long_word: int) -> pa.Table:
-    """(w, ids) of all words that occur at least so often that no more than ``table_words`` do.
-
-    The count is found from a histogram of counts, whose classes are one count wide up to 16 and then a sixteenth
-    of a power of two: at most about a thousand rows come to the driver, and words are not sorted.
-    """
-    counted = only(docs, "text").select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    counted = written(counted.where(F.octet_length("w") <= long_word).select("w", F.floor(16 * F.log2("n")).alias("class")))
-    room, least = table_words, 1 << 30
-    for r in counted.groupBy("class").count().orderBy(F.desc("class")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["class"]
-    top = counted.where(F.col("class") >= least).select("w").repartition(partitions(docs.sparkSession), "w")  # a number keeps tasks
-    out = top.select("w", with_literals(literals(path), lambda f: f.folded(F.col("w"))).alias("ids")).toArrow()
-    dropped(counted)
-    return out
-
-
-def _cut(table_words, pattern: str, held_words: int, held_bytes: int):
-    """Texts to numbers of words: those of the table first, then those that the task has met, in order.
-
-    The first row of a slice brings the words that are new in it, and whether the task begins anew with them.
-    """
+def _number(path: str, held_words: int, piece_bytes: int, row_words: int = 1 << 14):
+    """(doc_id, words) to (doc_id, codes), after rows with the words that are new; the first of them says whether numbers begin anew."""
+    names = ["doc_id", "codes", "anew", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        words = table_words.value
-        find, new = regex.compile(pattern).findall, []
+        pieces, ids, new = pieces_of(path), {}, []
+        for i, piece in enumerate(pieces):
+            try:
+                ids[piece.decode()] = i
+            except UnicodeDecodeError:  # a part of a character is no word
+                continue
 
         class Numbers(dict):
-            def __missing__(self, w: str) -> int:
-                new.append(w)
-                self[w] = n = len(self)
-                return n
-
-        fresh = lambda: Numbers(zip(words, range(len(words)), strict=True))
-        numbers, held = fresh(), 0
+            def __missing__(self, word: str) -> int:
+                code = ids.get(word)
+                if code is None:
+                    code = len(pieces) + self.rest
+                    self.rest += 1
+                    new.append(word)
+                self[word] = code
+                return code
+
+        def begun() -> Numbers:
+            numbers = Numbers()
+            numbers.rest = 0
+            return numbers
+
+        numbers, anew = begun(), True
         for batch in batches:
-            for piece in slices(iter([batch]), "text"):
-                anew = len(numbers) - len(words) > held_words or held > held_bytes
-                if anew:
-                    numbers, held = fresh(), 0
+            words = batch.column("words")
+            ends = words.offsets.to_numpy()
+            bytes_at = binary_of(words.values)[1][ends]
+            start = 0
+            while start < len(batch):
+                end = min(max(start + 1, int(np.searchsorted(bytes_at, bytes_at[start] + piece_bytes, side="right")) - 1), len(batch))
+                found = words.values.slice(int(ends[start]), int(ends[end] - ends[start])).dictionary_encode()
+                code_of = np.fromiter(map(numbers.__getitem__, found.dictionary.to_pylist()), np.int32, len(found.dictionary))
+                for a in range(0, len(new), row_words) if new else (0,) if anew else ():
+                    row = [pa.nulls(1, batch.schema.field("doc_id").type), pa.nulls(1, pa.binary()), pa.array([anew]), pa.array([new[a : a + row_words]], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(row, names)
+                    anew = False
                 new.clear()
-                codes = []
-                for text in piece.column("text"):
-                    found = find(text.as_py() or "")
-                    codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)).tobytes())
-                held += sum(map(len, new))
-                rest = [None] * (len(piece) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(codes, pa.binary()), pa.array([anew, *rest], pa.bool_()), pa.array([list(new), *rest], pa.list_(pa.string()))],
-                    ["doc_id", "codes", "anew", "words"],
-                )
+                codes = code_of[found.indices.to_numpy()] if len(found) else np.zeros(0, np.int32)
+                cuts = pa.py_buffer(((ends[start : end + 1] - ends[start]) * 4).astype(np.int32))
+                own = [batch.column("doc_id").slice(start, end - start), pa.BinaryArray.from_buffers(pa.binary(), end - start, [None, cuts, pa.py_buffer(codes)]), pa.nulls(end - start, pa.bool_()), pa.nulls(end - start, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(own, names)
+                start = end
+                if numbers.rest > held_words:
+                    numbers, anew = begun(), True
 
-    return run
+    return released(run)
 
 
-def _joined(table_ids, path: str, with_ids: bool):
-    """Numbers of words to ids, their bytes, and the pieces of the ids, concatenated."""
+def _filled(path: str, most_ids: int = 1 << 18):
+    """Numbers to ids: (doc_id, ids, ids_bytes) of the rows with codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (at, known), piece = table_ids.value, pieces_of(path).__getitem__
-        table, parts = len(at) - 1, [known]
-        lengths, flat = np.diff(at), known
+        known = len(pieces_of(path))
+        parts, lengths, flat = [], [], None
         for batch in batches:
-            words, anew = batch.column("words"), batch.column("anew").to_pylist()
-            starts = [i for i in range(len(batch)) if i == 0 or anew[i] is not None]
-            for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
-                if anew[a] is not None:
-                    if anew[a]:
-                        parts, lengths = [known], lengths[:table]
-                    ids = words.slice(a, 1).flatten()
+            told = np.flatnonzero(batch.column("words").is_valid().to_numpy(zero_copy_only=False))
+            for a, b in zip([-1, *told.tolist()], [*told.tolist(), len(batch)], strict=True):
+                if a >= 0:
+                    if batch.column("anew")[a].as_py():
+                        parts, lengths = [np.arange(known, dtype=np.int32)], [np.ones(known, np.int64)]
+                    ids, flat = batch.column("words").slice(a, 1).flatten(), None
                     parts.append(ids.flatten().to_numpy().astype(np.int32, copy=False))
-                    lengths = np.concatenate([lengths, ids.value_lengths().to_numpy().astype(np.int64)])
-                    flat = np.concatenate(parts)
-                    parts = [flat]
-                    first = np.cumsum(lengths) - lengths
-                rows = batch.slice(a, b - a)
-                raw = [np.frombuffer(c, np.int32) for c in rows.column("codes").to_pylist()]
-                out, n = [], []
-                for codes in raw:
-                    size = lengths[codes]
-                    ends = np.cumsum(size)
-                    total = int(ends[-1]) if len(ends) else 0
-                    out.append(flat[np.repeat(first[codes] - ends + size, size) + np.arange(total)])
-                    n.append(total)
-                columns = [rows.column("doc_id")]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.concatenate(out)))
-                columns += [pa.array([x.astype("<u4").tobytes() for x in out], pa.binary()), pa.array([b"".join(map(piece, x.tolist())) for x in out], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(["ids"] if with_ids else []), "ids_bytes", "decoded"])
-
-    return run
-
-
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, table_words: int = 1 << 19, long_word: int = 256, held_words: int = 1 << 19, held_bytes: int = 16 << 20, with_ids: bool = True) -> DataFrame:
-    """(doc_id, ids array<int> if asked for, ids_bytes of four little-endian bytes each, decoded) for every row of ``docs``."""
-    path, pattern, spark = ranks_path or default_ranks(), pattern or default_pattern(), docs.sparkSession
-    table = frequent(docs, path, pattern, table_words, long_word)
-    ids = table.column("ids").combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
-    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy().astype(np.int64))])
-    send = spark.sparkContext.broadcast  # at most table_words words of at most long_word bytes, and their ids
-    words, known = send(table.column("w").to_pylist()), send((at, ids.flatten().to_numpy().astype(np.int32)))
-
-    kind = docs.schema["doc_id"].dataType
-    cut = StructType().add("doc_id", kind).add("codes", BinaryType()).add("anew", BooleanType()).add("words", ArrayType(StringType()))
-    done = StructType().add("doc_id", kind)
-    if with_ids:
-        done = done.add("ids", ArrayType(IntegerType()))
-    done = done.add("ids_bytes", BinaryType()).add("decoded", BinaryType())
-    most = len(pieces_of(path))
+                    lengths.append(ids.value_lengths().to_numpy().astype(np.int64))
+                rows = batch.slice(a + 1, b - a - 1)
+                if len(rows) and flat is None:
+                    flat, size = np.concatenate(parts), np.concatenate(lengths)
+                    begin = np.cumsum(size) - size
+                    parts, lengths = [flat], [size]
+                start = 0
+                while start < len(rows):
+                    raw, n = [], 0
+                    while start + len(raw) < len(rows) and (not raw or n < most_ids // 2):
+                        raw.append(np.frombuffer(rows.column("codes")[start + len(raw)].as_py(), np.int32))
+                        n += len(raw[-1])
+                    codes = np.concatenate(raw)
+                    own = size[codes]
+                    ends = np.cumsum(own)
+                    out = flat[np.repeat(begin[codes] - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)].astype("<i4")
+                    at = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum([len(x) for x in raw])]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("doc_id").slice(start, len(raw)), pa.ListArray.from_arrays(pa.array(at), pa.array(out)), pa.BinaryArray.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(at * 4), pa.py_buffer(out)])],
+                        ["doc_id", "ids", "ids_bytes"],
+                    )
+                    start += len(raw)
+
+    return released(run)
+
+
+def decoded(ids: Column, ranks_path: str | None = None) -> Column:
+    """The bytes of an array of ids, concatenated."""
+    pieces = [piece.decode("iso-8859-1") for piece in pieces_of(ranks_path or default_ranks())]
+    separator = chr(BASE)  # no byte
+    of_id = F.split(F.lit(separator.join(pieces)), separator)
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(of_id, i)), ""), "ISO-8859-1")
+
+
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, long_word: int = 256, held_words: int = 1 << 19, piece_bytes: int = 2 << 20) -> DataFrame:
+    """(doc_id, ids array<int>, ids_bytes of four little-endian bytes each) for every row of ``docs``."""
+    path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
+    doc_id, most = docs.schema["doc_id"].dataType, len(pieces_of(path))
+    numbered = StructType().add("doc_id", doc_id).add("codes", BinaryType()).add("anew", BooleanType()).add("words", ArrayType(StringType()))
+    done = StructType().add("doc_id", doc_id).add("ids", ArrayType(IntegerType())).add("ids_bytes", BinaryType())
+    texts = only(docs, "doc_id", "text").select("doc_id", words_of(F.col("text"), pattern).alias("words"))
     folded = with_literals(literals(path), lambda f: F.transform("words", lambda w: encode_word(f, w, long_word, most))).alias("words")
-    numbered = only(docs, "doc_id", "text").mapInArrow(_cut(words, pattern, held_words, held_bytes), cut)
-    return numbered.select("doc_id", "codes", "anew", folded).mapInArrow(_joined(known, path, with_ids), done)
+    return texts.mapInArrow(_number(path, held_words, piece_bytes), numbered).select("doc_id", "codes", "anew", folded).mapInArrow(_filled(path), done)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    n = F.floor(F.octet_length("ids_bytes") / 4).cast("long")
-    return encode(docs, with_ids=False).select("doc_id", n.alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))
