@@ -16,9 +16,10 @@ triangle inequality links it without a comparison. A shard returns one row for e
 smallest one that it reaches inside the shard, never all pairs; a distributed connected-components step joins shards.
 The number of tree levels grows with the number of distinct fingerprints, from a count.
 
-Defined results: null text is empty text; empty texts share the fingerprint 0 and so one component; a null doc_id is
-kept, and never names a component unless its fingerprints have no other doc_id; rows that repeat a doc_id keep their
-own fingerprints and link their components; an empty table gives no rows; other columns are ignored.
+Defined results: null text is empty text; empty texts share the fingerprint 0 and so one component; a row with a null
+doc_id links like any other, and its component is named by the smallest doc_id reachable, or null if there is none; rows
+that repeat a doc_id are documents of their own (they link by their fingerprints, not by the doc_id); an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from syncsift.llm.common import binary_of, by_key, components, dealt, only, slices, written
+from syncsift.llm.common import SALTS, binary_of, by_key, components, dealt, dropped, only, released, slices, written
 
 SEED = 42
 SMALL = 1 << 18  # pairs that a block compares at once
@@ -62,16 +63,17 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp long): the fingerprint's 64 bits as a signed long."""
+    """(doc_id, fp long, h long): the fingerprint's 64 bits as a signed long, and a hash of the text."""
 
     def run(batches):
         for batch in slices(batches, "text", 16 << 20):
             raw, at = binary_of(batch.column("text"))
             data, at = raw.tobytes(), at.tolist()
             found = np.array([fingerprint(data[a:b], words) for a, b in zip(at, at[1:], strict=False)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), batch.column("h")], ["doc_id", "fp", "h"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(released(run), "doc_id long, fp long, h long")
 
 
 # ---- the tree
@@ -173,34 +175,36 @@ def _compare(fps: np.ndarray, mine: np.ndarray, all_: np.ndarray, radius: int, f
             forest.join(mine[a + i], all_[j])
 
 
-def near_links(distinct: DataFrame, radius: int = 4, sample: int = 1 << 13) -> DataFrame:
-    """(a, b): rep ids of fingerprints in ``distinct`` (fp, rep), a chain of links for each shard's components."""
-    spark = distinct.sparkSession
+def near_links(distinct: DataFrame, radius: int = 4, sample: int = 1 << 13, most_sample: int = 1 << 16) -> DataFrame:
+    """(a, b): pairs of the fingerprints in ``distinct`` (fp), a chain of links for each shard's components.
+
+    The sample that trees grow from has ``sample`` fingerprints, more for very many of them, at most ``most_sample``.
+    """
     n = distinct.count()
     levels = max(2, math.ceil(math.log(max(n, 4) / 64, 4))) if n > 64 else 0
     rng = np.random.default_rng(11)
-    picked = distinct.orderBy(F.xxhash64("fp", F.lit(1))).limit(sample).select("fp").collect() if levels else []
+    picked = distinct.orderBy(F.xxhash64("fp", F.lit(1))).limit(min(most_sample, max(sample, n >> 12))).select("fp").collect() if levels else []
     fps = np.array([r.fp for r in picked], np.int64).view(np.uint64)
     trees = [grow(_half(fps, side), levels, rng) for side in (0, 1)]
     r = radius // 2
 
     def send(batches):
         for batch in batches:
-            fp, rep = batch.column("fp").to_numpy(), batch.column("rep").to_numpy()
+            fp = batch.column("fp").to_numpy()
             for side in (0, 1):
                 for leaf, rows, home in route(trees[side], _half(fp.view(np.uint64), side), np.arange(len(fp)), np.ones(len(fp), bool), r):
                     if len(rows):
                         shard = np.full(len(rows), side << 40 | leaf, np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, fp[rows], rep[rows], home)], ["shard", "fp", "rep", "home"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, fp[rows], home)], ["shard", "fp", "home"])
 
     def search(batches):
         def done(key, held):
-            fp, rep, home = (np.concatenate([h[i] for h in held]) for i in range(3))
+            fp, home = (np.concatenate([h[i] for h in held]) for i in range(2))
             forest = Forest(len(fp))
             links(fp.view(np.uint64), home, key[0] >> 40, radius, forest)
             root = forest.find(np.arange(len(fp)))
             linked = np.flatnonzero(root != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], ["a", "b"])
 
         held, at = [], None
         for key, first, piece in by_key(batches, ("shard",)):
@@ -208,37 +212,47 @@ def near_links(distinct: DataFrame, radius: int = 4, sample: int = 1 << 13) -> D
                 yield done(at, held)
                 held = []
             at = key
-            held.append((piece.column("fp").to_numpy(), piece.column("rep").to_numpy(), piece.column("home").to_numpy(zero_copy_only=False)))
+            held.append((piece.column("fp").to_numpy(), piece.column("home").to_numpy(zero_copy_only=False)))
         if held:
             yield done(at, held)
 
-    sent = distinct.mapInArrow(send, "shard long, fp long, rep long, home boolean")
-    return dealt(sent, ["shard"]).mapInArrow(search, "a long, b long")
+    sent = distinct.select("fp").mapInArrow(released(send), "shard long, fp long, home boolean")
+    return dealt(sent, ["shard"]).mapInArrow(released(search), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp long, component_id long) for every row of ``docs``; component_id is the smallest doc_id reachable."""
+def classes(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """(doc_id, fp long, h long, class long, component_id long) for every row of ``docs``.
+
+    class is the smallest fingerprint reachable, component_id the smallest doc_id; h is a hash of the text.
+    """
     fps = written(fingerprints(docs, words))
-    known = fps.where(F.col("doc_id").isNotNull())
-    distinct = written(known.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    same = known.join(distinct.hint("merge"), "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
-    same = same.join(repeated.hint("merge"), "a", "left_semi")  # only rows that repeat a doc_id link fingerprints by it
-    labels = components(near_links(distinct, radius).unionByName(same))
-    class_of = written(distinct.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("key"), F.coalesce("label", "rep").alias("component_id")))
-    return fps.join(class_of.hint("merge"), F.col("fp") == F.col("key"), "left").select("doc_id", "fp", "component_id")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = components(near_links(distinct, radius))
+    own = distinct.join(labels.hint("merge"), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("key"), F.coalesce("label", "fp").alias("class"), "least")
+    own = written(own)
+    for table in (distinct, labels):
+        dropped(table)
+    names = own.groupBy("class").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = own.select("key", "class", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))  # a large component is no single task's
+    class_of = written(salted.join(names.hint("merge"), ["class", "salt"]).select("key", "class", "component_id"))
+    dropped(own)
+    return fps.join(class_of.hint("merge"), F.col("fp") == F.col("key"), "left").select("doc_id", "fp", "h", "class", "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The row of each component with the smallest doc_id, with its columns; rows with a null doc_id stay.
+    """One row of each component, with its columns: that with the smallest doc_id, then the smallest hash of its text.
 
-    Of rows that repeat that doc_id the one with the smallest hash of its text stays.
+    A row with a null doc_id stays only if its component has no other.
     """
-    keep = simhash_components(docs, words, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(written(keep).hint("merge"), "doc_id", "left_semi").withColumn("place_", F.row_number().over(first)).where("place_ = 1")
-    return named.drop("place_").unionByName(docs.where(F.col("doc_id").isNull()))
+    columns = docs.columns
+    named = docs.toDF(*(f"c{i}_{x}" for i, x in enumerate(columns)))  # whatever the columns' names, keys don't clash
+    text, doc_id = (F.col(f"c{columns.index(x)}_{x}") for x in ("text", "doc_id"))
+    best = classes(docs, words, radius).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
+    keep = written(best.select(F.col("m.doc_id").alias("keep_id"), F.col("m.h").alias("keep_h")))
+    kept = named.join(keep.hint("merge"), doc_id.cast("long").eqNullSafe(F.col("keep_id")) & (F.xxhash64(text) == F.col("keep_h")))
+    first = Window.partitionBy("keep_id", "keep_h").orderBy(*(F.col(c) for c in named.columns if c != f"c{columns.index('text')}_text"))
+    return kept.withColumn("place", F.row_number().over(first)).where("place = 1").select(*named.columns).toDF(*columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return simhash_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
