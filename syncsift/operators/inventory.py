@@ -82,6 +82,16 @@ def with_sidecars(rows: DataFrame, contents: DataFrame) -> DataFrame:
     return joined.withColumn("placeholder_kind", kind).drop("of_path", "kind")
 
 
+def snapshot(files: DataFrame) -> DataFrame:
+    """(path, size, mtime_ticks, file_id) of inventory rows, for ``stability``."""
+    return files.select("path", "size", "mtime_ticks", "file_id")
+
+
+def snapshot_by_path(files: DataFrame) -> DataFrame:
+    """The same where a volume has no file ids: a file is its path."""
+    return files.select("path", "size", "mtime_ticks", F.col("path").alias("file_id"))
+
+
 def stability(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, status, reason): the first of size, mtime and file id that differs between two snapshots makes a file unstable."""
     b, a = before.alias("b"), after.alias("a")

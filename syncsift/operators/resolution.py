@@ -1,59 +1,67 @@
-"""Which member of a group stays. Input rows: a group key, path, size, mtime_ticks; output: the same with ``kept`` and ``reason``."""
+"""Which member of a group stays. Input rows: a group key, path, size, mtime_ticks; output: the same with ``kept`` and ``reason``.
+
+The member that stays is the least by an order of columns: an aggregate joined back, not a window, since one group may hold
+very many files.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syncsift.functions import names
 from syncsift.operators.verdicts import KEY
 
-NEWEST = (F.desc, "mtime_ticks"), (F.desc, "size"), (F.asc, "path")
-LARGEST = (F.desc, "size"), (F.desc, "mtime_ticks"), (F.asc, "path")
+Keys = tuple[str, ...]
+
+
+def newest() -> list[Column]:
+    """The newest, then the largest, then the first path is the least."""
+    return [(-F.col("mtime_ticks")).alias("a"), (-F.col("size")).alias("b"), F.col("path").alias("path")]
+
+
+def largest() -> list[Column]:
+    return [(-F.col("size")).alias("a"), (-F.col("mtime_ticks")).alias("b"), F.col("path").alias("path")]
 
 
-def _first(order: tuple, before: Column | None = None, keys: tuple[str, ...] = KEY) -> Column:
-    by = [how(c) for how, c in order]
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*([before, *by] if before is not None else by))) == 1
+def _failing(bad: Column, message: str) -> Column:
+    return F.when(bad, F.raise_error(F.lit(message))).otherwise(F.lit(True))
 
 
-def _plan(rows: DataFrame, kept: Column, reason: str, keys: tuple[str, ...]) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy(*keys))
-    sized = rows.withColumn("n_", n)
-    ok = F.when(F.col("n_") < 2, F.raise_error(F.lit("a plan needs a group of two members at least"))).otherwise(F.lit(True))
-    return sized.where(ok).drop("n_").withColumn("kept", kept).withColumn("reason", F.when(~F.col("kept"), F.lit(reason)))
+def _plan(rows: DataFrame, order: list[Column], reason: str, keys: Keys) -> DataFrame:
+    best = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("best_"), F.count("*").alias("n_"))
+    best = best.where(_failing(F.col("n_") < 2, "a plan needs a group of two members at least")).select(*keys, F.col("best_.path").alias("best_"))
+    kept = rows.join(best, list(keys)).withColumn("kept", F.col("path") == F.col("best_")).drop("best_")
+    return kept.withColumn("reason", F.when(~F.col("kept"), F.lit(reason)))
 
 
-def keep_newest(rows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    return _plan(rows, _first(NEWEST, keys=keys), "keep-newest", keys)
+def keep_newest(rows: DataFrame, keys: Keys = KEY) -> DataFrame:
+    return _plan(rows, newest(), "keep-newest", keys)
 
 
-def keep_largest(rows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    return _plan(rows, _first(LARGEST, keys=keys), "keep-largest", keys)
+def keep_largest(rows: DataFrame, keys: Keys = KEY) -> DataFrame:
+    return _plan(rows, largest(), "keep-largest", keys)
 
 
-def keep_machine(rows: DataFrame, machine: str, keys: tuple[str, ...] = KEY, strict: bool = True, first_path: bool = False) -> DataFrame:
+def keep_machine(rows: DataFrame, machine: str, keys: Keys = KEY, strict: bool = True, first_path: bool = False) -> DataFrame:
     """The version of one machine stays: the newest of those whose name has its mark, or the first by path (``first_path``).
 
     A group without one raises if ``strict``; otherwise it is left out.
     """
     mine = names.basename(F.col("path")).contains(f"-DESKTOP-{machine}")
-    has = F.max(mine.cast("int")).over(Window.partitionBy(*keys)) == 1
-    marked = rows.withColumn("has_", has)
-    if strict:
-        marked = marked.where(F.when(~F.col("has_"), F.raise_error(F.lit(f"no version of machine {machine} in a group"))).otherwise(F.lit(True)))
-    else:
-        marked = marked.where("has_")
-    order = ((F.asc, "path"),) if first_path else NEWEST
-    return _plan(marked.drop("has_"), _first(order, F.desc(mine.cast("int")), keys), f"keep-machine:{machine}", keys)
+    groups = rows.groupBy(*keys).agg(F.bool_or(mine).alias("has_"))
+    good = _failing(~F.col("has_"), f"no version of machine {machine} in a group") if strict else F.col("has_")
+    marked = rows.join(groups.where(good).select(*keys), list(keys))
+    order = [F.col("path").alias("path")] if first_path else newest()
+    return _plan(marked, [(~mine).alias("other"), *order], f"keep-machine:{machine}", keys)
 
 
-def keep_manual(rows: DataFrame, choices: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+def keep_manual(rows: DataFrame, choices: DataFrame, keys: Keys = KEY) -> DataFrame:
     """``choices`` has (key, chosen): the path that stays; a chosen path outside its group raises."""
     chosen = rows.join(choices, list(keys))
-    there = F.max((F.col("path") == F.col("chosen")).cast("int")).over(Window.partitionBy(*keys)) == 1
-    checked = chosen.withColumn("there_", there).where(F.when(~F.col("there_"), F.raise_error(F.lit("the chosen path isn't in its group"))).otherwise(F.lit(True))).drop("there_")
-    return _plan(checked, F.col("path") == F.col("chosen"), "keep-manual", keys).drop("chosen")
+    groups = chosen.groupBy(*keys).agg(F.bool_or(F.col("path") == F.col("chosen")).alias("there_"))
+    checked = chosen.join(groups.where(_failing(~F.col("there_"), "the chosen path isn't in its group")).select(*keys), list(keys))
+    return _plan(checked, [(F.col("path") != F.col("chosen")).alias("other"), F.col("path").alias("path")], "keep-manual", keys).drop("chosen")
 
 
 def sacrifices(plan: DataFrame) -> DataFrame:

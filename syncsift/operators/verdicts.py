@@ -12,7 +12,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syncsift.functions import hashing, names, placeholders
@@ -220,8 +220,9 @@ def conflict_bytes(members: DataFrame) -> DataFrame:
 
 def conflict_versions(members: DataFrame) -> DataFrame:
     """Members of real conflicts with ``suggested``: the newest, then largest, then first path is the version to keep."""
-    newest = Window.partitionBy(*KEY).orderBy(F.desc("mtime_ticks"), F.desc("size"), "path")
-    return members.where("verdict = 'real_conflict'").withColumn("suggested", F.row_number().over(newest) == 1)
+    found = members.where("verdict = 'real_conflict'")
+    best = found.groupBy(*KEY).agg(F.min(F.struct((-F.col("mtime_ticks")).alias("a"), F.col("path").alias("path"))).alias("best_"))  # sizes are equal in a group
+    return found.join(best.select(*KEY, F.col("best_.path").alias("best_")), list(KEY)).withColumn("suggested", F.col("path") == F.col("best_")).drop("best_")
 
 
 def summary(telemetry_row: DataFrame, members: DataFrame) -> DataFrame:

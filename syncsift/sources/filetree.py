@@ -1,13 +1,15 @@
 """``spark.read.format("filetree").load(root)``: metadata of a file tree, content unread.
 
-One partition per entry of the root's top level, listed on the executors, so the tree must be mounted there. Directories
-that are links, mount points of other devices or placeholders are leaves with an error row; file links are listed and
-marked, never followed. An unreadable directory is an error row, not a silent gap.
+The driver lists some folders from the top (``LISTED``), so that there are parts enough: each part is a folder that an executor
+walks, or up to ``TOGETHER`` entries. So the tree must be mounted on both. Directories that are links, placeholders or
+mount points of other devices are leaves with an error row; file links are listed and marked, never followed. An
+unreadable directory is an error row, not a silent gap.
 """
 
 import os
 import socket
 import stat
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,14 +19,24 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from syncsift.functions import placeholders
 from syncsift.operators.inventory import SIDECAR
 from syncsift.schema import INVENTORY, TICKS_AT_EPOCH
 
 
+#: Folders that the driver lists at most, and entries of a part at most.
+LISTED, TOGETHER = 64, 1000
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str, descend: bool):
-        super().__init__(path)
-        self.path, self.descend = path, descend
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
+        self.paths = paths
+
+
+def _untouchable(s: os.stat_result) -> bool:
+    """The attributes of a placeholder, where the system has them."""
+    return bool(getattr(s, "st_file_attributes", 0) & sum(b for _, b in placeholders.BITS))
 
 
 class FileTreeReader(DataSourceReader):
@@ -32,8 +44,23 @@ class FileTreeReader(DataSourceReader):
         self.root, self.volume = os.path.abspath(root), volume or socket.gethostname()
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(os.listdir(self.root), key=os.fsencode)
-        return [_Part(os.path.join(self.root, n), True) for n in names] or [_Part(self.root, False)]
+        device = os.lstat(self.root).st_dev
+        todo, single, listed = deque([self.root]), [], 0
+        while todo and listed < LISTED:
+            path, listed = todo.popleft(), listed + 1
+            try:
+                with os.scandir(path) as entries:
+                    found = sorted(entries, key=lambda e: os.fsencode(e.path))
+                folders = [e.path for e in found if e.is_dir(follow_symlinks=False) and e.stat(follow_symlinks=False).st_dev == device and not _untouchable(e.stat(follow_symlinks=False))]
+            except OSError:
+                if path == self.root:
+                    raise
+                single.append(path)  # the executor that walks it says why
+                continue
+            todo += folders
+            single += sorted({e.path for e in found}.difference(folders), key=os.fsencode)
+        parts = [_Part([p]) for p in todo] + [_Part(single[a : a + TOGETHER]) for a in range(0, len(single), TOGETHER)]
+        return parts or [_Part([])]
 
     def _row(self, path: str, s: os.stat_result, error: str | None = None) -> tuple:
         link = stat.S_ISLNK(s.st_mode)
@@ -41,10 +68,8 @@ class FileTreeReader(DataSourceReader):
         return (path, s.st_size, s.st_mtime_ns // 100 + TICKS_AT_EPOCH, attributes, self.volume, str(s.st_ino), None, link, stat.S_ISDIR(s.st_mode), error)
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        if not partition.descend:
-            return
         device = os.lstat(self.root).st_dev
-        todo = [partition.path]
+        todo = partition.paths[::-1]
         while todo:
             path = todo.pop()
             try:
@@ -57,6 +82,9 @@ class FileTreeReader(DataSourceReader):
             elif stat.S_ISLNK(s.st_mode):
                 yield self._row(path, s, "a link to a directory is not followed")
             elif stat.S_ISDIR(s.st_mode):
+                if _untouchable(s):
+                    yield self._row(path, s, "a placeholder folder is not entered")
+                    continue
                 if s.st_dev != device:
                     yield self._row(path, s, "another device is not entered")
                     continue

@@ -6,7 +6,6 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from syncsift.plans import registry
 from syncsift.streaming import incremental
@@ -47,9 +46,15 @@ assert 'verdicts' in e.queries() and set(e.oracle_sql()) <= set(e.queries()) and
 
 def test_stream_of_inventories(spark, tmp_path):
     schema = "path string, size long, attributes int, placeholder_kind string"
-    rows = [(f"/r/{d}/f.txt", 5, 0, None) for d in "abc"] + [("/r/z.txt", 5, 0x1000, None)]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    incremental.stream_groups(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select("base", "members").collect()
-    assert [tuple(r) for r in got] == [("f.txt", 3)]
-    assert F is not None
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(names):
+        spark.createDataFrame([(n, 5, 0x1000 if "z" in n else 0, None) for n in names], schema).write.mode("append").parquet(folder)
+        incremental.stream_groups(spark, folder, spark.read.parquet(folder).schema, out, str(tmp_path / "c")).awaitTermination()
+        return sorted((r.base, r.members) for r in incremental.latest_groups(spark, out).collect())
+
+    assert incremental.latest_groups(spark, out).count() == 0
+    assert arrive([f"/r/{d}/f.txt" for d in "abc"] + ["/r/z.txt", "/r/g.txt"]) == [("f.txt", 3), ("g.txt", 1)]
+    assert arrive(["/r/d/f.txt", "/r/h.txt"]) == [("f.txt", 4), ("g.txt", 1), ("h.txt", 1)]
+    assert arrive(["/r/e/g.txt"]) == [("f.txt", 4), ("g.txt", 2), ("h.txt", 1)]
+    assert len(list((tmp_path / "out").glob("view=*"))) == 2

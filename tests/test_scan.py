@@ -7,9 +7,9 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from syncsift import cli
+from syncsift import cli, paths
 from syncsift.functions.hashing import blake3
-from syncsift.operators import cache, quarantine, report, resolution, verdicts
+from syncsift.operators import cache, inventory, quarantine, report, resolution, verdicts
 from syncsift.plans import scan
 from syncsift.schema import RESERVED, TICKS_AT_EPOCH
 from syncsift.sources import filetree
@@ -257,6 +257,76 @@ def test_a_failed_move_leaves_a_partial_manifest(tmp_path):
     assert path.exists()
 
 
+def test_both_hashes_of_a_spoilt_move_are_kept(tmp_path):
+    path = tmp_path / "a.txt"
+    path.write_text("x")
+    item = {"path": str(path), "size": 1, "mtime_ticks": path.stat().st_mtime_ns // 100 + TICKS_AT_EPOCH}
+
+    def spoil(a, b):
+        os.rename(a, b)
+        with open(b, "w") as f:
+            f.write("y")
+
+    with pytest.raises(quarantine.PartialMove) as e:
+        quarantine.move([item], str(tmp_path), datetime.now(timezone.utc), spoil)
+    told = json.loads((e.value.manifest.parent / "manifest-failed.json").read_text())
+    assert told["status"] == "failed" and told["items"][0]["hash_pre_move"] != told["items"][0]["hash_post_move"] and path.exists()
+
+
+def test_paths_stay_under_the_root(tmp_path):
+    (tmp_path / "root/in").mkdir(parents=True)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "root/way").symlink_to(tmp_path / "out")
+    root = paths.canonical_root(f"{tmp_path}/root/./in/..//")
+    assert root == str(tmp_path / "root") and paths.combined(root, "in", "../x") == f"{root}/x" and paths.combined(root, "/etc") == "/etc"
+    assert paths.contained(f"{root}/in/f", root).name == "f" and paths.contained(root, root)
+    for bad in (f"{root}/way/f", f"{root}/../out/f", f"{root}-other/f", "/etc/hostname"):
+        with pytest.raises(ValueError, match="outside"):
+            paths.contained(bad, root)
+    for bad in (lambda: paths.canonical_root(" "), lambda: paths.combined(root, "")):
+        with pytest.raises(ValueError):
+            bad()
+    assert len({paths.operation_id() for _ in range(20)}) == 20 and len(paths.operation_id()) == 32
+    (tmp_path / "out/f").write_text("x")
+    s = (tmp_path / "out/f").stat()
+    with pytest.raises(quarantine.PartialMove, match="outside"):  # a linked folder leads outside
+        quarantine.move([{"path": f"{root}/way/f", "size": 1, "mtime_ticks": s.st_mtime_ns // 100 + TICKS_AT_EPOCH}], root, datetime.now(timezone.utc))
+    assert (tmp_path / "out/f").exists()
+
+
+def test_a_tree_is_listed_in_parts(spark, tmp_path, monkeypatch):
+    for d in ("a/x", "b", "c/y/z"):
+        (tmp_path / d).mkdir(parents=True)
+        for n in range(5):
+            (tmp_path / d / f"{n}.txt").write_text("x")
+    for n in range(12):
+        (tmp_path / f"flat{n}").write_text("x")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    want = sorted(str(p) for p in tmp_path.rglob("*") if p.is_file() or p.is_symlink())
+    for listed, together in ((1, 3), (4, 4), (64, 1000)):
+        monkeypatch.setattr(filetree, "LISTED", listed)
+        monkeypatch.setattr(filetree, "TOGETHER", together)
+        reader = filetree.FileTreeReader(str(tmp_path), "v")
+        parts = reader.partitions()
+        assert all(len(p.paths) <= together for p in parts)
+        assert sorted(r[0] for p in parts for r in reader.read(p)) == want
+
+    class Cloud:
+        st_file_attributes = 0x1000
+
+    assert filetree._untouchable(Cloud()) and not filetree._untouchable(os.lstat(tmp_path))
+    monkeypatch.setattr(filetree, "_untouchable", lambda s: s.st_ino == os.lstat(tmp_path / "b").st_ino)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [(os.path.basename(r[0]), r[-1]) for r in rows if r[-1]] == [("b", "a placeholder folder is not entered"), ("loop", "a link to a directory is not followed")]
+
+
+def test_rows_without_a_file_id_are_files_of_their_own(spark):
+    rows = [(f"/r/{i}.txt", 1, 1, 0, "v", fid, None) for i, fid in enumerate(["", "", None, "7", "7"])]
+    df = spark.createDataFrame(rows, "path string, size long, mtime_ticks long, attributes int, volume_id string, file_id string, placeholder_kind string")
+    assert {r.path: r.fate for r in inventory.judged(df, "/r").collect()} == {f"/r/{i}.txt": "repeated" if i == 4 else "kept" for i in range(5)}
+    assert inventory.snapshot_by_path(df).first().file_id == "/r/0.txt" and inventory.snapshot(df).columns == ["path", "size", "mtime_ticks", "file_id"]
+
+
 def test_blake3_vectors():
     x = bytearray(i % 251 for i in range(262_144))
     x[131_072:131_088] = b"\xaa" * 16
