@@ -13,14 +13,20 @@ Blockwise suffix sorting with a difference cover, to the depth of ``length`` byt
    cover already need no answer: they send the name alone, for others to meet. The cover's names have thus resolved
    the long ties before, and a bucket's memory is the suffixes left over the number of buckets.
 
-Names are fingerprints and not lexicographic ranks: the task asks which suffixes agree to a depth, not their order.
+Passages of ``words`` words (their hashes, whatever white space separates them) are found the same way, with positions in
+words: the cover is D modulo 13 (4 of 13 words), and names are of words - 12 and of ``words`` words.
+
+Names are fingerprints and not lexicographic ranks: the task asks which suffixes agree to a depth, not their order, and to
+rank sampled suffixes of 218 bytes each would send 17 times the text. Two different strings of the n that are sorted have
+equal names with a probability of n squared / 2^81 in all (6e-6 over 30 GB of text).
 Positions travel as packed arrays of 10 to 20 bytes each, in blocks. A string that repeats inside a block of documents is decided
 there and sent once, so a passage or a run of one byte that holds a third of all positions adds one entry per block.
 A text moves between tasks once if it shares a sample with another place, and again to be cut; other texts don't move.
+Written tables are deleted as soon as no later step reads them.
 
 Defined results: texts are UTF-8 bytes; a null or empty text has n_bytes 0; matches don't cross documents; strings are
 judged on the input; rows that repeat a doc_id are places of their own; an empty table gives no rows; a null doc_id is
-kept; other columns are ignored; a text longer than a slice is read in overlapping segments.
+kept; other columns are ignored, whatever their names; a text longer than a slice is read in overlapping segments.
 """
 
 from __future__ import annotations
@@ -33,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syncsift.llm.common import binary_of, by_key, dealt, dropped, only, partitions, slices, written
+from syncsift.llm.common import binary_of, by_key, dealt, dropped, only, partitions, released, slices, written
 
 #: A perfect difference set: the differences of its members give each residue modulo PERIOD (fixed values).
 PERIOD, COVER = 183, (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)
+WORD_PERIOD, WORD_COVER = 13, (0, 1, 3, 9)
 SEGMENT = PERIOD * 11_500  # bytes of text that a worker hashes at once
 BLOCK = 1 << 20  # positions of a block
 TOP, NONE = np.uint32(1 << 31), np.uint32(0xFFFFFFFF)  # marks: decided in its block; asks for no answer
@@ -57,13 +64,13 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Fingerprints of any substrings of one byte array, from sums over its prefixes."""
+    """Fingerprints of any substrings of one array of bytes, or of hashes, from sums over its prefixes."""
 
     def __init__(self, raw: np.ndarray, which: int):
         size = max(SEGMENT + 4096, 1 << max(1, len(raw) - 1).bit_length()) if len(raw) > SEGMENT + 4096 else SEGMENT + 4096
         words, up, self.down = _powers(which, size)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(words[raw] * up[: len(raw)], out=self.sums[1:], dtype=np.uint64)
+        np.cumsum((words[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)], out=self.sums[1:], dtype=np.uint64)
 
     def of(self, at: np.ndarray, width: int) -> np.ndarray:
         x = (self.sums[at + width] - self.sums[at]) * self.down[at]
@@ -189,9 +196,11 @@ def _names(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint64, n, 24), np.frombuffer(data, np.uint64 if wide == 8 else np.uint16, n, 24 + 8 * n), at
 
 
-def repeats(texts: DataFrame, positions, length: int) -> DataFrame:
+def repeats(texts: DataFrame, positions, length: int, parts=None) -> DataFrame:
     """(k1, k2, at binary, full binary): of the positions that ``positions`` names, those whose name occurs elsewhere.
 
+    ``parts`` cuts slices of texts into what ``positions`` reads at once (``segments`` if none is given).
+
     at: offsets as 32-bit integers; full: 1 where both names occur together elsewhere.
     """
     n = partitions(texts.sparkSession)
@@ -201,8 +210,8 @@ def repeats(texts: DataFrame, positions, length: int) -> DataFrame:
         from pyspark import TaskContext
 
         block, held, count = TaskContext.get().partitionId() << 24, [], 0
-        for seg in segments(batches, length):
-            raw, starts, bases, _, _, batch = seg
+        for seg in (parts or segments)(batches, length):
+            raw, starts, bases, _, _, batch = seg[:6]
             at, a, b, told, told_b = positions(seg, length)
             if not len(at) + len(told):
                 continue
@@ -287,9 +296,9 @@ def repeats(texts: DataFrame, positions, length: int) -> DataFrame:
         if table is not None:
             yield from done(data, table)
 
-    sent = texts.mapInArrow(send, BLOCKS)
-    found = dealt(sent, ["bucket"], n=n).mapInArrow(search, BLOCKS)
-    return dealt(found, ["block"], n=n).mapInArrow(gather, "k1 long, k2 long, at binary, full binary")
+    sent = texts.mapInArrow(released(send), BLOCKS)
+    found = dealt(sent, ["bucket"], n=n).mapInArrow(released(search), BLOCKS)
+    return dealt(found, ["block"], n=n).mapInArrow(released(gather), "k1 long, k2 long, at binary, full binary")
 
 
 def _merged(marks: DataFrame) -> DataFrame:
@@ -324,137 +333,233 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> bytes:
     return b[~gone].tobytes()
 
 
-def marked(texts: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, text, at, full, more, more_full): the texts that share a sample, with the starts that repeat (where full)."""
-    marks = written(repeats(texts, cover_positions, length))
+def marked(texts: DataFrame, length: int, first, second, parts=None) -> tuple[DataFrame, list[DataFrame]]:
+    """(k1, k2, text, at, full, more, more_full), and the tables behind it: the texts that share a sample, with the starts that repeat (where full)."""
+    marks = written(repeats(texts, first, length, parts))
     sharing = written(texts.join(_merged(marks).hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).drop("m1", "m2"))
     dropped(marks)
-    late = written(repeats(sharing, open_positions, length).where(F.octet_length("at") > 0))
+    late = written(repeats(sharing, second, length, parts).where(F.octet_length("at") > 0))
     extra = _merged(late).select("m1", "m2", F.col("at").alias("more"), F.col("full").alias("more_full"))
-    return sharing.join(extra.hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("k1", "k2", "text", "at", "full", "more", "more_full")
-
-
-def word_ends(raw: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the windows of ``words`` words."""
-    inside = np.concatenate([[False], ~((raw == 32) | (raw - np.uint8(9) < 5)), [False]])
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = turns[::2], turns[1::2]
-    return starts[: max(0, len(starts) - words + 1)], ends[words - 1 :]
-
-
-def word_positions(words: int):
-    """Positions for ``repeats``: windows of ``words`` words under ``length`` bytes that lie whole in a span of the column ``spans``."""
-
-    def positions(seg, length: int):
-        raw, starts, bases, sizes, heads, batch = seg
-        at, width = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
-            s, e = word_ends(raw[starts[i] : starts[i] + sizes[i]], words)
-            span = np.frombuffer(spans, np.int64).reshape(-1, 2) - bases[i]
-            k = np.searchsorted(span[:, 0], s, side="right") - 1
-            good = (k >= 0) & (e <= span[k, 1]) & (e - s < length) & (s < heads[i])
-            at.append(s[good] + starts[i])
-            width.append((e - s)[good])
-        at, width = np.concatenate(at), np.concatenate(width)
-        none = np.zeros(0, np.uint64)
-        if not len(at):
-            return at, none, none, none, none
-        return at, Prefix(raw, 0).of(at, width), Prefix(raw, 1).of(at, width) | np.uint64(1), none, none
+    return sharing.join(extra.hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("k1", "k2", "text", "at", "full", "more", "more_full"), [sharing, late]
 
-    return positions
 
+def _full(at: bytes, full: bytes, more: bytes | None, more_full: bytes | None) -> np.ndarray:
+    """The starts that repeat."""
+    return np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64)[np.frombuffer(y, np.uint8) > 0] for x, y in ((at, full), (more, more_full)) if x is not None])
 
-def passages(texts: DataFrame, words: int, whole: int, length: int) -> DataFrame:
-    """(k1, k2, text, spans): the texts with runs that repeated windows of ``words`` words or of ``whole`` bytes cover.
 
-    Strings of ``length`` bytes, of which a window of words has at least as many, show where repeats may be; among the texts
-    found there, windows of words and strings of ``whole`` bytes are compared with each other as they are. A window of
-    ``whole`` bytes or more is such a string.
-    """
+SPANS = "s1 long, s2 long, spans binary, n_removed long, n_spans long, sha string"
 
-    def spans(length: int):
-        def run(batches):
-            for batch in slices(batches, "text", 8 << 20):
-                _, at = binary_of(batch.column("text"))
-                cols = [batch.column(c).to_pylist() for c in ("at", "full", "more", "more_full")]
-                found = [removed(int(n), _full(*marks), length).astype(np.int64) for n, marks in zip(np.diff(at), zip(*cols, strict=True), strict=True)]
-                keep = pa.array([i for i, x in enumerate(found) if len(x)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("k1", "k2", "text")), pa.array([x.tobytes() for x in found if len(x)], pa.binary())], ["k1", "k2", "text", "spans"])
-
-        return run
-
-    schema = "k1 long, k2 long, text string, spans binary"
-    near = written(marked(texts, length).mapInArrow(spans(length), schema))
-    long = written(marked(near.select("k1", "k2", "text"), whole).mapInArrow(spans(whole), schema).select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("spans").alias("long")).dropDuplicates(["l1", "l2"]))
-    short = written(repeats(near, word_positions(words), whole).where(F.octet_length("at") > 0))
-    both = near.select("k1", "k2", "text").join(long.hint("merge"), (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")), "left")
-    both = both.join(_merged(short).hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("k1", "k2", "text", "long", "at")
-
-    def join(batches):
+
+def _spans(marks: DataFrame, spans_of) -> DataFrame:
+    """SPANS: where ``spans_of`` (text, starts that repeat) finds any; sha is the SHA-256 of what stays."""
+
+    def run(batches):
         for batch in slices(batches, "text", 8 << 20):
             raw, at = binary_of(batch.column("text"))
-            out = []
-            for i, (found, own) in enumerate(zip(batch.column("long").to_pylist(), batch.column("at").to_pylist(), strict=True)):
-                size = int(at[i + 1] - at[i])
-                edge = np.zeros(size + 1, np.int64)
-                for x, y in np.frombuffer(found or b"", np.int64).reshape(-1, 2).tolist():
-                    edge[x] += 1
-                    edge[y] -= 1
-                if own:
-                    s, e = word_ends(raw[at[i] : at[i + 1]], words)
-                    hit = np.isin(s, np.frombuffer(own, np.uint32).astype(np.int64))
-                    np.add.at(edge, s[hit], 1)
-                    np.add.at(edge, e[hit], -1)
-                gone = np.concatenate([[False], np.cumsum(edge) > 0])
-                out.append(np.flatnonzero(gone[1:] != gone[:-1]).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "text")), pa.array(out, pa.binary())], ["k1", "k2", "text", "spans"])
-
-    return written(both.mapInArrow(join, schema))  # so that a task never has workers of two functions
+            rows = []
+            cols = [batch.column(c).to_pylist() for c in ("k1", "k2", "at", "full", "more", "more_full")]
+            for i, (k1, k2, *found) in enumerate(zip(*cols, strict=True)):
+                own = raw[at[i] : at[i + 1]]
+                spans = spans_of(own, _full(*found)).astype(np.int64)
+                if len(spans):
+                    rows.append((k1, k2, spans.tobytes(), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(without(own, spans)).hexdigest()))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SPANS.split(", ")])
 
+    return marks.mapInArrow(released(run), SPANS)
 
-def _full(at: bytes, full: bytes, more: bytes | None, more_full: bytes | None) -> np.ndarray:
-    """The starts that repeat."""
-    return np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64)[np.frombuffer(y, np.uint8) > 0] for x, y in ((at, full), (more, more_full)) if x is not None])
+
+def without(raw: np.ndarray, spans: np.ndarray) -> bytes:
+    edges = [0, *spans.ravel().tolist(), len(raw)]
+    return b"".join(raw[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def merged_spans(spans: np.ndarray) -> np.ndarray:
+    """The maximal runs of [(start, end)]."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    if not len(spans):
+        return spans
+    reach = np.maximum.accumulate(spans[:, 1])
+    new = np.ones(len(spans), bool)
+    new[1:] = spans[1:, 0] > reach[:-1]
+    return np.stack([spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], axis=1)
+
+
+def byte_spans(texts: DataFrame, length: int) -> DataFrame:
+    """SPANS, written, of the bytes that a repeated string of ``length`` bytes covers."""
+    marks, behind = marked(texts, length, cover_positions, open_positions)
+    found = written(_spans(marks, lambda raw, at: removed(len(raw), at, length)).dropDuplicates(["s1", "s2"]))
+    for table in behind:
+        dropped(table)
+    return found
+
+
+# ---- passages of words
+
+
+def word_edges(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words; a text begins at each of ``starts``."""
+    ink = ~((raw == 32) | (raw - np.uint8(9) < 5))
+    first = ink.copy()
+    first[1:] &= ~ink[:-1]
+    last = ink.copy()
+    last[:-1] &= ~ink[1:]
+    heads = starts[starts < len(raw)]
+    first[heads] = ink[heads]
+    tails = heads[heads > 0] - 1
+    last[tails] = ink[tails]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_parts(words: int):
+    """Like segments(), and the words of each: (starts, ends, text, place in the text, how many may begin a window here)."""
+
+    def run(batches, length: int):
+        for batch in slices(batches, "text", SEGMENT):
+            raw, at = binary_of(batch.column("text"))
+            if len(batch) > 1 or len(raw) <= 2 * SEGMENT:
+                ws, we = word_edges(raw, at[:-1])
+                text = np.searchsorted(at[1:], ws, side="right")
+                place = np.arange(len(ws)) - np.searchsorted(text, text, side="left")
+                yield raw, at[:-1], np.zeros(len(batch), np.int64), np.diff(at), np.diff(at), batch, ws, we, text, place, len(ws)
+                continue
+            base, done = 0, 0
+            while base < len(raw):  # a long text: as many bytes as a segment has, and the words that its last windows need
+                size = SEGMENT
+                while True:
+                    size = min(2 * size, len(raw) - base)
+                    ws, we = word_edges(raw[base : base + size], np.zeros(1, np.int64))
+                    heads = int(np.searchsorted(ws, SEGMENT)) if base + size < len(raw) else len(ws)
+                    if base + size == len(raw) or 0 < heads < len(ws) - words:
+                        break
+                yield raw[base : base + size], np.zeros(1, np.int64), np.array([base]), np.array([size]), np.array([size]), batch, ws, we, np.zeros(len(ws), np.int64), done + np.arange(len(ws)), heads
+                done += heads
+                base = base + int(ws[heads]) if heads < len(ws) else len(raw)
+
+    return run
+
+
+def _windows(text: np.ndarray, n: int) -> np.ndarray:
+    """Which words begin a window of ``n`` words of their text."""
+    ok = np.zeros(len(text), bool)
+    if len(text) >= n:
+        ok[: len(text) - n + 1] = text[n - 1 :] == text[: len(text) - n + 1]
+    return ok
+
+
+def word_cover(words: int):
+    def positions(seg, _):
+        raw, ws, we, text, place, heads = seg[0], *seg[6:]
+        none = np.zeros(0, np.uint64)
+        width = words - WORD_PERIOD + 1
+        w = np.flatnonzero(np.isin(place[:heads] % WORD_PERIOD, WORD_COVER) & _windows(text, width)[:heads])
+        if not len(w):
+            return w, none, none, none, none
+        p = Prefix(Prefix(raw, 0).of(ws, we - ws), 1)
+        a, b = p.of(w, width), np.zeros(len(w), np.uint64)
+        whole = _windows(text, words)[w]
+        b[whole] = p.of(w[whole], words) | np.uint64(1)
+        return ws[w], a, b, none, none
+
+    return positions
+
+
+def word_open(words: int):
+    def positions(seg, _):
+        raw, starts, bases, batch, ws, we, text, place, heads = seg[0], seg[1], seg[2], seg[5], *seg[6:]
+        near = np.zeros(len(ws) + 1, np.int32)
+        for i, at in enumerate(batch.column("at").to_pylist()):
+            own = np.frombuffer(at, np.uint32).astype(np.int64) - bases[i] + starts[i]
+            k = np.searchsorted(ws, own)
+            k = k[(own >= 0) & (k < len(ws))]
+            k = k[text[k] == i]
+            np.add.at(near, np.maximum(k - WORD_PERIOD + 1, 0), 1)
+            np.add.at(near, k + 1, -1)
+        w = np.flatnonzero(((np.cumsum(near)[:-1] > 0) & _windows(text, words))[:heads])
+        none = np.zeros(0, np.uint64)
+        if not len(w):
+            return w, none, none.astype(np.uint16), none, none.astype(np.uint16)
+        a, b = (Prefix(Prefix(raw, k).of(ws, we - ws), 1 - k).of(w, words) for k in (0, 1))
+        return ws[w], a, (b >> np.uint64(48)).astype(np.uint16) | np.uint16(1), none, none.astype(np.uint16)
+
+    return positions
+
+
+def word_spans(texts: DataFrame, words: int) -> DataFrame:
+    """SPANS, written, of the bytes that a repeated window of ``words`` words covers."""
+    marks, behind = marked(texts, 0, word_cover(words), word_open(words), word_parts(words))
+
+    def spans_of(raw, at):
+        ws, we = word_edges(raw, np.zeros(1, np.int64))
+        k = np.searchsorted(ws, np.unique(at))
+        return merged_spans(np.stack([ws[k], we[k + words - 1]], axis=1))
+
+    found = written(_spans(marks, spans_of).dropDuplicates(["s1", "s2"]))
+    for table in behind:
+        dropped(table)
+    return found
+
+
+# ---- results
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, carry: tuple[str, ...] = (), words: int = 0, near: int = 240) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], and the columns ``carry``) for every row; kept is text, cut at whole characters.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With k1 and k2, by which a text is found again: rows of one doc_id and text share their results."""
+    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "k2": F.xxhash64("text")})
 
-    With ``words``, windows of as many words (of ``near`` bytes or more) that start anywhere else are removed, too.
+
+def _with(keyed: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    return keyed.join(found.select("s1", "s2", *columns).hint("merge"), (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left").drop("s1", "s2")
+
+
+def suffix_dedup(docs: DataFrame, length: int = 400, words: int = 51) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_bytes, passages) for every row of ``docs``.
+
+    The first columns are of strings of ``length`` bytes; passage_bytes and passages count the bytes and the maximal runs that
+    repeated windows of ``words`` words cover.
     """
-    keyed = only(docs, "doc_id", "text", *carry).select("doc_id", "text", *carry, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"))
+    keyed = _keyed(only(docs, "doc_id", "text"))
     texts = keyed.select("k1", "k2", "text")
-    ready = passages(texts, words, length, near) if words else marked(texts, length)
+    cut = byte_spans(texts, length)
+    told = word_spans(texts, words).select("s1", "s2", F.col("n_removed").alias("passage_bytes"), F.col("n_spans").alias("passages"))
+    text = F.coalesce("text", F.lit(""))
+    base = keyed.select("doc_id", "k1", "k2", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return _with(_with(base, cut, "n_removed", "n_spans", "sha"), told, "passage_bytes", "passages").select(
+        "doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"), zero("passage_bytes"), zero("passages")
+    )
+
+
+def without_repeats(docs: DataFrame, length: int = 400, words: int = 51) -> DataFrame:
+    """The rows of ``docs``, all columns, their text without what repeats: strings of ``length`` bytes, windows of ``words`` words.
+
+    A character that would lose only a part of its bytes stays. A null text stays null. A row of which nothing but white
+    space stays goes, unless it had nothing else before.
+    """
+    columns = docs.columns
+    named = docs.toDF(*(f"c{i}_{x}" for i, x in enumerate(columns)))  # whatever the columns' names, keys don't clash
+    text, doc_id = (f"c{columns.index(x)}_{x}" for x in ("text", "doc_id"))
+    keyed = named.withColumns({"k1": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), "k2": F.xxhash64(text)})
+    texts = keyed.select("k1", "k2", F.col(text).alias("text"))
+    spans = byte_spans(texts, length).select("s1", "s2", "spans").unionByName(word_spans(texts, words).select("s1", "s2", "spans"))
+    spans = spans.groupBy("s1", "s2").agg(F.sort_array(F.collect_list("spans")).alias("x")).select("s1", "s2", F.aggregate("x", F.lit(b""), lambda x, y: F.concat(x, y)).alias("spans"))
+    both, names = _with(keyed, spans, "spans").drop("k1", "k2"), named.columns
 
     def cut(batches):
-        for batch in slices(batches, "text", 8 << 20):
-            raw, at = binary_of(batch.column("text"))
-            rows = []
-            cols = [batch.column(c).to_pylist() for c in (("spans",) if words else ("at", "full", "more", "more_full"))]
-            for i, marks in enumerate(zip(*cols, strict=True)):
-                own = raw[at[i] : at[i + 1]].tobytes()
-                spans = np.frombuffer(marks[0], np.int64).reshape(-1, 2) if words else removed(len(own), _full(*marks), length)
-                kept = hashlib.sha256()
-                last = 0
-                for a, b in [*spans.tolist(), [len(own), len(own)]]:
-                    kept.update(own[last:a])
-                    last = b
-                text = whole_characters(own, spans).decode("utf-8", "replace") if keep_text else None
-                rows.append((int((spans[:, 1] - spans[:, 0]).sum()), len(spans), kept.hexdigest(), text))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["c1", "c2", "n_removed", "n_spans", "sha", "kept"]
-            )
-
-    changed = ready.mapInArrow(cut, "c1 long, c2 long, n_removed long, n_spans long, sha string, kept string")
-    changed = written(changed.where("n_removed > 0").dropDuplicates(["c1", "c2"]))
-    text = F.coalesce("text", F.lit(""))
-    base = keyed.select("doc_id", *carry, "k1", "k2", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"), *(["text"] if keep_text else []))
-    joined = base.join(changed.hint("merge"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    return joined.select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"),
-        *([F.when(F.col("c1").isNull(), F.col("text")).otherwise(F.col("kept")).alias("kept")] if keep_text else []), *carry,
-    )
+        for batch in slices(batches, text, 8 << 20):
+            found, own, stays = batch.column("spans"), batch.column(text), np.ones(len(batch), bool)
+            if found.null_count < len(batch):
+                new = own.to_pylist()
+                for i in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    spans, raw = merged_spans(np.frombuffer(found[i].as_py(), np.int64).reshape(-1, 2)), new[i].encode()
+                    rest = whole_characters(raw, spans)
+                    new[i], stays[i] = rest.decode("utf-8", "replace"), bool(rest.strip() or not raw.strip())
+                own = pa.array(new, own.type)
+            yield pa.RecordBatch.from_arrays([own if c == text else batch.column(c) for c in names], names).filter(pa.array(stays))
+
+    return both.mapInArrow(released(cut), named.schema).toDF(*columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -78,28 +79,46 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_simhash(docs, texts, none):
-    fps = [(i, fingerprint(t)) for i, t in texts]
-    named = sorted({(i, f) for i, f in fps if i is not None})
-    up = {x: x for x in named}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for x in named:
-        for y in named:
-            if x[0] == y[0] or (x[1] ^ y[1]).bit_count() <= 4:
-                a, b = find(x), find(y)
-                up[max(a, b)] = min(a, b)
-    want = Counter((i, f"{f:016x}", find((i, f))[0]) for i, f in fps if i is not None)
-    got = simhash.digest(docs).collect()
-    assert Counter(tuple(r) for r in got if r.doc_id is not None) == want
-    assert sum(r.doc_id is None for r in got) == 1
+def linked(texts, radius=4):
+    """(doc_id, fingerprint, component) of each text, by comparing all pairs."""
+    fps = [fingerprint(t) for _, t in texts]
+    group = list(range(len(fps)))
+    for x in range(len(fps)):
+        for y in range(x):
+            if (fps[x] ^ fps[y]).bit_count() <= radius and group[x] != group[y]:
+                old, new = group[x], group[y]
+                group = [new if g == old else g for g in group]
+    least = {g: min((texts[k][0] for k in range(len(fps)) if group[k] == g and texts[k][0] is not None), default=None) for g in group}
+    return [(texts[k][0], f"{fps[k]:016x}", least[group[k]]) for k in range(len(fps))], group
+
+
+def bridge():
+    """Texts 1 and 2 are more than 4 bits apart, a text between them is within 4 bits of both."""
+    rng = random.Random(2)
+    base = [f"{rng.choice('abcdef')}{rng.randrange(999)}" for _ in range(400)]
+    change = lambda at: [w if k not in at else f"z{k}" for k, w in enumerate(base)]
+    for n in range(1, 60):
+        a, b = range(0, 2 * n, 2), range(399, 399 - 2 * n, -2)
+        one, two, mid = (" ".join(x) for x in (change(a), change(b), base))
+        f = [fingerprint(x) for x in (one, two, mid)]
+        if (f[0] ^ f[1]).bit_count() > 4 and max((f[0] ^ f[2]).bit_count(), (f[1] ^ f[2]).bit_count()) <= 4:
+            return one, two, mid
+    raise AssertionError("no such texts")
+
+
+def test_simhash(spark, docs, texts, none):
+    one, two, mid = bridge()
+    lone = "of null ids " * 30
+    texts = [*texts, (901, one), (None, mid), (902, two), (None, lone), (None, lone), (7, "another text of a repeated id " * 9)]
+    want, group = linked(texts)
+    assert [w[2] for w in want if w[0] in (901, 902)] == [901, 901]
+    rows = frame(spark, texts)
+    assert Counter(map(tuple, simhash.digest(rows).collect())) == Counter(want)
     assert simhash.digest(none).count() == 0
-    kept = simhash.near_dedup(docs).collect()
-    assert Counter(r.doc_id for r in kept if r.doc_id is not None) == Counter({c: 1 for _, _, c in want})
+    clash = rows.withColumnsRenamed({"fp": "class", "a": "h", "k1": "place", "score": "keep_id"})
+    kept = simhash.near_dedup(clash)
+    assert kept.columns == clash.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(min((w[0] for w, g in zip(want, group, strict=True) if g == own and w[0] is not None), default=None) for own in set(group))
 
 
 def test_tree_links_are_those_of_all_pairs():
@@ -122,23 +141,78 @@ def test_tree_links_are_those_of_all_pairs():
     assert (got.find(np.arange(len(fps))) == want.find(np.arange(len(fps)))).all()
 
 
-def test_suffix_dedup(docs, texts, none):
-    raw = [(i, (t or "").encode()) for i, t in texts]
-    seen = Counter(b[k : k + 400] for _, b in raw for k in range(len(b) - 399))
-    want = []
-    for i, b in raw:
-        gone = np.zeros(len(b), bool)
+def windows(raw, n=51):
+    """(start, end, words) of each window of words."""
+    w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    return [(w[k][0], w[k + n - 1][1], b" ".join(raw[a:b] for a, b in w[k : k + n])) for k in range(len(w) - n + 1)]
+
+
+def runs(gone):
+    return int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+
+
+def repeated(raws):
+    """For each text which bytes repeated strings of 400 bytes cover, and which repeated windows of 51 words."""
+    seen = Counter(b[k : k + 400] for b in raws for k in range(len(b) - 399))
+    said = Counter(w for b in raws for _, _, w in windows(b))
+    out = []
+    for b in raws:
+        gone, told = np.zeros(len(b), bool), np.zeros(len(b), bool)
         for k in range(len(b) - 399):
             if seen[b[k : k + 400]] > 1:
                 gone[k : k + 400] = True
+        for x, y, w in windows(b):
+            if said[w] > 1:
+                told[x:y] = True
+        out.append((gone, told))
+    return out
+
+
+def test_suffix_dedup(spark, docs, texts, none):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["oak", "öl", "elm"]) + str(rng.randrange(99)) for _ in range(n))
+    passage, short = say(52), say(50)
+    more = [(100, f"{say(20)} {passage} {say(9)}"), (101, f"{passage.replace(' ', chr(10))}"), (102, f"{short} {say(30)}"), (103, f"{say(5)} {short}"), (104, say(90))]
+    texts = [*texts, *more]
+    raw = [(i, (t or "").encode()) for i, t in texts]
+    want = []
+    for (i, b), (gone, told) in zip(raw, repeated([b for _, b in raw]), strict=True):
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        want.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    assert sum(w[2] for w in want)
-    assert Counter(map(tuple, suffix_dedup.digest(docs).collect())) == Counter(want)
+        want.append((i, len(b), int(gone.sum()), runs(gone), hashlib.sha256(kept).hexdigest(), int(told.sum()), runs(told)))
+    assert sum(w[2] for w in want) and [w[5] > 0 for w in want[-5:]] == [True, True, False, False, False]
+    assert Counter(map(tuple, suffix_dedup.digest(frame(spark, texts)).collect())) == Counter(want)
     assert suffix_dedup.digest(none).count() == 0
-    text = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs, keep_text=True).where("doc_id in (75, 5)").collect()}
-    assert text[75].kept == "" and text[75].n_removed == 1400
+
+
+def test_without_repeats(spark, none):
+    same, tail = "é" * 300, "x" * 450
+    rows = [(1, f"{same} one"), (2, f"{same} two"), (3, same), (4, None), (5, ""), (6, " \n"), (7, f"a{tail}"), (8, f"{tail}b"), (9, tail), (None, tail)]
+    docs = frame(spark, rows).withColumnsRenamed({"k1": "spans", "fp": "s1", "a": "k2"})
+    got = suffix_dedup.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "one"), (2, "two"), (4, None), (5, ""), (6, " \n"), (7, "a"), (8, "b")]
+    assert suffix_dedup.without_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 900])
+def test_word_segments_of_a_long_text(monkeypatch, width):
+    rng = random.Random(1)
+    text = "".join(rng.choices(["a", "bc", "d" * width, " ", "\n ", "é"], k=4000)).encode()
+    want = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 500)
+    batch = pa.RecordBatch.from_pydict({"text": [text.decode()]})
+    got, names = [], {}
+    for seg in suffix_dedup.word_parts(51)([batch], 0):
+        raw, base, ws, we, place, heads = seg[0], int(seg[2][0]), seg[6], seg[7], seg[9], seg[10]
+        got += [(base + int(a), base + int(b)) for a, b in zip(ws[:heads], we[:heads], strict=True)]
+        assert place[:heads].tolist() == list(range(len(got) - heads, len(got)))
+        at, a, b, *_ = suffix_dedup.word_cover(51)(seg, 0)
+        names |= {base + int(x): (int(p), int(q)) for x, p, q in zip(at, a, b, strict=True)}
+    assert got == want
+    monkeypatch.undo()
+    whole = next(suffix_dedup.word_parts(51)([pa.RecordBatch.from_pydict({"text": [text.decode(), ""]})], 0))
+    at, a, b, *_ = suffix_dedup.word_cover(51)(whole, 0)
+    assert names == {int(x): (int(p), int(q)) for x, p, q in zip(at, a, b, strict=True)}
 
 
 def test_suffix_segments_of_a_long_text(monkeypatch, docs, texts):
@@ -242,7 +316,7 @@ def test_byte_bpe(spark, bpe_reference, none):
         want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert Counter(map(tuple, byte_bpe.digest(frame(spark, texts).coalesce(1)).collect())) == want
     assert byte_bpe.digest(none).count() == 0
-    few = byte_bpe.encode(frame(spark, texts).coalesce(1), table_words=3, held_words=0)  # each slice of a task begins anew
+    few = byte_bpe.encode(frame(spark, texts).coalesce(1), held_words=2, piece_bytes=8).withColumn("decoded", byte_bpe.decoded(F.col("ids")))  # a task begins anew after a few rows
     got = Counter((r.doc_id, len(r.ids), hashlib.sha256(r.ids_bytes).hexdigest(), hashlib.sha256(r.decoded).hexdigest()) for r in few.collect())
     assert got == want
 
@@ -250,30 +324,49 @@ def test_byte_bpe(spark, bpe_reference, none):
 @given(st.lists(st.text(max_size=60), min_size=1, max_size=6))
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_byte_bpe_of_any_text(spark, bpe_reference, texts):
-    rows = {r.doc_id: r for r in byte_bpe.encode(frame(spark, list(enumerate(texts))), table_words=1).collect()}
+    rows = {r.doc_id: r for r in byte_bpe.encode(frame(spark, list(enumerate(texts)))).withColumn("decoded", byte_bpe.decoded(F.col("ids"))).collect()}
     for i, t in enumerate(texts):
         assert rows[i].ids == bpe_reference.encode_ordinary(t)
         assert rows[i].decoded == t.encode()
 
 
+def plain_words(text):
+    return re.findall("[a-z0-9]+", (text or "").lower())
+
+
+def runs_of(words, n):
+    return {" ".join(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+
 def test_license_scan(spark, docs, none):
-    template = licenses.TEMPLATES[8][1]
-    words = template.split()
+    """Against every window of every template's class, and every place of a short template."""
+    notices = dict(licenses.TEMPLATES)
+    words = notices["MIT-text"].split()
     broken = " ".join(words[:20] + ["other"] + words[21:])
-    texts = [(1, f"{'pad word ' * 50}{template}{' more text' * 40}"), (2, f"x y {broken} z"), (3, "Released under the MIT License."), (4, " ".join(words[:10])), (5, None), (6, "licensed UNDER cc by-nc 4.0"), (None, "Released under the MIT license")]
-    got = {(r.doc_id, r.license): r for r in licenses.license_scan(frame(spark, texts)).collect()}
-    want = {}
+    full = notices["BSD-3-Clause-full"]
+    texts = [(1, f"{'pad word ' * 50}{notices['MIT-text']}{' more text' * 40}"), (2, f"x y {broken} z"), (3, "Released under the MIT License."), (4, " ".join(words[:10])), (5, None), (6, "licensed UNDER cc by-nc 4.0")]
+    texts += [(None, "Released under the MIT license"), (7, f"{'so it goes ' * 70}\n{full.replace(' ', chr(10))}\n{'the end ' * 33}"), (8, "spdx license identifier: mit"), (9, "SPDX-License-Identifier: Apache"), (10, ""), (3, "SPDX-License-Identifier: MIT, SPDX-License-Identifier: MIT")]
+    got = sorted(((r.doc_id or -1, r.license, round(r.containment, 9)) for r in licenses.license_scan(frame(spark, texts)).collect()))
+    want = []
     for i, t in texts:
-        found = licenses.words_of((t or "").encode())
+        found = plain_words(t)
         for name, notice in licenses.TEMPLATES:
-            wanted = licenses.shingles_of(licenses.words_of(notice.encode()))
+            n = min(5, len(plain_words(notice)))
+            wanted = runs_of(plain_words(notice), n)
             size = max(4, 1 << (len(wanted) - 1).bit_length())
-            best = max((len(wanted & licenses.shingles_of(found[a : a + 3 * size // 2 + 4])) / len(wanted) for a in range(0, max(1, len(found)), size // 2)), default=0)
+            step = 1 if n < 5 else size // 2
+            best = max((len(wanted & runs_of(found[a : a + (n if n < 5 else 3 * size // 2 + 4)], n)) / len(wanted) for a in range(0, max(1, len(found)), step)), default=0)
             if best >= 0.8:
-                want[i, name] = best
-    assert {k: r.containment for k, r in got.items()} == pytest.approx(want)
-    assert (1, "MIT-text") in got and (2, "MIT-text") in got and (3, "MIT") in got and (6, "CC-BY-NC-4.0") in got
+                want.append((i or -1, name, round(best, 9)))
+    assert got == sorted(want)
+    assert {(1, "MIT-text"), (2, "MIT-text"), (3, "MIT"), (6, "CC-BY-NC-4.0"), (7, "BSD-3-Clause-full"), (8, "SPDX-MIT"), (3, "SPDX-MIT")} <= {g[:2] for g in got}
     assert licenses.license_scan(none).count() == 0
+    table = spark.createDataFrame([("own", "the one and only own license text"), ("two", "own license"), (None, "x"), ("y", None)], "name string, text string")
+    found = licenses.license_scan(frame(spark, [(1, "see THE one and only own license text here"), (2, "license own"), (3, "own license")]), table)
+    assert sorted((r.doc_id, r.license, r.first_word) for r in found.collect()) == [(1, "own", 0), (1, "two", 5), (3, "two", 0)]
+    for bad in (lambda: licenses.Scanner((("none", "--"),), 4, 0.8), lambda: licenses.license_scan(docs, table, most_templates=1)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 @pytest.fixture(scope="module")
