@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syncsift.llm.common import binary_of, crc_fold, only, slices, written
+from syncsift.llm.common import binary_of, crc_fold, only, released, slices, written
 from syncsift.llm.labelled import sample
 
 N_STATS = 26
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, features:
         for (fold, y), stats in stats_of(batches, ["fold", "y"]):
             yield pa.RecordBatch.from_arrays([fold, y, pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), N_STATS).cast(pa.list_(pa.float64()))], ["fold", "y", "x"])
 
-    table = written(rows.select("fold", "y", "text").mapInArrow(measure, "fold int, y int, x array<double>"))
+    table = written(rows.select("fold", "y", "text").mapInArrow(released(measure), "fold int, y int, x array<double>"))
 
     def x_of(batch):
         return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS)
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, features:
             ones += int(b.column("y").to_numpy().sum())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([ones])], ["sums", "ones"])
 
-    got = table.coalesce(tasks).mapInArrow(sums, "sums binary, ones long").collect()
+    got = table.coalesce(tasks).mapInArrow(released(sums), "sums binary, ones long").collect()
     total = sum((np.frombuffer(r["sums"]).reshape(3, N_STATS) for r in got), np.zeros((3, N_STATS)))
     n, ones = total[0, 0], sum(r["ones"] for r in got)
     mean = total[1] / max(n, 1)
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, features:
             c += f.T @ (b.column("y").to_numpy()[use] - prior)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([c.tobytes()])], ["a", "c"])
 
-    parts = table.coalesce(tasks).mapInArrow(normal, "a binary, c binary").collect()
+    parts = table.coalesce(tasks).mapInArrow(released(normal), "a binary, c binary").collect()
     a, c = sum(np.frombuffer(r["a"]).reshape(d, d) for r in parts), sum(np.frombuffer(r["c"]) for r in parts)
     flat.weights = np.linalg.solve(a + ridge * n / d * np.eye(d), c)
 
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, features:
             use = b.column("fold").to_numpy() == 1
             yield pa.RecordBatch.from_arrays([pa.array(flat.raw(x_of(b)[use])), pa.array(b.column("y").to_numpy()[use])], ["s", "y"])
 
-    held = table.mapInArrow(scored, "s double, y int").toPandas()
+    held = table.mapInArrow(released(scored), "s double, y int").toPandas()
     if held.y.nunique() == 2:
         flat.centres, flat.values = pooled(held.s.to_numpy(), held.y.to_numpy(dtype=float))
     else:
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for (ids,), stats in stats_of(batches, ["doc_id"]):
             yield pa.RecordBatch.from_arrays([ids, pa.array(model.score(stats) if len(stats) else np.zeros(0))], ["doc_id", "score"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double").select(
+    return only(docs, "doc_id", "text").mapInArrow(released(run), "doc_id long, score double").select(
         "doc_id", (crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
@@ -190,7 +190,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             for _, stats in stats_of(iter([batch]), []):
                 yield batch.filter(pa.array(model.score(stats) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
