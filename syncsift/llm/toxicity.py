@@ -2,9 +2,10 @@
 
 Items are whole words and word beginnings of 4 to 6 letters, lower-cased. From a bounded sample of labelled documents
 (``most_labels``, those whose crc32(doc_id as text) mod 5 isn't 0) each item's distinct lines are counted by label:
-copies of a passage count once. Items that are significantly more frequent in toxic lines make the lexicon (at most
-``most_items``, the most significant). Lexicon items are dealt to ``voters`` lexicon voters by rank; pattern voters look
-at repeated hits, at the share of words hit and at their absence.
+copies of a passage count once. Items that are significantly more frequent in toxic lines are kept (at most
+``most_items``, the most significant). Words are dealt by rank to lexicon voters, and beginnings, which match words that no
+document of the sample has, to pattern voters; four more pattern voters look at the shape of a text: repeated hits, the
+share of words hit, hits of several voters, and no hit at all.
 
 The generative label model has a class and, for each voter, its probabilities to vote toxic, clean or not at all given
 the class. It is fitted to the votes alone by expectation-maximisation from a majority vote. Correlations of voters
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syncsift.llm.common import crc_fold, only, slices, written
+from syncsift.llm.common import crc_fold, only, released, slices, written
 from syncsift.llm.labelled import sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -60,7 +61,7 @@ def mine(rows: DataFrame, most_items: int, tasks: int = 12) -> list[str]:
                 kinds = (pa.string(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat, strict=True), kinds, strict=True)], ["item", "y", "line"])
 
-    lines = rows.select("y", "text").mapInArrow(emit, "item string, y int, line long").distinct()
+    lines = rows.select("y", "text").mapInArrow(released(emit), "item string, y int, line long").distinct()
     counted = lines.groupBy("item").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     totals = rows.agg(F.avg("y")).first()[0] or 0.0
     rate = min(max(totals, 0.001), 0.5)
@@ -71,32 +72,29 @@ def mine(rows: DataFrame, most_items: int, tasks: int = 12) -> list[str]:
     return [r["item"] for r in best.select("item").collect()]
 
 
-def hits(text: str, lexicon: dict[str, int], width: int) -> tuple[np.ndarray, int, int]:
-    """Hits by voter, words hit, words in all."""
+def hits(text: str, items: dict[str, int], width: int) -> tuple[np.ndarray, int, int]:
+    """Hits by voter, words hit, words in all; a word can be hit by a lexicon voter and a pattern voter."""
     by_voter, hit, n = np.zeros(width), 0, 0
-    get = lexicon.get
+    get = items.get
     for word in WORD.findall(text.lower()):
         n += 1
-        k = get(word)
-        if k is None:
-            for p in PREFIXES:
-                if len(word) > p and (k := get(f"{word[:p]}*")) is not None:
-                    break
-        if k is not None:
+        starts = (get(f"{word[:p]}*") for p in PREFIXES if len(word) > p)
+        found = [k for k in (get(word), next((k for k in starts if k is not None), None)) if k is not None]
+        for k in found:
             by_voter[k] += 1
-            hit += 1
+        hit += bool(found)
     return by_voter, hit, n
 
 
 class Counter:
-    """Hits of whole texts; looks a word up once, in a bounded cache."""
+    """Hits of whole texts. The first half of the voters are of words, the others of beginnings."""
 
-    def __init__(self, lexicon: list[str], voters: int):
-        self.lexicon, self.voters = {x: i % voters for i, x in enumerate(lexicon)}, voters
-        self.starts = {x[:-1] for x in lexicon if x.endswith("*")}
-        self.whole = {x for x in lexicon if not x.endswith("*")}
+    def __init__(self, items: list[str], voters: int):
+        self.voters, half = voters, voters // 2
+        words, starts = ([x for x in items if x.endswith("*") == of_starts] for of_starts in (False, True))
+        self.items = {x: i % half for i, x in enumerate(words)} | {x: half + i % (voters - half) for i, x in enumerate(starts)}
         # A text without any of these beginnings can't have a hit: one pass by a compiled pattern decides.
-        heads = sorted({x[:4].rstrip("*") for x in lexicon})
+        heads = sorted({x[:4].rstrip("*") for x in items})
         self.quick = re.compile("|".join(map(re.escape, heads))) if heads else None
 
     def of(self, text: str) -> np.ndarray:
@@ -105,14 +103,14 @@ class Counter:
         out = np.zeros(self.voters + N_PATTERNS)
         if not (self.quick and self.quick.search(low)):
             return out
-        by_voter, hit, n = hits(low, self.lexicon, self.voters)
+        by_voter, hit, n = hits(low, self.items, self.voters)
         out[: self.voters] = np.log1p(by_voter)
         out[self.voters :] = [hit > 0, hit > 1, math.log1p(hit), min(1.0, 20 * hit / max(n, 1)), float((by_voter > 0).sum() > 1)]
         return out
 
 
 def votes(x: np.ndarray, voters: int) -> np.ndarray:
-    """1 toxic, -1 clean, 0 none: lexicon voters speak when hit, pattern voters on repeated hits, share of hits and absence."""
+    """1 toxic, -1 clean, 0 none: voters of items speak when hit, those of shape on repeated hits, their share and their absence."""
     lexicon = (x[:, :voters] > 0).astype(np.int8)
     p = x[:, voters:]
     none, many = p[:, 0] == 0, p[:, 1] > 0
@@ -179,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_item
             x = np.array([counter.of(t or "") for t in batch.column("text").to_pylist()]).reshape(len(batch), -1)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x])], ["x"])
 
-    got = rows.select("text").mapInArrow(measure, "x binary").toPandas()
+    got = rows.select("text").mapInArrow(released(measure), "x binary").toPandas()
     x = np.stack([np.frombuffer(r) for r in got.x])
     return Model(lexicon, voters, logistic(x, label_model(votes(x, voters))))
 
@@ -194,7 +192,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             z = x @ model.weights[:-1] + model.weights[-1] if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double").select(
+    return only(docs, "doc_id", "text").mapInArrow(released(run), "doc_id long, score double").select(
         "doc_id", (crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
