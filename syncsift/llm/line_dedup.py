@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syncsift.llm.common import only, written
+from syncsift.llm.common import dropped, only, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,7 +41,7 @@ def long_enough(line: Column, min_chars: int) -> Column:
 
 
 def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc_id, drop): for each document that loses lines, the hashes of their keys."""
+    """(doc_id, drop), written: for each document that loses lines, the hashes of their keys."""
     lines = only(docs, "doc_id", "text").select(
         "doc_id",
         F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: long_enough(x, min_chars)), lambda x: hash_of(key_of(x))))).alias("h"),
@@ -51,13 +51,16 @@ def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     once = lines.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("one"))
     frequent = written(once.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("kept_in")).where(F.col("n") >= min_docs).select("a", "b", "kept_in"))
     hits = lines.join(frequent.hint("merge"), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("kept_in")))
-    return hits.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+    out = written(hits.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drop")))
+    for table in (lines, frequent):
+        dropped(table)
+    return out
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept string, n_lines long, n_dropped long, and the columns ``carry``) for every row of ``docs``."""
-    drops = written(frequent_lines(docs, min_chars, min_docs)).withColumnRenamed("doc_id", "loser")
-    every = only(docs, "doc_id", "text", *carry)
+    drops = frequent_lines(docs, min_chars, min_docs).withColumnRenamed("doc_id", "loser")
+    every = only(docs, "doc_id", "text", *carry).toDF("doc_id", "text", *(f"carried{i}" for i in range(len(carry))))  # whatever their names
     all_lines = lines_of(F.col("text"))
     kept = F.filter(F.col("l"), lambda x: ~(long_enough(x, min_chars) & F.array_contains(F.col("drop"), hash_of(key_of(x)))))
     joined = every.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("loser")), "left").withColumn("l", all_lines)
@@ -66,7 +69,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: t
         F.array_join("k", "\n").alias("kept"),
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size("k")).cast("long").alias("n_dropped"),
-        *carry,
+        *(F.col(f"carried{i}").alias(c) for i, c in enumerate(carry)),
     )
 
 

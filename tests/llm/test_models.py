@@ -64,12 +64,14 @@ def test_label_model_weighs_voters_by_what_they_are_worth():
     rng = np.random.default_rng(2)
     truth = rng.random(6000) < 0.15
     speak = lambda right, wrong: np.where(truth, rng.random(6000) < right, rng.random(6000) < wrong).astype(np.int8)
-    good, noise = [speak(0.7, 0.01) for _ in range(4)], speak(0.3, 0.3)
-    v = np.column_stack([*good, noise, noise, noise, np.where(np.sum(good, axis=0) == 0, -1, 0)])
+    good, weak = [speak(0.7, 0.01) for _ in range(4)], speak(0.5, 0.06)
+    v = np.column_stack([*good, weak, weak, weak, np.where(np.sum(good, axis=0) == 0, -1, 0)])
     q = toxicity.label_model(v)
-    assert ((q > 0.5) == truth).mean() > 0.97
-    only_noise = (noise == 1) & (np.sum(good, axis=0) == 0)
-    assert q[only_noise].max() < 0.5  # three voters that say the same are no three voices
+    told = lambda x, right, wrong: np.where(x == 1, math.log(right / wrong), math.log((1 - right) / (1 - wrong)))
+    best = math.log(0.15 / 0.85) + sum(told(x, 0.7, 0.01) for x in good) + told(weak, 0.5, 0.06)  # by the true rates, the same voter once
+    assert ((q > 0.5) == (best > 0)).mean() > 0.97 and ((q > 0.5) == truth).mean() > 0.95
+    alone = (weak == 1) & (np.sum(good, axis=0) == 0)
+    assert alone.sum() > 100 and q[alone].max() < 0.5  # three voters that say the same are no three voices
 
 
 def test_logistic_is_at_its_optimum():
