@@ -178,6 +178,18 @@ def line_regions(kind: Column, left: Column, right: Column) -> Column:
     return _line_regions(kind, left, right)
 
 
+@F.pandas_udf(T.ArrayType(REGION))
+def _content_regions(kind: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+    text = lambda c: "" if c is None else decode(bytes(c))
+    found = [BY_KIND[k](lines_of(text(x)), lines_of(text(y))) for k, x, y in zip(kind, left, right, strict=True)]
+    return pd.Series([[dict(zip(REGION.names, r, strict=True)) for r in rows] for rows in found])
+
+
+def content_regions(kind: Column, left: Column, right: Column) -> Column:
+    """Regions of two files' contents, in UTF-8 or marked UTF-16."""
+    return _content_regions(kind, left, right)
+
+
 def binary_region(left: Column, right: Column) -> Column:
     """A region of the first differing byte, or of the whole surplus of one side; null if the contents are equal.
 

@@ -196,6 +196,12 @@ def telemetry(counts: DataFrame, members: DataFrame, window: int = WINDOW) -> Da
     )
 
 
+def gated(t: DataFrame) -> DataFrame:
+    """Telemetry that raises if any byte of a placeholder was read."""
+    broken = F.when(F.col("placeholder_bytes_read") != 0, F.raise_error(F.lit("placeholder content was read")))
+    return t.withColumn("placeholder_bytes_read", F.coalesce(broken.cast("long"), F.col("placeholder_bytes_read")))
+
+
 def merge_telemetry(parts: DataFrame) -> DataFrame:
     """The sum of several telemetry rows, counter by counter."""
     return parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in parts.columns))

@@ -81,7 +81,7 @@ def scan(rows: DataFrame, root: str, window: int = WINDOW, algorithm: str = "sha
     else:
         hashed = verdicts.hashed_paths(candidates, window, algorithm)
     members = written(verdicts.judged_members(written(hashed)))
-    return Scan(root, inv, members, verdicts.telemetry(inv.counts, members, window), started, algorithm)
+    return Scan(root, inv, members, verdicts.gated(verdicts.telemetry(inv.counts, members, window)), started, algorithm)
 
 
 def scan_tree(spark: SparkSession, root: str, **options) -> Scan:

@@ -66,3 +66,11 @@ def test_columns(spark):
     assert [r.kind for r in got] == ["markdown", "text", "csv", "binary"]
     assert [len(r.r) if r.r is not None else None for r in got] == [2, 1, 1, None]
     assert [tuple(r.s) if r.s else None for r in got] == [("Changed", 2, 1, 2, 1), None, ("Added", 2, 0, 2, 2), ("Removed", 70_000, 2, 70_000, 0)]
+
+
+def test_contents_in_utf16(spark):
+    one, two = "a\nb\nü", "a\r\nc\r\nü"
+    rows = [(bytearray(one.encode("utf-16")), bytearray(two.encode())), (None, bytearray(b"")), (bytearray(b"\xef\xbb\xbfa"), bytearray(b"a\n"))]
+    df = spark.createDataFrame(rows, "a binary, b binary")
+    got = [[tuple(x) for x in r.r] for r in df.select(c.content_regions(F.lit("text"), F.col("a"), F.col("b")).alias("r")).collect()]
+    assert got == [[("Equal", 0, 1, 0, 1), ("Changed", 1, 1, 1, 1), ("Equal", 2, 1, 2, 1)], [], [("Equal", 0, 1, 0, 1)]]

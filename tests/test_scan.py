@@ -85,6 +85,12 @@ def test_only_groups_that_meet_are_hashed_whole(spark):
     assert [r.hash for r in b3.duplicates.collect()] == [blake3(b"3" * 200)] and '"BLAKE3"' in b3.json()
 
 
+def test_the_placeholder_gate(spark, scanned):
+    assert verdicts.gated(scanned.telemetry).first() == scanned.telemetry.first()
+    with pytest.raises(Exception, match="placeholder content was read"):
+        verdicts.gated(scanned.telemetry.withColumn("placeholder_bytes_read", F.lit(1).cast("long"))).collect()
+
+
 def test_marker_passes_every_key_at_any_size(spark):
     keys = spark.range(3000).selectExpr("concat('k', id) AS path")
     for bits in (10, 24):
@@ -125,7 +131,9 @@ def test_report(scanned):
     assert r["identical_duplicates"][0]["files"] == ["backup/p00/pier00.png", "dups/p00/pier00.png"]
     assert scanned.json(when) == text
     assert "conflict ledger00.bin" in scanned.text()
-    assert report.dumps("<é'&") == '"\\u003C\\u00e9\\u0027\\u0026"\n'
+    assert report.dumps("<é'&") == '"\\u003C\\u00E9\\u0027\\u0026"\n'
+    odd = 'a"b\\u00e9\\"c\n\x7f\x01😀'
+    assert report.dumps(odd) == r'"a\u0022b\\u00e9\\\u0022c\n\u007F\u0001\uD83D\uDE00"' + "\n" and json.loads(report.dumps(odd)) == odd
 
 
 def test_tree_rules(spark, tmp_path):
