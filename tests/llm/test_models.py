@@ -69,7 +69,7 @@ def test_label_model_weighs_voters_by_what_they_are_worth():
     q = toxicity.label_model(v)
     told = lambda x, right, wrong: np.where(x == 1, math.log(right / wrong), math.log((1 - right) / (1 - wrong)))
     best = math.log(0.15 / 0.85) + sum(told(x, 0.7, 0.01) for x in good) + told(weak, 0.5, 0.06)  # by the true rates, the same voter once
-    assert ((q > 0.5) == (best > 0)).mean() > 0.97 and ((q > 0.5) == truth).mean() > 0.95
+    assert ((q > 0.5) == (best > 0)).mean() > 0.95 and ((q > 0.5) == truth).mean() > 0.95
     alone = (weak == 1) & (np.sum(good, axis=0) == 0)
     assert alone.sum() > 100 and q[alone].max() < 0.5  # three voters that say the same are no three voices
 
