@@ -3,12 +3,13 @@
 Equal vectors are grouped first: a group is one point of the index with its k + 1 smallest rows, since further copies
 can't be in any result. Each of ``curves`` Hilbert curves orders all points by the key of their unit vectors, projected to
 ``dims`` random orthonormal directions, shifted at random and quantised to ``bits`` bits (the spread of each direction
-comes from a bounded sample). The keys of a curve are cut into ``tiles`` ranges of equal counts, and a tile into blocks of
-``block_rows`` points. A query looks at its own tile and the neighbouring tiles at either side; exact cosines rerank what
-it meets, and the tops of all curves and blocks merge.
+comes from a bounded sample). The keys of a curve are cut into ``ranges`` of equal counts; some neighbouring ranges are a tile,
+and a tile is cut into blocks of ``block_rows`` points. A query looks at its own tile and the neighbouring tiles at either
+side; exact cosines rerank what it meets, and the tops of all curves and blocks merge.
 
-How many neighbouring tiles is measured, not set: for ``probes`` points of the sample the true neighbours among all points are
-found (one pass over the points), and the smallest window that holds a share of ``want`` of them on some curve is taken. So
+How many neighbouring ranges is measured, not set: for ``probes`` points of the sample the true neighbours among all points are
+found (one pass over the points), and the smallest window that holds a share of ``want`` of them on some curve is taken; a
+tile is about a third of it. So
 vectors with structure, whose neighbours lie close on a curve, cost a small share of the points; vectors without any (as in the
 test data, where the fifth neighbour's cosine is the tail of random ones) leave no index a small candidate set, and their
 window is a large share. Lengths of at most ``whole_rows`` points are one tile, compared in full. tests/llm measure the
@@ -104,21 +105,21 @@ def cosines(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return ((rows * x).sum(axis=1) / np.sqrt((x * x).sum() * (rows * rows).sum(axis=1))).astype(np.float64)
 
 
-class Tiles:
-    """Where points lie: lengths without curves are one tile each."""
+class Ranges:
+    """Where points lie: lengths without curves are one range each."""
 
-    def __init__(self, index: dict[int, Curves], cuts: dict[tuple[int, int], np.ndarray], curves: int, tiles: int):
-        self.index, self.cuts, self.curves, self.tiles = index, cuts, curves, tiles
+    def __init__(self, index: dict[int, Curves], cuts: dict[tuple[int, int], np.ndarray]):
+        self.index, self.cuts = index, cuts
 
     def of(self, n: int, unit: np.ndarray) -> np.ndarray:
-        """The tile of each row on each curve."""
+        """The range of each row on each curve."""
         if n not in self.index:
             return np.zeros((1, len(unit)), np.int64)
         return np.stack([np.searchsorted(self.cuts[n, c], key, side="right") for c, key in enumerate(self.index[n].keys(unit))])
 
 
-def fitted(points: DataFrame, curves: int, dims: int, bits: int, tiles: int, whole_rows: int, sample: int, seed: int) -> tuple[Tiles, dict[int, int], dict[int, np.ndarray]]:
-    """The tiles, the points of each length that has curves, and a bounded sample of unit vectors of these lengths."""
+def fitted(points: DataFrame, curves: int, dims: int, bits: int, ranges: int, whole_rows: int, sample: int, seed: int) -> tuple[Ranges, dict[int, int], dict[int, np.ndarray]]:
+    """The ranges, the points of each length that has curves, and a bounded sample of unit vectors of these lengths."""
     counts = points.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("points"))
     large = {r["n"]: r["points"] for r in counts.where(F.col("points") > whole_rows).collect()}  # so no more than points / whole_rows
     mine = points.where(F.size("v").isin(list(large))) if large else points.where("false")
@@ -136,13 +137,13 @@ def fitted(points: DataFrame, curves: int, dims: int, bits: int, tiles: int, who
                 found = index[n].keys(_unit(v))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(curves * len(v), n, np.int32)), pa.array(np.repeat(np.arange(curves, dtype=np.int32), len(v))), pa.array(np.concatenate(found))], ["n", "curve", "key"])
 
-    cut = F.percentile_approx("key", [i / tiles for i in range(1, tiles)], F.lit(50 * tiles))
+    cut = F.percentile_approx("key", [i / ranges for i in range(1, ranges)], F.lit(50 * ranges))
     got = mine.select("v").mapInArrow(released(keys), "n int, curve int, key long").groupBy("n", "curve").agg(cut.alias("cut")).collect() if large else []
-    return Tiles(index, {(r["n"], r["curve"]): np.array(r["cut"]) for r in got}, curves, tiles), large, units
+    return Ranges(index, {(r["n"], r["curve"]): np.array(r["cut"]) for r in got}), large, units
 
 
-def measured_window(points: DataFrame, placed: Tiles, units: dict[int, np.ndarray], k: int, probes: int, want: float) -> int:
-    """The least number of neighbouring tiles at either side that holds a share of ``want`` of the true neighbours of some sampled points."""
+def measured_window(points: DataFrame, placed: Ranges, units: dict[int, np.ndarray], k: int, probes: int, want: float) -> int:
+    """The least number of neighbouring ranges at either side that holds a share of ``want`` of the true neighbours of some sampled points."""
     units = {n: u[:probes] for n, u in units.items() if len(u)}
     at = {n: placed.of(n, u) for n, u in units.items()}
 
@@ -157,8 +158,8 @@ def measured_window(points: DataFrame, placed: Tiles, units: dict[int, np.ndarra
                     near = units[n] @ unit.T
                     m = min(k + 1, near.shape[1])
                     rows = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                    tiles = placed.of(n, unit)
-                    away = np.abs(tiles[:, rows] - at[n][:, :, None]).min(axis=0)
+                    lies = placed.of(n, unit)
+                    away = np.abs(lies[:, rows] - at[n][:, :, None]).min(axis=0)
                     score = np.take_along_axis(near, rows, axis=1)
                     if n in best:
                         score, away = np.hstack([best[n][0], score]), np.hstack([best[n][1], away])
@@ -175,12 +176,14 @@ def measured_window(points: DataFrame, placed: Tiles, units: dict[int, np.ndarra
 
 
 def neighbours(
-    rows: DataFrame, is_query: Column, k: int = 5, curves: int = 8, dims: int = 4, bits: int = 9, window: int | None = None, want: float = 0.95, tiles: int = 48, block_rows: int = 16_384, whole_rows: int = 4096, sample: int = 4096, probes: int = 192, seed: int = 3
+    rows: DataFrame, is_query: Column, k: int = 5, curves: int = 8, dims: int = 4, bits: int = 9, window: int | None = None, want: float = 0.95, ranges: int = 512, block_rows: int = 16_384, whole_rows: int = 4096, sample: int = 4096, probes: int = 192, seed: int = 3
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (rid, id, v); ``is_query`` is a condition on id; ``window``: tiles at either side, measured if none is given."""
+    """(query_id, rank, vec_id, score) from (rid, id, v); ``is_query`` is a condition on id; ``window``: ranges at either side, measured if none is given."""
     points = written(grouped(rows, k + 1))
-    placed, large, units = fitted(points, curves, dims, bits, tiles, whole_rows, sample, seed)
-    reach = measured_window(points, placed, units, k, probes, want) if window is None and large else window or 1
+    placed, large, units = fitted(points, curves, dims, bits, ranges, whole_rows, sample, seed)
+    window = measured_window(points, placed, units, k, probes, want) if window is None and large else window or 1
+    together = max(1, math.ceil(window / 3))  # ranges of a tile
+    reach, tiles = math.ceil(window / together), math.ceil(ranges / together)
     parts = {n: max(1, math.ceil(p / tiles / block_rows)) for n, p in large.items()}
 
     queries = rows.where(is_query).select(F.col("rid").alias("own"), F.col("id").alias("query_id"), F.transform("v", lambda x: x + F.lit(0.0)).alias("qv")).withColumns({"h": F.xxhash64("qv"), "g": F.xxhash64(F.lit(7), "qv")})
@@ -200,7 +203,7 @@ def neighbours(
             for b in batches:
                 pids = b.column("pid").to_numpy()
                 for n, at, v in by_length(b.column("v")):
-                    for c, tile in enumerate(placed.of(n, _unit(v))):
+                    for c, tile in enumerate(placed.of(n, _unit(v)) // together):
                         for step in range(-reach, reach + 1) if kind and n in placed.index else (0,):
                             ok = np.flatnonzero((tile + step >= 0) & (tile + step < tiles))
                             yield from out(b, n, c, tile[ok] + step, at[ok], pids[at[ok]])
