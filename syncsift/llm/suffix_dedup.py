@@ -32,7 +32,7 @@ kept; other columns are ignored, whatever their names; a text longer than a slic
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,8 +151,8 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
 
-def _block(held: list, block: int, buckets: int):
-    """Rows of one block: for each bucket its entries (names, second names, places), and the block's own table with what it decides alone."""
+def _block(held: list, block: int, buckets: int, turn: int, turns: int):
+    """Rows of one block: for each bucket of the turn its entries (names, second names, places), and the block's own table with what it decides alone."""
     keys, bases, begins, at, a, b, size = [], [], [], [], [], [], 0
     for seg_keys, starts, seg_bases, places, x, y, u, v, n in held:
         keys.append(seg_keys)
@@ -163,6 +163,10 @@ def _block(held: list, block: int, buckets: int):
         b += [y, v]
         size += n
     at, a, b = np.concatenate(at), np.concatenate(a), np.concatenate(b)
+    bucket_of = lambda names: ((names >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+    if turns > 1:
+        mine = bucket_of(a) % turns == turn
+        at, a, b = at[mine], a[mine], b[mine]
     order = np.lexsort((at, b, a))
     at, a, b = at[order], a[order], b[order]
     fresh = np.ones(len(a), bool)
@@ -173,7 +177,7 @@ def _block(held: list, block: int, buckets: int):
     decided, full = at[own], b[own] != 0
     at, a, b, many = at[fresh], a[fresh], b[fresh], many[fresh]
     at = np.where(many, at | TOP, at).astype(np.uint32)
-    bucket = ((a >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+    bucket = bucket_of(a)
     by = np.lexsort((at == NONE, bucket))
     at, a, b, bucket = at[by], a[by], b[by], bucket[by]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -196,9 +200,11 @@ def _names(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint64, n, 24), np.frombuffer(data, np.uint64 if wide == 8 else np.uint16, n, 24 + 8 * n), at
 
 
-def repeats(texts: DataFrame, positions, length: int, parts=None) -> DataFrame:
+def repeats(texts: DataFrame, positions, length: int, parts=None, turn: int = 0, turns: int = 1) -> DataFrame:
     """(k1, k2, at binary, full binary): of the positions that ``positions`` names, those whose name occurs elsewhere.
 
+    Of ``turns`` turns, each of which shuffles its share of the buckets, the turn ``turn``.
+
     ``parts`` cuts slices of texts into what ``positions`` reads at once (``segments`` if none is given).
 
     at: offsets as 32-bit integers; full: 1 where both names occur together elsewhere.
@@ -219,10 +225,10 @@ def repeats(texts: DataFrame, positions, length: int, parts=None) -> DataFrame:
             held.append((keys, starts, bases, at, a, b, told, told_b, len(raw)))
             count += len(at) + len(told)
             if count >= BLOCK or sum(h[8] for h in held) > 1 << 30:
-                yield _block(held, block, buckets)
+                yield _block(held, block, buckets, turn, turns)
                 block, held, count = block + 1, [], 0
         if held:
-            yield _block(held, block, buckets)
+            yield _block(held, block, buckets, turn, turns)
 
     def search(batches):
         def done(held):
@@ -333,14 +339,17 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> bytes:
     return b[~gone].tobytes()
 
 
-def marked(texts: DataFrame, length: int, first, second, parts=None) -> tuple[DataFrame, list[DataFrame]]:
-    """(k1, k2, text, at, full, more, more_full), and the tables behind it: the texts that share a sample, with the starts that repeat (where full)."""
+def marked(texts: DataFrame, length: int, first, second, parts=None, turns: int = 1) -> tuple[DataFrame, list[DataFrame]]:
+    """(k1, k2, text, at, full, more, more_full), and the tables behind it: the texts that share a sample, with the starts that repeat (where full).
+
+    The second step goes in ``turns`` turns, for the sake of the disk: each names its positions anew and sorts its share of them.
+    """
     marks = written(repeats(texts, first, length, parts))
     sharing = written(texts.join(_merged(marks).hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).drop("m1", "m2"))
     dropped(marks)
-    late = written(repeats(sharing, second, length, parts).where(F.octet_length("at") > 0))
-    extra = _merged(late).select("m1", "m2", F.col("at").alias("more"), F.col("full").alias("more_full"))
-    return sharing.join(extra.hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("k1", "k2", "text", "at", "full", "more", "more_full"), [sharing, late]
+    late = [written(repeats(sharing, second, length, parts, turn, turns).where(F.octet_length("at") > 0)) for turn in range(turns)]
+    extra = _merged(reduce(DataFrame.unionByName, late)).select("m1", "m2", F.col("at").alias("more"), F.col("full").alias("more_full"))
+    return sharing.join(extra.hint("merge"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("k1", "k2", "text", "at", "full", "more", "more_full"), [sharing, *late]
 
 
 def _full(at: bytes, full: bytes, more: bytes | None, more_full: bytes | None) -> np.ndarray:
@@ -389,7 +398,7 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
 
 def byte_spans(texts: DataFrame, length: int) -> DataFrame:
     """SPANS, written, of the bytes that a repeated string of ``length`` bytes covers."""
-    marks, behind = marked(texts, length, cover_positions, open_positions)
+    marks, behind = marked(texts, length, cover_positions, open_positions, turns=2)
     found = written(_spans(marks, lambda raw, at: removed(len(raw), at, length)).dropDuplicates(["s1", "s2"]))
     for table in behind:
         dropped(table)
