@@ -49,6 +49,14 @@ def test_exact_topk(table, rows):
     assert exact_topk.digest(table.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_exact_topk_sql(table):
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("embeddings", table.toArrow())
+    assert sorted(map(tuple, exact_topk.digest(table).collect())) == sorted(c.sql(exact_topk.ORACLE).fetchall())
+
+
 def test_exact_topk_of_large_components(spark):
     rng = np.random.default_rng(1)
     x = [(i, [float(y) for y in v]) for i, v in enumerate(rng.integers(-(1 << 45), 1 << 45, (120, 6)))]
