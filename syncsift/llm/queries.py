@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from syncsift.llm import byte_bpe, conversations, exact_dedup, exact_topk, hilbert_ann, licenses, line_dedup, packing, quality, simhash, suffix_dedup, toxicity
+from syncsift.llm import byte_bpe, conversations, divergence, exact_dedup, exact_topk, hilbert_ann, licenses, line_dedup, packing, quality, simhash, suffix_dedup, toxicity
 
 
 def _on(table: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash_near_dedup": _on("documents", simhash.digest),
         "op11_exact_dedup": _on("documents", exact_dedup.digest),
         "op12_conversation_repair": _on("conversations", conversations.digest),
+        "op13_source_divergence": _on("documents", divergence.digest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": exact_topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op12_conversation_repair": conversations.ORACLE}
+    return {"op4_exact_topk": exact_topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_source_divergence": divergence.ORACLE}
