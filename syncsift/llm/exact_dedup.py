@@ -8,8 +8,8 @@ overflows is built again, twice as large, from the stored digests; ``resharded``
 
 ``exact_dedup`` puts all rows into an index. Digests that more than one row holds are hits; only texts of hits are bucketed by
 digest and compared, byte by byte, as grouping keys, so digests that collide don't join different texts. The rows move as
-(digest, hash, ids) of some 60 bytes; texts move if they are hits, or when Spark finds the hits too many to broadcast (it
-measures the table), once.
+(digest, hash, ids) of some 60 bytes. Texts meet the hits in a shuffle, whatever their number, so that the plan is the same at any
+size (at scale Spark's runtime filter keeps most others out of it); texts of hits then move once more, copies summed.
 
 Hot keys: changes are summed by (digest, salt) before they move, so that at most SALTS rows of a digest reach its shard,
 however many copies there are; texts of hits are summed by (digest, salt, text) before they are by (digest, text); the join that
@@ -214,7 +214,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = digest_of)
     hits = written(stored(index).where("rows > 1").select("digest"))
     # Texts of hits alone are bucketed; copies are summed before they move.
     salted = hits.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    bucketed = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left_semi")
+    bucketed = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["digest", "salt"], "left_semi")
     some = bucketed.groupBy("digest", "salt", "text").agg(F.count("*").alias("n"))
     equal = some.groupBy("digest", "text").agg(F.sum("n").alias("n")).where("n > 1").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "n")
     last = rows.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("last"))
