@@ -38,7 +38,7 @@ TABLE = bytes(x + 32 if 0x41 <= x <= 0x5A else x if x > 0x7F or 0x61 <= x <= 0x7
 SCALE, TILE = 1_000_000_000, 512
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+def in_blocks(docs: DataFrame, block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """(lang, source, part, text) of the documents, and the written groups (lang, source, parts)."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = only(docs, "doc_id", "text", "lang", "source").select("doc_id", named("text"), named("lang"), named("source"))
@@ -237,7 +237,7 @@ def pair_sums(postings: DataFrame, groups: DataFrame, tile: int = TILE) -> DataF
     return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("common").alias("common"))
 
 
-def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, tile: int = TILE, block_bytes: int = 2 << 20) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, tile: int = TILE, block_bytes: int = 8 << 20) -> DataFrame:
     """(lang, source, part, item, value long, rank int): for each source all others of its language, and its ``top`` terms."""
     blocks, named = in_blocks(docs, block_bytes)
     first = written(documents_of(blocks))

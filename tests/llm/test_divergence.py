@@ -49,7 +49,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i % 300, t, lang, s, 5, "q", 1.0) for i, (t, lang, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, n long, term string, p double").repartition(5)
 
 
-@pytest.mark.parametrize(("tile", "block"), [(512, 2 << 20), (3, 2000), (1, 1)])
+@pytest.mark.parametrize(("tile", "block"), [(512, 8 << 20), (3, 2000), (1, 1)])
 def test_audit(spark, rows, tile, block):
     out = divergence.audit(frame(spark, rows), tile=tile, block_bytes=block)
     assert sorted(tuple(r) for r in out.select("lang", "source", "part", "item", "value", "rank").collect()) == restated(rows)
