@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from syncsift.schema import WINDOW
+from syncsift.schema import TICKS_AT_EPOCH, WINDOW
 
 #: Fixed values of the published BLAKE3 algorithm: initial words and the permutation of message words between rounds.
 IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
 PERMUTATION = (2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8)
 START, END, PARENT, ROOT = 1, 2, 4, 8
+PIECE = 1 << 18  # bytes that are read at a time: 256 chunks, a whole subtree
+RANGE = 1 << 26  # bytes of a file that are one task's: a whole subtree, too
 
 
 def windows(content: Column, size: Column, window: int = WINDOW) -> Column:
@@ -65,8 +68,26 @@ def _rounds(cv: np.ndarray, block: np.ndarray, counter: np.ndarray, size: np.nda
     return (s[:8] ^ s[8:]).T.copy()
 
 
-def blake3(data: bytes) -> str:
-    """The 256-bit BLAKE3 hash in lowercase hex. Chunks of 1024 bytes are compressed side by side, then the tree level by level."""
+def _up(nodes: np.ndarray, root: bool) -> np.ndarray:
+    """One level of parents; the last node of an odd number goes up as it is. ``root``: the two nodes that are left make the root."""
+    pairs = len(nodes) // 2
+    flags = np.full(pairs, PARENT + (ROOT if root and len(nodes) == 2 else 0), np.uint32)
+    up = _rounds(np.tile(np.array(IV, np.uint32), (pairs, 1)), nodes[: 2 * pairs].reshape(pairs, 16), np.zeros(pairs, np.int64), np.full(pairs, 64, np.uint32), flags)
+    return np.concatenate([up, nodes[2 * pairs :]])
+
+
+def _joined(nodes: np.ndarray, root: bool) -> np.ndarray:
+    """One node of several that are all of one height, the last one perhaps lower.
+
+    Left subtrees hold the largest power of two of chunks, so pairing neighbours level by level builds the same tree.
+    """
+    while len(nodes) > 1:
+        nodes = _up(nodes, root)
+    return nodes
+
+
+def _node(data: bytes, first: int, root: bool) -> np.ndarray:
+    """The node over some chunks, ``first`` the number of the first; chunks of 1024 bytes are compressed side by side."""
     chunks = max(1, -(-len(data) // 1024))
     padded = np.zeros(chunks * 1024, np.uint8)
     padded[: len(data)] = np.frombuffer(data, np.uint8)
@@ -78,59 +99,187 @@ def blake3(data: bytes) -> str:
     for b in range(int(last.max())):
         on = np.flatnonzero(b < last)
         ends = last[on] - 1 == b
-        flags = (START * (b == 0) + END * ends + ROOT * (ends & (chunks == 1))).astype(np.uint32)
-        cv[on] = _rounds(cv[on], blocks[on, b], on.astype(np.int64), np.clip(sizes[on] - 64 * b, 0, 64).astype(np.uint32), flags)
-    while len(cv) > 1:
-        # Left subtrees hold the largest power of two of chunks, so pairing neighbours level by level builds the same tree.
-        pairs = len(cv) // 2
-        top = np.full(pairs, PARENT + (ROOT if len(cv) == 2 else 0), np.uint32)
-        up = _rounds(np.tile(np.array(IV, np.uint32), (pairs, 1)), cv[: 2 * pairs].reshape(pairs, 16), np.zeros(pairs, np.int64), np.full(pairs, 64, np.uint32), top)
-        cv = np.concatenate([up, cv[2 * pairs :]])
-    return cv[0].astype("<u4").tobytes().hex()
-
-
-def digest(data: bytes, algorithm: str) -> str:
-    return blake3(data) if algorithm == "blake3" else hashlib.new(algorithm, data).hexdigest()
-
-
-def _read(path: str, size: int, window: int | None) -> bytes:
-    with open(path, "rb") as f:
-        if window is None or size <= 2 * window:
-            data = f.read()
-            want = size
-        else:
-            data = f.read(window)
-            f.seek(size - window)
-            data += f.read(window)
-            want = 2 * window
-    if len(data) < want:
-        raise OSError(f"{path}: {len(data)} bytes where {want} were listed")
-    return data
-
-
-def path_hasher(window: int | None = WINDOW, algorithm: str = "sha256"):
-    """A function (path, size, placeholder) -> struct(hash, error) that reads files on the executors; ``window`` None: whole files.
-
-    A file that can't be read, is shorter than listed or is a placeholder gets an error and no hash. It isn't
-    deterministic to the optimiser, which would otherwise evaluate it twice below a filter on its result.
+        flags = (START * (b == 0) + END * ends + ROOT * (ends & (root and chunks == 1))).astype(np.uint32)
+        cv[on] = _rounds(cv[on], blocks[on, b], first + on.astype(np.int64), np.clip(sizes[on] - 64 * b, 0, 64).astype(np.uint32), flags)
+    return _joined(cv, root)
+
+
+class Blake3:
+    """BLAKE3 of bytes that come in pieces, or its node over a range of them; holds PIECE bytes and a node for each height.
+
+    ``first`` is the number of the first chunk: a range has to begin at a multiple of its length, a power of two of chunks.
     """
 
-    @F.pandas_udf(T.StructType([T.StructField("hash", T.StringType()), T.StructField("error", T.StringType())]))
+    def __init__(self, first: int = 0):
+        self.first, self.pieces, self.held, self.waiting = first, 0, bytearray(), []
+
+    def update(self, data: bytes) -> None:
+        self.held += data
+        while len(self.held) > PIECE:  # the last piece waits: it may be the root's
+            now = _node(bytes(self.held[:PIECE]), self.first + self.pieces * (PIECE // 1024), False)
+            del self.held[:PIECE]
+            self.pieces += 1
+            full = self.pieces
+            while full % 2 == 0:
+                now, full = _joined(np.concatenate([self.waiting.pop(), now]), False), full // 2
+            self.waiting.append(now)
+
+    def node(self, root: bool = True) -> bytes:
+        now = _node(bytes(self.held), self.first + self.pieces * (PIECE // 1024), root and not self.waiting)
+        for i, left in enumerate(self.waiting[::-1]):
+            now = _joined(np.concatenate([left, now]), root and i == len(self.waiting) - 1)
+        return now[0].astype("<u4").tobytes()
+
+    def hexdigest(self) -> str:
+        return self.node().hex()
+
+
+def blake3(data: bytes) -> str:
+    """The 256-bit BLAKE3 hash in lowercase hex."""
+    h = Blake3()
+    for at in range(0, max(1, len(data)), PIECE):
+        h.update(data[at : at + PIECE])
+    return h.hexdigest()
+
+
+def blake3_root(nodes: list[bytes]) -> str:
+    """The hash from the nodes of a file's ranges in order: a single one is the root itself."""
+    return _joined(np.frombuffer(b"".join(nodes), "<u4").astype(np.uint32).reshape(-1, 8), True)[0].astype("<u4").tobytes().hex()
+
+
+def hasher(algorithm: str):
+    return Blake3() if algorithm == "blake3" else hashlib.new(algorithm)
+
+
+# ---- files by path
+
+STATE = T.StructType([T.StructField("size", T.LongType()), T.StructField("mtime_ticks", T.LongType()), T.StructField("file_id", T.StringType())])
+READ = T.StructType([T.StructField("hash", T.StringType()), T.StructField("error", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("before", STATE), T.StructField("after", STATE)])
+NODE = T.StructType([T.StructField("node", T.BinaryType()), *READ.fields[1:]])
+
+
+def _state(f) -> tuple[int, int, str]:
+    s = os.fstat(f.fileno())
+    return s.st_size, s.st_mtime_ns // 100 + TICKS_AT_EPOCH, str(s.st_ino)
+
+
+def _feed(f, h, start: int, n: int) -> int:
+    """Feeds n bytes from ``start``, at most PIECE at a time; how many there were."""
+    f.seek(start)
+    got = 0
+    while got < n:
+        data = f.read(min(PIECE, n - got))
+        if not data:
+            break
+        h.update(data)
+        got += len(data)
+    return got
+
+
+def _read(path: str, h, spans: list[tuple[int, int]], guarded: bool, marked: bool) -> tuple:
+    """(error, bytes read, state before, state after) of feeding spans (start, length) of a file to ``h``; the file's state brackets the read."""
+    got, before, after = 0, None, None
+    try:
+        if marked and guarded:
+            raise OSError(f"{path}: a placeholder is never opened")
+        with open(path, "rb", buffering=0) as f:
+            before = _state(f)
+            for start, n in spans:
+                found = _feed(f, h, start, n)
+                got += found
+                if found < n:
+                    raise OSError(f"{path}: {found} bytes at {start} where {n} were listed")
+            after = _state(f)
+    except OSError as e:
+        return str(e), got, before, after
+    return None, got, before, after
+
+
+def path_hasher(window: int | None = WINDOW, algorithm: str = "sha256", guarded: bool = True):
+    """A function (path, size, placeholder) -> READ that reads files on the executors; ``window`` None: whole files.
+
+    Files are read in pieces of at most PIECE bytes, so a file may be larger than an executor's memory. The file's size, time and id
+    are taken from the open file before and after the read. A file that can't be read, is shorter than listed or is a placeholder
+    gets an error and no hash; the bytes that were read are counted in any case. It isn't deterministic to the optimiser, which
+    would otherwise evaluate it twice below a filter on its result. ``guarded`` False opens placeholders, for tests of the gate.
+    """
+
+    @F.pandas_udf(READ)
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for paths, sizes, marked in batches:
             rows = []
             for path, size, online_only in zip(paths, sizes, marked, strict=True):
-                try:
-                    if online_only:
-                        raise OSError(f"{path}: a placeholder is never opened")
-                    rows.append((digest(_read(path, int(size), window), algorithm), None))
-                except OSError as e:
-                    rows.append((None, str(e)))
-            yield pd.DataFrame(rows, columns=["hash", "error"])
+                h, size = hasher(algorithm), int(size)
+                spans = [(0, size)] if window is None or size <= 2 * window else [(0, window), (size - window, window)]
+                told = _read(path, h, spans, guarded, bool(online_only))
+                rows.append((None if told[0] else h.hexdigest(), *told))
+            yield pd.DataFrame(rows, columns=READ.names).astype({"bytes": "int64"})
 
     return run.asNondeterministic()
 
 
+def range_hasher(range_bytes: int = RANGE, guarded: bool = True):
+    """A function (path, size, placeholder, number) -> NODE: BLAKE3's node over one range of a file, which any task may compute."""
+    if range_bytes < PIECE or range_bytes & (range_bytes - 1):
+        raise ValueError(f"a range is a power of two of at least {PIECE} bytes, not {range_bytes}")
+
+    @F.pandas_udf(NODE)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            rows = []
+            for path, size, online_only, number in zip(*columns, strict=True):
+                size, start = int(size), int(number) * range_bytes
+                h = Blake3(start // 1024)
+                told = _read(path, h, [(start, min(range_bytes, size - start))], guarded, bool(online_only))
+                rows.append((None if told[0] else h.node(root=size <= range_bytes), *told))
+            yield pd.DataFrame(rows, columns=NODE.names).astype({"bytes": "int64"})
+
+    return run.asNondeterministic()
+
+
+@F.pandas_udf(T.StringType())
+def root_of(nodes: pd.Series) -> pd.Series:
+    """blake3_root of an array<binary> column of nodes in order; null stays null."""
+    return nodes.map(lambda x: None if x is None else blake3_root([bytes(n) for n in x]))
+
+
+def tree_hashed(files: DataFrame, range_bytes: int = RANGE, guarded: bool = True) -> DataFrame:
+    """(path, hash, error, bytes, before, after): each file's BLAKE3 from the nodes of its ranges; ``files`` has path, size and is_placeholder.
+
+    Ranges, not files, are dealt to tasks, so a large file is many tasks' work; its nodes, 32 bytes for each range, meet by path.
+    ``before`` and ``after`` are the least and the largest state that any of the reads saw, equal if the file never changed.
+    """
+    ranges = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("size") / range_bytes)).cast("int") - 1)
+    dealt = files.select("path", "size", "is_placeholder", F.explode(ranges).alias("number")).repartition("path", "number")
+    read = dealt.withColumn("r", range_hasher(range_bytes, guarded)("path", "size", "is_placeholder", "number"))
+    per = read.groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct("number", "r.node"))).alias("nodes"), F.min("r.error").alias("error"), F.sum("r.bytes").alias("bytes"),
+        F.least(F.min("r.before"), F.min("r.after")).alias("before"), F.greatest(F.max("r.before"), F.max("r.after")).alias("after"),
+    )
+    return per.select("path", root_of(F.when(F.col("error").isNull(), F.col("nodes.node"))).alias("hash"), "error", "bytes", "before", "after")
+
+
+@F.pandas_udf(T.BinaryType())
+def node_of(piece: pd.Series, start: pd.Series, whole: pd.Series) -> pd.Series:
+    """BLAKE3's node over a piece of a content that begins at byte ``start``; ``whole``: there is no other piece."""
+    out = []
+    for data, at, alone in zip(piece, start, whole, strict=True):
+        h = Blake3(int(at) // 1024)
+        h.update(bytes(data))
+        out.append(h.node(root=bool(alone)))
+    return pd.Series(out)
+
+
+def content_tree_hashed(rows: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+    """(path, ranges int, hash): BLAKE3 of a content column (path, size, content), its pieces dealt to tasks; a power of two from 1024."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("size") - 1), F.lit(range_bytes).cast("long"))
+    pieces = F.transform(starts, lambda at: F.struct(at.alias("start"), F.substr("content", (at + 1).cast("int"), F.lit(range_bytes)).alias("piece")))
+    dealt = rows.select("path", F.size(starts).alias("ranges"), F.explode(pieces).alias("e")).repartition("path", "e.start")
+    nodes = dealt.select("path", "ranges", "e.start", node_of("e.piece", "e.start", F.col("ranges") == 1).alias("node"))
+    per = nodes.groupBy("path", "ranges").agg(F.sort_array(F.collect_list(F.struct("start", "node"))).alias("nodes"))
+    return per.select("path", "ranges", root_of("nodes.node").alias("hash"))
+
+
 @F.pandas_udf(T.StringType())
 def blake3_of(content: pd.Series) -> pd.Series:
     """BLAKE3 of a content column."""

@@ -92,11 +92,25 @@ def snapshot_by_path(files: DataFrame) -> DataFrame:
     return files.select("path", "size", "mtime_ticks", F.col("path").alias("file_id"))
 
 
+def divergence(before: dict[str, Column], after: dict[str, Column]) -> Column:
+    """The first of size, mtime and file id that differs between two states, as a reason; null if none does. A null on either side differs from nothing."""
+    labels = (("size", "size"), ("mtime", "mtime_ticks"), ("file_id", "file_id"))
+    say = lambda label, x, y: F.concat(F.lit(f"{label} diverged: pre="), x.cast("string"), F.lit(", post="), y.cast("string"))
+    return F.coalesce(*(F.when(before[c] != after[c], say(label, before[c], after[c])) for label, c in labels))
+
+
+def state(prefix: str = "") -> dict[str, Column]:
+    return {c: F.col(f"{prefix}{c}") for c in ("size", "mtime_ticks", "file_id")}
+
+
+def listed() -> dict[str, Column]:
+    """The state of an inventory row; an empty file id is none."""
+    return state() | {"file_id": F.nullif(F.col("file_id"), F.lit(""))}
+
+
 def stability(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, status, reason): the first of size, mtime and file id that differs between two snapshots makes a file unstable."""
     b, a = before.alias("b"), after.alias("a")
-    differs = [(f"{label} diverged: pre=", f"b.{c}", f"a.{c}") for label, c in (("size", "size"), ("mtime", "mtime_ticks"), ("file_id", "file_id"))]
-    reason = F.coalesce(*(F.when(F.col(x) != F.col(y), F.concat(F.lit(text), F.col(x).cast("string"), F.lit(", post="), F.col(y).cast("string"))) for text, x, y in differs))
-    reason = F.when(F.col("a.path").isNull(), F.lit("gone")).otherwise(reason)
+    reason = F.when(F.col("a.path").isNull(), F.lit("gone")).otherwise(divergence(state("b."), state("a.")))
     out = b.join(a, F.col("b.path") == F.col("a.path"), "left").select(F.col("b.path").alias("path"), reason.alias("reason"))
     return out.select("path", F.when(F.col("reason").isNull(), "Stable").otherwise("Unstable").alias("status"), "reason")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syncsift.functions import hashing, names, placeholders
+from syncsift.operators import inventory
 from syncsift.schema import WINDOW
 from syncsift.tables import written
 
@@ -75,13 +76,15 @@ def hashed_content(candidates: DataFrame, rows: DataFrame, window: int = WINDOW,
     windows = hashing.blake3_of(hashing.windows(c, F.col("size"), window)) if blake3 else hashing.partial_hash(c, F.col("size"), window)
     whole = hashing.blake3_of(c) if blake3 else hashing.full_hash(c)
     known = with_known(candidates)
-    first = rows.where(marker(known.where("known_partial IS NULL").select("path"))(F.col("path"))).select("path", windows.alias("found"), error.alias("found_error"), F.lit(True).alias("seen"))
+    first = rows.where(marker(known.where("known_partial IS NULL").select("path"))(F.col("path"))).select("path", windows.alias("found"), error.alias("found_error"), F.octet_length(hashing.windows(c, F.col("size"), window)).cast("long").alias("bytes_partial"))
     told = F.col("read_error") if "read_error" in candidates.columns else F.lit(None).cast("string")
-    missing = F.when(F.col("seen").isNull() & F.col("known_partial").isNull(), "no content")
-    staged = known.join(first, "path", "left").withColumn("read_error", F.coalesce(told, F.when(F.col("known_partial").isNull(), F.col("found_error")), missing))
-    staged = written(staged.withColumn("partial", F.coalesce("known_partial", "found")).drop("found", "found_error", "seen"))
+    wanted = F.col("known_partial").isNull()
+    missing = F.when(F.col("found").isNull() & wanted, "no content")
+    staged = known.join(first, "path", "left").withColumn("read_error", F.coalesce(told, F.when(wanted, F.col("found_error")), missing))
+    staged = staged.withColumn("bytes_partial", F.when(wanted, F.col("bytes_partial")))  # others were read by chance, and are no member's
+    staged = written(staged.withColumn("partial", F.coalesce("known_partial", "found")).drop("found", "found_error"))
     go_on = staged.join(going_on(staged), list(KEY), "left_semi").where("known_full IS NULL").select("path")
-    second = rows.where(marker(go_on)(F.col("path"))).select("path", whole.alias("found")).join(go_on, "path", "left_semi")
+    second = rows.where(marker(go_on)(F.col("path"))).select("path", whole.alias("found"), F.octet_length(c).cast("long").alias("bytes_full")).join(go_on, "path", "left_semi")
     return after_full(staged, second)
 
 
@@ -97,25 +100,44 @@ def going_on(staged: DataFrame) -> DataFrame:
 
 
 def after_full(staged: DataFrame, second: DataFrame) -> DataFrame:
-    """Full hashes for the groups that go on, from a cache or from ``second`` (path, found); bytes that were read for either hash."""
+    """Full hashes for the groups that go on, from a cache or from ``second`` (path, found, bytes_full).
+
+    A full hash that a cache knows stays with its file, in ``cached_full``, whether the group goes on or not.
+    """
     on = staged.join(going_on(staged).withColumn("goes_on", F.lit(True)), list(KEY), "left").join(second, "path", "left")
-    read = F.col("known_partial").isNull(), F.col("goes_on").isNotNull() & F.col("known_full").isNull()
-    on = on.withColumns({"full": F.when(F.col("goes_on"), F.coalesce("known_full", "found")), "read_partial": read[0], "read_full": read[1]})
-    return on.drop("goes_on", "found", "known_partial", "known_full")
+    full = F.when(F.col("goes_on"), F.coalesce("known_full", "found"))
+    return on.withColumns({"full": full, "cached_full": F.coalesce("known_full", "found")}).drop("goes_on", "found", "known_partial", "known_full")
+
 
+def hashed_paths(candidates: DataFrame, window: int = WINDOW, algorithm: str = "sha256", guarded: bool = True, range_bytes: int = hashing.RANGE) -> DataFrame:
+    """As hashed_content, reading files by path on the executors; both stages are written, so that each file is read once.
 
-def hashed_paths(candidates: DataFrame, window: int = WINDOW, algorithm: str = "sha256") -> DataFrame:
-    """As hashed_content, reading files by path on the executors; both stages are written, so that each file is read once."""
-    read, whole = hashing.path_hasher(window, algorithm), hashing.path_hasher(None, algorithm)
+    Each read is bracketed: a file whose size, time or id isn't that of the listing, before and after the read, is unstable, which is
+    an error, and its hash isn't taken. Whole files are read in pieces; with BLAKE3 their ranges are tasks of their own.
+    """
+    read = hashing.path_hasher(window, algorithm, guarded)
     known = with_known(candidates)
-    todo = known.where("known_partial IS NULL").withColumn("p", read("path", "size", "is_placeholder"))
-    done = known.where("known_partial IS NOT NULL").withColumn("p", F.struct(F.col("known_partial").alias("hash"), F.lit(None).cast("string").alias("error")))
-    staged = written(todo.unionByName(done).withColumns({"partial": F.col("p.hash"), "read_error": F.col("p.error")}).drop("p"))
-    go_on = staged.join(going_on(staged), list(KEY), "left_semi").where("known_full IS NULL")
-    second = written(go_on.withColumn("f", whole("path", "size", "is_placeholder")).select("path", F.col("f.hash").alias("found"), F.col("f.error").alias("full_error")))
+    todo = with_read(known.where("known_partial IS NULL").withColumn("r", read("path", "size", "is_placeholder")), "partial", "read_error")
+    done = known.where("known_partial IS NOT NULL").withColumns({"partial": F.col("known_partial"), "read_error": F.lit(None).cast("string"), "bytes_partial": F.lit(None).cast("long")})
+    staged = written(todo.unionByName(done))
+    go_on = staged.join(going_on(staged), list(KEY), "left_semi").where("known_full IS NULL").select("path", "size", "mtime_ticks", "file_id", "is_placeholder")
+    if algorithm == "blake3":
+        told = hashing.tree_hashed(go_on, range_bytes, guarded).select("path", F.struct("hash", "error", "bytes", "before", "after").alias("r"))
+        second = go_on.join(told, "path")
+    else:
+        second = go_on.withColumn("r", hashing.path_hasher(None, algorithm, guarded)("path", "size", "is_placeholder"))
+    second = written(with_read(second, "found", "full_error").select("path", "found", "full_error", F.col("bytes_full")))
     return after_full(staged, second)
 
 
+def with_read(files: DataFrame, name: str, error: str) -> DataFrame:
+    """A READ ``r`` as columns: the hash unless the file is unstable, the error, and bytes_partial or bytes_full."""
+    unstable = F.coalesce(inventory.divergence(inventory.listed(), inventory.state("r.before.")), inventory.divergence(inventory.state("r.before."), inventory.state("r.after.")))
+    why = F.coalesce(F.col("r.error"), unstable)
+    out = files.withColumns({error: why, ("bytes_partial" if error == "read_error" else "bytes_full"): F.col("r.bytes")})
+    return out.withColumn(name, F.when(F.col(error).isNull(), F.col("r.hash"))).drop("r")
+
+
 def verdict(members: Column, partials: Column, partial_errors: Column, fulls: Column, full_errors: Column) -> Column:
     """The truth table over a group's aggregates."""
     return (
@@ -168,18 +190,22 @@ def unresolved_groups(members: DataFrame) -> DataFrame:
     return bad.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("path", reason.alias("reason")))).alias("files"))
 
 
-def telemetry(counts: DataFrame, members: DataFrame, window: int = WINDOW) -> DataFrame:
+def telemetry(counts: DataFrame, members: DataFrame) -> DataFrame:
     """One row of counters, from decision tables alone: a task that runs again reads a file twice but counts once.
 
     files_skipped is the readable files in no candidate group, so the counters' invariants hold. A member counts as hashed
-    where its hash decided, from a cache or not; bytes are those that were read and hashed.
+    where its hash decided, from a cache or not. Bytes are those that the reads themselves counted, also of members whose
+    group stays open, and of reads that failed; what was read of a placeholder has its own counter.
     """
     full = F.col("verdict").isin("identical_duplicate", "real_conflict")
+    both = F.coalesce("bytes_partial", F.lit(0)) + F.coalesce("bytes_full", F.lit(0))
+    of_placeholders = F.sum(F.when(F.col("is_placeholder"), both)) if "is_placeholder" in members.columns else F.lit(0)
     sums = members.agg(
         F.count("*").alias("files_partial_hashed"),
         F.count_if(full).alias("files_full_hashed"),
-        F.coalesce(F.sum(F.when(F.col("read_partial"), hashing.partial_bytes(F.col("size"), window))), F.lit(0)).alias("bytes_read_partial"),
-        F.coalesce(F.sum(F.when(F.col("read_full") & full, F.col("size"))), F.lit(0)).alias("bytes_read_full"),
+        F.coalesce(F.sum("bytes_partial"), F.lit(0)).alias("bytes_read_partial"),
+        F.coalesce(F.sum("bytes_full"), F.lit(0)).alias("bytes_read_full"),
+        F.coalesce(of_placeholders, F.lit(0)).cast("long").alias("placeholder_bytes_read"),
     )
     both = merge_telemetry(counts.drop("files_rejected").unionByName(sums, allowMissingColumns=True))  # one row of two
     return both.select(
@@ -192,7 +218,7 @@ def telemetry(counts: DataFrame, members: DataFrame, window: int = WINDOW) -> Da
         (F.col("bytes_read_partial") + F.col("bytes_read_full")).alias("bytes_read"),
         "bytes_read_partial",
         "bytes_read_full",
-        F.lit(0).cast("long").alias("placeholder_bytes_read"),
+        "placeholder_bytes_read",
     )
 
 

@@ -69,7 +69,7 @@ class _Scan:
 
     @property
     def telemetry(self) -> DataFrame:
-        return verdicts.telemetry(inventory.counted(self.judged), self.members, WINDOW)
+        return verdicts.telemetry(inventory.counted(self.judged), self.members)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +183,7 @@ def _odd_names(spark, sf_dir):
     return derived.inventory(spark, sf_dir).select("doc_id", F.concat(F.expr("substring(path, 2)"), tail).alias("name"))
 
 
-_STEMS = ", ".join(f"'{x}'" for x in names.RESERVED_STEMS)
+_STEMS = "'CON', 'PRN', 'AUX', 'NUL', " + ", ".join(f"'{port}{n}'" for port in ("COM", "LPT") for n in range(1, 10))
 #: Whether ``n`` is a safe relative path: each component for itself, then the extension.
 _VALID = f"""(n <> '' AND NOT regexp_matches(n, '[\\x00-\\x1f\\x7f]') AND len(list_filter(string_split(n, '/'), lambda x: x IN ('', '.', '..') OR right(x, 1) IN ('.', ' ') OR upper(split_part(x, '.', 1)) IN ({_STEMS}))) = 0
  AND (NOT contains(string_split(n, '/')[-1], '.') OR length(string_split(string_split(n, '/')[-1], '.')[-1]) <= 255))"""
@@ -311,6 +311,14 @@ def hash_edges(spark, sf_dir):
     return found.select("doc_id", "read_error", F.when(k.isin(2, 4), F.col("partial")).alias("partial"), F.col("full").alias("full_hash"))
 
 
+@query("SELECT doc_id, path, greatest(1, (size + 4095) // 4096)::INT AS ranges, true AS equal FROM inv")
+def blake3_ranges(spark, sf_dir):
+    """The hash from nodes of 4096 bytes, computed apart, against that of the whole content."""
+    rows = derived.inventory(spark, sf_dir).select("doc_id", "path", "size", "content")
+    whole = rows.select("doc_id", "path", hashing.blake3_of("content").alias("whole"))
+    return whole.join(hashing.content_tree_hashed(rows, 4096), "path").select("doc_id", "path", "ranges", (F.col("whole") == F.col("hash")).alias("equal"))
+
+
 # ---- telemetry and figures
 
 _TELEMETRY = f"""t AS (SELECT (SELECT count(*) FROM files) AS files_enumerated, (SELECT count(*) FROM files WHERE is_placeholder) AS files_placeholder, (SELECT count(*) FROM judged WHERE fate = 'excluded') AS files_excluded,
@@ -462,7 +470,7 @@ def rescan_cached(spark, sf_dir):
     rows = derived.inventory(spark, sf_dir).drop("text")
     first = scans.scan(rows, ROOT, WINDOW)
     again = scans.scan(rows, ROOT, WINDOW, cache=written(first.cache(now=1).join(first.members.where("doc_id % 2 = 0").select(cache.compute_key(F.col("path"), F.col("size"), F.col("mtime_ticks")).alias("key_hex")), "key_hex", "left_semi")))
-    told = again.members.agg(F.count("*").alias("members"), F.count_if("read_partial").alias("read_partial"), F.count_if(F.col("verdict") == "identical_duplicate").alias("identical"))
+    told = again.members.agg(F.count("*").alias("members"), F.count_if(F.col("bytes_partial").isNotNull()).alias("read_partial"), F.count_if(F.col("verdict") == "identical_duplicate").alias("identical"))
     return verdicts.merge_telemetry(told.unionByName(again.telemetry.select("bytes_read_partial", "bytes_read_full"), allowMissingColumns=True))
 
 

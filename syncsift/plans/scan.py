@@ -53,7 +53,9 @@ class Scan:
 
     def cache(self, before: DataFrame | None = None, now: int | None = None) -> DataFrame:
         """The hash cache after this scan: its hashes, and the entries of ``before`` that it has not seen."""
-        fresh = hash_cache.entries(self.members.where("partial IS NOT NULL"), now if now is not None else int(self.started.timestamp()), self.algorithm)
+        sound = self.members.where("partial IS NOT NULL AND read_error IS NULL")
+        sound = sound.where("full_error IS NULL") if "full_error" in sound.columns else sound  # a file that changed is never remembered
+        fresh = hash_cache.entries(sound.withColumn("full", F.col("cached_full")), now if now is not None else int(self.started.timestamp()), self.algorithm)
         return hash_cache.upsert(before, fresh) if before is not None else fresh
 
     def text(self) -> str:
@@ -81,7 +83,7 @@ def scan(rows: DataFrame, root: str, window: int = WINDOW, algorithm: str = "sha
     else:
         hashed = verdicts.hashed_paths(candidates, window, algorithm)
     members = written(verdicts.judged_members(written(hashed)))
-    return Scan(root, inv, members, verdicts.gated(verdicts.telemetry(inv.counts, members, window)), started, algorithm)
+    return Scan(root, inv, members, verdicts.gated(verdicts.telemetry(inv.counts, members)), started, algorithm)
 
 
 def scan_tree(spark: SparkSession, root: str, **options) -> Scan:
