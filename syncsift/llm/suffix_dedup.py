@@ -8,7 +8,7 @@ Blockwise suffix sorting with a difference cover, to the depth of ``length`` byt
    names, fingerprints of its first length - 182 bytes and of its first ``length`` bytes; a bucket of names is sorted at
    a time, and names that occur once are dropped. This decides for nearly all text that no suffix in it can have an
    equal, and for nearly all repeated text that it is covered.
-2. Suffix blocks. Suffixes with a repeated sample within reach are sorted, one bucket of a hash at a time, by 80 bits of
+2. Suffix blocks. Suffixes with a repeated sample within reach are sorted, one bucket of a hash at a time, by 78 bits of
    a fingerprint of their first ``length`` bytes; equal neighbours are repeats. Those that repeated samples of full length
    cover already need no answer: they send the name alone, for others to meet. The cover's names have thus resolved
    the long ties before, and a bucket's memory is the suffixes left over the number of buckets.
@@ -17,8 +17,9 @@ Passages of ``words`` words (their hashes, whatever white space separates them)
 words: the cover is D modulo 13 (4 of 13 words), and names are of words - 12 and of ``words`` words.
 
 Names are fingerprints and not lexicographic ranks: the task asks which suffixes agree to a depth, not their order, and to
-rank sampled suffixes of 218 bytes each would send 17 times the text. Two different strings of the n that are sorted have
-equal names with a probability of n squared / 2^81 in all (6e-6 over 30 GB of text).
+rank sampled suffixes of 218 bytes each would send 17 times the text. A name is two polynomials over a field of 2^31 - 1
+elements and 16 bits of a third one, so strings of any structure differ in it as random ones do: some two of n different strings
+have equal names with a probability of n squared / 2^79.
 Positions travel as packed arrays of 10 to 20 bytes each, in blocks. A string that repeats inside a block of documents is decided
 there and sent once, so a passage or a run of one byte that holds a third of all positions adds one entry per block.
 A text moves between tasks once if it shares a sample with another place, and again to be cut; other texts don't move.
@@ -49,33 +50,66 @@ BLOCK = 1 << 20  # positions of a block
 TOP, NONE = np.uint32(1 << 31), np.uint32(0xFFFFFFFF)  # marks: decided in its block; asks for no answer
 
 
-@lru_cache(maxsize=2)
+PRIME = np.uint64((1 << 31) - 1)
+HALF = np.uint64(31)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^63 to congruent ones of at most 2^31, in place."""
+    for _ in range(2):
+        high = x >> HALF
+        x &= PRIME
+        x += high
+    return x
+
+
+@lru_cache(maxsize=4)
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random word for each byte, the powers of an odd base and those of its inverse, modulo 2^64."""
+    """A random residue for each byte, the powers of a base and those of its inverse, modulo the prime."""
     rng = np.random.default_rng(71 + which)
-    words = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
+    letters = rng.integers(1, int(PRIME), 256, dtype=np.uint64)
+    base = int(rng.integers(1 << 20, int(PRIME)))
     out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n + 1, b, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return words, *out
+    for b in (base, pow(base, -1, int(PRIME))):
+        p, have = np.ones(n + 1, np.uint32), 1
+        while have <= n:
+            more = min(have, n + 1 - have)
+            p[have : have + more] = _folded(p[:more].astype(np.uint64) * np.uint64(pow(b, have, int(PRIME)))) % PRIME
+            have += more
+        out.append(p)
+    return letters, *out
 
 
 class Prefix:
-    """Fingerprints of any substrings of one array of bytes, or of hashes, from sums over its prefixes."""
+    """Fingerprints of any substrings of one array of bytes, or of hashes, from sums over its prefixes.
+
+    Two polynomials over the field of 2^31 - 1 elements, at bases of their own: two different strings of n letters agree in both for
+    at most (n / 2^31)^2 of all pairs of bases, whatever the strings. (Modulo a power of two, strings of much
+    structure agree at every base.) ``single``: one polynomial, of which the name's upper bits are used.
+    """
 
-    def __init__(self, raw: np.ndarray, which: int):
-        size = max(SEGMENT + 4096, 1 << max(1, len(raw) - 1).bit_length()) if len(raw) > SEGMENT + 4096 else SEGMENT + 4096
-        words, up, self.down = _powers(which, size)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((words[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)], out=self.sums[1:], dtype=np.uint64)
+    def __init__(self, raw: np.ndarray, which: int, single: bool = False):
+        self.size = max(SEGMENT + 4096, 1 << max(1, len(raw) - 1).bit_length()) if len(raw) > SEGMENT + 4096 else SEGMENT + 4096
+        self.fields = (2 * which, 2 * which + 1)[: 1 if single else 2]
+        self.sums = []
+        for k, field in enumerate(self.fields):
+            letters, up, _ = _powers(field, self.size)
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            x = letters[raw] if raw.dtype == np.uint8 else (raw >> np.uint64(31 * k)) & PRIME
+            x *= up[: len(raw)]
+            np.cumsum(_folded(x), out=sums[1:])
+            self.sums.append(sums)
 
     def of(self, at: np.ndarray, width: int) -> np.ndarray:
-        x = (self.sums[at + width] - self.sums[at]) * self.down[at]
-        x ^= x >> np.uint64(29)
-        return x * np.uint64(0xBF58476D1CE4E5B9)
+        name = np.zeros(len(at), np.uint64)
+        for sums, field in zip(self.sums, self.fields, strict=True):
+            x = _folded(sums[at + width] - sums[at])
+            x *= _powers(field, self.size)[2][at]
+            _folded(x)
+            np.subtract(x, PRIME, out=x, where=x >= PRIME)
+            name = (name << HALF) | x
+        name ^= name >> np.uint64(29)
+        return name * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def segments(batches, length: int, extra: tuple[str, ...] = ()):
@@ -138,7 +172,7 @@ def open_positions(seg, length: int):
     owner, k = spread(np.maximum(np.minimum(sizes - length + 1, heads), 0))
     may[starts[owner] + k] = True
     at = np.flatnonzero(near & may)
-    a, b = Prefix(raw, 0).of(at, length), (Prefix(raw, 1).of(at, length) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    a, b = Prefix(raw, 0).of(at, length), (Prefix(raw, 1, single=True).of(at, length) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
     free = covered[at + length] - covered[at] < length
     return at[free], a[free], b[free], a[~free], b[~free]
 
