@@ -17,6 +17,9 @@ that a long can't hold is ranked exactly and returned as the nearest long.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +33,15 @@ EXACT = 2.0**53  # sums of integers below are exact in double precision
 CHUNK = 4096  # rows that a scan widens at once
 
 
+def whole(scale: float, v: np.ndarray) -> np.ndarray:
+    """floor(scale * v), exact; Python integers where a double can't hold one of them."""
+    with np.errstate(over="ignore"):
+        found = np.floor(scale * v)
+    if np.isfinite(found).all():
+        return found
+    return np.frompyfunc(lambda x: math.floor(Fraction(x) * Fraction(scale)), 1, 1)(v)
+
+
 class Cells:
     """A block's vectors of one length: the cells of their components, and the exact components as whole numbers."""
 
@@ -55,7 +67,7 @@ class Cells:
         return middle + (reach * (1 + 1e-6))[:, None], 2 * reach * (1 + 1e-6)
 
     def scores(self, query: np.ndarray, rows: np.ndarray) -> list[int]:
-        if float(np.abs(query) @ self.most) < EXACT:
+        if object not in (query.dtype, self.exact.dtype) and float(np.abs(query) @ self.most) < EXACT:
             return (self.exact[rows] @ query).astype(np.int64).tolist()
         q = list(map(int, query))
         return [sum(int(x) * y for x, y in zip(r, q, strict=True)) for r in self.exact[rows].tolist()]
@@ -101,7 +113,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
                 if first:
                     held, cells = {}, {}
                 for n, rows, v in by_length(piece.column("v")):
-                    held.setdefault(n, []).append((rids[rows], ids[rows], np.floor(scale * v)))
+                    held.setdefault(n, []).append((rids[rows], ids[rows], whole(scale, v)))
                 continue
             for n, rows, v in by_length(piece.column("v")):
                 if n in held:  # a block that has queries only has nothing here: kind 0 came first
@@ -109,7 +121,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
                     del held[n]
                 if n not in cells:
                     continue
-                own, asks = cells[n], np.floor(scale * v)
+                own, asks = cells[n], whole(scale, v)
                 step = max(1, min(256, (4 << 20) // len(own.ids)))
                 for a in range(0, len(rows), step):
                     found = own.top(rids[rows[a : a + step]], asks[a : a + step], k)

@@ -4,7 +4,8 @@ Equal vectors are grouped first: a group is one point of the index with its k +
 can't be in any result. Each of ``curves`` Hilbert curves orders all points by the key of their unit vectors, projected to
 ``dims`` random orthonormal directions, shifted at random and quantised to ``bits`` bits (the spread of each direction
 comes from a bounded sample). The keys of a curve are cut into ``ranges`` of equal counts; some neighbouring ranges are a tile,
-and a tile is cut into blocks of ``block_rows`` points. A query looks at its own tile and the neighbouring tiles at either
+and a tile is cut into blocks of ``block_rows`` points, by its own count: a dense ball of points whose keys are equal is one range,
+and many blocks. A query looks at its own tile and the neighbouring tiles at either
 side; exact cosines rerank what it meets, and the tops of all curves and blocks merge.
 
 How many neighbouring ranges is measured, not set: for ``probes`` points of the sample the true neighbours among all points are
@@ -12,7 +13,7 @@ found (one pass over the points), and the smallest window that holds a share of
 tile is about a third of it. So
 vectors with structure, whose neighbours lie close on a curve, cost a small share of the points; vectors without any (as in the
 test data, where the fifth neighbour's cosine is the tail of random ones) leave no index a small candidate set, and their
-window is a large share. Lengths of at most ``whole_rows`` points are one tile, compared in full. tests/llm measure the
+window is a large share. Lengths of no more points than there are ranges (``whole_rows``) are one range. tests/llm measure the
 recall against brute force.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with a
@@ -175,8 +176,22 @@ def measured_window(points: DataFrame, placed: Ranges, units: dict[int, np.ndarr
     return max(1, int(np.quantile(needs, want, method="higher"))) if needs else 1
 
 
+def measured_parts(points: DataFrame, placed: Ranges, together: int, tiles: int, block_rows: int) -> dict[tuple[int, int], int]:
+    """{(length, tile): blocks} of the tiles that hold more than ``block_rows`` points: no more than the points over block_rows, on each curve."""
+
+    def count(batches):
+        for b in batches:
+            for n, _, v in by_length(b.column("v")):
+                for c, tile in enumerate(placed.of(n, _unit(v)) // together):
+                    found, times = np.unique(c * tiles + tile, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), pa.array(found.astype(np.int32)), pa.array(times)], ["n", "tile", "points"])
+
+    counts = points.select("v").mapInArrow(released(count), "n int, tile int, points long").groupBy("n", "tile").agg(F.sum("points").alias("points"))
+    return {(r["n"], r["tile"]): math.ceil(r["points"] / block_rows) for r in counts.where(F.col("points") > block_rows).collect()}
+
+
 def neighbours(
-    rows: DataFrame, is_query: Column, k: int = 5, curves: int = 8, dims: int = 4, bits: int = 9, window: int | None = None, want: float = 0.95, ranges: int = 512, block_rows: int = 16_384, whole_rows: int = 4096, sample: int = 4096, probes: int = 192, seed: int = 3
+    rows: DataFrame, is_query: Column, k: int = 5, curves: int = 8, dims: int = 4, bits: int = 9, window: int | None = None, want: float = 0.95, ranges: int = 512, block_rows: int = 16_384, whole_rows: int = 512, sample: int = 4096, probes: int = 192, seed: int = 3
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) from (rid, id, v); ``is_query`` is a condition on id; ``window``: ranges at either side, measured if none is given."""
     points = written(grouped(rows, k + 1))
@@ -184,7 +199,7 @@ def neighbours(
     window = measured_window(points, placed, units, k, probes, want) if window is None and large else window or 1
     together = max(1, math.ceil(window / 3))  # ranges of a tile
     reach, tiles = math.ceil(window / together), math.ceil(ranges / together)
-    parts = {n: max(1, math.ceil(p / tiles / block_rows)) for n, p in large.items()}
+    parts = measured_parts(points, placed, together, tiles, block_rows)
 
     queries = rows.where(is_query).select(F.col("rid").alias("own"), F.col("id").alias("query_id"), F.transform("v", lambda x: x + F.lit(0.0)).alias("qv")).withColumns({"h": F.xxhash64("qv"), "g": F.xxhash64(F.lit(7), "qv")})
     hashed = points.select("pid", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(7), "v").alias("g"))
@@ -193,11 +208,11 @@ def neighbours(
 
     def place(kind: int):
         def out(b, n, curve, tile, rows, pids):
-            own = parts.get(n, 1)
-            part = [pids % own] if not kind else [np.full(len(rows), p) for p in range(own)]
-            for p in part:
-                some = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (np.full(len(rows), n), curve * tiles + tile, p, np.full(len(rows), kind))] + list(some.columns), ["n", "tile", "part", "kind", *some.schema.names])
+            own = np.array([parts.get((n, t), 1) for t in (curve * tiles + tile).tolist()], np.int64)
+            for p in range(own.max(initial=0)) if kind else (None,):
+                at = np.flatnonzero(own > p) if kind else np.arange(len(rows))
+                some, tile_of, p = b.take(pa.array(rows[at])), curve * tiles + tile[at], np.full(len(at), p) if kind else pids % own
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (np.full(len(at), n), tile_of, p, np.full(len(at), kind))] + list(some.columns), ["n", "tile", "part", "kind", *some.schema.names])
 
         def run(batches):
             for b in batches:

@@ -1,5 +1,8 @@
 """Vector searches against brute force."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +72,16 @@ def test_exact_topk_of_large_components(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_exact_topk_where_scaled_components_overflow(spark):
+    rng = np.random.default_rng(2)
+    x = [(i, [float(y) for y in v]) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    x += [(100 + 50 * i, v) for i, v in enumerate(([1e308, 1.0, 0.5], [-1.7e308, 0.0, 1e308], [7.2e305, 1e-300, -3.5], [1e308, 1e308, 1e308]))]
+    got = exact_topk.top_k(exact_topk.vector_rows(spark.createDataFrame(x, "vec_id long, embedding array<double>").repartition(2), "vec_id", "embedding", False), F.col("id") % 50 == 0)
+    whole = lambda p: math.floor(Fraction(p) * 256)
+    want = brute(x, lambda a, b: sum(whole(p) * whole(q) for p, q in zip(a, b, strict=True)))
+    assert sorted(map(tuple, got.collect())) == sorted((q, r, i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, r, i, s in want)
+
+
 def test_exact_topk_in_blocks_of_a_few_rows(table):
     asked = exact_topk.top_k(exact_topk.vector_rows(table, "vec_id", "embedding", False), F.col("id") % 50 == 0, block_bytes=8000)
     assert asked.exceptAll(exact_topk.digest(table)).count() == 0 and asked.count() == exact_topk.digest(table).count()
@@ -96,6 +109,35 @@ def test_hilbert_recall(table, rows, whole_rows):
     assert all(round(s, 12) == round(cosine(dict(usable)[q], dict(usable)[i]), 12) for q, _, i, s in got if q % 100 == 0 and 50 not in (q, i))
 
 
+def test_hilbert_dense_points(spark):
+    """A third of the points in a ball that is one range of each curve: many blocks, and the neighbours are found."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8))
+    x[:1000] = x[0] + rng.normal(size=(1000, 8)) * 1e-5
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    table = exact_topk.vector_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), "vec_id", "embedding", True)
+    found = hilbert_ann.neighbours(table, F.col("id") % 50 == 0, block_rows=200)
+    got, want = {}, {}
+    for into, some in ((got, map(tuple, found.collect())), (want, brute([(i, np.array(v)) for i, v in rows], cosine))):
+        for q, _, i, _ in some:
+            into.setdefault(q, set()).add(i)
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(got[q] & want[q]) / 5 for q in want]) >= 0.9
+    points = hilbert_ann.written(hilbert_ann.grouped(table, 6))
+    placed, _, _ = hilbert_ann.fitted(points, 2, 4, 9, 64, 512, 4096, 3)
+    parts = hilbert_ann.measured_parts(points, placed, 4, 16, 200)
+    assert 1 <= len(parts) <= 2 * 3000 // 200 and max(parts.values()) >= 5 and all(n == 8 for n, _ in parts)
+
+
+def test_hilbert_recall_of_small_tables_by_curves(spark, vectors):
+    for n in (513, 700):
+        rows = [(i, [float(y) for y in v]) for i, v in enumerate(vectors[-n:])]
+        table = exact_topk.vector_rows(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2), "vec_id", "embedding", True)
+        got = {(q, i) for q, _, i, _ in hilbert_ann.neighbours(table, F.col("id") % 10 == 0).collect()}
+        exact = {(a, i) for a, x in rows if a % 10 == 0 for _, i in sorted((-cosine(np.float32(x), np.float32(y)), b) for b, y in rows if b != a)[:5]}
+        assert len(got) == len(exact) and len(got & exact) / len(exact) >= 0.9
+
+
 def test_hilbert_small_tables(spark, vectors):
     for n in (0, 1, 2, 3, 6, 9):
         rows = [(50 * i, [float(y) for y in v]) for i, v in enumerate(vectors[:n])]
