@@ -64,27 +64,43 @@ def marker(keys: DataFrame, most_bits: int = MOST_BITS) -> Callable[[Column], Co
     return lambda k: F.call_function("getbit", F.get(table, word(k)), bit(k)) == 1
 
 
-def hashed_content(candidates: DataFrame, rows: DataFrame, window: int = WINDOW, blake3: bool = False) -> DataFrame:
-    """``candidates`` with partial, full and read_error, staged, from ``rows`` (path, size, content).
+Contents = DataFrame | Callable[[DataFrame], DataFrame]
 
-    Partial hashes are of the members of candidate groups, full ones of members of groups whose partial hashes meet and
-    that no error leaves open; both are made where the content is read. An absent or short content is an error, and so is
-    what ``candidates`` name in a read_error column of theirs.
-    """
+
+def _marked(rows: Contents, wanted: DataFrame) -> DataFrame:
+    """The content rows of the paths ``wanted``, and some others; a function reads where they lie."""
+    found = rows(wanted) if callable(rows) else rows
+    return found.where(marker(wanted.select("path"))(F.col("path")))
+
+
+def partial_content(candidates: DataFrame, rows: Contents, window: int = WINDOW, blake3: bool = False) -> DataFrame:
+    """``candidates`` with partial, read_error and bytes_partial, written: the first stage of hashed_content."""
     c = F.col("content")
     error = F.when(c.isNull(), "no content").when(F.octet_length(c) < F.col("size"), "shorter than listed")
-    windows = hashing.blake3_of(hashing.windows(c, F.col("size"), window)) if blake3 else hashing.partial_hash(c, F.col("size"), window)
-    whole = hashing.blake3_of(c) if blake3 else hashing.full_hash(c)
+    windows = hashing.windows(c, F.col("size"), window)
+    found = hashing.blake3_of(windows) if blake3 else hashing.partial_hash(c, F.col("size"), window)
     known = with_known(candidates)
-    first = rows.where(marker(known.where("known_partial IS NULL").select("path"))(F.col("path"))).select("path", windows.alias("found"), error.alias("found_error"), F.octet_length(hashing.windows(c, F.col("size"), window)).cast("long").alias("bytes_partial"))
+    first = _marked(rows, known.where("known_partial IS NULL")).select("path", found.alias("found"), error.alias("found_error"), F.octet_length(windows).cast("long").alias("bytes_partial"))
     told = F.col("read_error") if "read_error" in candidates.columns else F.lit(None).cast("string")
     wanted = F.col("known_partial").isNull()
     missing = F.when(F.col("found").isNull() & wanted, "no content")
     staged = known.join(first, "path", "left").withColumn("read_error", F.coalesce(told, F.when(wanted, F.col("found_error")), missing))
     staged = staged.withColumn("bytes_partial", F.when(wanted, F.col("bytes_partial")))  # others were read by chance, and are no member's
-    staged = written(staged.withColumn("partial", F.coalesce("known_partial", "found")).drop("found", "found_error"))
+    return written(staged.withColumn("partial", F.coalesce("known_partial", "found")).drop("found", "found_error"))
+
+
+def hashed_content(candidates: DataFrame, rows: Contents, window: int = WINDOW, blake3: bool = False) -> DataFrame:
+    """``candidates`` with partial, full and read_error, staged, from ``rows`` (path, size, content), or a function that reads those of some paths.
+
+    Partial hashes are of the members of candidate groups, full ones of members of groups whose partial hashes meet and
+    that no error leaves open; both are made where the content is read. An absent or short content is an error, and so is
+    what ``candidates`` name in a read_error column of theirs.
+    """
+    staged = partial_content(candidates, rows, window, blake3)
+    c = F.col("content")
     go_on = staged.join(going_on(staged), list(KEY), "left_semi").where("known_full IS NULL").select("path")
-    second = rows.where(marker(go_on)(F.col("path"))).select("path", whole.alias("found"), F.octet_length(c).cast("long").alias("bytes_full")).join(go_on, "path", "left_semi")
+    whole = hashing.blake3_of(c) if blake3 else hashing.full_hash(c)
+    second = _marked(rows, go_on).select("path", whole.alias("found"), F.octet_length(c).cast("long").alias("bytes_full")).join(go_on, "path", "left_semi")
     return after_full(staged, second)
 
 

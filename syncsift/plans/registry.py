@@ -6,6 +6,7 @@ module's common table expressions and restates the operator on its own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from syncsift.functions import hashing, names, placeholders
 from syncsift.plans import scan as scans
 from syncsift.operators import cache, compare, fingerprint, inventory, quarantine, report, resolution, verdicts
-from syncsift.sources import derived
+from syncsift.sources import content, derived
 from syncsift.streaming import incremental
-from syncsift.tables import written
+from syncsift.tables import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT, WINDOW = derived.ROOT, derived.WINDOW
@@ -80,12 +81,18 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).where("fate = 'kept'").drop("fate")
 
 
+def _candidates(judged: DataFrame) -> DataFrame:
+    broken = F.when(F.col("doc_id") % 17 == 4, "simulated")
+    return written(verdicts.grouped_rows(judged.where("fate = 'kept'").drop("fate").withColumn("read_error", broken)).drop("members"))
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.inventory(spark, sf_dir).select("path", "size", "content")
+
+
 def _scan(spark: SparkSession, sf_dir: str) -> _Scan:
     judged = written(_judged(spark, sf_dir))
-    broken = F.when(F.col("doc_id") % 17 == 4, "simulated")
-    candidates = verdicts.grouped_rows(judged.where("fate = 'kept'").drop("fate").withColumn("read_error", broken)).drop("members")
-    rows = derived.inventory(spark, sf_dir).select("path", "size", "content")
-    return _Scan(judged, written(verdicts.hashed_content(written(candidates), rows, WINDOW)))
+    return _Scan(judged, written(verdicts.hashed_content(_candidates(judged), _contents(spark, sf_dir), WINDOW)))
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +271,7 @@ def candidate_groups(spark, sf_dir):
 
 @query("SELECT path, partial FROM members")
 def partial_hash(spark, sf_dir):
-    return _hashed(spark, sf_dir).select("path", "partial")
+    return verdicts.partial_content(_candidates(_judged(spark, sf_dir)), _contents(spark, sf_dir), WINDOW).select("path", "partial")
 
 
 @query("SELECT path, full_hash FROM decided WHERE verdict IN ('identical_duplicate', 'real_conflict')")
@@ -277,6 +284,15 @@ def _verdicts(spark, sf_dir):
     return verdicts.verdicts(_hashed(spark, sf_dir)).select("base", "size", "members", "verdict")
 
 
+@query("SELECT base, size, members, verdict FROM verdicts")
+def stored_verdicts(spark, sf_dir):
+    """Contents from a store that is laid out by groups: only its files that hold members are opened."""
+    rows = derived.inventory(spark, sf_dir).drop("text")
+    held = content.store(rows, f"{shared_dir(spark)}/syncsift/store-{uuid.uuid4().hex}", parts=16)
+    judged = inventory.judged(held.metadata, ROOT)
+    return verdicts.verdicts(verdicts.hashed_content(_candidates(judged), held.contents, WINDOW)).select("base", "size", "members", "verdict")
+
+
 @query("SELECT full_hash AS hash, base, size, string_agg(path, '|' ORDER BY path) AS files, min(path) AS kept_path FROM decided WHERE verdict = 'identical_duplicate' GROUP BY ALL")
 def identical_duplicates(spark, sf_dir):
     return verdicts.identical_duplicates(_members(spark, sf_dir)).withColumn("files", F.array_join("files", "|"))

@@ -14,6 +14,7 @@ from syncsift.operators import inventory, report, verdicts
 from syncsift.schema import MAX_DEPTH, RESERVED, WINDOW
 from syncsift.shipping import ship
 from syncsift.sources import filetree
+from syncsift.sources.content import Store
 from syncsift.tables import written
 
 ALGORITHMS = {"sha256": "SHA-256", "blake3": "BLAKE3"}
@@ -62,24 +63,26 @@ class Scan:
         return report.text_summary(self.telemetry, self.duplicates, self.conflicts, self.unresolved, self.root)
 
 
-def scan(rows: DataFrame, root: str, window: int = WINDOW, algorithm: str = "sha256", max_depth: int = MAX_DEPTH, reserved: str = RESERVED, cache: DataFrame | None = None) -> Scan:
-    """Scan an inventory; content comes from its content column, or is read by path where there is none.
+def scan(rows: DataFrame | Store, root: str, window: int = WINDOW, algorithm: str = "sha256", max_depth: int = MAX_DEPTH, reserved: str = RESERVED, cache: DataFrame | None = None) -> Scan:
+    """Scan an inventory; content comes from its content column, from a store, or is read by path where there is neither.
 
     The inventory, the hashes of each stage and the result are written tables: a lost executor doesn't make a file be read
     again, when it may have changed. With a ``cache`` only files that it doesn't know in their present state are read.
     """
     started = datetime.now(timezone.utc)
-    inv = inventory.order(rows.drop("content"), root, max_depth, reserved)
+    contents = rows.contents if isinstance(rows, Store) else rows.select("path", "size", "content") if "content" in rows.columns else None
+    listed = rows.metadata if isinstance(rows, Store) else rows.drop("content")
+    inv = inventory.order(listed, root, max_depth, reserved)
     inv.files = written(inv.files)
     candidates = verdicts.grouped_rows(inv.files).drop("members")
     if cache is not None:
         hash_cache.validate(cache)
         candidates = hash_cache.lookup(candidates, cache, algorithm).drop("key_hex")
     candidates = written(candidates)
-    if "content" in rows.columns:
+    if contents is not None:
         if algorithm not in ALGORITHMS:
             raise ValueError(f"a content column is hashed by {' or '.join(ALGORITHMS)}, not {algorithm}")
-        hashed = verdicts.hashed_content(candidates, rows.select("path", "size", "content"), window, algorithm == "blake3")
+        hashed = verdicts.hashed_content(candidates, contents, window, algorithm == "blake3")
     else:
         hashed = verdicts.hashed_paths(candidates, window, algorithm)
     members = written(verdicts.judged_members(written(hashed)))
