@@ -7,7 +7,6 @@ could not be read, or groups that could not be decided. Results go to standard o
 from __future__ import annotations
 
 import os
-import shutil
 import sys
 from collections.abc import Callable
 
@@ -15,8 +14,8 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
-from syncsift.operators import cache as hash_cache
-from syncsift.plans.scan import Scan, scan_tree
+from syncsift.operators.cachetable import CacheTable
+from syncsift.plans.scan import scan_tree
 
 USAGE = "usage: python -m syncsift scan <path> [--json] [--quiet] [--cache <folder>]"
 
@@ -46,15 +45,6 @@ def parse(args: list[str]) -> tuple[str, bool, bool, str | None]:
     return os.path.realpath(path), "--json" in args, "--quiet" in args, cache
 
 
-def keep_cache(scan: Scan, before, folder: str) -> None:
-    """Beside the old folder first, then in its place."""
-    spark = scan.members.sparkSession
-    scan.cache(before).write.mode("overwrite").parquet(f"file://{os.path.abspath(folder)}.new")
-    shutil.rmtree(folder, ignore_errors=True)
-    os.replace(f"{folder}.new", folder)
-    spark.catalog.clearCache()
-
-
 def main(args: list[str], session: Callable[[], SparkSession] | None = None) -> int:
     try:
         path, as_json, quiet, folder = parse(args)
@@ -63,18 +53,18 @@ def main(args: list[str], session: Callable[[], SparkSession] | None = None) ->
         return 1
     spark = session() if session else SparkSession.builder.appName("syncsift").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
-        before = spark.read.parquet(f"file://{os.path.abspath(folder)}") if folder and os.path.isdir(folder) else None
-        if before is not None:
-            hash_cache.validate(before)
-        found = scan_tree(spark, path, cache=before)
+        known = CacheTable(spark, f"file://{os.path.abspath(folder)}") if folder else None
+        found = scan_tree(spark, path, cache=known)
         code = found.exit_code()
         if as_json:
             print(found.json(), end="")
         elif not quiet:
             print(found.text(), end="")
-        if folder:
-            keep_cache(found, before, folder)
+        if known is not None:
+            news = found.news()
+            if not news.isEmpty():
+                known.append(news)
         return code
-    except (OSError, ValueError, PySparkException, Py4JError) as e:
+    except (OSError, ValueError, RuntimeError, PySparkException, Py4JError) as e:
         print(f"the scan failed: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
         return 1

@@ -49,18 +49,31 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("r_", F.row_number().over(latest)).where("r_ = 1").drop("r_", "new_")
 
 
+def entry(algorithm: str = "sha256") -> Column:
+    """What is served of a row, and whether its MAC, algorithm and version are right."""
+    right = (F.col("entry_mac") == entry_mac()) & (F.col("algorithm") == algorithm) & (F.col("hash_version") == HASH_VERSION)
+    return F.struct("key_hex", "hash_partial", "hash_full", right.alias("right"))
+
+
+def latest(cache: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """(key_hex, e): the last seen entry of each key."""
+    return cache.select("last_seen", entry(algorithm).alias("e")).groupBy(F.col("e.key_hex").alias("key_hex")).agg(F.max_by("e", F.struct("last_seen", F.xxhash64("e"))).alias("e"))
+
+
+def served(keyed: DataFrame) -> DataFrame:
+    """known_partial and known_full of rows with an entry ``e`` or null; an entry that isn't right raises."""
+    safe = lambda c: F.when(F.col("e").isNull() | F.col("e.right"), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("cache entry was altered: "), F.col("key_hex"))))
+    return keyed.withColumns({"known_partial": safe("e.hash_partial"), "known_full": safe("e.hash_full")}).drop("e")
+
+
 def lookup(files: DataFrame, cache: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """``files`` with key_hex, known_partial and known_full, null for a miss.
 
     A row whose MAC, algorithm or version isn't right raises if a file asks for it: it is never served. A key that the cache
     has twice is served by its last seen row.
     """
-    right = (F.col("entry_mac") == entry_mac()) & (F.col("algorithm") == algorithm) & (F.col("hash_version") == HASH_VERSION)
-    fields = ["key_hex", "hash_partial", "hash_full", right.alias("right")]
-    told = cache.select("last_seen", F.struct(*fields).alias("e")).groupBy(F.col("e.key_hex").alias("key_hex")).agg(F.max_by("e", F.struct("last_seen", F.xxhash64("e"))).alias("e"))
-    keyed = files.withColumn("key_hex", compute_key(F.col("path"), F.col("size"), F.col("mtime_ticks"))).join(told, "key_hex", "left")
-    safe = lambda c: F.when(F.col("e").isNull() | F.col("e.right"), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("cache entry was altered: "), F.col("key_hex"))))
-    return keyed.withColumns({"known_partial": safe("e.hash_partial"), "known_full": safe("e.hash_full")}).drop("e")
+    keyed = files.withColumn("key_hex", compute_key(F.col("path"), F.col("size"), F.col("mtime_ticks")))
+    return served(keyed.join(latest(cache, algorithm), "key_hex", "left"))
 
 
 def default_path() -> str:

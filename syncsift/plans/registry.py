@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from syncsift.functions import hashing, names, placeholders
 from syncsift.plans import scan as scans
-from syncsift.operators import cache, compare, fingerprint, inventory, quarantine, report, resolution, verdicts
+from syncsift.operators import cache, cachetable, compare, fingerprint, inventory, quarantine, report, resolution, verdicts
 from syncsift.sources import content, derived
 from syncsift.streaming import incremental
 from syncsift.tables import shared_dir, written
@@ -490,6 +490,20 @@ def rescan_cached(spark, sf_dir):
     return verdicts.merge_telemetry(told.unionByName(again.telemetry.select("bytes_read_partial", "bytes_read_full"), allowMissingColumns=True))
 
 
+@query("""SELECT count(*) AS members, 0::BIGINT AS bytes_read, count(*) FILTER (verdict = 'identical_duplicate') AS identical FROM (
+ SELECT d.*, v.verdict FROM grouped d JOIN (SELECT base, size, CASE WHEN count(DISTINCT partial) = count(*) THEN 'eliminated_l2' WHEN count(DISTINCT full_hash) = 1 THEN 'identical_duplicate' ELSE 'real_conflict' END AS verdict
+ FROM members GROUP BY base, size) v USING (base, size) WHERE group_members >= 2)""")
+def cache_after_twins_return(spark, sf_dir):
+    """Half of the files leave and return: a cache table that three scans share reads nothing for the third."""
+    rows = derived.inventory(spark, sf_dir).drop("text")
+    known = cachetable.CacheTable(spark, f"{shared_dir(spark)}/syncsift/cache-{uuid.uuid4().hex}", buckets=8)
+    known.append(scans.scan(rows, ROOT, WINDOW, cache=known).news(now=1)).compact()
+    known.append(scans.scan(rows.where("doc_id % 2 = 0"), ROOT, WINDOW, cache=known).news(now=2))
+    again = scans.scan(rows, ROOT, WINDOW, cache=known)
+    told = again.members.agg(F.count("*").alias("members"), F.count_if(F.col("verdict") == "identical_duplicate").alias("identical"))
+    return verdicts.merge_telemetry(told.unionByName(again.telemetry.select("bytes_read"), allowMissingColumns=True))
+
+
 @query(f"SELECT {_KEY} AS key_hex, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS last_seen FROM members")
 def cache_upsert(spark, sf_dir):
     rows = _hashed(spark, sf_dir)

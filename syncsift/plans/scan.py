@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from syncsift.functions import placeholders
 from syncsift.operators import cache as hash_cache
 from syncsift.operators import inventory, report, verdicts
+from syncsift.operators.cachetable import CacheTable
 from syncsift.schema import MAX_DEPTH, RESERVED, WINDOW
 from syncsift.shipping import ship
 from syncsift.sources import filetree
@@ -52,18 +53,25 @@ class Scan:
     def json(self, finished: datetime | None = None) -> str:
         return report.report(self.telemetry, self.groups, self.duplicates, self.conflicts, placeholders.records(self.inventory.files), self.root, self.started, finished or datetime.now(timezone.utc), ALGORITHMS.get(self.algorithm, self.algorithm))
 
+    def _entries(self, sound: DataFrame, now: int | None) -> DataFrame:
+        sound = sound.where("partial IS NOT NULL AND read_error IS NULL")
+        sound = sound.where("full_error IS NULL") if "full_error" in sound.columns else sound  # a file that changed is never remembered
+        return hash_cache.entries(sound.withColumn("full", F.col("cached_full")), now if now is not None else int(self.started.timestamp()), self.algorithm)
+
     def cache(self, before: DataFrame | None = None, now: int | None = None) -> DataFrame:
         """The hash cache after this scan: its hashes, and the entries of ``before`` that it has not seen."""
-        sound = self.members.where("partial IS NOT NULL AND read_error IS NULL")
-        sound = sound.where("full_error IS NULL") if "full_error" in sound.columns else sound  # a file that changed is never remembered
-        fresh = hash_cache.entries(sound.withColumn("full", F.col("cached_full")), now if now is not None else int(self.started.timestamp()), self.algorithm)
+        fresh = self._entries(self.members, now)
         return hash_cache.upsert(before, fresh) if before is not None else fresh
 
+    def news(self, now: int | None = None) -> DataFrame:
+        """The cache entries of the files that this scan read, for CacheTable.append."""
+        return self._entries(self.members.where("bytes_partial IS NOT NULL OR bytes_full IS NOT NULL"), now)
+
     def text(self) -> str:
         return report.text_summary(self.telemetry, self.duplicates, self.conflicts, self.unresolved, self.root)
 
 
-def scan(rows: DataFrame | Store, root: str, window: int = WINDOW, algorithm: str = "sha256", max_depth: int = MAX_DEPTH, reserved: str = RESERVED, cache: DataFrame | None = None) -> Scan:
+def scan(rows: DataFrame | Store, root: str, window: int = WINDOW, algorithm: str = "sha256", max_depth: int = MAX_DEPTH, reserved: str = RESERVED, cache: DataFrame | CacheTable | None = None) -> Scan:
     """Scan an inventory; content comes from its content column, from a store, or is read by path where there is neither.
 
     The inventory, the hashes of each stage and the result are written tables: a lost executor doesn't make a file be read
@@ -75,7 +83,9 @@ def scan(rows: DataFrame | Store, root: str, window: int = WINDOW, algorithm: st
     inv = inventory.order(listed, root, max_depth, reserved)
     inv.files = written(inv.files)
     candidates = verdicts.grouped_rows(inv.files).drop("members")
-    if cache is not None:
+    if isinstance(cache, CacheTable):
+        candidates = cache.lookup(candidates, algorithm).drop("key_hex")
+    elif cache is not None:
         hash_cache.validate(cache)
         candidates = hash_cache.lookup(candidates, cache, algorithm).drop("key_hex")
     candidates = written(candidates)
