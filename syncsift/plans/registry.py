@@ -19,6 +19,7 @@ from syncsift.plans import scan as scans
 from syncsift.operators import cache, cachetable, compare, fingerprint, inventory, quarantine, report, resolution, verdicts
 from syncsift.sources import content, derived
 from syncsift.streaming import incremental
+from syncsift.streaming import verdicts as follow
 from syncsift.tables import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,6 +336,19 @@ def blake3_ranges(spark, sf_dir):
     return whole.join(hashing.content_tree_hashed(rows, 4096), "path").select("doc_id", "path", "ranges", (F.col("whole") == F.col("hash")).alias("equal"))
 
 
+@query("SELECT base, size, members, verdict FROM verdicts", name="streamed_verdicts")
+def _streamed_verdicts(spark, sf_dir):
+    """The verdicts after three batches of a stream: two thirds of the files come, half of these leave, and all come back with the rest."""
+    hashed = written(_hashed(spark, sf_dir).select("doc_id", "path", "base", "size", "partial", "full", F.col("read_error").alias("error")))
+    whole = hashed.withColumn("full", F.coalesce("full", "partial"))
+    top = f"{shared_dir(spark)}/syncsift/stream-{uuid.uuid4().hex}"
+    states = [whole.where("false"), whole.where("doc_id % 3 <> 0"), whole.where("doc_id % 3 = 1"), whole]
+    for before, after in zip(states, states[1:], strict=False):
+        follow.events(before, after).write.mode("append").parquet(f"{top}/feed")
+        follow.follow(spark.readStream.schema(follow.EVENTS).parquet(f"{top}/feed"), f"{top}/log", f"{top}/marks").awaitTermination()
+    return follow.latest(spark, f"{top}/log").select("base", "size", "members", "verdict")
+
+
 # ---- telemetry and figures
 
 _TELEMETRY = f"""t AS (SELECT (SELECT count(*) FROM files) AS files_enumerated, (SELECT count(*) FROM files WHERE is_placeholder) AS files_placeholder, (SELECT count(*) FROM judged WHERE fate = 'excluded') AS files_excluded,
