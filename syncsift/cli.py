@@ -14,6 +14,7 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
+from syncsift.operators import reportlines
 from syncsift.operators.cachetable import CacheTable
 from syncsift.plans.scan import scan_tree
 
@@ -57,7 +58,8 @@ def main(args: list[str], session: Callable[[], SparkSession] | None = None) ->
         found = scan_tree(spark, path, cache=known)
         code = found.exit_code()
         if as_json:
-            print(found.json(), end="")
+            for text in reportlines.streamed(found.report_lines()):
+                print(text, end="")
         elif not quiet:
             print(found.text(), end="")
         if known is not None:

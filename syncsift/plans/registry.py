@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from syncsift.functions import hashing, names, placeholders
 from syncsift.plans import scan as scans
-from syncsift.operators import cache, cachetable, compare, fingerprint, inventory, quarantine, report, resolution, verdicts
+from syncsift.operators import cache, cachetable, compare, fingerprint, inventory, quarantine, report, reportlines, resolution, verdicts
 from syncsift.sources import content, derived
 from syncsift.streaming import incremental
 from syncsift.streaming import verdicts as follow
@@ -668,6 +668,41 @@ def scan_report_json(spark, sf_dir):
     return spark.createDataFrame([(text,)], "report string")
 
 
+_Q = "'\"' || {0} || '\"'"  # the derived paths have nothing to escape
+_REL = f"substr(path, {len(ROOT) + 2})"
+
+
+def _element_sql(section: int, groups: str, files: str, opening: str, name: str, line: str) -> str:
+    """Rows of one list: ``groups`` (base, size, k1, last, hash), ``files`` (base, size, path, full_hash)."""
+    g = f"(SELECT *, row_number() OVER (ORDER BY k1 DESC, size DESC) = 1 AS final FROM ({groups}))"
+    n = "chr(10)"
+    return f"""SELECT {section} AS section, k1, size AS k2, 0 AS kind, '' AS k3, '    {{' || {n} || {opening} || ',' || {n} || '      "{name}": [' AS text FROM {g}
+UNION ALL SELECT {section}, k1, size, 1, path, {line} || CASE WHEN path = last THEN '' ELSE ',' END FROM ({files}) f JOIN {g} g USING (base, size)
+UNION ALL SELECT {section}, k1, size, 2, '', '      ]' || {n} || '    }}' || CASE WHEN final THEN '' ELSE ',' END FROM {g}"""
+
+
+def _report_sql() -> str:
+    n = "chr(10)"
+    size, base = "'      \"size_bytes\": ' || size", f"'      \"normalized_base_name\": ' || {_Q.format('base')} || ',' || {n}"
+    path = _Q.format(_REL)
+    as_path = f"'        {{' || {n} || '          \"path\": ' || {path} || {n} || '        }}'"
+    with_hash = f"'        {{' || {n} || '          \"path\": ' || {path} || ',' || {n} || '          \"hash\": ' || {_Q.format('full_hash')} || {n} || '        }}'"
+    judged = lambda v: (f"SELECT base, size, min(path) AS k1, max(path) AS last, min(full_hash) AS hash FROM decided WHERE verdict = '{v}' GROUP BY base, size", f"SELECT base, size, path, full_hash FROM decided WHERE verdict = '{v}'")
+    return " UNION ALL ".join((
+        _element_sql(0, "SELECT base, size, base AS k1, max(path) AS last, '' AS hash FROM readable GROUP BY base, size HAVING count(*) > 1", "SELECT base, size, path, '' AS full_hash FROM readable", f"{base} || {size}", "members", as_path),
+        _element_sql(1, *judged("identical_duplicate"), f"'      \"hash\": ' || {_Q.format('hash')} || ',' || {n} || {size}", "files", f"'        ' || {path}"),
+        _element_sql(2, *judged("real_conflict"), f"{base} || {size}", "files", with_hash),
+    ))
+
+
+@query(_report_sql())
+def scan_report_lines(spark, sf_dir):
+    """The report's rows of text with the keys that order them, but for the frame and the placeholders."""
+    scan, when = _scan(spark, sf_dir), datetime(2026, 1, 1, 12, tzinfo=timezone.utc)
+    rows = reportlines.lines(scan.telemetry, scan.files, scan.members, ROOT, when, when)
+    return rows.where("phase = 1 AND section < 3").drop("phase")
+
+
 def _listed(name: str, order: str, source: str, having: str = "true") -> str:
     groups = f"SELECT base, size, count(*) AS n, min(path) AS first FROM {source} GROUP BY base, size HAVING {having}"
     return f"SELECT '{name}' AS list, (row_number() OVER (ORDER BY {order}) - 1)::INT AS position, size, n::INT AS files, substr(first, {len(ROOT) + 2}) AS first_path FROM ({groups})"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from syncsift.functions import placeholders
 from syncsift.operators import cache as hash_cache
-from syncsift.operators import inventory, report, verdicts
+from syncsift.operators import inventory, report, reportlines, verdicts
 from syncsift.operators.cachetable import CacheTable
 from syncsift.schema import MAX_DEPTH, RESERVED, WINDOW
 from syncsift.shipping import ship
@@ -53,6 +53,10 @@ class Scan:
     def json(self, finished: datetime | None = None) -> str:
         return report.report(self.telemetry, self.groups, self.duplicates, self.conflicts, placeholders.records(self.inventory.files), self.root, self.started, finished or datetime.now(timezone.utc), ALGORITHMS.get(self.algorithm, self.algorithm))
 
+    def report_lines(self, finished: datetime | None = None) -> DataFrame:
+        """The same report as rows of text, for reportlines.streamed and reportlines.write."""
+        return reportlines.lines(self.telemetry, self.inventory.files, self.members, self.root, self.started, finished or datetime.now(timezone.utc), ALGORITHMS.get(self.algorithm, self.algorithm))
+
     def _entries(self, sound: DataFrame, now: int | None) -> DataFrame:
         sound = sound.where("partial IS NOT NULL AND read_error IS NULL")
         sound = sound.where("full_error IS NULL") if "full_error" in sound.columns else sound  # a file that changed is never remembered

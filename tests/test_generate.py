@@ -33,6 +33,13 @@ def test_same_parameters_same_tree(tmp_path):
             bad()
 
 
+def test_the_same_tree_by_any_number_of_tasks(spark, tmp_path):
+    want = generate.generate(str(tmp_path / "one"), TREE)
+    for tasks in (1, 5):
+        assert generate.generate_by_tasks(spark, str(tmp_path / str(tasks)), TREE, tasks) == want
+        assert digest(tmp_path / str(tasks)) == digest(tmp_path / "one")
+
+
 def test_a_scan_of_it(spark, tmp_path, capsys):
     args = ["--root", str(tmp_path / "t"), "--files", "120", "--duplicates", "7", "--conflicts", "6", "--placeholders", "5", "--depth", "3", "--seed", "3"]
     assert generate.main(args) == 0

@@ -26,7 +26,7 @@ def lines(df):
     return sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", ["l0_inventory", "normalize_names", "normalize_variants", "verdicts", "scan_telemetry", "summary_metrics", "keep_machine", "stability_check", "quarantine_manifest", "rescan_changes", "rescan_cached", "hash_edges", "scan_fingerprint", "csv_diff_totals", "markdown_diff_totals", "scan_report_lists", "stored_verdicts", "streamed_verdicts", "cache_after_twins_return", "blake3_ranges", "partial_hash", "valid_name"])
+@pytest.mark.parametrize("name", ["l0_inventory", "normalize_names", "normalize_variants", "verdicts", "scan_telemetry", "summary_metrics", "keep_machine", "stability_check", "quarantine_manifest", "rescan_changes", "rescan_cached", "hash_edges", "scan_fingerprint", "csv_diff_totals", "markdown_diff_totals", "scan_report_lists", "stored_verdicts", "streamed_verdicts", "scan_report_lines", "cache_after_twins_return", "blake3_ranges", "partial_hash", "valid_name"])
 def test_query(spark, duck, name):
     assert lines(registry.queries()[name](spark, SF).toPandas()) == lines(duck.sql(registry.oracle_sql()[name]).df())
 
