@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": exact_topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_source_divergence": divergence.ORACLE}
+    return {"op3_suffix_dedup": suffix_dedup.ORACLE, "op4_exact_topk": exact_topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_source_divergence": divergence.ORACLE}

@@ -607,3 +607,28 @@ def without_repeats(docs: DataFrame, length: int = 400, words: int = 51) -> Data
 
 def digest(docs: DataFrame) -> DataFrame:
     return suffix_dedup(docs)
+
+
+#: All strings of 400 bytes and all windows of 51 words by their MD5, their runs as islands of starts.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, encode(coalesce(text, '')) AS raw FROM documents),
+s AS (SELECT rid, raw, unnest(range(greatest(0, octet_length(raw) - 399))) AS i FROM d),
+h AS (SELECT rid, i, md5(raw[i + 1 : i + 400]) AS h FROM s),
+hits AS (SELECT rid, i FROM h SEMI JOIN (SELECT h FROM h GROUP BY h HAVING count(*) > 1) USING (h)),
+islands AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 400, true)::INT AS fresh FROM hits)),
+spans AS (SELECT rid, min(i) AS a, max(i) + 400 AS b FROM islands GROUP BY rid, k),
+cut AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid),
+edges AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT rid, max(b), 9223372036854775807 FROM spans GROUP BY rid),
+kept AS (SELECT rid, sha256(unhex(string_agg(hex(CASE WHEN b = 9223372036854775807 THEN raw[a + 1 :] WHEN b > a THEN raw[a + 1 : b] ELSE ''::BLOB END), '' ORDER BY a))) AS kept_sha256 FROM edges JOIN d USING (rid) GROUP BY rid),
+lists AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, regexp_extract_all(text, '[\x20\x09-\x0D]+') AS gaps, strlen(regexp_extract(text, '^[\x20\x09-\x0D]*')) AS lead FROM d),
+w AS (SELECT rid, lead, unnest(range(1, len(words) + 1)) AS k, unnest(words) AS word, unnest(list_slice(gaps, CASE WHEN lead > 0 THEN 2 ELSE 1 END, len(gaps)) || CASE WHEN len(words) > len(gaps) - (lead > 0)::INT THEN [''] ELSE [] END) AS gap FROM lists WHERE len(words) > 0),
+placed AS (SELECT rid, k, lead + sum(strlen(word) + strlen(gap)) OVER (PARTITION BY rid ORDER BY k) - strlen(word) - strlen(gap) AS a, strlen(word) AS n FROM w),
+windows AS (SELECT rid, unnest(range(1, len(words) - 49)) AS k, words FROM lists WHERE len(words) > 50),
+named AS (SELECT rid, k, md5(array_to_string(words[k : k + 50], ' ')) AS h FROM windows),
+said AS (SELECT n.rid, x.a, y.a + y.n AS b FROM (SELECT rid, k FROM named SEMI JOIN (SELECT h FROM named GROUP BY h HAVING count(*) > 1) USING (h)) n JOIN placed x ON x.rid = n.rid AND x.k = n.k JOIN placed y ON y.rid = n.rid AND y.k = n.k + 50),
+runs AS (SELECT rid, a, b, sum(fresh) OVER (PARTITION BY rid ORDER BY a) AS k FROM (SELECT *, coalesce(a > lag(b) OVER (PARTITION BY rid ORDER BY a), true)::INT AS fresh FROM said)),
+told AS (SELECT rid, sum(n)::BIGINT AS passage_bytes, count(*) AS passages FROM (SELECT rid, max(b) - min(a) AS n FROM runs GROUP BY rid, k) GROUP BY rid)
+SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(kept_sha256, sha256(raw)) AS kept_sha256,
+  coalesce(passage_bytes, 0)::BIGINT AS passage_bytes, coalesce(passages, 0)::BIGINT AS passages
+FROM d LEFT JOIN cut USING (rid) LEFT JOIN kept USING (rid) LEFT JOIN told USING (rid)
+"""

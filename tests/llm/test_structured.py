@@ -58,6 +58,19 @@ def test_suffix_dedup(spark, length):
     assert sorted(map(tuple, got.collect())) == restated(rows, length)
 
 
+def test_sql(spark):
+    """The SQL and the operator on texts of every white space, repeated passages of words, repeats of bytes across characters."""
+    import duckdb
+
+    say = lambda n, k: " ".join(f"word{i * k % 97}" for i in range(n))
+    rows = [(1, f" \t{say(120, 5)}"), (2, f"{say(120, 5)} \n\x0b"), (3, say(60, 7).replace(" ", "  ")), (4, say(60, 7).replace(" ", "\n")), (5, None), (6, ""), (7, "é" * 500), (8, "x" + "é" * 400 + " " + say(51, 11)), (9, say(51, 11)), (9, "ab" * 300), (None, "x" * 399)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(suffix_dedup.ORACLE).fetchall(), key=str)
+
+
 @pytest.mark.parametrize("which", [0, 1])
 def test_names_of_structured_strings_differ(which):
     np = suffix_dedup.np
