@@ -50,17 +50,19 @@ def marker(keys: DataFrame, most_bits: int = MOST_BITS) -> Callable[[Column], Co
     The bit array has 16 bits for each key, 2^most_bits at most; its words come to the driver and become a literal. With
     more keys than that it lets more others pass, up to all of them: that costs hashes, never a result.
     """
-    key = F.col(keys.columns[0])
-    n = keys.count()
+    key, top = F.col(keys.columns[0]), 1 << most_bits
+    hashed = F.pmod(F.xxhash64(key), F.lit(top))
+    placed = keys.select(F.shiftright(hashed, 6).cast("int").alias("word"), hashed.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    found = placed.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()
+    # As many bits as the keys ask for: the words of a smaller array are those of the largest one laid over each other.
+    n = sum((r["bits"] & ((1 << 64) - 1)).bit_count() for r in found)
     bits = min(most_bits, max(10, math.ceil(math.log2(16 * n + 1))))
-    at = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
-    word, bit = (lambda k: F.shiftright(at(k), 6).cast("int")), (lambda k: at(k).bitwiseAND(F.lit(63)).cast("int"))
-    one = F.expr("shiftleft(1L, bit)")
-    found = keys.select(word(key).alias("word"), bit(key).alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits")).collect() if n else []
     words = np.zeros(1 << max(0, bits - 6), np.int64)
     for r in found:
-        words[r["word"]] = r["bits"]
+        words[r["word"] % len(words)] |= r["bits"]
     table = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")
+    at = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
+    word, bit = (lambda k: F.shiftright(at(k), 6).cast("int")), (lambda k: at(k).bitwiseAND(F.lit(63)).cast("int"))
     return lambda k: F.call_function("getbit", F.get(table, word(k)), bit(k)) == 1
 
 
