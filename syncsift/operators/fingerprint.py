@@ -13,19 +13,24 @@ def _joined(*fields: Column) -> Column:
     return F.concat(*(x for t in texts for x in (F.octet_length(t).cast("string"), F.lit(":"), t)))
 
 
+def _folded(digests: DataFrame, keys: list[str], levels: tuple[int, ...]) -> DataFrame:
+    """(keys, d): the digests ``d`` of each key as one, in levels by their first hex digits, so no row holds more than the digests of one beginning."""
+    for digits in (*levels, 0):
+        begin = F.substring("d", 1, digits) if digits else F.lit("")
+        one = F.concat(F.min(begin), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n").cast("binary"), 256))
+        digests = digests.groupBy(*keys, begin.alias("p_")).agg(one.alias("d")).drop("p_")
+    return digests
+
+
 def scan_fingerprint(members: DataFrame) -> DataFrame:
     """(operation_id): 16 hex digits over all groups, identical and conflicting ones with their hashes.
 
-    Each member is digested where it is. Members are digested per group in path order, and groups in three levels by
-    the first hex digits of their own digest, so no task holds more than a group or a few thousand digests.
+    Each member is digested where it is. A group's members are digested in two levels by the first hex digits of their own
+    digests, and the groups in three: neither a group of very many files nor the scan is one row.
     """
     line = _joined(F.col("path"), F.col("size"), F.col("mtime_ticks"), F.col("volume_id"), F.col("file_id"), F.when(F.col("verdict").isin("identical_duplicate", "real_conflict"), F.col("full")))
-    each = members.select(*KEY, "verdict", "path", F.sha2(line.cast("binary"), 256).alias("d"))
+    each = members.select(*KEY, "verdict", F.sha2(line.cast("binary"), 256).alias("d"))
     tag = F.when(F.col("verdict") == "identical_duplicate", "i").when(F.col("verdict") == "real_conflict", "r").otherwise("g")
-    group = each.groupBy(*KEY, "verdict").agg(F.sort_array(F.collect_list(F.struct("path", "d"))).alias("m"))
-    level = group.select(F.sha2(_joined(tag, F.col("base"), F.col("size"), F.array_join(F.col("m.d"), "")).cast("binary"), 256).alias("d"))
-    for digits in (4, 2, 0):
-        level = level.groupBy(F.substring("d", 1, digits).alias("p") if digits else F.lit(1).alias("p")).agg(
-            F.concat(F.min(F.substring("d", 1, max(digits, 1))), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n").cast("binary"), 256)).alias("d")
-        )
+    groups = _folded(each, [*KEY, "verdict"], (3,))
+    level = _folded(groups.select(F.sha2(_joined(tag, F.col("base"), F.col("size"), F.col("d")).cast("binary"), 256).alias("d")), [], (4, 2))
     return level.select(F.substring(F.sha2(F.col("d").cast("binary"), 256), 1, 16).alias("operation_id"))

@@ -544,12 +544,16 @@ def _joined_sql(*fields: str) -> str:
     return " || ".join(f"strlen({x}) || ':' || {x}" for x in (f"coalesce(({f})::VARCHAR, '')" for f in fields))
 
 
-@query(f""", lines AS (SELECT base, size, verdict, path, sha256({_joined_sql("path", "size", "mtime_ticks", "volume_id", "file_id", _KNOWN)}) AS d FROM decided),
-tagged AS (SELECT base, size, CASE verdict WHEN 'identical_duplicate' THEN 'i' WHEN 'real_conflict' THEN 'r' ELSE 'g' END AS tag, string_agg(d, '' ORDER BY path) AS ds FROM lines GROUP BY base, size, verdict),
+_FOLD = "substr(d, 1, {0}) || sha256(string_agg(d, chr(10) ORDER BY d)) AS d"
+
+
+@query(f""", lines AS (SELECT base, size, verdict, sha256({_joined_sql("path", "size", "mtime_ticks", "volume_id", "file_id", _KNOWN)}) AS d FROM decided),
+parts AS (SELECT base, size, verdict, {_FOLD.format(3)} FROM lines GROUP BY base, size, verdict, substr(d, 1, 3)),
+tagged AS (SELECT base, size, CASE verdict WHEN 'identical_duplicate' THEN 'i' WHEN 'real_conflict' THEN 'r' ELSE 'g' END AS tag, sha256(string_agg(d, chr(10) ORDER BY d)) AS ds FROM parts GROUP BY base, size, verdict),
 l0 AS (SELECT sha256({_joined_sql("tag", "base", "size", "ds")}) AS d FROM tagged),
-l1 AS (SELECT substr(d, 1, 4) || sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l0 GROUP BY substr(d, 1, 4)),
-l2 AS (SELECT substr(d, 1, 2) || sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l1 GROUP BY substr(d, 1, 2)),
-l3 AS (SELECT min(substr(d, 1, 1)) || sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l2)
+l1 AS (SELECT {_FOLD.format(4)} FROM l0 GROUP BY substr(d, 1, 4)),
+l2 AS (SELECT {_FOLD.format(2)} FROM l1 GROUP BY substr(d, 1, 2)),
+l3 AS (SELECT sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l2)
 SELECT substr(sha256(d), 1, 16) AS operation_id FROM l3""")
 def scan_fingerprint(spark, sf_dir):
     return fingerprint.scan_fingerprint(_members(spark, sf_dir))
