@@ -250,11 +250,11 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, tile: int = TILE,
     in_lang = Window.partitionBy("lang")
     info = info.withColumns({"sources": F.count("*").over(in_lang), "number": F.row_number().over(in_lang.orderBy("source")).cast("long") - 1, "lang_total": F.sum("total").over(in_lang), "p0": share("0", "total", "v")})
     info = written(info)
-    shares = written(counts.join(info, ["lang", "source"]).select("lang", "source", "number", "term", "n", share("n", "total", "v").alias("p")))
+    shares = written(counts.join(info, ["lang", "source"]).select("lang", "source", "number", "term", "lang_total", "v", share("n", "total", "v").alias("p")))
     # Terms: against the whole language.
-    in_all = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(info.select("lang", "lang_total", "v").distinct(), "lang").select("lang", "term", share("n", "lang_total", "v").alias("q"))
+    in_all = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    terms = shares.join(in_all.hint("merge"), ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(GAP).alias("value"))
+    terms = shares.join(in_all.hint("merge"), ["lang", "term"]).withColumn("q", share("n", "lang_total", "v")).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(GAP).alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     # Pairs: sums over the terms of either, and one value for each of the others.
     side = lambda x: info.select("lang", *(F.col(c).alias(f"{c}_{x}") for c in ("source", "number", "held", "p0")), *(["v"] if x == "a" else []))
