@@ -61,7 +61,8 @@ def main(args: list[str], session: Callable[[], SparkSession] | None = None) ->
             for text in reportlines.streamed(found.report_lines()):
                 print(text, end="")
         elif not quiet:
-            print(found.text(), end="")
+            for text in reportlines.streamed(found.text_lines()):
+                print(text, end="")
         if known is not None:
             news = found.news()
             if not news.isEmpty():

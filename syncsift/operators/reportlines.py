@@ -86,6 +86,28 @@ def lines(telemetry: DataFrame, files: DataFrame, members: DataFrame, root: str,
     return out
 
 
+def summary(telemetry: DataFrame, members: DataFrame, root: str) -> DataFrame:
+    """(ORDER, text) of report.text_summary: identical groups by their first path, conflicts, and what couldn't be decided, file by file."""
+    t = telemetry.first()
+    first = f"{t.files_enumerated} files, {t.files_placeholder} placeholders, {t.files_partial_hashed} hashed in part, {t.files_full_hashed} in full"
+    out = members.sparkSession.createDataFrame([(-1, 0, "", 0, 0, "", first)], "section int, phase int, k1 string, k2 long, kind int, k3 string, text string")
+    reason = F.coalesce("read_error", "full_error") if "full_error" in members.columns else F.col("read_error")
+    rows = members.withColumns({"reason": reason, "rel": relative(F.col("path"), root)})
+    short = lambda c: F.substring(c, 1, 12)
+    kinds = (
+        ("identical_duplicate", F.lit(True), F.min("path"), F.concat(F.lit("identical "), short("hash")), F.concat(F.lit("  "), F.col("rel"))),
+        ("real_conflict", F.lit(True), F.min("path"), F.concat(F.lit("conflict "), F.col("base")), F.concat(F.lit("  "), short("full"), F.lit(" "), F.col("rel"))),
+        ("unresolved", F.col("reason").isNotNull(), F.first("base"), F.concat(F.lit("unresolved "), F.col("base")), F.concat(F.lit("  "), F.col("rel"), F.lit(": "), F.col("reason"))),
+    )
+    for section, (verdict, told, k1, opening, line) in enumerate(kinds):
+        mine = rows.where((F.col("verdict") == verdict) & told)
+        groups = mine.groupBy(*KEY).agg(k1.alias("k1"), F.min("hash").alias("hash")).withColumn("k2", F.col("size"))
+        row = lambda kind, k3, text: [F.lit(section).alias("section"), F.lit(1).alias("phase"), "k1", "k2", F.lit(kind).alias("kind"), k3.alias("k3"), text.alias("text")]  # noqa: B023, E731
+        out = out.unionByName(groups.select(*row(0, F.lit(""), F.concat(opening, F.format_string(" (%d bytes)", "size")))))
+        out = out.unionByName(mine.drop("hash").join(groups.select(*KEY, "k1", "k2"), KEY).select(*row(1, F.col("path"), line)))
+    return out
+
+
 def _frame(telemetry: DataFrame, root: str, started: datetime, finished: datetime, algorithm: str, some: list[bool]) -> list[tuple]:
     """The rows around the lists: what stands before them, and each list's brackets."""
     head = report.head(telemetry.first(), root, started, finished, algorithm)

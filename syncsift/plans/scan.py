@@ -57,6 +57,10 @@ class Scan:
         """The same report as rows of text, for reportlines.streamed and reportlines.write."""
         return reportlines.lines(self.telemetry, self.inventory.files, self.members, self.root, self.started, finished or datetime.now(timezone.utc), ALGORITHMS.get(self.algorithm, self.algorithm))
 
+    def text_lines(self) -> DataFrame:
+        """``text`` as rows, for reportlines.streamed."""
+        return reportlines.summary(self.telemetry, self.members, self.root)
+
     def _entries(self, sound: DataFrame, now: int | None) -> DataFrame:
         sound = sound.where("partial IS NOT NULL AND read_error IS NULL")
         sound = sound.where("full_error IS NULL") if "full_error" in sound.columns else sound  # a file that changed is never remembered
