@@ -20,6 +20,8 @@ PERMUTATION = (2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8)
 START, END, PARENT, ROOT = 1, 2, 4, 8
 PIECE = 1 << 18  # bytes that are read at a time: 256 chunks, a whole subtree
 RANGE = 1 << 26  # bytes of a file that are one task's: a whole subtree, too
+SIDE = 1 << 11  # blocks that are compressed side by side: their words fit a core's cache
+HELD = 1 << 22  # bytes of small contents that are hashed side by side
 
 
 def windows(content: Column, size: Column, window: int = WINDOW) -> Column:
@@ -40,68 +42,149 @@ def partial_bytes(size: Column, window: int = WINDOW) -> Column:
     return F.least(size, F.lit(2 * window))
 
 
-def _rounds(cv: np.ndarray, block: np.ndarray, counter: np.ndarray, size: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """The compression function over many blocks at once: rows of 8 chaining words and 16 message words."""
-    n = len(cv)
-    s = np.empty((16, n), np.uint32)
-    s[:8] = cv.T
-    s[8:12] = np.array(IV[:4], np.uint32)[:, None]
-    s[12], s[13], s[14], s[15] = counter.astype(np.uint32), (counter >> 32).astype(np.uint32), size, flags
-    m = block.T.copy()
-
-    def turn(x, k):
-        return (x >> np.uint32(k)) | (x << np.uint32(32 - k))
+def _orders() -> list[list[int]]:
+    """For each round the message words in the order that _compressed reads them: four columns' first and second words, then four diagonals'."""
+    words, out = list(range(16)), []
+    for _ in range(7):
+        out.append([words[i] for i in (0, 2, 4, 6, 1, 3, 5, 7, 8, 10, 12, 14, 9, 11, 13, 15)])
+        words = [words[i] for i in PERMUTATION]
+    return out
 
-    def mix(a, b, c, d, x, y):
-        for word, p, q in ((x, 16, 12), (y, 8, 7)):
-            s[a] += s[b] + word
-            s[d] = turn(s[d] ^ s[a], p)
-            s[c] += s[d]
-            s[b] = turn(s[b] ^ s[c], q)
 
-    for _ in range(7):
-        for i in range(4):
-            mix(i, 4 + i, 8 + i, 12 + i, m[2 * i], m[2 * i + 1])
-        for i in range(4):
-            mix(i, 4 + (i + 1) % 4, 8 + (i + 2) % 4, 12 + (i + 3) % 4, m[8 + 2 * i], m[9 + 2 * i])
-        m = m[list(PERMUTATION)]
-    return (s[:8] ^ s[8:]).T.copy()
+ORDERS = _orders()
 
 
-def _up(nodes: np.ndarray, root: bool) -> np.ndarray:
-    """One level of parents; the last node of an odd number goes up as it is. ``root``: the two nodes that are left make the root."""
-    pairs = len(nodes) // 2
-    flags = np.full(pairs, PARENT + (ROOT if root and len(nodes) == 2 else 0), np.uint32)
-    up = _rounds(np.tile(np.array(IV, np.uint32), (pairs, 1)), nodes[: 2 * pairs].reshape(pairs, 16), np.zeros(pairs, np.int64), np.full(pairs, 64, np.uint32), flags)
-    return np.concatenate([up, nodes[2 * pairs :]])
+def _turned(x: np.ndarray, k: int, spare: np.ndarray) -> None:
+    np.right_shift(x, np.uint32(k), out=spare)
+    np.left_shift(x, np.uint32(32 - k), out=x)
+    np.bitwise_or(x, spare, out=x)
 
 
-def _joined(nodes: np.ndarray, root: bool) -> np.ndarray:
-    """One node of several that are all of one height, the last one perhaps lower.
+def _compressed(cv: np.ndarray, block: np.ndarray, counter: np.ndarray, size: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """The compression function over many blocks at once, a column for each: 8 rows of chaining words and 16 of message words.
 
-    Left subtrees hold the largest power of two of chunks, so pairing neighbours level by level builds the same tree.
+    The state is four arrays of four rows, so that a step mixes four columns of the state of all blocks by one array operation.
+    """
+    n = cv.shape[1]
+    a, b, c, d = cv[:4].copy(), cv[4:].copy(), np.empty((4, n), np.uint32), np.empty((4, n), np.uint32)
+    c[:] = np.array(IV[:4], np.uint32)[:, None]
+    d[0], d[1], d[2], d[3] = counter & 0xFFFFFFFF, counter >> 32, size, flags
+    spare = np.empty((4, n), np.uint32)
+    for order in ORDERS:
+        m = block[order]
+        for half in (0, 8):
+            if half:  # diagonals as columns
+                b, c, d = b[[1, 2, 3, 0]], c[[2, 3, 0, 1]], d[[3, 0, 1, 2]]
+            for at, p, q in ((half, 16, 12), (half + 4, 8, 7)):
+                a += b
+                a += m[at : at + 4]
+                d ^= a
+                _turned(d, p, spare)
+                c += d
+                b ^= c
+                _turned(b, q, spare)
+        b, c, d = b[[3, 0, 1, 2]], c[[2, 3, 0, 1]], d[[1, 2, 3, 0]]
+    return np.concatenate([a ^ c, b ^ d])
+
+
+def _chunk_nodes(padded: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """The chaining values (n, 8) of chunks, rows of 1024 bytes of which ``sizes`` count; ``alone``: the chunk is all there is."""
+    out = np.empty((len(sizes), 8), np.uint32)
+    blocks = np.maximum(1, -(-sizes // 64))
+    order = np.argsort(-blocks, kind="stable")  # chunks that have a block of a number come first
+    for at in range(0, len(order), SIDE):
+        own = order[at : at + SIDE]
+        words = np.ascontiguousarray(padded[own].view("<u4").astype(np.uint32, copy=False).reshape(len(own), 16, 16).transpose(1, 2, 0))
+        last, size, number, root = blocks[own], sizes[own], numbers[own], ROOT * alone[own]
+        cv = np.repeat(np.array(IV, np.uint32)[:, None], len(own), axis=1)
+        for i in range(int(last[0])):
+            k = int(np.searchsorted(-last, -i, side="left"))
+            ends = last[:k] - 1 == i
+            flags = START * (i == 0) + END * ends + root[:k] * ends
+            cv[:, :k] = _compressed(cv[:, :k], words[i, :, :k], number[:k], np.clip(size[:k] - 64 * i, 0, 64), flags)
+        out[own] = cv.T
+    return out
+
+
+def _joined(nodes: np.ndarray, counts: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """One node for each of several runs of ``counts`` nodes of one height, the last of a run perhaps lower; ``root``: it is the root.
+
+    Left subtrees hold the largest power of two of chunks, so pairing neighbours level by level builds the same tree; the
+    last node of an odd number goes up as it is. The runs go up side by side.
     """
-    while len(nodes) > 1:
-        nodes = _up(nodes, root)
+    counts, root = np.asarray(counts, np.int64), np.asarray(root, bool)
+    while (counts > 1).any():
+        pairs, up = counts // 2, -(-counts // 2)
+        begin, place = np.cumsum(counts) - counts, np.cumsum(up) - up
+        within = np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        left, to = np.repeat(begin, pairs) + 2 * within, np.repeat(place, pairs) + within
+        flags = PARENT + ROOT * np.repeat(root & (counts == 2), pairs)
+        above = np.empty((int(up.sum()), 8), np.uint32)
+        for at in range(0, len(left), SIDE):
+            own = left[at : at + SIDE]
+            n = len(own)
+            cv = np.repeat(np.array(IV, np.uint32)[:, None], n, axis=1)
+            found = _compressed(cv, np.concatenate([nodes[own].T, nodes[own + 1].T]), np.zeros(n, np.int64), np.full(n, 64), flags[at : at + SIDE])
+            above[to[at : at + SIDE]] = found.T
+        odd = counts % 2 == 1
+        above[(place + up - 1)[odd]] = nodes[(begin + counts - 1)[odd]]
+        nodes, counts = above, up
     return nodes
 
 
+def _nodes(pieces: list[bytes], firsts: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The node over each piece, whose first chunk has the number ``firsts``; the chunks of all pieces are compressed side by side."""
+    lengths = np.array([len(x) for x in pieces], np.int64)
+    counts = np.maximum(1, -(-lengths // 1024))
+    begin = np.cumsum(counts) - counts
+    padded = np.zeros((int(counts.sum()), 1024), np.uint8)
+    flat = padded.reshape(-1)
+    for x, at, n in zip(pieces, (begin * 1024).tolist(), lengths.tolist(), strict=True):
+        flat[at : at + n] = np.frombuffer(x, np.uint8)
+    sizes = np.full(len(padded), 1024)
+    sizes[begin + counts - 1] = lengths - 1024 * (counts - 1)
+    within = np.arange(len(padded)) - np.repeat(begin, counts)
+    chunks = _chunk_nodes(padded, sizes, np.repeat(firsts, counts) + within, np.repeat(root & (counts == 1), counts))
+    return _joined(chunks, counts, root)
+
+
 def _node(data: bytes, first: int, root: bool) -> np.ndarray:
-    """The node over some chunks, ``first`` the number of the first; chunks of 1024 bytes are compressed side by side."""
-    chunks = max(1, -(-len(data) // 1024))
-    padded = np.zeros(chunks * 1024, np.uint8)
-    padded[: len(data)] = np.frombuffer(data, np.uint8)
-    blocks = padded.view("<u4").astype(np.uint32).reshape(chunks, 16, 16)
-    sizes = np.full(chunks, 1024)
-    sizes[-1] = len(data) - 1024 * (chunks - 1)
-    last = np.maximum(1, -(-sizes // 64))
-    cv = np.tile(np.array(IV, np.uint32), (chunks, 1))
-    for b in range(int(last.max())):
-        on = np.flatnonzero(b < last)
-        ends = last[on] - 1 == b
-        flags = (START * (b == 0) + END * ends + ROOT * (ends & (root and chunks == 1))).astype(np.uint32)
-        cv[on] = _rounds(cv[on], blocks[on, b], first + on.astype(np.int64), np.clip(sizes[on] - 64 * b, 0, 64).astype(np.uint32), flags)
-    return _joined(cv, root)
+    """The node over some chunks, ``first`` the number of the first."""
+    return _nodes([data], np.array([first]), np.array([root]))
+
+
+def _up(two: np.ndarray, root: bool) -> np.ndarray:
+    """The parent of two nodes."""
+    return _joined(two, [2], [root])
+
+
+def nodes_of(pieces: list[bytes], starts: list[int], root: list[bool]) -> list[bytes]:
+    """BLAKE3's nodes over many pieces; HELD bytes of small ones, or a PIECE of a large one, are held as chunks at a time."""
+    out: list[bytes] = []
+    some: list[int] = []
+    held = 0
+
+    def done() -> None:
+        found = _nodes([pieces[i] for i in some], np.array([starts[i] // 1024 for i in some], np.int64), np.array([root[i] for i in some], bool))
+        out.extend(row.tobytes() for row in found.astype("<u4"))
+        some.clear()
+
+    for i, piece in enumerate(pieces):
+        if len(piece) > PIECE or held + len(piece) > HELD or len(some) >= HELD // 1024:
+            if some:
+                done()
+            held = 0
+        if len(piece) > PIECE:
+            h = Blake3(starts[i] // 1024)
+            for at in range(0, len(piece), PIECE):
+                h.update(piece[at : at + PIECE])
+            out.append(h.node(root[i]))
+            continue
+        some.append(i)
+        held += len(piece)
+    if some:
+        done()
+    return out
 
 
 class Blake3:
@@ -121,13 +204,13 @@ class Blake3:
             self.pieces += 1
             full = self.pieces
             while full % 2 == 0:
-                now, full = _joined(np.concatenate([self.waiting.pop(), now]), False), full // 2
+                now, full = _up(np.concatenate([self.waiting.pop(), now]), False), full // 2
             self.waiting.append(now)
 
     def node(self, root: bool = True) -> bytes:
         now = _node(bytes(self.held), self.first + self.pieces * (PIECE // 1024), root and not self.waiting)
         for i, left in enumerate(self.waiting[::-1]):
-            now = _joined(np.concatenate([left, now]), root and i == len(self.waiting) - 1)
+            now = _up(np.concatenate([left, now]), root and i == len(self.waiting) - 1)
         return now[0].astype("<u4").tobytes()
 
     def hexdigest(self) -> str:
@@ -136,15 +219,20 @@ class Blake3:
 
 def blake3(data: bytes) -> str:
     """The 256-bit BLAKE3 hash in lowercase hex."""
-    h = Blake3()
-    for at in range(0, max(1, len(data)), PIECE):
-        h.update(data[at : at + PIECE])
-    return h.hexdigest()
+    return nodes_of([data], [0], [True])[0].hex()
 
 
 def blake3_root(nodes: list[bytes]) -> str:
     """The hash from the nodes of a file's ranges in order: a single one is the root itself."""
-    return _joined(np.frombuffer(b"".join(nodes), "<u4").astype(np.uint32).reshape(-1, 8), True)[0].astype("<u4").tobytes().hex()
+    return blake3_roots([nodes])[0]
+
+
+def blake3_roots(files: list[list[bytes]]) -> list[str]:
+    """blake3_root of many files, whose trees go up side by side."""
+    if not files:
+        return []
+    nodes = np.frombuffer(b"".join(n for nodes in files for n in nodes), "<u4").astype(np.uint32).reshape(-1, 8)
+    return [row.tobytes().hex() for row in _joined(nodes, [len(nodes) for nodes in files], np.ones(len(files), bool)).astype("<u4")]
 
 
 def hasher(algorithm: str):
@@ -240,7 +328,8 @@ def range_hasher(range_bytes: int = RANGE, guarded: bool = True):
 @F.pandas_udf(T.StringType())
 def root_of(nodes: pd.Series) -> pd.Series:
     """blake3_root of an array<binary> column of nodes in order; null stays null."""
-    return nodes.map(lambda x: None if x is None else blake3_root([bytes(n) for n in x]))
+    found = iter(blake3_roots([[bytes(n) for n in x] for x in nodes if x is not None]))
+    return pd.Series([None if x is None else next(found) for x in nodes], dtype=object)
 
 
 def tree_hashed(files: DataFrame, range_bytes: int = RANGE, guarded: bool = True) -> DataFrame:
@@ -262,12 +351,7 @@ def tree_hashed(files: DataFrame, range_bytes: int = RANGE, guarded: bool = True
 @F.pandas_udf(T.BinaryType())
 def node_of(piece: pd.Series, start: pd.Series, whole: pd.Series) -> pd.Series:
     """BLAKE3's node over a piece of a content that begins at byte ``start``; ``whole``: there is no other piece."""
-    out = []
-    for data, at, alone in zip(piece, start, whole, strict=True):
-        h = Blake3(int(at) // 1024)
-        h.update(bytes(data))
-        out.append(h.node(root=bool(alone)))
-    return pd.Series(out)
+    return pd.Series(nodes_of([bytes(x) for x in piece], start.tolist(), whole.tolist()), dtype=object)
 
 
 def content_tree_hashed(rows: DataFrame, range_bytes: int = RANGE) -> DataFrame:
@@ -283,4 +367,6 @@ def content_tree_hashed(rows: DataFrame, range_bytes: int = RANGE) -> DataFrame:
 @F.pandas_udf(T.StringType())
 def blake3_of(content: pd.Series) -> pd.Series:
     """BLAKE3 of a content column."""
-    return content.map(lambda x: None if x is None else blake3(bytes(x)))
+    held = [bytes(x) for x in content if x is not None]
+    found = iter(nodes_of(held, [0] * len(held), [True] * len(held)))
+    return pd.Series([None if x is None else next(found).hex() for x in content], dtype=object)
