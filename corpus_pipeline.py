@@ -43,6 +43,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) stays: that with the smallest doc_id.
 
+    SimHash retrieves the texts that are compared, MinHash bands those whose fingerprints are further apart.
+
     A null text counts as an empty one, and all texts without words are one group; of rows that are equal one stays; a row with a null doc_id
     stays only if its group has no other; texts are compared whole, whatever their length; an empty table stays empty. Only the columns of
     ``documents`` are handed on, so others can't clash.

@@ -1,12 +1,16 @@
-"""Near copies by word shingles: MinHash bands retrieve candidates, exact Jaccard similarity verifies them.
+"""Near copies: SimHash and MinHash retrieve candidates by word shingles, exact Jaccard similarity verifies them.
 
 Words are those of ``simhash`` (A-Z lower-cased, runs of bytes outside ``[\\x20\\x09-\\x0D]``), a shingle is ``words`` words (a
 shorter text is one shingle), and two texts are near copies if the Jaccard similarity of their sets of shingles is
-``least`` or more. SimHash isn't used to retrieve: at a similarity of 0.8 fingerprints differ in about 10 of 64 bits with
-a wide spread, and at a radius wide enough for all of them a tree prunes nothing.
+``least`` or more.
 
-Each text has ``bands`` keys of ``rows`` minima each; texts that share a key are candidates. At the least similarity of 0.8 a
-band of four is shared with a probability of 0.41, so 24 bands miss a pair with one of 3e-6. Keys are dealt and linked to
+``simhash.classes`` links the texts whose fingerprints of these shingles differ in ``radius`` or fewer of 64 bits, through its
+vantage-point trees. That isn't all: at a similarity of 0.8 fingerprints differ in about 10 bits with a wide spread, and at a
+radius wide enough for all of them a tree prunes nothing. The rest is found by bands: each text has ``bands`` keys of ``rows``
+minima each, and a band of four is shared with a probability of 0.41 at the least similarity of 0.8, so 24 bands miss a pair
+with one of 3e-6. Neither way decides anything: both only say which texts are compared.
+
+Texts that share a SimHash class or a band are candidates. Keys of both kinds are dealt and linked to
 the smallest text of each, and connected components join the links: any two candidates lie in one component. Only texts
 of such a component are sent, once, and compared there by their whole sets, as 64-bit hashes of shingles. A group is
 everything reachable by verified links. A text is compared with all others at once, through an inverted
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from syncsift.llm import simhash
 from syncsift.llm.common import SALTS, binary_of, by_key, components, dealt, released, slices, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -105,8 +110,11 @@ def groups(sets: list[np.ndarray], least: float, known: np.ndarray | None = None
     return up
 
 
-def copy_groups(keyed: DataFrame, words: int, least: float, bands: int, rows: int, chunk: int) -> DataFrame:
-    """(node, class): the group of each text of (node, text) that was compared with another; class is its smallest node."""
+def copy_groups(keyed: DataFrame, words: int, least: float, bands: int, rows: int, chunk: int, radius: int) -> DataFrame:
+    """(node, class): the group of each text of (node, text) that was compared with another; class is its smallest node.
+
+    ``node`` is the xxhash64 of the text, which ``simhash.classes`` names it by.
+    """
 
     def sketch(batches):
         shingles = Shingles(words)
@@ -180,7 +188,9 @@ def copy_groups(keyed: DataFrame, words: int, least: float, bands: int, rows: in
     def up_to(n, c="n"):
         return F.explode(F.sequence(F.lit(0), n - 1)).alias(c)
 
-    links = dealt(keyed.mapInArrow(released(sketch), "key long, node long"), ["key"], ["node"]).mapInArrow(released(chain), "a long, b long")
+    alike = simhash.classes(keyed.select(F.col("node").alias("doc_id"), "text"), words, radius).select(F.col("class").alias("key"), F.col("h").alias("node"))
+    keys = keyed.mapInArrow(released(sketch), "key long, node long").unionByName(alike)
+    links = dealt(keys, ["key"], ["node"]).mapInArrow(released(chain), "a long, b long")
     labels = components(links)
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")).select("label", "parts", up_to(F.lit(SALTS), "salt"))
@@ -213,11 +223,11 @@ def _large_components(found: DataFrame, large: DataFrame, components, compared,
     return written(classes.select("node").join(joined.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("class")))
 
 
-def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, rows: int = 4, chunk: int = 2048) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, rows: int = 4, chunk: int = 2048, radius: int = 4) -> DataFrame:
     """One row of each group of near copies, with its columns."""
     text = F.coalesce("text", F.lit(""))
     hashed = docs.withColumn("node_", F.xxhash64(text))
-    found = written(copy_groups(hashed.select(F.col("node_").alias("node"), text.alias("text")), words, least, bands, rows, chunk))
+    found = written(copy_groups(hashed.select(F.col("node_").alias("node"), text.alias("text")), words, least, bands, rows, chunk, radius))
     thin = hashed.select("node_", "doc_id").join(found.hint("merge"), F.col("node_") == F.col("node"), "left")
     best = thin.groupBy(F.coalesce("class", "node_").alias("class")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node_").alias("n"))).alias("m"))
     keep = written(best.select(F.col("m.n").alias("n_"), F.col("m.doc_id").alias("i_")))
