@@ -8,7 +8,7 @@ looks up the two new pairs. Words of more than ``long_word`` bytes merge all pla
 string replacement: a word then needs as many steps as it has different merges, not as many as merges.
 
 Everything is done where the texts are read, and nothing is shuffled, broadcast or collected: Spark cuts the texts, an Arrow
-pass numbers the words, expressions fold the words that are new in a slice of documents, and a second Arrow pass puts the
+pass numbers the words, expressions fold the bytes of those that are new in a slice of documents, and a second Arrow pass puts the
 ids in the numbers' places. A word that is a piece of the rank file has its id for a number, as in the public library; of the
 other words each is folded once for a task, or once for each ``held_words`` distinct words of a very large task, which then
 begins anew. So a task's memory is bounded, and a lost task is simply run again. To fold a word once for the whole table
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructType
 
 from syncsift.llm.common import binary_of, only, released
 
@@ -133,13 +133,10 @@ class Folds:
 
     def of_each_byte(self, word: Column, body) -> Column:
         """``body`` of each byte's value and the next one's, which is null at the end."""
-        value = lambda chars, i: F.ascii(F.substring(chars, i, F.lit(1)))
-        n = F.octet_length(word)
-        one_each = lambda chars: F.transform(F.sequence(F.lit(1), n), lambda i: body(value(chars, i), F.when(i < n, value(chars, i + 1))))
-        return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), one_each)
+        return F.transform(word, lambda x, i: body(x, F.get(word, i + 1)))
 
     def folded(self, word: Column) -> Column:
-        """The ids of a word. The state has one number for each id: below it the id, above it the rank of the pair it begins.
+        """The ids of a word, an array of its bytes' values. The state has one number for each id: below it the id, above it the rank of the pair it begins.
 
         Equal least numbers are the same pair, so the first of them is the leftmost place of the least rank.
         """
@@ -151,17 +148,16 @@ class Folds:
 
         def merge(s: Column, m: Column, at: Column) -> Column:  # at, from 1: the place of m, whose pair is made into an id
             made = F.shiftright(m, BITS).cast("int")
-            after = F.get(s, at + 1)
-            new = F.when(after.isNull(), lone(made.cast("long"))).otherwise(begun(made, id_of(after)))
-            rest = F.slice(s, at + 2, F.size(s))
-            left = _let(id_of(F.get(s, at - 2)), lambda p: F.concat(F.slice(s, F.lit(1), at - 2), F.array(begun(p, made), new), rest))
-            return F.when(at > 1, left).otherwise(F.concat(F.array(new), rest))
+            new = _let(F.get(s, at + 1), lambda after: F.when(after.isNull(), lone(made.cast("long"))).otherwise(begun(made, id_of(after))))
+            gone = F.lit(-1).cast("long")
+            put = lambda x, i: F.when((i > at) | (i < at - 2), x).when(i == at - 1, new).when(i == at, gone).otherwise(begun(id_of(x), made))
+            return F.filter(F.transform(s, put), lambda x: x >= 0)
 
         def step(s: Column, _: Column) -> Column:
             found = lambda m: _let(F.array_position(s, m).cast("int"), lambda at: merge(s, m, at))
             return _let(F.array_min(s), lambda m: F.when(m < NONE << BITS, found(m)).otherwise(s))
 
-        return F.transform(F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step), id_of)
+        return F.transform(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(word) - 1)), start, step), id_of)
 
     def ids(self, chars: Column) -> Column:
         return F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.ascii(c) - BASE)
@@ -184,7 +180,7 @@ class Folds:
 
             return F.when(~s["more"] | (F.char_length(s["text"]) < 2), s).otherwise(_let(self.ids(s["text"]), best))
 
-        return self.ids(F.aggregate(F.sequence(F.lit(1), F.least(F.octet_length(word), F.lit(most_steps))), state(start, F.lit(True)), step)["text"])
+        return self.ids(F.aggregate(F.sequence(F.lit(1), F.least(F.size(word), F.lit(most_steps))), state(start, F.lit(True)), step)["text"])
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -193,13 +189,19 @@ def words_of(text: Column, pattern: str) -> Column:
 
 
 def encode_word(folds: Folds, word: Column, long_word: int, most_steps: int) -> Column:
-    n = F.octet_length(word)
+    n = F.size(word)
     return F.when(n <= long_word, folds.folded(word)).otherwise(folds.folded_long(word, most_steps))
 
 
 def _number(path: str, held_words: int, piece_bytes: int, row_words: int = 1 << 14):
-    """(doc_id, words) to (doc_id, codes), after rows with the words that are new; the first of them says whether numbers begin anew."""
-    names = ["doc_id", "codes", "anew", "words"]
+    """(doc_id, words) to (doc_id, codes), after rows with the bytes of the words that are new; the first of them says whether numbers begin anew."""
+    names, of_bytes = ["doc_id", "codes", "anew", "words"], pa.list_(pa.list_(pa.int32()))
+
+    def listed(words: list[str]) -> pa.Array:
+        raw = [w.encode() for w in words]
+        ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+        each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, ids, new = pieces_of(path), {}, []
@@ -235,13 +237,13 @@ def _number(path: str, held_words: int, piece_bytes: int, row_words: int = 1 <<
                 found = words.values.slice(int(ends[start]), int(ends[end] - ends[start])).dictionary_encode()
                 code_of = np.fromiter(map(numbers.__getitem__, found.dictionary.to_pylist()), np.int32, len(found.dictionary))
                 for a in range(0, len(new), row_words) if new else (0,) if anew else ():
-                    row = [pa.nulls(1, batch.schema.field("doc_id").type), pa.nulls(1, pa.binary()), pa.array([anew]), pa.array([new[a : a + row_words]], pa.list_(pa.string()))]
+                    row = [pa.nulls(1, batch.schema.field("doc_id").type), pa.nulls(1, pa.binary()), pa.array([anew]), listed(new[a : a + row_words])]
                     yield pa.RecordBatch.from_arrays(row, names)
                     anew = False
                 new.clear()
                 codes = code_of[found.indices.to_numpy()] if len(found) else np.zeros(0, np.int32)
                 cuts = pa.py_buffer(((ends[start : end + 1] - ends[start]) * 4).astype(np.int32))
-                own = [batch.column("doc_id").slice(start, end - start), pa.BinaryArray.from_buffers(pa.binary(), end - start, [None, cuts, pa.py_buffer(codes)]), pa.nulls(end - start, pa.bool_()), pa.nulls(end - start, pa.list_(pa.string()))]
+                own = [batch.column("doc_id").slice(start, end - start), pa.BinaryArray.from_buffers(pa.binary(), end - start, [None, cuts, pa.py_buffer(codes)]), pa.nulls(end - start, pa.bool_()), pa.nulls(end - start, of_bytes)]
                 yield pa.RecordBatch.from_arrays(own, names)
                 start = end
                 if numbers.rest > held_words:
@@ -302,7 +304,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     """(doc_id, ids array<int>, ids_bytes of four little-endian bytes each) for every row of ``docs``."""
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
     doc_id, most = docs.schema["doc_id"].dataType, len(pieces_of(path))
-    numbered = StructType().add("doc_id", doc_id).add("codes", BinaryType()).add("anew", BooleanType()).add("words", ArrayType(StringType()))
+    numbered = StructType().add("doc_id", doc_id).add("codes", BinaryType()).add("anew", BooleanType()).add("words", ArrayType(ArrayType(IntegerType())))
     done = StructType().add("doc_id", doc_id).add("ids", ArrayType(IntegerType())).add("ids_bytes", BinaryType())
     texts = only(docs, "doc_id", "text").select("doc_id", words_of(F.col("text"), pattern).alias("words"))
     folded = with_literals(literals(path), lambda f: F.transform("words", lambda w: encode_word(f, w, long_word, most))).alias("words")
